@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from townsquare.functions.links import LINK_IN_TEXT, TRAILING_PUNCTUATION
 
@@ -120,10 +121,14 @@ def topic_tokens(text: Column, stopwords: list[str] | None = None) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(drop))
 
 
-@F.pandas_udf("string")
-def decode_entities(text: pd.Series) -> pd.Series:
-    """HTML character references decoded; rows without one pass through."""
-    return text.map(lambda s: html.unescape(s) if s is not None and "&" in s else s, na_action="ignore")
+def decode_entities(text: Column) -> Column:
+    """HTML character references decoded, in Arrow batches."""
+
+    # Nested, so that it travels to the workers by value.
+    def unescape(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda s: html.unescape(s) if "&" in s else s, na_action="ignore")
+
+    return F.pandas_udf(unescape, StringType())(text)
 
 
 # Comments vanish; script, style and block tags part words; other tags do not.

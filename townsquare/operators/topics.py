@@ -275,10 +275,18 @@ def similarity(left: DataFrame, right: DataFrame) -> DataFrame:
     at_left = {t: i for i, t in enumerate(lefts)}
     at_right = {t: i for i, t in enumerate(rights)}
 
+    # Nested, so that they travel to the workers by value.
+    def dense(rows, at):
+        out = np.zeros((len(rows), len(at)))
+        for i, pairs in enumerate(rows):
+            for pair in pairs:
+                out[i, at[pair["topic"]]] += pair["weight"]
+        return out
+
     def add_up(batches):
         dots = np.zeros((len(at_left), len(at_right)))
         for batch in batches:
-            dots += _dense(batch["l"], at_left).T @ _dense(batch["r"], at_right)
+            dots += dense(batch["l"], at_left).T @ dense(batch["r"], at_right)
         i, j = np.nonzero(dots)
         yield pd.DataFrame({"i": i, "j": j, "dot": dots[i, j]})
 
@@ -306,14 +314,6 @@ def _packed(table: DataFrame, name: str) -> DataFrame:
     return table.groupBy("term").agg(F.collect_list(pair).alias(name))
 
 
-def _dense(rows, at: dict) -> np.ndarray:
-    out = np.zeros((len(rows), len(at)))
-    for i, pairs in enumerate(rows):
-        for pair in pairs:
-            out[i, at[pair["topic"]]] += pair["weight"]
-    return out
-
-
 # --- evaluation grid --------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ from townsquare.operators import network as job
 from townsquare.plans import Plan, tables
 from townsquare.plans.tables import SUPPLIER_OFFSET, over
 
-MIN_DEGREE = 40
+MIN_DEGREE = 30
 
 
 def _graph(spark, d, min_degree=0):

@@ -190,8 +190,9 @@ FROM (SELECT unnest(range(-1, 8)) AS topic) s LEFT JOIN t ON t.topic = s.topic G
     ),
     "topic_similarity": Plan(
         similarity,
-        f"""WITH l AS (SELECT lang AS topic, unnest({_WORDS}) AS term, count(*)::DOUBLE AS w FROM documents GROUP BY ALL),
-r AS (SELECT source AS topic, unnest({_WORDS}) AS term, count(*)::DOUBLE AS w FROM documents GROUP BY ALL),
+        f"""WITH t AS (SELECT lang, source, unnest({_WORDS}) AS term FROM documents),
+l AS (SELECT lang AS topic, term, count(*)::DOUBLE AS w FROM t GROUP BY ALL),
+r AS (SELECT source AS topic, term, count(*)::DOUBLE AS w FROM t GROUP BY ALL),
 ln AS (SELECT topic, sqrt(sum(w * w)) AS norm FROM l GROUP BY 1), rn AS (SELECT topic, sqrt(sum(w * w)) AS norm FROM r GROUP BY 1),
 dots AS (SELECT l.topic AS a, r.topic AS b, sum(l.w * r.w) AS dot FROM l JOIN r ON r.term = l.term GROUP BY 1, 2)
 SELECT ln.topic AS left_topic, rn.topic AS right_topic, round(coalesce(dot, 0) / (ln.norm * rn.norm), 9) AS cosine
