@@ -1,0 +1,101 @@
+import datetime as dt
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from records import THREAD, comment, submission, tweet, url
+
+from townsquare.operators import extract
+from townsquare.sources import posts
+from townsquare.sources.lists import as_table, read_ids, read_names
+
+
+def ids(spark, *values):
+    return as_table(spark, values, "id", T.LongType())
+
+
+def names(spark, *values):
+    return as_table(spark, values, "name", T.StringType())
+
+
+def test_user_names(lines, rows):
+    table = lines(tweet(1, name="Ann"), tweet(2, name="ANN"), submission("s", author="Bob"), THREAD, comment("c", author=""))
+    found = extract.user_names(posts.unified_posts(table))
+    assert rows(found) == [("ann",), ("anonymous",), ("bob",)]
+    only = extract.user_names(posts.unified_posts(table), kinds=["tweet"])
+    assert rows(only) == [("ann",)]
+
+
+def test_user_ids(lines):
+    table = lines(tweet(1, user=5, name="New"), tweet(2, user=5, name="Old"), tweet(3, user=5, name="NEW"), tweet(4, user=6))
+    got = {r.userid: r.usernames for r in extract.user_ids(posts.tweets(table)).collect()}
+    assert got == {5: ["new", "old"], 6: ["ann"]}
+
+
+def test_by_id_keeps_copies_and_once_does_not(spark, lines, rows):
+    tweets = posts.tweets(lines(tweet(1, "b"), tweet(1, "a"), tweet(2), tweet(3)))
+    wanted = ids(spark, 1, 3, 3, 9)
+    assert sorted(r.id for r in extract.tweets_by_id(tweets, wanted).collect()) == [1, 1, 3]
+    once = extract.tweets_by_id_once(tweets, wanted)
+    assert [r.id for r in once.orderBy("id").collect()] == [1, 3]
+    assert '"text": "a"' in once.where("id = 1").first().raw
+
+
+def test_once_with_a_third_of_all_rows_on_one_id(spark):
+    copies = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("id"), F.col("id").cast("string").alias("raw")
+    )
+    got = extract.tweets_by_id_once(copies, ids(spark, 7, 8, 10)).orderBy("id").collect()
+    assert [(r.id, r.raw) for r in got] == [(7, "0"), (8, "8"), (10, "10")]
+
+
+def test_by_user_and_author(spark, lines):
+    tweets = posts.tweets(lines(tweet(1, user=5), tweet(2, user=6)))
+    assert [r.id for r in extract.tweets_by_user(tweets, ids(spark, 6)).collect()] == [2]
+    table = posts.reddit_posts(lines(submission("s", author="BOB"), comment("c", author="bob", body=""), comment("d", author="Eve")))
+    assert [r.id for r in extract.posts_by_author(table, names(spark, "Bob")).collect()] == ["s"]
+
+
+def test_users_by_domain(spark, lines):
+    table = lines(
+        tweet(1, user=5, urls=[url("http://a.Example.org/1"), url("http://example.org/2")]),
+        tweet(2, user=6, urls=[url("http://other.org"), url("http://example.org", short="")]),
+    )
+    found = extract.users_by_domain(posts.tweets(table), names(spark, "EXAMPLE.org"))
+    assert [r.userid for r in found.collect()] == [5, 5]
+    once = extract.users_by_domain(posts.tweets(table), names(spark, "example.org"), distinct=True)
+    assert [r.userid for r in once.collect()] == [5]
+
+
+def test_link_counts_of_retweets_and_quotes(lines):
+    deep = tweet(11, urls=[url("http://deep.org/")])
+    quoted = tweet(12, urls=[url("http://q.org")], quoted_status=deep)
+    table = lines(
+        tweet(1, urls=[url("http://a.org/"), url("http://a.org")]),
+        tweet(2, urls=[url("http://b.org")], retweeted_status=tweet(10, urls=[url("http://a.org")])),
+        tweet(3, quoted_status=quoted),
+        tweet(4, urls=[url("http://b.org")]),
+        tweet(5, urls=[url("http://c.org")], retweeted_status=quoted),
+    )
+    got = {r.url: r.n for r in extract.link_counts(posts.tweets(table)).collect()}
+    assert got == {
+        "http://a.org": 2, "http://b.org": 2, "http://q.org": 2, "http://deep.org": 2, "http://c.org": 1,
+    }
+    top = extract.link_counts(posts.tweets(table), k=2).collect()
+    assert [(r.url, r.n) for r in top] == [("http://a.org", 2), ("http://b.org", 2)]
+
+
+def test_domain_edges(lines, rows):
+    tweets = posts.tweets(lines(tweet(1, user=5, urls=[url("http://www.E.org/x"), url("bad")]), tweet(2)))
+    assert rows(extract.tweet_domain_edges(tweets)) == [(5, "e.org", dt.datetime(2024, 1, 3, 10, 20, 30))]
+    subs = posts.submissions(lines(submission("s"), submission("t", author="[Deleted]"), submission("u", url="")))
+    coms = posts.comments(lines(comment("c", body="http://x.com/1 www.y.org!"), comment("d", author="[deleted]", body="http://z.com")))
+    assert rows(extract.reddit_domain_edges(subs, coms).select("src", "dst")) == [
+        ("Bob", "example.org"), ("Cat", "x.com"), ("Cat", "y.org"),
+    ]
+
+
+def test_lists_from_files(spark, tmp_path):
+    (tmp_path / "ids").write_text("1\n 22 \n\nx\n")
+    (tmp_path / "names").write_text("Ann\n\n BOB \n")
+    assert sorted(r.id for r in read_ids(spark, str(tmp_path / "ids")).collect()) == [1, 22]
+    assert sorted(r.name for r in read_names(spark, str(tmp_path / "names")).collect()) == ["ann", "bob"]

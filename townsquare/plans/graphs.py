@@ -57,7 +57,8 @@ def neighbour_weights(spark, d):
 def best_moves(spark, d):
     state, edges = _start(spark, d)
     weights = louvain.neighbour_weights(state, louvain.adjacency(edges))
-    return louvain.best_moves(state, weights, louvain.total_weight(state), even=True)
+    moves = louvain.best_moves(state, weights, louvain.total_weight(state), even=True)
+    return moves.select("vid", "community", "changed")
 
 
 def half_cycle(spark, d):
@@ -75,8 +76,8 @@ def _by_nation(spark, d):
     suppliers = tables.table(spark, d, "supplier").select(
         (F.col("s_suppkey") + SUPPLIER_OFFSET).alias("vid"), F.col("s_nationkey").cast("bigint").alias("community")
     )
-    moves = customers.unionByName(suppliers).withColumn("changed", F.lit(True))
-    return louvain.apply_moves(state, moves), edges
+    labels = customers.unionByName(suppliers)
+    return louvain.with_totals(state.drop("community").join(labels, "vid")), edges
 
 
 def modularity(spark, d):
