@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,17 +31,29 @@ def registered_domain(url: Column, top_level: Sequence[str] | None = None) -> Co
     ``top_level`` optionally restricts the last label to a given list.
     """
     host = F.rtrim(F.lower(F.regexp_extract(url, HOST, 1)), F.lit("."))
-    labels = F.split(host, r"\.")
-    last = F.element_at(labels, -1)
-    site = (
-        F.when(F.size(labels) <= 2, host)
-        .when(last.isin(THREE_LABEL_COUNTRIES), F.array_join(F.slice(labels, -3, 3), "."))
-        .otherwise(F.array_join(F.slice(labels, -2, 2), "."))
-    )
-    valid = site.rlike(VALID_HOST)
-    if top_level is not None:
-        valid = valid & last.isin([t.lower() for t in top_level])
-    return F.when(valid, site)
+
+    def site(labels: Column) -> Column:
+        three = F.element_at(labels, -1).isin(THREE_LABEL_COUNTRIES)
+        kept = F.least(F.size(labels), F.when(three, 3).otherwise(2))
+        return F.array_join(F.slice(labels, -kept, kept), ".")
+
+    def checked(name: Column) -> Column:
+        valid = name.rlike(VALID_HOST)
+        if top_level is not None:
+            valid = valid & F.substring_index(name, ".", -1).isin([t.lower() for t in top_level])
+        return F.when(valid, name)
+
+    return let(let(F.split(host, r"\."), site), checked)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def domains(urls: Column) -> Column:
+    """The registered domains of an array of URLs, where there are any."""
+    return F.filter(F.transform(urls, lambda u: registered_domain(u)), lambda d: d.isNotNull())
 
 
 def clean_url(url: Column) -> Column:

@@ -81,13 +81,11 @@ def posts_by_author(
 
 
 def _tweet_links(tweets: DataFrame, user_id: str, urls: str, *keep: Column) -> DataFrame:
-    """One row per URL of a tweet that has a registered domain."""
-    rows = tweets.select(
-        F.col(user_id).alias("src"), *keep, F.explode(links.expanded_urls(F.col(urls))).alias("url")
-    )
-    rows = rows.where(F.length("url") > 0)
-    rows = rows.withColumn("dst", links.registered_domain(F.col("url"))).drop("url")
-    return rows.where(F.col("dst").isNotNull() & F.col("src").isNotNull())
+    """One row per URL of a tweet that has a registered domain. Domains are
+    found inside the row, so that a test on them does not find them again."""
+    known = tweets.where(F.col(user_id).isNotNull())
+    found = links.domains(links.expanded_urls(F.col(urls)))
+    return known.select(F.col(user_id).alias("src"), *keep, F.explode(found).alias("dst"))
 
 
 def users_by_domain(
@@ -135,15 +133,11 @@ def tweet_domain_edges(
 def reddit_domain_edges(submissions: DataFrame, comments: DataFrame) -> DataFrame:
     """(src author, dst domain, time) for the URL of each submission and for
     every link in a comment's body; removed authors are left out."""
-    linked = submissions.select("author", "url", "created_time")
-    written = comments.select(
-        "author", F.explode(links.links_in_text(F.col("body"))).alias("url"), "created_time"
-    )
-    rows = linked.unionByName(written)
-    rows = rows.where((F.lower("author") != DELETED) & (F.length("url") > 0))
-    edges = rows.select(
+    linked = submissions.select("author", "created_time", F.array("url").alias("urls"))
+    written = comments.select("author", "created_time", links.links_in_text(F.col("body")).alias("urls"))
+    rows = linked.unionByName(written).where(F.lower("author") != DELETED)
+    return rows.select(
         F.col("author").alias("src"),
-        links.registered_domain(F.col("url")).alias("dst"),
+        F.explode(links.domains(F.col("urls"))).alias("dst"),
         F.col("created_time").alias("time"),
-    )
-    return edges.where(F.col("dst").isNotNull())
+    ).select("src", "dst", "time")

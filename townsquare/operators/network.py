@@ -7,6 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from townsquare.session import cut, scratch_folder
+
 
 class Graph(NamedTuple):
     vertices: DataFrame
@@ -98,3 +100,10 @@ def trim(graph: Graph, min_degree: int) -> Graph:
 def pairs_to_graph(pairs: DataFrame, min_degree: int = 0) -> Graph:
     """Graph of (src, src_name, dst, dst_name[, w][, time]) rows, trimmed."""
     return trim(Graph(users(pairs), merge_edges(pairs)), min_degree)
+
+
+def stored(graph: Graph) -> Graph:
+    """The graph as two tables in the scratch folder, for jobs that read it
+    many times."""
+    folder = scratch_folder(graph.edges.sparkSession)
+    return Graph(cut(graph.vertices, f"{folder}/vertices"), cut(graph.edges, f"{folder}/edges"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from townsquare.functions import text as T
+from townsquare.functions.links import let
 from townsquare.operators.extract import top
 from townsquare.sources.lists import keyword_queries
 
@@ -36,10 +37,13 @@ def matches_keywords(text: Column, queries: Sequence[Sequence[str] | str]) -> Co
     """True where every word of some query is a substring of the text. Case is
     ignored on both sides, and so are queries without a word."""
     queries = keyword_queries(queries)
-    lowered = F.lower(text)
     if len(queries) <= PREDICATES_AT_MOST:
-        return _any([_every([F.contains(lowered, F.lit(w)) for w in q]) for q in queries])
-    return F.exists(F.lit(queries), lambda q: F.forall(q, lambda w: F.contains(lowered, w)))
+        return let(F.lower(text), lambda t: _any([_every([F.contains(t, F.lit(w)) for w in q]) for q in queries]))
+    # Each word is looked for once, then the queries are looked up by number.
+    words = sorted({w for q in queries for w in q})
+    numbers = F.lit([[words.index(w) for w in q] for q in queries])
+    there = let(F.lower(text), lambda t: F.transform(F.lit(words), lambda w: F.contains(t, w)))
+    return let(there, lambda has: F.exists(numbers, lambda q: F.forall(q, lambda i: F.get(has, i))))
 
 
 def tweet_search_text(text: str = "text", retweeted: str = "retweeted_status") -> Column:
@@ -115,24 +119,26 @@ def fielded_search(
         raise ValueError(f"unknown fields {sorted(unknown)}")
     # Terms of a field as one string with a blank around each, so that every
     # kind of clause is a plain string test.
-    padded = {
-        f: F.concat(F.lit(" "), F.array_join(F.coalesce(fields[f], F.array().cast("array<string>")), " "), F.lit(" "))
-        for f in sorted(used)
-    }
-    marked = posts.select("*", *[c.alias(f"_field_{f}") for f, c in padded.items()])
-    columns = {f: F.col(f"_field_{f}") for f in padded}
-    if score == "matches" and threshold == 0:
-        found = marked.where(_any([query_matches(q, columns, op) for q in queries]))
-    else:
-        weigh = _bm25 if score == "bm25" else (lambda query, fields: F.lit(1.0))
-        scores = [
-            F.when(query_matches(q, columns, op), weigh(q, columns)).otherwise(0.0) for q in queries
+    none = F.array().cast("array<string>")
+    padded = F.struct(
+        *[
+            F.concat(F.lit(" "), F.array_join(F.coalesce(fields[f], none), " "), F.lit(" ")).alias(f)
+            for f in sorted(used)
         ]
-        found = marked.where(reduce(lambda a, b: a + b, scores, F.lit(0.0)) > threshold)
-    return found.drop(*[f"_field_{f}" for f in padded])
+    )
+
+    def above(post: Column) -> Column:
+        if score == "matches" and threshold == 0:
+            return _any([query_matches(q, post, op) for q in queries])
+        weigh = _bm25 if score == "bm25" else (lambda query, fields: F.lit(1.0))
+        scores = [F.when(query_matches(q, post, op), weigh(q, post)).otherwise(0.0) for q in queries]
+        return reduce(lambda a, b: a + b, scores, F.lit(0.0)) > threshold
+
+    # The fields are analysed once per post, whatever the number of clauses.
+    return posts.where(let(padded, above))
 
 
-def query_matches(query: Mapping, fields: Mapping[str, Column], op: str = "AND") -> Column:
+def query_matches(query: Mapping, fields: Column, op: str = "AND") -> Column:
     """Whether a post's padded fields satisfy one query."""
     default = {"AND": "must", "OR": "should"}[query.get("op", op).upper()]
     groups: dict[str, list[Column]] = {"must": [], "should": [], "must_not": []}
@@ -145,14 +151,14 @@ def query_matches(query: Mapping, fields: Mapping[str, Column], op: str = "AND")
     return wanted & ~_any(groups["must_not"])
 
 
-def _clause_matches(clause: Mapping, fields: Mapping[str, Column]) -> Column:
+def _clause_matches(clause: Mapping, fields: Column) -> Column:
     field, kind, value = _clause_parts(clause, fields)
     if kind == "wildcard":
         return field.rlike(_wildcard(value))
     return F.contains(field, F.lit(f" {value}" if kind == "prefix" else f" {value} "))
 
 
-def _clause_parts(clause: Mapping, fields: Mapping[str, Column]) -> tuple[Column, str, str]:
+def _clause_parts(clause: Mapping, fields: Column) -> tuple[Column, str, str]:
     kind = clause.get("kind", "term")
     if kind not in ("term", "phrase", "prefix", "wildcard"):
         raise ValueError(f"unknown clause kind {kind!r}")
@@ -165,7 +171,7 @@ def _wildcard(value: str) -> str:
     return "(?<= )" + "".join(signs.get(ch, re.escape(ch)) for ch in value) + "(?= )"
 
 
-def _bm25(query: Mapping, fields: Mapping[str, Column]) -> Column:
+def _bm25(query: Mapping, fields: Column) -> Column:
     # Fixed values of the ranking formula for an index of one document.
     idf, k1 = "ln(4.0D / 3.0D)", 1.2
     weights = []

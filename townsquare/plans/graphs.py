@@ -41,7 +41,7 @@ def trimmed_vertices(spark, d):
 
 
 def _start(spark, d):
-    graph = _graph(spark, d)
+    graph = job.stored(_graph(spark, d))
     return louvain.initial_state(graph.vertices, graph.edges), graph.edges
 
 
@@ -107,13 +107,13 @@ def louvain_level(spark, d):
 
 
 def louvain_labels(spark, d):
-    graph = _graph(spark, d)
+    graph = job.stored(_graph(spark, d))
     labelled, _, _ = louvain.label_graph(graph.vertices, graph.edges)
     return labelled
 
 
 def louvain_hierarchy(spark, d):
-    graph = _graph(spark, d)
+    graph = job.stored(_graph(spark, d))
     return louvain.hierarchy(graph.vertices, graph.edges).labels
 
 

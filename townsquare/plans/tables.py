@@ -16,8 +16,12 @@ from townsquare.sources import posts
 SUPPLIER_OFFSET = 1_000_000_000  # keeps supplier ids apart from customer ids
 
 
+TEXTS = ("documents", "pages", "conversations")  # tables of long rows
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    rows = spark.read.parquet(f"{d}/{name}.parquet")
+    return posts.spread(rows) if name in TEXTS else rows
 
 
 def _lines(rows: DataFrame, **fields: Column) -> DataFrame:

@@ -35,6 +35,13 @@ def read_lines(
     return lines.repartition(partitions) if partitions else lines
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of fewer files than there are cores, dealt out to all cores before
+    costly work per row; rows of many files stay where they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def _all(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
