@@ -268,48 +268,48 @@ def similarity(left: DataFrame, right: DataFrame) -> DataFrame:
     Each side is packed to one row per term holding its weights by topic. The
     packed sides meet on the term, and every task adds its terms up into one
     small topics x topics matrix, so what is shuffled at the end is a matrix
-    per task and not a pair per term.
+    per task and not a pair per term. Only that matrix, as large as the
+    result, reaches the driver.
     """
-    lefts, rights = _topics(left), _topics(right)
-    packed = _packed(left, "l").join(_packed(right, "r"), "term").select("l", "r")
-    at_left = {t: i for i, t in enumerate(lefts)}
-    at_right = {t: i for i, t in enumerate(rights)}
-
-    # Nested, so that they travel to the workers by value.
-    def dense(rows, at):
-        out = np.zeros((len(rows), len(at)))
-        for i, pairs in enumerate(rows):
-            for pair in pairs:
-                out[i, at[pair["topic"]]] += pair["weight"]
-        return out
+    packed = _packed(left, "l").join(_packed(right, "r"), "term", "full").select("l", "r")
 
+    # Nested, so that it travels to the workers by value. A row without a
+    # right topic is a squared norm of a left one, and the other way round.
     def add_up(batches):
-        dots = np.zeros((len(at_left), len(at_right)))
+        sums = {}
         for batch in batches:
-            dots += dense(batch["l"], at_left).T @ dense(batch["r"], at_right)
-        i, j = np.nonzero(dots)
-        yield pd.DataFrame({"i": i, "j": j, "dot": dots[i, j]})
+            sides = []
+            for column in (batch["l"], batch["r"]):
+                found = {}
+                for row, pairs in enumerate(column):
+                    for pair in pairs if pairs is not None else ():
+                        if pair["topic"] not in found:
+                            found[pair["topic"]] = np.zeros(len(batch))
+                        found[pair["topic"]][row] += pair["weight"]
+                sides.append((list(found), np.array(list(found.values())).reshape(len(found), len(batch))))
+            (lefts, a), (rights, b) = sides
+            dots = a @ b.T
+            parts = [((x, None), float(v @ v)) for x, v in zip(lefts, a)]
+            parts += [((None, y), float(v @ v)) for y, v in zip(rights, b)]
+            parts += [((x, y), float(dots[i, j])) for i, x in enumerate(lefts) for j, y in enumerate(rights)]
+            for key, value in parts:
+                sums[key] = sums.get(key, 0.0) + value
+        yield pd.DataFrame([(x, y, v) for (x, y), v in sums.items()], columns=["left_topic", "right_topic", "dot"])
 
-    dots = packed.mapInPandas(add_up, "i int, j int, dot double").groupBy("i", "j").agg(F.sum("dot").alias("dot"))
-    spark = left.sparkSession
-    every = [(i, j, a, b, lefts[a] * rights[b]) for i, a in enumerate(lefts) for j, b in enumerate(rights)]
     kinds = [t.schema["topic"].dataType.simpleString() for t in (left, right)]
-    spine = spark.createDataFrame(
-        every, f"i int, j int, left_topic {kinds[0]}, right_topic {kinds[1]}, norms double"
-    )
-    return spine.join(dots, ["i", "j"], "left").select(
-        "left_topic", "right_topic", F.coalesce(F.col("dot") / F.col("norms"), F.lit(0.0)).alias("cosine")
-    )
-
-
-def _topics(table: DataFrame) -> dict:
-    """Topics with their norms, in order: as many values as the model has
-    topics."""
-    norms = table.groupBy("topic").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    return {r.topic: r.norm for r in norms.orderBy("topic").collect()}
+    key = f"left_topic {kinds[0]}, right_topic {kinds[1]}"
+    dots = packed.mapInPandas(add_up, f"{key}, dot double").groupBy("left_topic", "right_topic")
+    sums = {(r.left_topic, r.right_topic): r.dot for r in dots.agg(F.sum("dot").alias("dot")).collect()}
+    lefts = sorted(x for x, y in sums if y is None)
+    rights = sorted(y for x, y in sums if x is None)
+    rows = [
+        (x, y, sums.get((x, y), 0.0) / (sums[x, None] * sums[None, y]) ** 0.5) for x in lefts for y in rights
+    ]
+    return left.sparkSession.createDataFrame(rows, f"{key}, cosine double")
 
 
 def _packed(table: DataFrame, name: str) -> DataFrame:
+    """(term, weights): a term has at most one weight per topic."""
     pair = F.struct("topic", F.col("weight").cast("double").alias("weight"))
     return table.groupBy("term").agg(F.collect_list(pair).alias(name))
 

@@ -3,13 +3,14 @@
 Every reader takes a DataFrame with one JSON line per row in ``value`` and
 keeps that line as ``raw``. Lines that do not decode, or that lack key fields,
 are dropped; ``strict=True`` demands every field that is not optional and
-well-typed values throughout. Only the fields a job goes on to use are decoded
-(the schema is pruned by the optimizer).
+well-typed values throughout. A line is decoded once: the required fields are
+tested inside the row, since a filter behind the decoding would be moved in
+front of it and decode again for each of its conditions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,40 +47,46 @@ def _all(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
-def _decode(lines: DataFrame, ddl: str, strict: bool) -> DataFrame:
-    """``raw`` and ``post``. The corrupt-record column, which tells mistyped
-    values from absent ones, costs schema pruning, so only ``strict`` asks."""
+def _decode(lines: DataFrame, ddl: str, strict: bool, usable: Callable[[Column], Column]) -> DataFrame:
+    """``raw`` and the fields of each line whose record is ``usable``."""
     if not strict:
-        return lines.select(F.col("value").alias("raw"), F.from_json("value", ddl).alias("post"))
-    with_corrupt = ddl.rstrip()[:-1] + f", {_CORRUPT}: string>"
-    post = F.from_json(
-        "value", with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-    )
-    rows = lines.select(F.col("value").alias("raw"), post.alias("post"))
-    return rows.where(F.col(f"post.{_CORRUPT}").isNull()).withColumn(
-        "post", F.col("post").dropFields(_CORRUPT)
+        record = F.from_json("value", ddl)
+    else:
+        # Tells mistyped values from absent ones.
+        with_corrupt = ddl.rstrip()[:-1] + f", {_CORRUPT}: string>"
+        mode = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+        record = F.from_json("value", with_corrupt, mode)
+    good = F.filter(
+        F.array(record), lambda p: usable(p) & p[_CORRUPT].isNull() if strict else usable(p)
     )
+    rows = lines.select(F.col("value").alias("raw"), F.explode(good).alias("post"))
+    return rows.select("raw", "post.*").drop(_CORRUPT)
+
 
+def _has(*fields: str) -> Callable[[Column], Column]:
+    def usable(record: Column) -> Column:
+        return _all([reduce(lambda r, name: r[name], f.split("."), record).isNotNull() for f in fields])
 
-def _require(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
-    return rows.where(_all([F.col(f"post.{f}").isNotNull() for f in fields]))
+    return usable
 
 
 def tweets(lines: DataFrame, strict: bool = False) -> DataFrame:
     """Tweets: the fields of the schema, ``created_time`` and ``raw``."""
     keys = ["id", "text", "created_at", "user.id"] + (["user.screen_name"] if strict else [])
-    rows = _require(_decode(lines, S.TWEET_DDL, strict), keys)
-    out = rows.select("raw", "post.*").withColumn("text", unescape_tweet(F.col("text")))
-    return out.withColumn("created_time", parse_date_text(F.col("created_at"))).where(
-        F.col("created_time").isNotNull()
-    )
+
+    def usable(record: Column) -> Column:
+        return _has(*keys)(record) & parse_date_text(record["created_at"]).isNotNull()
+
+    rows = _decode(lines, S.TWEET_DDL, strict, usable)
+    out = rows.withColumn("text", unescape_tweet(F.col("text")))
+    return out.withColumn("created_time", parse_date_text(F.col("created_at")))
 
 
 def submissions(lines: DataFrame, strict: bool = False) -> DataFrame:
     """Submissions, with ``created_time`` and ``text`` (title, and the body of
     self posts)."""
     keys = S.SUBMISSION_REQUIRED if strict else ["author", "id", "title", "selftext"]
-    rows = _require(_decode(lines, S.SUBMISSION_DDL, strict), keys)
+    rows = _decode(lines, S.SUBMISSION_DDL, strict, _has(*keys))
     return _reddit(rows).withColumn(
         "text", submission_text(F.col("title"), F.col("is_self"), F.col("selftext"))
     )
@@ -88,26 +95,23 @@ def submissions(lines: DataFrame, strict: bool = False) -> DataFrame:
 def comments(lines: DataFrame, strict: bool = False) -> DataFrame:
     """Comments, with ``created_time`` and ``text`` (the body)."""
     keys = S.COMMENT_REQUIRED if strict else ["author", "id", "body", "parent_id"]
-    rows = _require(_decode(lines, S.COMMENT_DDL, strict), keys)
+    rows = _decode(lines, S.COMMENT_DDL, strict, _has(*keys))
     return _reddit(rows).withColumn("text", F.col("body"))
 
 
 def _reddit(rows: DataFrame) -> DataFrame:
-    return rows.select("raw", "post.*").withColumn(
-        "created_time", first_time(F.col("created_utc"), F.col("created"))
-    )
+    return rows.withColumn("created_time", first_time(F.col("created_utc"), F.col("created")))
 
 
 def threads(lines: DataFrame, strict: bool = False) -> DataFrame:
     """Threads: ``raw``, ``posts`` and ``opening``, the first of them."""
-    rows = _decode(lines, S.THREAD_DDL, strict)
-    posts = F.col("post.posts")
-    if strict:
-        whole = F.forall(posts, lambda p: _all([p[f].isNotNull() for f in S.POST_REQUIRED]))
-    else:
-        whole = F.forall(posts, lambda p: p["no"].isNotNull() & p["time"].isNotNull())
-    kept = rows.where(posts.isNotNull() & whole)
-    return kept.select("raw", posts.alias("posts"), F.get(posts, F.lit(0)).alias("opening"))
+    fields = S.POST_REQUIRED if strict else ["no", "time"]
+
+    def usable(record: Column) -> Column:
+        return record["posts"].isNotNull() & F.forall(record["posts"], _has(*fields))
+
+    rows = _decode(lines, S.THREAD_DDL, strict, usable)
+    return rows.select("raw", "posts", F.get("posts", F.lit(0)).alias("opening"))
 
 
 def thread_posts(thread_rows: DataFrame) -> DataFrame:
@@ -149,14 +153,15 @@ def unified_posts(lines: DataFrame, keep_corrupt: bool = False) -> DataFrame:
     Of a thread the opening post is taken. ``keep_corrupt`` keeps the lines
     that are none of the kinds, with a null platform.
     """
-    rows = lines.select(F.col("value").alias("raw"), F.from_json("value", _ANY_DDL).alias("p"))
+    decoded = F.explode(F.array(F.from_json("value", _ANY_DDL)))
+    rows = lines.select(F.col("value").alias("raw"), decoded.alias("p"))
     p, opening = F.col("p"), F.get(F.col("p.posts"), F.lit(0))
 
     kind = (
         F.when(opening["no"].isNotNull() & opening["time"].isNotNull(), "thread")
-        .when(_present(p, "parent_id", "author", "id", "body"), "comment")
-        .when(_present(p, "selftext", "author", "id", "title"), "submission")
-        .when(_present(p, "user", "text", "id", "created_at"), "tweet")
+        .when(_has("parent_id", "author", "id", "body")(p), "comment")
+        .when(_has("selftext", "author", "id", "title")(p), "submission")
+        .when(_has("user", "text", "id", "created_at")(p), "tweet")
     )
     rows = rows.withColumn("kind", kind)
     reddit_time = first_time(p["created_utc"], p["created"])
@@ -194,10 +199,6 @@ def unified_posts(lines: DataFrame, keep_corrupt: bool = False) -> DataFrame:
     return out if keep_corrupt else out.where(F.col("kind").isNotNull())
 
 
-def _present(row: Column, *fields: str) -> Column:
-    return _all([row[f].isNotNull() for f in fields])
-
-
 def ingest_report(lines: DataFrame) -> DataFrame:
     """Lines per platform and kind; nulls count the lines that are neither."""
     return unified_posts(lines, keep_corrupt=True).groupBy("platform", "kind").agg(
