@@ -13,6 +13,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
@@ -135,6 +137,19 @@ def term_counts(
     return counts.where(F.col("n") >= min_tf).join(kept.select("term"), "term", "left_semi").select("id", "term", "n")
 
 
+def vectorizer_of(terms: Sequence[str], min_tf: float = 1) -> CountVectorizerModel:
+    """A vectorizer over given terms, in their order.
+
+    ``CountVectorizerModel.from_vocabulary`` hands terms to the JVM one call
+    each, which takes long for many; here they go over as one string.
+    """
+    jvm = SparkContext._active_spark_context._jvm
+    words = jvm.java.util.regex.Pattern.compile("\n").split("\n".join(terms))
+    model = CountVectorizerModel._create_from_java_class("org.apache.spark.ml.feature.CountVectorizerModel", words)
+    model.setInputCol("filtered").setOutputCol("features").setMinTF(float(min_tf))
+    return model._set(vocabSize=len(terms))
+
+
 def vectorize(
     corpus: DataFrame, vectorizer: CountVectorizerModel, stopwords: Sequence[str] = (), keep: Sequence[str] = ()
 ) -> DataFrame:
@@ -161,9 +176,7 @@ def train(
     terms = [r.term for r in vocabulary(corpus, stopwords, min_df, vocab_size).select("term").collect()]
     if not terms:
         raise ValueError("no term is in enough documents")
-    vectorizer = CountVectorizerModel.from_vocabulary(
-        terms, inputCol="filtered", outputCol="features", minTF=float(min_tf)
-    )
+    vectorizer = vectorizer_of(terms, min_tf)
     documents = vectorize(corpus, vectorizer, stopwords)
     if partitions:
         documents = documents.repartition(partitions, "id").sortWithinPartitions("id")
@@ -181,17 +194,24 @@ def train(
 def describe(model: TopicModel, terms: int = TERMS_PER_TOPIC) -> DataFrame:
     """(topic, rank, term, weight): the heaviest terms of each topic."""
     topics = model.lda.describeTopics(terms)
-    pairs = topics.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
-    words = topics.sparkSession.createDataFrame(
-        list(enumerate(model.vectorizer.vocabulary)), "termIndices int, term string"
-    )
-    rows = pairs.select("topic", "rank", "t.termIndices", F.col("t.termWeights").alias("weight"))
-    return rows.join(words, "termIndices").select("topic", "rank", "term", "weight")
+    words = model.vectorizer.vocabulary
+    rows = [
+        (r.topic, rank, words[i], float(w))
+        for r in topics.collect()
+        for rank, (i, w) in enumerate(zip(r.termIndices, r.termWeights))
+    ]
+    return topics.sparkSession.createDataFrame(rows, "topic int, rank int, term string, weight double")
 
 
 def topic_terms(model: TopicModel) -> DataFrame:
     """(topic, term, weight) over the whole vocabulary."""
-    return describe(model, len(model.vectorizer.vocabulary)).select("topic", "term", "weight")
+    words = model.vectorizer.vocabulary
+    topics = model.lda.describeTopics(len(words))
+    spark = topics.sparkSession
+    slots = pa.table({"slot": pa.array(range(len(words)), pa.int32()), "term": words})
+    weights = topics.select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("t"))
+    rows = weights.select("topic", F.col("t.termIndices").alias("slot"), F.col("t.termWeights").alias("weight"))
+    return rows.join(spark.createDataFrame(slots), "slot").select("topic", "term", "weight")
 
 
 def sample(corpus: DataFrame, size: int, seed: int = 17) -> DataFrame:

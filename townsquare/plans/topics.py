@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from townsquare.functions import text as T
@@ -59,13 +60,9 @@ def vocabulary(spark, d):
 
 
 def vectorized(spark, d):
-    """The vectors of a trained vectorizer, back as rows."""
-    from pyspark.ml.feature import CountVectorizerModel
-    from pyspark.ml.functions import vector_to_array
-
+    """Documents as vectors over the vocabulary, back as rows."""
     terms = [r.term for r in vocabulary(spark, d).collect()]
-    vectorizer = CountVectorizerModel.from_vocabulary(terms, inputCol="filtered", outputCol="features", minTF=2.0)
-    vectors = job.vectorize(_documents(spark, d), vectorizer, STOPWORDS)
+    vectors = job.vectorize(_documents(spark, d), job.vectorizer_of(terms, min_tf=2), STOPWORDS)
     slots = vectors.select("id", F.posexplode(vector_to_array("features")).alias("slot", "n")).where("n > 0")
     return slots.select("id", F.element_at(F.lit(terms), F.col("slot") + 1).alias("term"), F.col("n").cast("bigint").alias("n"))
 
