@@ -63,7 +63,7 @@ def keyword_filter(
 # --- fielded queries --------------------------------------------------------
 
 
-def tweet_fields(tweets: DataFrame | None = None) -> dict[str, Column]:
+def tweet_fields() -> dict[str, Column]:
     """Searchable fields of a tweet, each as an array of lower-cased terms."""
     retweeted = F.coalesce(F.col("retweeted_status.text"), F.lit(""))
     content = F.concat(F.col("text"), F.lit(" "), retweeted)

@@ -119,10 +119,10 @@ def kl_by_source(spark, d):
     return scores.select("token", F.round("kl", 9).alias("kl"))
 
 
-_KEYWORDS = """((contains(lower({0}), 'the') AND contains(lower({0}), 'with'))
+SQL_KEYWORDS = """((contains(lower({0}), 'the') AND contains(lower({0}), 'with'))
   OR (contains(lower({0}), 'que') AND contains(lower({0}), 'de') AND contains(lower({0}), 'la'))
   OR contains(lower({0}), 'nicht'))"""
-_SEARCHED = "text || ', ' || CASE WHEN event_type = 'click' THEN coalesce(other_text, '') ELSE '' END"
+SQL_SEARCHED = "text || ', ' || CASE WHEN event_type = 'click' THEN coalesce(other_text, '') ELSE '' END"
 
 
 def _words(text: str) -> str:
@@ -150,7 +150,7 @@ def _expanded(source: str, text: str = "text") -> str:
 
 
 _EXPAND = f"""WITH docs AS (SELECT doc_id AS id, text FROM documents), {_expanded('docs')},
-fg AS (SELECT id FROM docs WHERE {_KEYWORDS.format('text')}),
+fg AS (SELECT id FROM docs WHERE {SQL_KEYWORDS.format('text')}),
 fore AS (SELECT token, count(*) AS n FROM expanded WHERE id IN (SELECT id FROM fg) GROUP BY 1),
 back AS (SELECT token, count(*) AS n FROM expanded GROUP BY 1),
 totals AS (SELECT (SELECT sum(n) FROM fore)::DOUBLE AS f, (SELECT sum(n) FROM back)::DOUBLE AS b)
@@ -160,10 +160,10 @@ SELECT token, round(kl, 9) AS kl FROM (
 
 PLANS = {
     "keyword_filter": Plan(
-        keyword_filter, f"SELECT doc_id AS id, lang FROM documents WHERE {_KEYWORDS.format('text')}"
+        keyword_filter, f"SELECT doc_id AS id, lang FROM documents WHERE {SQL_KEYWORDS.format('text')}"
     ),
     "keyword_filter_tweets": Plan(
-        keyword_filter_tweets, over("tweets", f"SELECT id FROM tweets WHERE {_KEYWORDS.format('(' + _SEARCHED + ')')}")
+        keyword_filter_tweets, over("tweets", f"SELECT id FROM tweets WHERE {SQL_KEYWORDS.format('(' + SQL_SEARCHED + ')')}")
     ),
     "keyword_filter_reddit": Plan(
         keyword_filter_reddit,
@@ -207,10 +207,9 @@ WHERE ln(4.0 / 3) * 2.2 * (a / (a + 1.2) + b / (b + 1.2) + c / (c + 1.2)) > 1.0"
     ),
     "cooccurring_terms": Plan(
         cooccurring,
-        f"""WITH docs AS (SELECT doc_id AS id, text FROM documents WHERE {_KEYWORDS.format('text')}), {_expanded('docs')}
+        f"""WITH docs AS (SELECT doc_id AS id, text FROM documents WHERE {SQL_KEYWORDS.format('text')}), {_expanded('docs')}
 SELECT token, count(*) AS n FROM expanded GROUP BY 1 ORDER BY n DESC, token LIMIT 50""",
     ),
-    "cooccurring_terms_tweets": Plan(cooccurring_tweets),
     "expand_query_all": Plan(expand_all, _EXPAND),
     "expand_query_sample": Plan(expand_sample),
     "kl_scores": Plan(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from townsquare.functions import text as T
 from townsquare.operators import tokens as job
-from townsquare.plans import Plan, tables
+from townsquare.plans import Plan, search, tables
 from townsquare.plans.search import SQL_WORD
 from townsquare.plans.tables import over, table
 
@@ -78,6 +78,16 @@ for _reference, _sign in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'),
     _CLEAN = f"replace({_CLEAN}, '{_reference}', '{_sign}')"
 
 PLANS = {
+    "cooccurring_terms_tweets": Plan(
+        search.cooccurring_tweets,
+        over(
+            "tweets",
+            f"""SELECT token, count(*) AS n FROM (SELECT unnest({_PAIRED.format("t")}) AS token FROM (
+  SELECT {_FOLDED.format('(' + _TWEET + ')')} AS t FROM tweets
+  WHERE {search.SQL_KEYWORDS.format('(' + search.SQL_SEARCHED + ')')}))
+GROUP BY 1 ORDER BY n DESC, token LIMIT 50""",
+        ),
+    ),
     "tweet_tokens": Plan(tweet_tokens, over("tweets", _numbered("tweets", "id", f"({_TWEET})"))),
     "tweet_tokens_bigrams": Plan(
         tweet_tokens_bigrams,
