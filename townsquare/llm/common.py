@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,15 +67,44 @@ def utf8(column: str | Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit("")).cast("binary")
 
 
-def pieces(batches: Iterable[pd.DataFrame], column: str, most: int = 1 << 23) -> Iterator[pd.DataFrame]:
-    """The batches, cut so that the texts of one hold ``most`` bytes, or are a single longer text."""
-    for batch in batches:
-        sizes = batch[column].map(len).to_numpy()
-        start = held = 0
-        for i, size in enumerate(sizes):
-            if i > start and held + size > most:
-                yield batch.iloc[start:i]
-                start, held = i, 0
-            held += size
-        if len(batch) > start:
-            yield batch.iloc[start:]
+def pieces(batch: pd.DataFrame, column: str = "text", most: int = 1 << 23) -> Iterator[pd.DataFrame]:
+    """The batch, cut so that the texts of a piece hold ``most`` bytes, or are a single longer text."""
+    start = held = 0
+    for i, size in enumerate(map(len, batch[column])):
+        if i > start and held + size > most:
+            yield batch.iloc[start:i]
+            start, held = i, 0
+        held += size
+    if len(batch) > start:
+        yield batch.iloc[start:]
+
+
+class Numbers(dict):
+    """Numbers words in the order in which they are first looked up; ``fresh`` collects the new ones."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list = []
+
+    def __missing__(self, word):
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
+
+    def take(self) -> list:
+        fresh, self.fresh = self.fresh, []
+        return fresh
+
+
+def ragged(parts: list[list[int]], dtype=np.int32) -> tuple[np.ndarray, np.ndarray]:
+    """The lists as one array, and their lengths."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    return np.fromiter(chain.from_iterable(parts), dtype, int(sizes.sum())), sizes
+
+
+def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of these sizes; 0 for an empty run."""
+    total = np.zeros((len(values) + 1, *values.shape[1:]))
+    np.cumsum(values, axis=0, out=total[1:])
+    ends = np.cumsum(sizes)
+    return total[ends] - total[ends - sizes]

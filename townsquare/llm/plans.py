@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from townsquare.llm import mixing, rules, sharding
+from townsquare.llm import langid, mixing, quality, rules, secretscan, sharding
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet")
 
 
+def quality_scores(spark, d):
+    return quality.quality_digest(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet"))
+
+
 def mixture(spark, d):
     return mixing.mix(documents(spark, d), carry=["doc_id", "source"])
 
@@ -21,13 +25,24 @@ def shards(spark, d):
     return sharding.shard_digest(documents(spark, d))
 
 
+def document_languages(spark, d):
+    return langid.language_digest(documents(spark, d))
+
+
+def secret_spans(spark, d):
+    return secretscan.secrets_digest(documents(spark, d))
+
+
 def quality_rules(spark, d):
     return rules.rules_digest(documents(spark, d))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": quality_scores,
     "op2_mixture": mixture,
     "op6_shards": shards,
+    "op7_languages": document_languages,
+    "op9_secrets": secret_spans,
     "op10_rules": quality_rules,
 }
 
