@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from townsquare.llm import decontamination, langid, mixing, quality, rules, secretscan, sharding
+from townsquare.llm import decontamination, langid, licenses, mixing, quality, rules, secretscan, sharding
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -21,6 +21,10 @@ def mixture(spark, d):
     return mixing.mix(documents(spark, d), carry=["doc_id", "source"])
 
 
+def license_spans(spark, d):
+    return licenses.license_rows(documents(spark, d))
+
+
 def leaked_items(spark, d):
     return decontamination.leak_pairs(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
 
@@ -44,6 +48,7 @@ def quality_rules(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality_scores,
     "op2_mixture": mixture,
+    "op3_licenses": license_spans,
     "op4_leaks": leaked_items,
     "op6_shards": shards,
     "op7_languages": document_languages,
