@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from townsquare.llm import decontamination, langid, licenses, mixing, quality, rules, secretscan, sharding
+from townsquare.llm import decontamination, langid, licenses, mixing, neardup, quality, rules, secretscan, sharding
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -37,6 +37,10 @@ def document_languages(spark, d):
     return langid.language_digest(documents(spark, d))
 
 
+def near_duplicates(spark, d):
+    return neardup.near_duplicates(documents(spark, d).select("doc_id", "text"))
+
+
 def secret_spans(spark, d):
     return secretscan.secrets_digest(documents(spark, d))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_leaks": leaked_items,
     "op6_shards": shards,
     "op7_languages": document_languages,
+    "op8_near_duplicates": near_duplicates,
     "op9_secrets": secret_spans,
     "op10_rules": quality_rules,
 }
