@@ -104,7 +104,8 @@ def ragged(parts: list[list[int]], dtype=np.int32) -> tuple[np.ndarray, np.ndarr
 
 def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sums of consecutive runs of these sizes; 0 for an empty run."""
-    total = np.zeros((len(values) + 1, *values.shape[1:]))
-    np.cumsum(values, axis=0, out=total[1:])
-    ends = np.cumsum(sizes)
-    return total[ends] - total[ends - sizes]
+    out = np.zeros((len(sizes), *values.shape[1:]))
+    full = sizes > 0
+    if full.any():
+        out[full] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[full], axis=0)
+    return out

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from townsquare.llm import decontamination, langid, licenses, mixing, neardup, quality, rules, secretscan, sharding
+from townsquare.llm import decontamination, langid, licenses, mixing, neardup, ngrams, quality, rules, secretscan, sharding
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -29,6 +29,10 @@ def leaked_items(spark, d):
     return decontamination.leak_pairs(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
 
 
+def language_model(spark, d):
+    return ngrams.ngram_scores(documents(spark, d).select("doc_id", "text"))
+
+
 def shards(spark, d):
     return sharding.shard_digest(documents(spark, d))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixture": mixture,
     "op3_licenses": license_spans,
     "op4_leaks": leaked_items,
+    "op5_language_model": language_model,
     "op6_shards": shards,
     "op7_languages": document_languages,
     "op8_near_duplicates": near_duplicates,
