@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from townsquare.llm import decontamination, langid, licenses, mixing, neardup, ngrams, quality, rules, secretscan, sharding
@@ -64,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": near_duplicates,
     "op9_secrets": secret_spans,
     "op10_rules": quality_rules,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {}
