@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 from townsquare.llm.common import WORD, cut, scratch, unpacked
 
 SECTIONS = 16  # the bisection halves its interval four times per job
-ROUNDS = 5  # 16^-5 is finer than the digits of EXPONENT_DIGITS
-EXPONENT_DIGITS = 4
+STEPS = 10_000  # exponents are multiples of 1 / STEPS
 
 
 class Mixture(NamedTuple):
@@ -63,8 +62,8 @@ def fit(
 
     The largest exponent up to 1 whose weights reach ``entropy_share`` of the
     entropy of equal weights. If some source would then be read more than
-    ``max_repeats`` times, the smallest exponent that keeps to the limit. The
-    exponent is rounded to four digits, towards fewer repeats.
+    ``max_repeats`` times, the smallest exponent that keeps to the limit, or 1.
+    Exponents have four digits.
 
     ``budget`` is the number of tokens of the mixture. None takes the least
     budget that reads every document at least once.
@@ -75,38 +74,37 @@ def fit(
     all_tokens, n = head["t"], head["n"]
     target = entropy_share * math.log(n)
 
-    def measured(exponents: list[float]) -> dict[float, Mixture]:
+    def measured(steps: list[int]) -> dict[int, Mixture]:
         out = {}
-        for a, (z, logs, most, least) in _sums(totals, all_tokens, exponents).items():
+        for a, (z, logs, most, least) in _sums(totals, all_tokens, [step / STEPS for step in steps]).items():
             held = budget / all_tokens if budget else z * most ** (1 - a)
-            out[a] = Mixture(a, math.log(z) - a * logs / z, held * least ** (a - 1) / z, held * all_tokens)
+            entropy = math.log(z) - a * logs / z
+            out[round(a * STEPS)] = Mixture(a, entropy, held * least ** (a - 1) / z, held * all_tokens)
         return out
 
-    def bisect(holds, low: float, high: float) -> tuple[float, float]:
-        """The last point where ``holds`` is true and the first where it is not, from ``low`` on."""
-        for _ in range(ROUNDS):
-            points = [low + (high - low) * i / SECTIONS for i in range(1, SECTIONS)]
+    def bisect(low: int, high: int, holds) -> tuple[int, int]:
+        """The last step at which ``holds`` is true and the first where not; it is so at both ends."""
+        while high - low > 1:
+            points = sorted({low + max(1, (high - low) * i // SECTIONS) for i in range(1, SECTIONS)})
             found = measured(points)
             true = [p for p in points if holds(found[p])]
             low, high = max([low, *true]), min([high, *(p for p in points if p not in true)])
         return low, high
 
-    step = 10**EXPONENT_DIGITS
-    ends = measured([0.0, 1.0])
-    if ends[1.0].entropy >= target - 1e-12:
-        exponent = 1.0
-    elif ends[0.0].entropy <= target:
-        exponent = 0.0
-    else:
-        exponent = math.floor(bisect(lambda m: m.entropy >= target, 0.0, 1.0)[0] * step + 0.5) / step
-    chosen = measured([exponent])[exponent]
-    if chosen.repeats > max_repeats + 1e-9 and exponent < 1.0:
-        if ends[1.0].repeats > max_repeats:
-            exponent = 1.0
-        else:
-            limit = bisect(lambda m: m.repeats > max_repeats, exponent, 1.0)[1]
-            exponent = min(1.0, math.ceil(limit * step) / step)
-        chosen = measured([exponent])[exponent]
+    def flat_enough(m: Mixture) -> bool:
+        return m.entropy >= target - 1e-12
+
+    def too_often(m: Mixture) -> bool:
+        return m.repeats > max_repeats + 1e-9
+
+    ends = measured([0, STEPS])
+    step = STEPS
+    if not flat_enough(ends[STEPS]):
+        step = bisect(0, STEPS, flat_enough)[0] if flat_enough(ends[0]) else 0
+    chosen = measured([step])[step]
+    if too_often(chosen):
+        step = STEPS if too_often(ends[STEPS]) else bisect(step, STEPS, too_often)[1]
+        chosen = measured([step])[step]
     return chosen
 
 
@@ -148,7 +146,7 @@ def mix(
     folder = scratch(spark, "mixture")
     keys = [
         F.col("source"), F.col("doc_id").cast("string").alias("id"),
-        F.crc32(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("crc"), n_tokens().alias("n"),
+        F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("digest"), n_tokens().alias("n"),
     ]
     sizes = cut(docs.select(*keys), f"{folder}/sizes")
     totals = cut(_totals(sizes), f"{folder}/sources")
@@ -162,13 +160,13 @@ def mix(
         return (
             rows.join(plan, F.col("source").eqNullSafe(F.col("key"))).drop("key")
             .select("*", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("epoch"))
-            .withColumn("u", uniform(F.lit(seed), F.col("epoch"), F.col("id"), F.col("crc")))
+            .withColumn("u", uniform(F.lit(seed), F.col("epoch"), F.col("id"), F.col("digest")))
             .withColumn("bucket", F.floor(F.col("u") * F.col("buckets")).cast("int"))
         )
 
     row = F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row")
     group = ["source", "epoch", "bucket"]
-    running = Window.partitionBy(*group).orderBy("u", "id", "crc").rowsBetween(Window.unboundedPreceding, -1)
+    running = Window.partitionBy(*group).orderBy("u", "id", "digest").rowsBetween(Window.unboundedPreceding, -1)
     inside = passes(docs.select(row, *keys)).withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0)))
     ahead = Window.partitionBy("source", "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = passes(sizes).groupBy(*group).agg(F.sum("n").alias("held")).select(
@@ -184,7 +182,7 @@ def mix(
         .withColumn("block", F.floor(F.col("at") / F.col("share") * n_blocks).cast("int"))
     )
     order = Window.partitionBy("block").orderBy(
-        uniform(F.lit(seed), F.lit("block"), F.col("epoch"), F.col("id"), F.col("crc")), "id", "crc", "epoch"
+        uniform(F.lit(seed), F.lit("block"), F.col("epoch"), F.col("id"), F.col("digest")), "id", "digest", "epoch"
     )
     return unpacked(
         placed.withColumn("position", F.row_number().over(order) - 1),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from townsquare.llm import decontamination, langid, licenses, mixing, neardup, ngrams, quality, rules, secretscan, sharding
+from townsquare.llm import decontamination, langid, licenses, mixing, neardup, ngrams, oracles, quality, rules, secretscan, sharding
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -68,4 +68,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracles.ORACLES)

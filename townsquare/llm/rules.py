@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from townsquare.functions.links import let
-from townsquare.llm.common import BLANK
+from townsquare.llm.common import BLANK, WORD
 
 WINDOW = 8  # words of a window that counts as repeated
 MIN_WORDS = 20
@@ -17,24 +17,26 @@ MAX_REPEAT_PERCENT = 30
 MAX_LOST = 0.4  # share of the characters that line rules may remove
 LONG_LINE = 8  # words from which a line without an end mark may still be prose
 
+# The patterns mean the same to Java and to RE2, so that SQL can check them.
 SYMBOLS = r"[#*$%&|<>]"
 MARKS = r"[.!?…:;,。！？，；：]"
-END = r"[.!?…:;。！？；：]['\"”’»)\]]*\s*$"
+END = r"[.!?…:;。！？；：]['\"”’»)\]]*[\x20\x09-\x0D]*\z"
 #: Words set apart by signs that stand between links.
-SEPARATORS = r"(?:^|\s)[|»«›‹·•→←>]+(?=\s|$)"
+SEPARATORS = r"(?:^|[\x20\x09-\x0D])[|»«›‹·•→←>]+(?:[\x20\x09-\x0D]|\z)"
 NAVIGATION = (
-    r"(?i)^\s*(?:home|menu|search|share|print|next|previous|prev|back|top|more|read more|continue reading|"
-    r"back to top|skip to (?:main )?content|log ?in|log ?out|sign (?:in|up|out)|register|subscribe|contact(?: us)?|"
-    r"about(?: us)?|site ?map|page \d+(?: of \d+)?|\d+ comments?|leave a (?:comment|reply)|add to cart)\W*$"
+    r"(?i)^[\x20\x09-\x0D]*(?:home|menu|search|share|print|next|previous|prev|back|top|more|read more|"
+    r"continue reading|back to top|skip to (?:main )?content|log ?in|log ?out|sign (?:in|up|out)|register|subscribe|"
+    r"contact(?: us)?|about(?: us)?|site ?map|page [0-9]+(?: of [0-9]+)?|[0-9]+ comments?|leave a (?:comment|reply)|"
+    r"add to cart)[^0-9A-Za-z_]*\z"
 )
 BOILERPLATE = (
     r"(?i)\b(?:all rights reserved|terms (?:of (?:use|service)|and conditions)|privacy policy|cookie policy|"
     r"(?:we|this (?:web)?site) uses? cookies|enable javascript|javascript is (?:disabled|required)|click here|"
     r"lorem ipsum|subscribe to our|sign up for our|follow us on|share this (?:article|page|post)|"
-    r"copyright (?:\(c\)|©)|©\s*\d{4}|powered by \w+|your browser (?:does not|is))"
+    r"copyright (?:\(c\)|©)|powered by [a-z]+|your browser (?:does not|is))"
 )
-#: A word that carries signs no prose puts there: doubled marks or symbols.
-ODD_WORD = r"(?:[!?]{2,}|[#*$%&|<>]{2,})(?=\s|$)"
+#: A word that ends in signs no prose puts there: doubled marks or symbols.
+ODD_WORD = r"(?:[!?]{2,}|[#*$%&|<>]{2,})(?:[\x20\x09-\x0D]|\z)"
 MAX_ODD_WORDS = 0.3  # share of a line's words
 
 
@@ -83,7 +85,7 @@ def bad_line(line: Column) -> Column:
     all; or too many words that end in doubled marks or symbols. Navigation:
     two separators or more, or a known label alone. Boilerplate: a known phrase.
     """
-    n = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
+    n = F.regexp_count(line, F.lit(WORD))
     unended = ~line.rlike(END) & ((n < LONG_LINE) | ~line.rlike(MARKS))
     odd = F.regexp_count(line, F.lit(ODD_WORD)) > n * MAX_ODD_WORDS
     return (
@@ -112,7 +114,7 @@ def line_cleaning(docs: DataFrame, text: str = "text") -> DataFrame:
         return let(F.split(body, "\n"), lambda lines: let(words(body), lambda tokens: of(body, lines, tokens)))
 
     def of(body: Column, lines: Column, tokens: Column) -> Column:
-        full = F.filter(lines, lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+        full = F.filter(lines, lambda line: line.rlike(WORD))
         n_full = let(full, lambda rows: F.size(rows) - F.size(F.array_distinct(rows)))
         return F.struct(
             F.size(tokens).cast("bigint").alias("n_words"),
@@ -120,7 +122,7 @@ def line_cleaning(docs: DataFrame, text: str = "text") -> DataFrame:
             F.regexp_count(body, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
             n_full.cast("bigint").alias("n_dup_lines"),
             repeated_words(tokens).alias("n_repeat_words"),
-            F.array_join(F.filter(lines, lambda line: ~(line.rlike(r"[^\x20\x09-\x0D]") & bad_line(line))), "\n")
+            F.array_join(F.filter(lines, lambda line: ~(line.rlike(WORD) & bad_line(line))), "\n")
             .alias("clean_text"),
         )
 
