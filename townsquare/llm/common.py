@@ -107,5 +107,5 @@ def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     out = np.zeros((len(sizes), *values.shape[1:]))
     full = sizes > 0
     if full.any():
-        out[full] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[full], axis=0)
+        out[full] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[full], axis=0, dtype=np.float64)
     return out

@@ -225,7 +225,7 @@ class Tagger:
         begins = (np.cumsum(sizes) - sizes)[owner] + nth * CHAIN
         lengths = np.minimum(CHAIN, sizes[owner] - nth * CHAIN)
         out = np.zeros((len(ids), len(self.model.labels)))
-        order = np.argsort(-lengths, kind="stable")
+        order = np.argsort(-lengths, kind="stable") if self.model.labels else []
         for at in range(0, len(order), 4096):
             some = order[at : at + 4096]
             long = lengths[some]

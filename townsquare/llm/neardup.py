@@ -352,7 +352,10 @@ def near_duplicates(
     )
     return (
         sketched.select("doc_id", *same).join(found, same, "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        .select(
+            "doc_id", F.col("n").alias("n_shingles"),
+            F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+        )
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
