@@ -10,9 +10,12 @@ from townsquare.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
     session = build_session(
         "tests",
+        spark__checkpoint__dir=str(shared / "checkpoints"),
+        spark__sql__warehouse__dir=str(shared / "warehouse"),
         spark__master="local[4]",
         spark__sql__shuffle__partitions="4",
         spark__ui__enabled="false",

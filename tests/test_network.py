@@ -206,3 +206,47 @@ def test_hierarchy_gets_better_by_levels(spark):
     assert len({c for g in groups.values() for c in g}) == 3
     per_level = {r["level"]: r["count"] for r in got.labels.groupBy("level").count().collect()}
     assert set(per_level.values()) == {15}
+
+
+def ring_of_triangles(n, first=0):
+    edges = []
+    for i in range(n):
+        a = first + 3 * i
+        edges += [(a, a + 1, 1), (a + 1, a + 2, 1), (a, a + 2, 1), (a + 2, first + 3 * ((i + 1) % n), 1)]
+    return edges
+
+
+def textbook(edges, labels):
+    total = 2 * sum(w for *_, w in edges)
+    inside, sigma = 0, {}
+    for a, b, w in edges:
+        inside += 2 * w * (labels[a] == labels[b])
+        for end in (a, b):
+            sigma[labels[end]] = sigma.get(labels[end], 0) + w
+    return inside / total - sum((s / total) ** 2 for s in sigma.values())
+
+
+def test_closed_communities_count_in_the_hierarchy(spark):
+    clique = [(100 + i, 100 + j, 1) for i in range(5) for j in range(i)]
+    edges = ring_of_triangles(12) + clique
+    got = community.hierarchy(vertices(spark, edges), table(spark, edges))
+    levels = {}
+    for r in got.labels.collect():
+        levels.setdefault(r["level"], {})[r["vid"]] = r["community"]
+    assert [len(set(levels[i].values())) for i in sorted(levels)][:2] == [13, 7]
+    for i, q in enumerate(got.modularities):
+        assert q == pytest.approx(textbook(edges, levels[i]))
+
+
+def test_runs_clear_their_folder(spark):
+    import os
+
+    base = spark.conf.get("spark.checkpoint.dir")
+    edges = ring_of_triangles(4)
+    labelled, _, _ = community.label_graph(vertices(spark, edges), table(spark, edges))
+    assert labelled.count() == 12
+    assert not [name for name in os.listdir(base) if name.startswith("townsquare-")]
+    broken = table(spark, edges).selectExpr("src", "dst", "raise_error('no') AS w")
+    with pytest.raises(Exception, match="no"):
+        community.one_level(community.initial_state(vertices(spark, edges), table(spark, edges)), broken)
+    assert not [name for name in os.listdir(base) if name.startswith("townsquare-")]

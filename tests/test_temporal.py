@@ -64,17 +64,34 @@ def test_symbols(spark):
     assert [tuple(r)[1:] for r in wide.collect()] == [(1, 0), (0, 0), (1, 1)]
 
 
-def test_many_symbols_like_few(spark, monkeypatch):
+def test_symbols_long_and_wide_agree(spark):
     rows = spark.range(500).select(
         F.timestamp_seconds(F.col("id") * 1800 + 1700000000).alias("created_time"),
         F.concat_ws(" ", F.hex("id"), F.hash("id")).alias("text"),
     )
     symbols = ["1", "2f", "-", "99", "zz"]
-    few = temporal.symbol_frequency(rows, symbols, "day").collect()
+    each = {(r["bucket"], r["symbol"]): r["n"] for r in temporal.symbol_frequency(rows, symbols, "day").collect()}
     wide = temporal.symbol_frequency(rows, symbols, "day", wide=True).collect()
-    monkeypatch.setattr(temporal, "SUMS_AT_MOST", 2)
-    assert temporal.symbol_frequency(rows, symbols, "day").collect() == few
-    assert temporal.symbol_frequency(rows, symbols, "day", wide=True).collect() == wide
+    assert each == {(r["bucket"], s): r[s] for r in wide for s in symbols}
+    texts = [(r["created_time"].date(), r["text"].lower()) for r in rows.collect()]
+    for (bucket, symbol), n in each.items():
+        assert n == sum(symbol in text for day, text in texts if day == bucket.date())
+
+
+def test_no_symbols(spark):
+    rows = spark.sql("SELECT timestamp '2024-01-01' AS created_time, 'x' AS text")
+    assert temporal.symbol_frequency(rows, [" ", ""], "day").collect() == []
+    assert temporal.symbol_frequency(rows, [], "day", wide=True).columns == ["bucket"]
+
+
+def test_buckets_do_not_depend_on_the_session_zone(spark):
+    rows = spark.sql("SELECT timestamp_seconds(1704276000 + id * 40000) AS created_time FROM range(9)").cache()
+    want = [temporal.frequency(rows, "day", tz=tz).collect() for tz in ("UTC", "America/New_York")]
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert [temporal.frequency(rows, "day", tz=tz).collect() for tz in ("UTC", "America/New_York")] == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def test_reddit_and_thread_times(lines):

@@ -151,3 +151,52 @@ def test_month_ahead(corpus):
     assert [(r.train, r.test, r.month) for r in one] == [("reddit", "twitter", "2016-08"), ("reddit", "twitter", "2016-09")]
     table = topics.purity_ahead(rows, 2, stopwords=STOPS, size=0, max_iter=1, min_tf=1, min_df=2)
     assert {r.train for r in table.collect()} == {"all", "reddit", "twitter"}
+
+
+def test_gaps_thin_groups_and_single_periods(spark, corpus):
+    rows = corpus.select(
+        F.when(F.col("id") % 2 == 0, "reddit").otherwise("twitter").alias("platform"),
+        F.when(F.col("id") < 30, "2016-12").when(F.col("id") < 45, "2017-01").otherwise("2017-03").alias("month"), "id", "text",
+    )
+    options = {"stopwords": STOPS, "size": 0, "max_iter": 1, "min_tf": 1, "min_df": 2}
+    grid = topics.month_ahead(rows, [2], **options).collect()
+    assert {r.month for r in grid} == {"2017-01"} and len(grid) == 4
+    thin = spark.createDataFrame([("blog", "2016-12", "x", "once"), ("blog", "2017-01", "y", "again")], rows.select("platform", "month", F.col("id").cast("string"), "text").schema)
+    more = rows.withColumn("id", F.col("id").cast("string")).unionByName(thin)
+    assert {(r.train, r.test) for r in topics.month_ahead(more, [2], **options).collect()} == {
+        (a, b) for a in ("reddit", "twitter") for b in ("reddit", "twitter", "blog")
+    }
+    table = topics.purity_ahead(more, 2, **options).collect()
+    assert {r.train for r in table} == {"all", "reddit", "twitter"} and sum(r.blog for r in table if r.train == "all") == 1
+    single = rows.where("month = '2017-03'")
+    assert topics.month_ahead(single, [2], **options).collect() == []
+    assert topics.purity_ahead(single, 2, **options).columns == ["train", "month", "topic", "reddit", "twitter"]
+
+
+def test_next_period():
+    import datetime
+
+    pairs = [("2016", "2017"), ("2016-12", "2017-01"), ("2016-07", "2016-08"), ("2016-12-31", "2017-01-01")]
+    assert all(topics.next_period(a) == b for a, b in pairs)
+    assert topics.next_period(datetime.date(2024, 2, 28)) == datetime.date(2024, 2, 29)
+
+
+def test_vocabulary_is_not_capped_and_too_large_a_model_is_refused(corpus, monkeypatch):
+    assert topics.vocabulary(corpus, min_df=1).count() > topics.vocabulary(corpus, min_df=1, vocab_size=3).count() == 3
+    monkeypatch.setattr(topics, "MODEL_AT_MOST", 4)
+    with pytest.raises(ValueError, match="terms are too many"):
+        topics.train(corpus, 2, min_tf=1, min_df=1)
+
+
+def test_topics_without_weight_and_beyond_the_spine(spark):
+    schema = "topic int, term string, weight double"
+    left = spark.createDataFrame([(0, "a", 0.0), (1, "a", 1.0)], schema)
+    assert {(r.left_topic, r.cosine) for r in topics.similarity(left, left.where("topic = 1")).collect()} == {(0, 0.0), (1, 1.0)}
+    rows = spark.createDataFrame([("p", 9), ("p", 0), ("p", -1)], "platform string, topic int")
+    assert {r.topic: r.p for r in topics.purity_table(rows, ["p"], 2).collect()} == {-1: 1, 0: 1, 1: 0, 9: 1}
+
+
+def test_sample_does_not_depend_on_layout(spark):
+    rows = spark.range(3000)
+    one, two = (sorted(r.id for r in topics.sample(rows.repartition(n), 2500).collect()) for n in (1, 7))
+    assert one == two and abs(len(one) - 2500) < 200 and len(set(one)) < len(one)

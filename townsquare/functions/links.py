@@ -67,18 +67,20 @@ def expanded_urls(entities_urls: Column) -> Column:
     return F.transform(shown, lambda u: u["expanded_url"])
 
 
-def all_urls(tweet: Column) -> Column:
+def all_urls(tweet: Column, citations: int = 2) -> Column:
     """Distinct cleaned URLs of a tweet, of what it retweets and of what it
-    quotes, as deep as the schema holds them."""
+    quotes, ``citations`` levels deep, as they were read."""
     none = F.array().cast("array<string>")
 
     def urls(status: Column) -> Column:
         return F.coalesce(expanded_urls(status["entities"]["urls"]), none)
 
     parts = [urls(tweet)]
-    for inner in ("retweeted_status", "quoted_status"):
-        parts.append(urls(tweet[inner]))
-        parts.append(urls(tweet[inner]["quoted_status"]))
+    for name in ("retweeted_status", "quoted_status"):
+        status = tweet
+        for level in range(citations):
+            status = status[name if level == 0 else "quoted_status"]
+            parts.append(urls(status))
     present = F.filter(F.concat(*parts), lambda u: u.isNotNull())
     return F.array_distinct(F.transform(present, clean_url))
 

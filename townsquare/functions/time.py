@@ -26,11 +26,9 @@ def scale_name(scale: str) -> str:
 
 
 def wall_clock(ts: Column, tz: str = "UTC") -> Column:
-    """Wall-clock time in ``tz`` of an instant read in a UTC session."""
-    ntz = ts.cast("timestamp_ntz")
-    if tz == "UTC":
-        return ntz
-    return F.convert_timezone(F.lit("UTC"), F.lit(tz), ntz)
+    """Wall-clock time in ``tz`` of an instant, in a session of any zone. A
+    time without a zone (``timestamp_ntz``) is taken as UTC in a UTC session."""
+    return F.convert_timezone(F.current_timezone(), F.lit(tz), ts.cast("timestamp").cast("timestamp_ntz"))
 
 
 def bucket(ts: Column, scale: str, tz: str = "UTC") -> Column:
@@ -48,8 +46,9 @@ def parse_date_text(text: Column) -> Column:
 
 
 def format_date_text(ts: Column) -> Column:
-    """The same text form, in UTC."""
-    return F.date_format(ts, DATE_TEXT)
+    """The same text form, in UTC, in a session of any zone."""
+    utc = F.date_format(wall_clock(ts), "EEE MMM d HH:mm:ss")
+    return F.concat(utc, F.lit(" +0000 "), F.date_format(wall_clock(ts), "yyyy"))
 
 
 def from_epoch(seconds: Column) -> Column:

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from townsquare.functions import links
 
 DELETED = "[deleted]"  # fixed value: author of a removed post
-SPREAD = 64  # parts a hot id is split into while duplicates are dropped
 
 
 def keep_listed(df: DataFrame, key: Column, listed: DataFrame) -> DataFrame:
@@ -39,7 +38,8 @@ def user_ids(tweets: DataFrame, user_id: str = "user.id", name: str = "user.scre
     """User id and the sorted set of lower-cased names it was seen under.
 
     Pairs are made distinct first, by hash and already in the map tasks, so a
-    busy user arrives as a few names and not as its posts.
+    busy user arrives as a few names and not as its posts. All names of an id
+    are one row, as asked; an id that many users share makes a long one.
     """
     pairs = tweets.select(F.col(user_id).alias("userid"), F.lower(F.col(name)).alias("name"))
     pairs = pairs.where(F.col("userid").isNotNull() & F.col("name").isNotNull()).distinct()
@@ -56,14 +56,11 @@ def tweets_by_id_once(
 ) -> DataFrame:
     """For each listed id its line, the smallest one where there are copies.
 
-    Copies are dropped in two steps, first within ``SPREAD`` parts of an id,
-    so that an id with very many copies is never one task's work.
+    Each task keeps one line per id before anything is shuffled, so an id with
+    very many copies is one row per task.
     """
     found = keep_listed(tweets.select(id_col, raw), F.col(id_col), ids)
-    part = F.pmod(F.xxhash64(raw), F.lit(SPREAD))
-    parted = found.withColumn("_part", part).repartition(id_col, "_part")
-    once = parted.groupBy(id_col, "_part").agg(F.min(raw).alias(raw))
-    return once.groupBy(id_col).agg(F.min(raw).alias(raw))
+    return found.groupBy(id_col).agg(F.min(raw).alias(raw))
 
 
 def tweets_by_user(tweets: DataFrame, user_ids: DataFrame, user_id: str = "user.id") -> DataFrame:
@@ -104,12 +101,13 @@ def users_by_domain(
     return users.distinct() if distinct else users
 
 
-def link_counts(tweets: DataFrame, k: int | None = None) -> DataFrame:
+def link_counts(tweets: DataFrame, k: int | None = None, citations: int = 2) -> DataFrame:
     """In how many tweets each URL stands, counting what they retweet or
-    quote; the ``k`` most frequent if asked, ties in order of the URL."""
+    quote, as deep as they were read; the ``k`` most frequent if asked, ties in
+    order of the URL."""
     status = F.struct("entities", "retweeted_status", "quoted_status")
     urls = tweets.where(F.col("user").isNotNull()).select(
-        F.explode(links.all_urls(status)).alias("url")
+        F.explode(links.all_urls(status, citations)).alias("url")
     )
     return top(urls.groupBy("url").agg(F.count("*").alias("n")), k, "n", "url")
 

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from townsquare.session import cut, scratch_folder
+from townsquare.session import kept
 
 
 class Graph(NamedTuple):
@@ -103,7 +103,5 @@ def pairs_to_graph(pairs: DataFrame, min_degree: int = 0) -> Graph:
 
 
 def stored(graph: Graph) -> Graph:
-    """The graph as two tables in the scratch folder, for jobs that read it
-    many times."""
-    folder = scratch_folder(graph.edges.sparkSession)
-    return Graph(cut(graph.vertices, f"{folder}/vertices"), cut(graph.edges, f"{folder}/edges"))
+    """The graph as two checkpoints, for jobs that read it many times."""
+    return Graph(kept(graph.vertices), kept(graph.edges))

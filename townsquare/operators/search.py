@@ -10,6 +10,7 @@ import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +19,9 @@ from townsquare.functions.links import let
 from townsquare.operators.extract import top
 from townsquare.sources.lists import keyword_queries
 
-# Up to so many queries form one predicate; more are matched as a list.
-PREDICATES_AT_MOST = 64
+# Fields whose text is split into words, and the same split for query values.
+ANALYSED = ("content",)
+PLAIN_WORD = regex.compile(T.WORD)
 
 
 def _any(conditions: Sequence[Column]) -> Column:
@@ -37,11 +39,12 @@ def matches_keywords(text: Column, queries: Sequence[Sequence[str] | str]) -> Co
     """True where every word of some query is a substring of the text. Case is
     ignored on both sides, and so are queries without a word."""
     queries = keyword_queries(queries)
-    if len(queries) <= PREDICATES_AT_MOST:
-        return let(F.lower(text), lambda t: _any([_every([F.contains(t, F.lit(w)) for w in q]) for q in queries]))
+    if not queries:
+        return F.lit(False)
     # Each word is looked for once, then the queries are looked up by number.
     words = sorted({w for q in queries for w in q})
-    numbers = F.lit([[words.index(w) for w in q] for q in queries])
+    place = {w: i for i, w in enumerate(words)}
+    numbers = F.lit([[place[w] for w in q] for q in queries])
     there = let(F.lower(text), lambda t: F.transform(F.lit(words), lambda w: F.contains(t, w)))
     return let(there, lambda has: F.exists(numbers, lambda q: F.forall(q, lambda i: F.get(has, i))))
 
@@ -105,7 +108,12 @@ def fielded_search(
     ``{"field", "kind", "value", "occur"}`` with kind ``term`` (default),
     ``phrase``, ``prefix`` or ``wildcard`` and occur ``must``, ``should``,
     ``must_not`` or, by default, what ``op`` says. The field is ``content``
-    unless named. A query of ``must_not`` clauses alone matches nothing.
+    unless named. A clause may also be a query itself, with ``clauses`` and
+    ``op`` of its own. A query of ``must_not`` clauses alone matches nothing.
+
+    Values of text fields are split into words as the text was; several words
+    are a phrase, and a value without a word matches nothing. Prefixes and
+    wildcards are taken as they are.
 
     ``score="matches"`` counts the queries that match. ``score="bm25"`` adds
     up the term weights of a one-post index: ln(4/3) * 2.2 tf / (tf + 1.2) for
@@ -113,7 +121,7 @@ def fielded_search(
     """
     if score not in ("matches", "bm25"):
         raise ValueError(f"unknown score {score!r}")
-    used = {c.get("field", "content") for q in queries for c in q["clauses"]}
+    used = {c.get("field", "content") for q in queries for c in _leaves(q)}
     unknown = used - set(fields)
     if unknown:
         raise ValueError(f"unknown fields {sorted(unknown)}")
@@ -144,15 +152,23 @@ def query_matches(query: Mapping, fields: Column, op: str = "AND") -> Column:
     groups: dict[str, list[Column]] = {"must": [], "should": [], "must_not": []}
     for clause in query["clauses"]:
         occur = clause.get("occur", "default")
-        groups[default if occur == "default" else occur].append(_clause_matches(clause, fields))
+        found = query_matches(clause, fields, op) if "clauses" in clause else _clause_matches(clause, fields)
+        groups[default if occur == "default" else occur].append(found)
     if not groups["must"] and not groups["should"]:
         return F.lit(False)
     wanted = _every(groups["must"]) if groups["must"] else _any(groups["should"])
     return wanted & ~_any(groups["must_not"])
 
 
+def _leaves(query: Mapping) -> list[Mapping]:
+    """The clauses of a query and of the queries in it."""
+    return [leaf for c in query["clauses"] for leaf in (_leaves(c) if "clauses" in c else [c])]
+
+
 def _clause_matches(clause: Mapping, fields: Column) -> Column:
     field, kind, value = _clause_parts(clause, fields)
+    if not value:
+        return F.lit(False)
     if kind == "wildcard":
         return field.rlike(_wildcard(value))
     return F.contains(field, F.lit(f" {value}" if kind == "prefix" else f" {value} "))
@@ -162,7 +178,12 @@ def _clause_parts(clause: Mapping, fields: Column) -> tuple[Column, str, str]:
     kind = clause.get("kind", "term")
     if kind not in ("term", "phrase", "prefix", "wildcard"):
         raise ValueError(f"unknown clause kind {kind!r}")
-    return fields[clause.get("field", "content")], kind, " ".join(clause["value"].lower().split())
+    name, value = clause.get("field", "content"), clause["value"].lower()
+    if name in ANALYSED and kind in ("term", "phrase"):
+        words = PLAIN_WORD.findall(value)
+    else:
+        words = value.split()
+    return fields[name], kind, " ".join(words)
 
 
 def _wildcard(value: str) -> str:
@@ -178,7 +199,12 @@ def _bm25(query: Mapping, fields: Column) -> Column:
     for clause in query["clauses"]:
         if clause.get("occur") == "must_not":
             continue
+        if "clauses" in clause:
+            weights.append(_bm25(clause, fields))
+            continue
         field, kind, value = _clause_parts(clause, fields)
+        if not value:
+            continue
         if kind in ("prefix", "wildcard"):
             weights.append(F.when(_clause_matches(clause, fields), 1.0).otherwise(0.0))
             continue
@@ -230,6 +256,12 @@ def _kl(fore: Column, back: Column, fore_total: Column, back_total: Column) -> C
     return p * (F.log(p) - F.log(q))
 
 
+def uniform_hash(key: Column, seed: int) -> Column:
+    """A number in [0, 1) from the first 60 bits of the md5 of key and seed."""
+    digits = F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))), 1, 15)
+    return F.conv(digits, 16, 10).cast("bigint").cast("double") / F.lit(float(1 << 60))
+
+
 def expand_query(
     posts: DataFrame,
     keywords: Sequence[Sequence[str] | str],
@@ -258,8 +290,7 @@ def expand_query(
         each = _expansion_tokens(marked, tokens, F.col("fore"), F.lit(1).alias("back"))
     else:
         ratio = usable.agg(F.avg(matched.cast("double"))).scalar()
-        steps = 1_000_000
-        drawn = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(steps)) < ratio * steps
+        drawn = uniform_hash(F.col(id_col), seed) < ratio
         marked = marked.withColumn("back", drawn.cast("int")).where("fore + back > 0")
         each = _expansion_tokens(marked, tokens, F.col("fore"), F.col("back"))
     counts = each.groupBy("token").agg(F.sum("fore").alias("fore"), F.sum("back").alias("back"))

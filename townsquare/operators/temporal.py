@@ -7,11 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from townsquare.functions.links import let
 from townsquare.functions.time import bucket, one_step, scale_name, wall_clock
 
-# Up to so many symbols each get their own sum; more are matched as a list.
-SUMS_AT_MOST = 32
-
 
 def frequency(
     posts: DataFrame, scale: str, ts: str = "created_time", tz: str = "UTC", sort: bool = True
@@ -59,37 +57,24 @@ def symbol_frequency(
 
     Buckets span all posts with text, also those that hold no symbol.
     """
-    symbols = list(dict.fromkeys(s.lower() for s in symbols if s.strip()))
+    symbols = list(dict.fromkeys(s.strip().lower() for s in symbols if s.strip()))
     rows = _timed(posts.where(F.length(text) > 0), ts, scale, tz)
-    lowered = F.lower(F.col(text))
-    if len(symbols) <= SUMS_AT_MOST:
-        columns = [f"s{i}" for i in range(len(symbols))]
-        sums = [
-            F.sum(F.contains(lowered, F.lit(s)).cast("bigint")).alias(c)
-            for s, c in zip(symbols, columns)
-        ]
-        counts = rows.groupBy("bucket").agg(F.count("*").alias("_posts"), *sums)
-        filled = _fill(counts, "_posts", scale, columns)
-        if wide:
-            out = filled.select("bucket", *[F.col(c).alias(s) for s, c in zip(symbols, columns)])
-            return out.orderBy("bucket") if sort else out
-        pairs = F.array(
-            *[F.struct(F.lit(s).alias("symbol"), F.col(c).alias("n")) for s, c in zip(symbols, columns)]
-        )
-        out = filled.select("bucket", F.inline(pairs))
-    else:
-        listed = F.lit(symbols)
-        # "" stands for the post itself, so that every bucket is known.
-        hits = F.filter(listed, lambda s: F.contains(lowered, s))
-        matched = rows.select("bucket", F.explode(F.concat(F.array(F.lit("")), hits)).alias("symbol"))
-        counts = matched.groupBy("bucket", "symbol").agg(F.count("*").alias("n"))
-        spine = _spine(counts, "n", scale).select("bucket", F.explode(listed).alias("symbol"))
-        out = spine.join(counts, ["bucket", "symbol"], "left").select(
-            "bucket", "symbol", F.coalesce("n", F.lit(0)).alias("n")
-        )
-        if wide:
-            out = out.groupBy("bucket").pivot("symbol", symbols).agg(F.sum("n"))
-            return out.orderBy("bucket") if sort else out
+    listed = F.lit(symbols) if symbols else F.array().cast("array<string>")
+    # "" stands for the post itself, so that every bucket is known.
+    hits = let(F.lower(F.col(text)), lambda t: F.filter(listed, lambda s: F.contains(t, s)))
+    matched = rows.select("bucket", F.explode(F.concat(F.array(F.lit("")), hits)).alias("symbol"))
+    counts = matched.groupBy("bucket", "symbol").agg(F.count("*").alias("n"))
+    spine = _spine(counts, "n", scale)
+    if wide:
+        sums = [F.sum(F.when(F.col("symbol") == s, F.col("n")).otherwise(0)).alias(s) for s in symbols]
+        known = counts.groupBy("bucket").agg(F.count("*").alias("_rows"), *sums)
+        filled = spine.join(known, "bucket", "left")
+        out = filled.select("bucket", *[F.coalesce(F.col(f"`{s}`"), F.lit(0)).alias(s) for s in symbols])
+        return out.orderBy("bucket") if sort else out
+    each = spine.select("bucket", F.explode(listed).alias("symbol"))
+    out = each.join(counts, ["bucket", "symbol"], "left").select(
+        "bucket", "symbol", F.coalesce("n", F.lit(0)).alias("n")
+    )
     return out.orderBy("bucket", "symbol") if sort else out
 
 
@@ -113,6 +98,8 @@ def _spine(counts: DataFrame, positive: str, scale: str) -> DataFrame:
     first = F.date_trunc("day", "lo").cast("timestamp_ntz")
     days = ends.select("lo", "hi", F.explode(F.sequence(first, F.col("hi"), one_step("day"))).alias("day"))
     last = F.col("day") + F.expr("interval 1 day") - one_step(scale)
+    # Days are few rows; dealt out, so that a long span is not one task's work.
+    days = days.repartition("day")
     steps = days.select("lo", "hi", F.explode(F.sequence(F.col("day"), last, one_step(scale))).alias("bucket"))
     return steps.where(F.col("bucket").between(F.col("lo"), F.col("hi"))).select("bucket")
 

@@ -1,18 +1,18 @@
 """Topic models: train, describe, score elsewhere, compare.
 
 The model itself is Spark ML's online LDA. It keeps topics x vocabulary
-numbers on the driver, so the vocabulary is bounded by ``vocab_size`` and by
-the least number of documents a term must be in. Corpora are tables with an id
-and a text column.
+numbers on the driver; ``min_df``, the least number of documents a term must be
+in, decides how many those are, and training refuses a vocabulary that would
+not fit. Corpora are tables with an id and a text column.
 """
 
 from __future__ import annotations
 
+import datetime
+import math
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.ml.clustering import LDA, LDAModel
@@ -22,16 +22,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from townsquare.functions import text as T
+from townsquare.operators.search import uniform_hash
+from townsquare.session import kept, scratch
 
 # The least counts of a term, and the length of a topic's report.
 MIN_TF = 10
 MIN_DF = 10
 TERMS_PER_TOPIC = 20
 
-VOCAB_SIZE = 1 << 18
+MODEL_AT_MOST = 1 << 28  # topics x terms of a model, eight bytes each
 NO_TOPIC = -1  # row of documents that hold no known term
 
 
+class NoTerms(ValueError):
+    """A corpus is too thin for a vocabulary."""
+
+
 class TopicModel(NamedTuple):
     lda: LDAModel
     vectorizer: CountVectorizerModel
@@ -88,20 +94,24 @@ def mixed_corpus(**corpora: DataFrame) -> DataFrame:
 
 
 def _filtered(corpus: DataFrame, stopwords: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    if "filtered" in corpus.columns:  # already
+        return corpus
     tokens = T.topic_tokens(F.col("text"), list(stopwords))
     rows = corpus.where(F.col("text").isNotNull())
     return rows.select("id", *keep, tokens.alias("filtered"))
 
 
 def vocabulary(
-    corpus: DataFrame, stopwords: Sequence[str] = (), min_df: int = MIN_DF, vocab_size: int = VOCAB_SIZE
+    corpus: DataFrame, stopwords: Sequence[str] = (), min_df: int = MIN_DF, vocab_size: int | None = None
 ) -> DataFrame:
-    """(term, n, df): the ``vocab_size`` most frequent terms that are in at
-    least ``min_df`` documents; ties in order of the term."""
+    """(term, n, df): the terms that are in at least ``min_df`` documents, the
+    most frequent first, ties in order of the term; all of them, or the first
+    ``vocab_size`` if asked."""
     counts = _counts(corpus, stopwords)
     terms = counts.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("df"))
     frequent = terms.where(F.col("df") >= min_df)
-    return frequent.orderBy(F.desc("n"), F.asc("term")).limit(vocab_size)
+    ordered = frequent.orderBy(F.desc("n"), F.asc("term"))
+    return ordered if vocab_size is None else ordered.limit(vocab_size)
 
 
 def _counts(corpus: DataFrame, stopwords: Sequence[str]) -> DataFrame:
@@ -167,20 +177,29 @@ def train(
     max_iter: int = 10,
     min_tf: int = MIN_TF,
     min_df: int = MIN_DF,
-    vocab_size: int = VOCAB_SIZE,
+    vocab_size: int | None = None,
     seed: int = 17,
     partitions: int | None = None,
 ) -> TopicModel:
     """Fit ``k`` topics. ``partitions`` fixes how documents are laid out, by
-    id, so that a run can be repeated exactly."""
-    terms = [r.term for r in vocabulary(corpus, stopwords, min_df, vocab_size).select("term").collect()]
-    if not terms:
-        raise ValueError("no term is in enough documents")
-    vectorizer = vectorizer_of(terms, min_tf)
-    documents = vectorize(corpus, vectorizer, stopwords)
-    if partitions:
-        documents = documents.repartition(partitions, "id").sortWithinPartitions("id")
-    documents = documents.select("id", "features").persist()
+    id, so that a run can be repeated exactly. Texts are split into words once,
+    for the vocabulary and the vectors."""
+    tokens = _filtered(corpus, stopwords).persist()
+    try:
+        counted = vocabulary(tokens, stopwords, min_df, vocab_size).select("term")
+        n = counted.count()
+        if not n:
+            raise NoTerms("no term is in enough documents")
+        if n * k > MODEL_AT_MOST:
+            raise ValueError(f"{n} terms are too many for {k} topics; raise min_df")
+        vectorizer = vectorizer_of([r.term for r in counted.collect()], min_tf)
+        documents = vectorize(tokens, vectorizer, stopwords)
+        if partitions:
+            documents = documents.repartition(partitions, "id").sortWithinPartitions("id")
+        documents = documents.select("id", "features").persist()
+        documents.count()
+    finally:
+        tokens.unpersist()
     try:
         lda = LDA(
             k=k, maxIter=max_iter, seed=seed, optimizer="online", optimizeDocConcentration=False,
@@ -193,33 +212,41 @@ def train(
 
 def describe(model: TopicModel, terms: int = TERMS_PER_TOPIC) -> DataFrame:
     """(topic, rank, term, weight): the heaviest terms of each topic."""
-    topics = model.lda.describeTopics(terms)
-    words = model.vectorizer.vocabulary
-    rows = [
-        (r.topic, rank, words[i], float(w))
-        for r in topics.collect()
-        for rank, (i, w) in enumerate(zip(r.termIndices, r.termWeights))
-    ]
-    return topics.sparkSession.createDataFrame(rows, "topic int, rank int, term string, weight double")
+    return _weights(model, terms).select("topic", "rank", "term", "weight")
 
 
 def topic_terms(model: TopicModel) -> DataFrame:
     """(topic, term, weight) over the whole vocabulary."""
+    return _weights(model, len(model.vectorizer.vocabulary)).select("topic", "term", "weight")
+
+
+def _weights(model: TopicModel, terms: int) -> DataFrame:
+    """(topic, rank, term, weight) of the heaviest terms of each topic."""
     words = model.vectorizer.vocabulary
-    topics = model.lda.describeTopics(len(words))
-    spark = topics.sparkSession
+    topics = model.lda.describeTopics(terms)
     slots = pa.table({"slot": pa.array(range(len(words)), pa.int32()), "term": words})
-    weights = topics.select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("t"))
-    rows = weights.select("topic", F.col("t.termIndices").alias("slot"), F.col("t.termWeights").alias("weight"))
-    return rows.join(spark.createDataFrame(slots), "slot").select("topic", "term", "weight")
+    each = topics.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
+    rows = each.select("topic", "rank", F.col("t.termIndices").alias("slot"), F.col("t.termWeights").alias("weight"))
+    return rows.join(topics.sparkSession.createDataFrame(slots), "slot")
 
 
 def sample(corpus: DataFrame, size: int, seed: int = 17) -> DataFrame:
-    """About ``size`` documents, drawn with replacement; all if 0 or less."""
-    if size <= 0:
+    """About ``size`` documents, drawn with replacement; all if 0 or less.
+
+    How often a document is drawn follows the Poisson law and is decided by a
+    hash of its id, so the sample does not depend on how rows are laid out.
+    """
+    total = corpus.count() if size > 0 else 0
+    if not total:
         return corpus
-    total = corpus.count()
-    return corpus.sample(True, size / total, seed) if total else corpus
+    mean = size / total
+    chances, below = math.exp(-mean), []
+    while sum(below[-1:]) < 1 - 1e-12 and len(below) < 10 * (mean + 10):
+        below.append(sum(below[-1:]) + chances)
+        chances *= mean / len(below)
+    copies = F.size(F.filter(F.lit(below), lambda b: b <= uniform_hash(F.col("id"), seed)))
+    drawn = corpus.withColumn("_copies", copies).where("_copies > 0")
+    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).drop("_copies", "_copy")
 
 
 def held_out(
@@ -246,15 +273,16 @@ def purity_table(
     assigned: DataFrame, platforms: Sequence[str], k: int, none_row: bool = True
 ) -> DataFrame:
     """(topic, one count per platform) from (platform, topic) rows, with a row
-    for every topic. Documents without a known term stand in row -1;
-    ``none_row=False`` counts them under topic 0."""
+    for each of ``k`` topics and for any beyond them that occurs. Documents
+    without a known term stand in row -1; ``none_row=False`` counts them under
+    topic 0."""
     topic = F.col("topic") if none_row else F.greatest("topic", F.lit(0))
     counts = assigned.groupBy(topic.cast("int").alias("topic")).agg(
         *[F.sum((F.col("platform") == p).cast("bigint")).alias(p) for p in platforms]
     )
     first = NO_TOPIC if none_row else 0
     spine = assigned.sparkSession.range(first, k).select(F.col("id").cast("int").alias("topic"))
-    return spine.join(counts, "topic", "left").select(
+    return spine.join(counts, "topic", "full").select(
         "topic", *[F.coalesce(F.col(p), F.lit(0)).alias(p) for p in platforms]
     )
 
@@ -286,46 +314,29 @@ def similarity(left: DataFrame, right: DataFrame) -> DataFrame:
     over each whole vocabulary, zero where nothing is shared.
 
     Each side is packed to one row per term holding its weights by topic. The
-    packed sides meet on the term, and every task adds its terms up into one
-    small topics x topics matrix, so what is shuffled at the end is a matrix
-    per task and not a pair per term. Only that matrix, as large as the
-    result, reaches the driver.
+    packed sides meet on the term; their products are added up by pair of
+    topics, first within each task. A topic without any weight has cosine 0.
     """
-    packed = _packed(left, "l").join(_packed(right, "r"), "term", "full").select("l", "r")
-
-    # Nested, so that it travels to the workers by value. A row without a
-    # right topic is a squared norm of a left one, and the other way round.
-    def add_up(batches):
-        sums = {}
-        for batch in batches:
-            sides = []
-            for column in (batch["l"], batch["r"]):
-                found = {}
-                for row, pairs in enumerate(column):
-                    for pair in pairs if pairs is not None else ():
-                        if pair["topic"] not in found:
-                            found[pair["topic"]] = np.zeros(len(batch))
-                        found[pair["topic"]][row] += pair["weight"]
-                sides.append((list(found), np.array(list(found.values())).reshape(len(found), len(batch))))
-            (lefts, a), (rights, b) = sides
-            dots = a @ b.T
-            parts = [((x, None), float(v @ v)) for x, v in zip(lefts, a)]
-            parts += [((None, y), float(v @ v)) for y, v in zip(rights, b)]
-            parts += [((x, y), float(dots[i, j])) for i, x in enumerate(lefts) for j, y in enumerate(rights)]
-            for key, value in parts:
-                sums[key] = sums.get(key, 0.0) + value
-        yield pd.DataFrame([(x, y, v) for (x, y), v in sums.items()], columns=["left_topic", "right_topic", "dot"])
-
-    kinds = [t.schema["topic"].dataType.simpleString() for t in (left, right)]
-    key = f"left_topic {kinds[0]}, right_topic {kinds[1]}"
-    dots = packed.mapInPandas(add_up, f"{key}, dot double").groupBy("left_topic", "right_topic")
-    sums = {(r.left_topic, r.right_topic): r.dot for r in dots.agg(F.sum("dot").alias("dot")).collect()}
-    lefts = sorted(x for x, y in sums if y is None)
-    rights = sorted(y for x, y in sums if x is None)
-    rows = [
-        (x, y, sums.get((x, y), 0.0) / (sums[x, None] * sums[None, y]) ** 0.5) for x in lefts for y in rights
-    ]
-    return left.sparkSession.createDataFrame(rows, f"{key}, cosine double")
+    both = _packed(left, "l").join(_packed(right, "r"), "term").select(F.explode("l").alias("l"), "r")
+    products = both.select("l", F.explode("r").alias("r")).groupBy(
+        F.col("l.topic").alias("left_topic"), F.col("r.topic").alias("right_topic")
+    )
+    dots = products.agg(F.sum(F.col("l.weight") * F.col("r.weight")).alias("dot"))
+    # Every left topic with every right one, which is the result that is asked for.
+    rights = _norms(right).agg(F.collect_list(F.struct("topic", "norm"))).scalar()
+    pairs = _norms(left).select("topic", "norm", F.explode(rights).alias("other")).select(
+        F.col("topic").alias("left_topic"), F.col("other.topic").alias("right_topic"),
+        (F.col("norm") * F.col("other.norm")).alias("norms"),
+    )
+    cosine = F.when((F.col("norms") > 0) & F.col("dot").isNotNull(), F.col("dot") / F.col("norms")).otherwise(0.0)
+    return pairs.join(dots, ["left_topic", "right_topic"], "left").select(
+        "left_topic", "right_topic", cosine.alias("cosine")
+    )
+
+
+def _norms(table: DataFrame) -> DataFrame:
+    weight = F.col("weight").cast("double")
+    return table.groupBy("topic").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
 
 
 def _packed(table: DataFrame, name: str) -> DataFrame:
@@ -350,35 +361,31 @@ def month_ahead(
     """(train, test, period, k, log_likelihood, docs): models of each platform
     and period scored on the next period, within and across platforms.
 
-    ``posts`` has platform, ``period``, id and text. Platforms and periods are
-    few; each model is one distributed training run.
+    ``posts`` has platform, ``period`` (a date, or text such as ``2016``,
+    ``2016-07`` or ``2016-07-31``), id and text. The next period is that of the
+    calendar. A cell is left out if one of its corpora is missing or too thin
+    for a model. Platforms and periods are few; each model is one distributed
+    training run.
     """
-    seen = posts.select("platform", period).distinct().orderBy("platform", period).collect()
-    platforms = sorted({r["platform"] for r in seen})
-    periods = sorted({r[period] for r in seen})
-    have = {(r["platform"], r[period]) for r in seen}
-    wanted = [(a, b) for a in platforms for b in platforms] if pairs is None else list(pairs)
-    corpora = {
-        key: posts.where((F.col("platform") == key[0]) & (F.col(period) == F.lit(key[1]))).select("id", "text")
-        for key in have
-    }
-    out = None
-    for before, now in zip(periods, periods[1:]):
-        for k in ks:
-            for trained in sorted({a for a, _ in wanted if (a, before) in have}):
-                model = train(corpora[trained, before], k, stopwords, seed=seed, **training)
-                for tested in [b for a, b in wanted if a == trained and (b, now) in have]:
-                    score = held_out(model, corpora[tested, now], stopwords, size, seed)
-                    row = score.select(
-                        F.lit(trained).alias("train"),
-                        F.lit(tested).alias("test"),
-                        F.lit(now).alias(period),
-                        F.lit(k).alias("k"),
-                        "log_likelihood",
-                        "docs",
-                    )
-                    out = row if out is None else out.unionByName(row)
-    return out
+    spark = posts.sparkSession
+    kind = dict(posts.dtypes)[period]
+    rows = []
+    with scratch(spark) as folder:
+        stored, have = _stored(posts, period, folder)
+        platforms = sorted({p for p, _ in have})
+        wanted = [(a, b) for a in platforms for b in platforms] if pairs is None else list(pairs)
+        for before in sorted({t for _, t in have}):
+            now = next_period(before)
+            for k in ks:
+                for trained in sorted({a for a, b in wanted if (a, before) in have and (b, now) in have}):
+                    model = _model_or_none(stored(trained, before), k, stopwords, seed, training)
+                    if model is None:
+                        continue
+                    for tested in [b for a, b in wanted if a == trained and (b, now) in have]:
+                        score = held_out(model, stored(tested, now), stopwords, size, seed).first()
+                        rows.append((trained, tested, now, k, score["log_likelihood"], score["docs"]))
+    schema = f"train string, test string, {period} {kind}, k int, log_likelihood double, docs bigint"
+    return spark.createDataFrame(rows, schema)
 
 
 def purity_ahead(
@@ -391,19 +398,57 @@ def purity_ahead(
     **training,
 ) -> DataFrame:
     """(train, period, topic, one count per platform): the purity of each
-    platform's model, and of one trained on all, on the next period."""
-    seen = posts.select("platform", period).distinct().collect()
-    platforms = sorted({r["platform"] for r in seen})
-    periods = sorted({r[period] for r in seen})
-    out = None
-    for before, now in zip(periods, periods[1:]):
-        past = posts.where(F.col(period) == F.lit(before))
-        present = posts.where(F.col(period) == F.lit(now))
-        corpora = {p: present.where(F.col("platform") == p).select("id", "text") for p in platforms}
-        for trained in ["all", *platforms]:
-            corpus = past if trained == "all" else past.where(F.col("platform") == trained)
-            model = train(corpus.select("id", "text"), k, stopwords, seed=seed, **training)
-            table = purity(model, corpora, stopwords, size, seed)
-            rows = table.select(F.lit(trained).alias("train"), F.lit(now).alias(period), "*")
-            out = rows if out is None else out.unionByName(rows)
-    return out
+    platform's model, and of one trained on all, on the next period of the
+    calendar; platforms without posts there count 0."""
+    spark = posts.sparkSession
+    kind = dict(posts.dtypes)[period]
+    with scratch(spark) as folder:
+        stored, have = _stored(posts, period, folder)
+        platforms = sorted({p for p, _ in have})
+        counts = "".join(f", `{p}` bigint" for p in platforms)
+        out = spark.createDataFrame([], f"train string, {period} {kind}, topic int{counts}")
+        for before in sorted({t for _, t in have}):
+            now = next_period(before)
+            if not any((p, now) in have for p in platforms):
+                continue
+            corpora = {p: stored(p, now) for p in platforms}
+            for trained in ["all", *platforms]:
+                model = _model_or_none(stored(None if trained == "all" else trained, before), k, stopwords, seed, training)
+                if model is not None:
+                    table = purity(model, corpora, stopwords, size, seed)
+                    out = out.unionByName(table.select(F.lit(trained).alias("train"), F.lit(now).alias(period), "*"))
+        return kept(out)
+
+
+def next_period(value: str | datetime.date) -> str | datetime.date:
+    """The calendar's next year, month or day."""
+    if isinstance(value, datetime.date):
+        return value + datetime.timedelta(days=1)
+    if len(value) == 10:
+        return str(next_period(datetime.date.fromisoformat(value)))
+    if len(value) == 7:
+        year, month = map(int, value.split("-"))
+        return f"{year + month // 12:04d}-{month % 12 + 1:02d}"
+    return f"{int(value) + 1:04d}"
+
+
+def _stored(posts: DataFrame, period: str, folder: str):
+    """The corpus by platform and period, written once as a table of folders,
+    and which of them there are. No platform means all."""
+    rows = posts.select("platform", period, "id", "text").where(F.col("platform").isNotNull() & F.col(period).isNotNull())
+    rows.write.partitionBy("platform", period).parquet(f"{folder}/corpus")
+    table = posts.sparkSession.read.schema(rows.schema).parquet(f"{folder}/corpus")
+    have = {(r["platform"], r[period]) for r in table.select("platform", period).distinct().collect()}
+
+    def stored(platform: str | None, when) -> DataFrame:
+        own = table.where(F.col(period) == F.lit(when))
+        return (own if platform is None else own.where(F.col("platform") == platform)).select("id", "text")
+
+    return stored, have
+
+
+def _model_or_none(corpus: DataFrame, k: int, stopwords: Sequence[str], seed: int, training: Mapping) -> TopicModel | None:
+    try:
+        return train(corpus, k, stopwords, seed=seed, **training)
+    except NoTerms:
+        return None

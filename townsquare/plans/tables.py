@@ -10,18 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from townsquare.functions.links import THREE_LABEL_COUNTRIES
 from townsquare.functions.time import format_date_text
 from townsquare.sources import posts
 
 SUPPLIER_OFFSET = 1_000_000_000  # keeps supplier ids apart from customer ids
 
 
-TEXTS = ("documents", "pages", "conversations")  # tables of long rows
-
-
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{d}/{name}.parquet")
-    return posts.spread(rows) if name in TEXTS else rows
+    return spark.read.parquet(f"{d}/{name}.parquet")
 
 
 def _lines(rows: DataFrame, **fields: Column) -> DataFrame:
@@ -35,28 +32,36 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-# A document is a tweet, posted by the user and at the time of the event with
-# its number, with the link of the page with its number. Clicks are retweets of
-# the document before, purchases quote it.
+def _turn(key: str, rows: DataFrame, id_col: str, times: int = 1) -> Column:
+    """The id that an event's number stands for: all ids from 0 on, in turn.
+    With ``times``, only each so many-th round has one."""
+    n = rows.select(id_col).distinct().count()
+    return F.col(key) % (n * times)
+
+
+# Every event is a post. A tweet has the text of the document whose turn it is,
+# and in each fourth round the link of a page. Clicks are retweets of the event
+# before, purchases quote it.
 _TWEETS = """tweets AS (
-  SELECT d.doc_id AS id, d.lang, e.user_id, e.event_type, d.source AS hashtag, p.page_id, p.url,
+  SELECT e.event_id AS id, d.lang, e.user_id, e.event_type, d.source AS hashtag, p.page_id, p.url,
     date_trunc('second', e.ts) AS ts, 'User' || e.user_id || '_' || d.source AS screen_name,
     d.text || ' #' || d.source || coalesce(' https://t.co/' || p.page_id, '') AS text,
-    o.doc_id AS other_id, o.text AS other_text, oe.user_id AS other_user,
+    oe.event_id AS other_id, o.text AS other_text, oe.user_id AS other_user,
     'User' || oe.user_id || '_' || o.source AS other_name, op.url AS other_url
-  FROM documents d JOIN events e ON e.event_id = d.doc_id LEFT JOIN pages p ON p.page_id = d.doc_id
-  LEFT JOIN documents o ON o.doc_id = d.doc_id - 1 AND e.event_type IN ('click', 'purchase')
-  LEFT JOIN events oe ON oe.event_id = o.doc_id LEFT JOIN pages op ON op.page_id = o.doc_id)"""
+  FROM events e JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)
+  LEFT JOIN pages p ON p.page_id = e.event_id % (SELECT 4 * count(*) FROM pages)
+  LEFT JOIN events oe ON oe.event_id = e.event_id - 1 AND e.event_type IN ('click', 'purchase')
+  LEFT JOIN documents o ON o.doc_id = oe.event_id % (SELECT count(*) FROM documents)
+  LEFT JOIN pages op ON op.page_id = oe.event_id % (SELECT 4 * count(*) FROM pages))"""
 
 
 def tweet_lines(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    pages = table(spark, d, "pages").select("page_id", "url")
     written = (
-        table(spark, d, "documents").select("doc_id", "text", "lang", "source")
-        .join(_events(spark, d), F.col("doc_id") == F.col("event_id"))
-        .join(
-            table(spark, d, "pages").select("page_id", "url"),
-            F.col("doc_id") == F.col("page_id"), "left",
-        )
+        _events(spark, d)
+        .join(documents, _turn("event_id", documents, "doc_id") == F.col("doc_id"))
+        .join(pages, _turn("event_id", pages, "page_id", 4) == F.col("page_id"), "left")
     )
     name = F.concat(F.lit("User"), F.col("user_id"), F.lit("_"), F.col("source"))
     user = F.struct(F.col("user_id").alias("id"), name.alias("screen_name"))
@@ -66,19 +71,22 @@ def tweet_lines(spark: SparkSession, d: str) -> DataFrame:
         F.array(F.struct(short.alias("url"), F.col("url").alias("expanded_url"), F.array(F.lit(9999)).alias("indices"))),
     ).otherwise(F.array())
     others = written.select(
-        (F.col("doc_id") + 1).alias("doc_id"),
+        (F.col("event_id") + 1).alias("event_id"),
         F.struct(
-            F.col("doc_id").alias("id"), "text", user.alias("user"), F.struct(links.alias("urls")).alias("entities")
+            F.col("event_id").alias("id"), "text", user.alias("user"), F.struct(links.alias("urls")).alias("entities")
         ).alias("other"),
     )
-    rows = written.join(others, "doc_id", "left")
+    cites = F.col("event_type").isin("click", "purchase")
+    rows = written.where(cites).join(others, "event_id", "left").unionByName(
+        written.where(~cites), allowMissingColumns=True
+    )
     text = F.concat("text", F.lit(" #"), "source", F.coalesce(F.concat(F.lit(" "), short), F.lit("")))
     for sign, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         text = F.replace(text, F.lit(sign), F.lit(reference))
     tag = F.struct(F.col("source").alias("text"), F.array(F.lit(9000)).alias("indices"))
     return _lines(
         rows,
-        id=F.col("doc_id"),
+        id=F.col("event_id"),
         text=text,
         created_at=format_date_text(F.col("ts")),
         lang=F.col("lang"),
@@ -89,28 +97,30 @@ def tweet_lines(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def tweets(spark: SparkSession, d: str) -> DataFrame:
-    return posts.tweets(tweet_lines(spark, d))
+def tweets(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return posts.tweets(tweet_lines(spark, d), columns=columns or None)
 
 
-# A page is a submission, titled with the text of the document and posted by
-# the user and at the time of the event with its number.
+# Every event is a submission of the page whose turn it is, titled with the
+# text of the document.
 _SUBMISSIONS = """submissions AS (
-  SELECT 'p' || p.page_id AS id, 'Author_' || e.user_id AS author, p.url, d.text AS title,
+  SELECT 'p' || e.event_id AS id, 'Author_' || e.user_id AS author, p.url, d.text AS title,
     date_trunc('second', e.ts) AS ts, e.event_type = 'click' AS is_self, d.source || ' ' || d.lang AS selftext
-  FROM pages p JOIN events e ON e.event_id = p.page_id JOIN documents d ON d.doc_id = p.page_id)"""
+  FROM events e JOIN pages p ON p.page_id = e.event_id % (SELECT count(*) FROM pages)
+  JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents))"""
 
 
 def submission_lines(spark: SparkSession, d: str) -> DataFrame:
+    pages, documents = table(spark, d, "pages").select("page_id", "url"), table(spark, d, "documents")
     rows = (
-        table(spark, d, "pages").select("page_id", "url")
-        .join(_events(spark, d), F.col("page_id") == F.col("event_id"))
-        .join(table(spark, d, "documents"), F.col("page_id") == F.col("doc_id"))
+        _events(spark, d)
+        .join(pages, _turn("event_id", pages, "page_id") == F.col("page_id"))
+        .join(documents, _turn("event_id", documents, "doc_id") == F.col("doc_id"))
     )
     number = F.lit(1).cast("bigint")
     return _lines(
         rows,
-        id=F.concat(F.lit("p"), "page_id"),
+        id=F.concat(F.lit("p"), "event_id"),
         author=F.concat(F.lit("Author_"), "user_id"),
         title=F.col("text"),
         selftext=F.concat_ws(" ", "source", "lang"),
@@ -121,36 +131,35 @@ def submission_lines(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def submissions(spark: SparkSession, d: str) -> DataFrame:
-    return posts.submissions(submission_lines(spark, d))
+def submissions(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return posts.submissions(submission_lines(spark, d), columns=columns or None)
 
 
-# A turn of a conversation is a comment. It names the page with the number of
-# the conversation, once as a link and once by its www name. Assistants' turns
-# were removed.
-_COMMENTS = """comments AS (
-  SELECT 'c' || c.conv_id || '_' || c.turn AS id, date_trunc('second', e.ts) AS ts, p.url,
+# Every event is posted as the conversation whose turn it is; each of its turns
+# is a comment. It names the page with the number of the conversation, once as
+# a link and once by its www name. Assistants' turns were removed.
+_CONVERSATION = "c.conv_id = e.event_id % (SELECT count(DISTINCT conv_id) FROM conversations)"
+_COMMENTS = f"""comments AS (
+  SELECT 'c' || e.event_id || '_' || c.turn AS id, date_trunc('second', e.ts) AS ts, p.url,
     CASE WHEN c.role = 'assistant' THEN '[Deleted]' ELSE 'Author_' || e.user_id END AS author,
     c.text || coalesce(' see (' || p.url || '), www.page' || p.page_id || '.co.uk/a.', '') AS body
-  FROM conversations c JOIN events e ON e.event_id = c.conv_id LEFT JOIN pages p ON p.page_id = c.conv_id)"""
+  FROM events e JOIN conversations c ON {_CONVERSATION} LEFT JOIN pages p ON p.page_id = c.conv_id)"""
 
 
 def comment_lines(spark: SparkSession, d: str) -> DataFrame:
+    conversations = table(spark, d, "conversations")
     rows = (
-        table(spark, d, "conversations")
-        .join(_events(spark, d), F.col("conv_id") == F.col("event_id"))
-        .join(
-            table(spark, d, "pages").select("page_id", "url"),
-            F.col("conv_id") == F.col("page_id"), "left",
-        )
+        _events(spark, d)
+        .join(conversations, _turn("event_id", conversations, "conv_id") == F.col("conv_id"))
+        .join(table(spark, d, "pages").select("page_id", "url"), F.col("conv_id") == F.col("page_id"), "left")
     )
     seen = F.concat(F.lit(" see ("), "url", F.lit("), www.page"), "page_id", F.lit(".co.uk/a."))
     number = F.lit(1).cast("bigint")
     author = F.when(F.col("role") == "assistant", "[Deleted]").otherwise(F.concat(F.lit("Author_"), "user_id"))
-    thread = F.concat(F.lit("t3_"), "conv_id")
+    thread = F.concat(F.lit("t3_"), "event_id")
     return _lines(
         rows,
-        id=F.concat(F.lit("c"), "conv_id", F.lit("_"), "turn"),
+        id=F.concat(F.lit("c"), "event_id", F.lit("_"), "turn"),
         author=author,
         body=F.concat("text", F.coalesce(seen, F.lit(""))),
         parent_id=thread, link_id=thread,
@@ -159,34 +168,36 @@ def comment_lines(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def comments(spark: SparkSession, d: str) -> DataFrame:
-    return posts.comments(comment_lines(spark, d))
+def comments(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return posts.comments(comment_lines(spark, d), columns=columns or None)
 
 
-# A conversation is a thread: its turns are the posts, in HTML.
-_THREADS = """thread_posts AS (
-  SELECT c.conv_id AS thread_no, c.turn AS pos, c.conv_id * 1000 + c.turn AS no, c.role || e.user_id AS name,
+# Every event is a thread too: the turns of its conversation are the posts, in
+# HTML.
+_THREADS = f"""thread_posts AS (
+  SELECT e.event_id AS thread_no, c.turn AS pos, e.event_id * 1000 + c.turn AS no, c.role || e.user_id AS name,
     trim(regexp_replace(c.text, '[ \\t\\r\\n\\f]+', ' ', 'g')) AS text, date_trunc('second', e.ts) AS ts
-  FROM conversations c JOIN events e ON e.event_id = c.conv_id),
+  FROM events e JOIN conversations c ON {_CONVERSATION}),
 threads AS (SELECT * FROM thread_posts WHERE pos = 0)"""
 
 
 def thread_lines(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations").join(_events(spark, d), F.col("conv_id") == F.col("event_id"))
+    conversations = table(spark, d, "conversations")
+    rows = _events(spark, d).join(conversations, _turn("event_id", conversations, "conv_id") == F.col("conv_id"))
     markup = F.col("text")
     for sign, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("'", "&#039;"), ("\n", "<br>")):
         markup = F.replace(markup, F.lit(sign), F.lit(reference))
     post = F.struct(
         "turn",
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("no"),
+        (F.col("event_id") * 1000 + F.col("turn")).alias("no"),
         F.concat(F.lit('<span class="quote">'), markup, F.lit("</span>")).alias("com"),
         F.concat("role", "user_id").alias("name"),
         F.unix_seconds(F.col("ts").cast("timestamp")).alias("time"),
-        F.when(F.col("turn") == 0, 0).otherwise(F.col("conv_id") * 1000).alias("resto"),
+        F.when(F.col("turn") == 0, 0).otherwise(F.col("event_id") * 1000).alias("resto"),
         F.lit("").alias("now"), F.lit("").alias("country"), F.lit("").alias("country_name"),
     )
     # A thread is one record; its posts are few.
-    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(post)).alias("posts"))
+    whole = rows.groupBy("event_id").agg(F.sort_array(F.collect_list(post)).alias("posts"))
     return _lines(whole, posts=F.col("posts"))
 
 
@@ -241,7 +252,7 @@ def over(views: str, query: str, *more: str) -> str:
 
 
 # Fixed pattern: the registered domain of a URL column in SQL.
-_COUNTRIES = "'ar','at','au','br','de','es','fr','il','jp','kr','nz','ru','tr','ua','uk','us','za'"
+_COUNTRIES = ", ".join(f"'{country}'" for country in THREE_LABEL_COUNTRIES)
 
 
 def sql_domain(url: str) -> str:

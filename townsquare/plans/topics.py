@@ -56,15 +56,16 @@ def term_counts(spark, d):
 
 
 def vocabulary(spark, d):
-    return job.vocabulary(_documents(spark, d), STOPWORDS, min_df=5, vocab_size=500)
+    return job.vocabulary(_documents(spark, d), STOPWORDS, min_df=5)
 
 
 def vectorized(spark, d):
     """Documents as vectors over the vocabulary, back as rows."""
-    terms = [r.term for r in vocabulary(spark, d).collect()]
+    terms = [r.term for r in vocabulary(spark, d).collect()]  # as the vectorizer needs them
     vectors = job.vectorize(_documents(spark, d), job.vectorizer_of(terms, min_tf=2), STOPWORDS)
     slots = vectors.select("id", F.posexplode(vector_to_array("features")).alias("slot", "n")).where("n > 0")
-    return slots.select("id", F.element_at(F.lit(terms), F.col("slot") + 1).alias("term"), F.col("n").cast("bigint").alias("n"))
+    known = spark.createDataFrame(list(enumerate(terms)), "slot int, term string")
+    return slots.join(known, "slot").select("id", "term", F.col("n").cast("bigint").alias("n"))
 
 
 def topics_of_documents(spark, d):
@@ -94,11 +95,13 @@ def purity(spark, d):
 
 def purity_of_slots(spark, d):
     """Top slot of each vector, as a document's topic weights, per label."""
-    rows = table(spark, d, "embeddings").select(
+    vectors = table(spark, d, "embeddings")
+    slots = vectors.agg(F.max(F.size("embedding"))).first()[0]
+    rows = vectors.select(
         F.concat(F.lit("label"), F.col("label") % 3).alias("platform"),
         job.top_slot(F.col("embedding")).alias("topic"),
     )
-    return job.purity_table(rows, ["label0", "label1", "label2"], 8)
+    return job.purity_table(rows, ["label0", "label1", "label2"], slots)
 
 
 def _term_table(spark, d, by):
@@ -147,7 +150,6 @@ _COUNTS = rf"""counts AS (SELECT id, term, count(*) AS n FROM (SELECT doc_id AS
     unnest(regexp_extract_all(lower(text), '#?[\p{{L}}\p{{N}}_.''-]+')) AS term FROM documents)
   WHERE term NOT IN ({_STOPS}) GROUP BY ALL)"""
 _VOCABULARY = "SELECT term, CAST(sum(n) AS BIGINT) AS n, count(*) AS df FROM counts GROUP BY term HAVING count(*) >= 5"
-_FREQUENT = _VOCABULARY + " ORDER BY n DESC, term LIMIT 500"
 _MIXED = """SELECT 'twitter' AS platform, 'twitter:' || id AS id, text FROM tweets
 UNION ALL SELECT 'reddit', 'reddit:' || id, title FROM submissions
 UNION ALL SELECT 'fourchan', 'fourchan:' || no, text FROM threads"""
@@ -166,10 +168,10 @@ PLANS = {
         f"""WITH {_COUNTS} SELECT id, term, n FROM counts
 WHERE n >= 3 AND term IN (SELECT term FROM counts GROUP BY term HAVING count(*) >= 5)""",
     ),
-    "vocabulary": Plan(vocabulary, f"WITH {_COUNTS} {_FREQUENT}"),
+    "vocabulary": Plan(vocabulary, f"WITH {_COUNTS} {_VOCABULARY}"),
     "vectorized": Plan(
         vectorized,
-        f"WITH {_COUNTS} SELECT id, term, n FROM counts WHERE n >= 2 AND term IN (SELECT term FROM ({_FREQUENT}))",
+        f"WITH {_COUNTS} SELECT id, term, n FROM counts WHERE n >= 2 AND term IN (SELECT term FROM ({_VOCABULARY}))",
     ),
     "topics_of_documents": Plan(topics_of_documents),
     "topics_of_tweets": Plan(topics_of_tweets),
@@ -183,7 +185,7 @@ WHERE n >= 3 AND term IN (SELECT term FROM counts GROUP BY term HAVING count(*)
     ELSE list_position(embedding, list_max(embedding)) - 1 END AS topic FROM embeddings)
 SELECT CAST(s.topic AS INT) AS topic, CAST(coalesce(sum((l = 0)::INT), 0) AS BIGINT) AS label0,
   CAST(coalesce(sum((l = 1)::INT), 0) AS BIGINT) AS label1, CAST(coalesce(sum((l = 2)::INT), 0) AS BIGINT) AS label2
-FROM (SELECT unnest(range(-1, 8)) AS topic) s LEFT JOIN t ON t.topic = s.topic GROUP BY 1""",
+FROM (SELECT unnest(range(-1, (SELECT max(len(embedding)) FROM embeddings))) AS topic) s LEFT JOIN t ON t.topic = s.topic GROUP BY 1""",
     ),
     "topic_similarity": Plan(
         similarity,

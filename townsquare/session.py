@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,8 +18,6 @@ SETTINGS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
 }
 
-_local_scratch: dict[str, str] = {}
-
 
 def build_session(app: str = "townsquare", **conf: str) -> SparkSession:
     """A session with the settings above; ``conf`` keys use ``__`` for dots."""
@@ -31,21 +30,15 @@ def build_session(app: str = "townsquare", **conf: str) -> SparkSession:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir`` for one run's tables.
+    """A fresh folder for one run's tables, below ``spark.checkpoint.dir`` or the
+    folder given to ``SparkContext.setCheckpointDir``.
 
-    A cluster must name a shared folder there: executors can be lost, so
-    intermediate tables may not sit on one machine. Only a local session
-    without the setting falls back to a temporary folder.
+    There is no default: executors can be lost and do not share their disks, so
+    the tables between two steps belong into a folder that all machines see.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        context = spark.sparkContext
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        app = context.applicationId
-        if app not in _local_scratch:
-            _local_scratch[app] = tempfile.mkdtemp(prefix="townsquare-")
-        base = _local_scratch[app]
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     return f"{base.rstrip('/')}/townsquare-{uuid.uuid4().hex}"
 
 
@@ -56,7 +49,32 @@ def cut(df: DataFrame, path: str) -> DataFrame:
 
 
 def discard(spark: SparkSession, path: str) -> None:
-    """Drop a table this run wrote with :func:`cut` and no longer reads."""
+    """Delete a folder of this run. PySpark has no call of its own for that on
+    any file system, so this goes through the JVM's."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     jvm_path.getFileSystem(conf).delete(jvm_path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A scratch folder that is gone when the block ends, however it ends. What
+    is to outlive it goes through :func:`kept`."""
+    folder = scratch_folder(spark)
+    try:
+        yield folder
+    finally:
+        discard(spark, folder)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` as a reliable checkpoint, which outlives the tables it was made
+    from. Spark removes it with the last reference, where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(base)
+    return df.checkpoint()

@@ -36,13 +36,6 @@ def read_lines(
     return lines.repartition(partitions) if partitions else lines
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows of fewer files than there are cores, dealt out to all cores before
-    costly work per row; rows of many files stay where they are."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
-
-
 def _all(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
@@ -70,47 +63,93 @@ def _has(*fields: str) -> Callable[[Column], Column]:
     return usable
 
 
-def tweets(lines: DataFrame, strict: bool = False) -> DataFrame:
-    """Tweets: the fields of the schema, ``created_time`` and ``raw``."""
-    keys = ["id", "text", "created_at", "user.id"] + (["user.screen_name"] if strict else [])
+# What makes a record usable, for the readers and for mixed lines alike.
 
-    def usable(record: Column) -> Column:
-        return _has(*keys)(record) & parse_date_text(record["created_at"]).isNotNull()
 
-    rows = _decode(lines, S.TWEET_DDL, strict, usable)
-    out = rows.withColumn("text", unescape_tweet(F.col("text")))
-    return out.withColumn("created_time", parse_date_text(F.col("created_at")))
+def _usable_tweet(record: Column) -> Column:
+    keys = _has("text", "created_at", "user.id")(record)
+    # Mixed lines have ids as text.
+    return keys & record["id"].try_cast("bigint").isNotNull() & parse_date_text(record["created_at"]).isNotNull()
 
 
-def submissions(lines: DataFrame, strict: bool = False) -> DataFrame:
-    """Submissions, with ``created_time`` and ``text`` (title, and the body of
-    self posts)."""
-    keys = S.SUBMISSION_REQUIRED if strict else ["author", "id", "title", "selftext"]
-    rows = _decode(lines, S.SUBMISSION_DDL, strict, _has(*keys))
-    return _reddit(rows).withColumn(
-        "text", submission_text(F.col("title"), F.col("is_self"), F.col("selftext"))
-    )
+_usable_submission = _has("author", "id", "title", "selftext")
+_usable_comment = _has("author", "id", "body", "parent_id")
 
 
-def comments(lines: DataFrame, strict: bool = False) -> DataFrame:
-    """Comments, with ``created_time`` and ``text`` (the body)."""
-    keys = S.COMMENT_REQUIRED if strict else ["author", "id", "body", "parent_id"]
-    rows = _decode(lines, S.COMMENT_DDL, strict, _has(*keys))
-    return _reddit(rows).withColumn("text", F.col("body"))
+def _usable_thread(record: Column) -> Column:
+    return (F.size(record["posts"]) > 0) & F.forall(record["posts"], _has("no", "time"))
 
 
-def _reddit(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("created_time", first_time(F.col("created_utc"), F.col("created")))
+def _both(*tests: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda record: _all([test(record) for test in tests])
 
 
-def threads(lines: DataFrame, strict: bool = False) -> DataFrame:
-    """Threads: ``raw``, ``posts`` and ``opening``, the first of them."""
-    fields = S.POST_REQUIRED if strict else ["no", "time"]
+def tweets(
+    lines: DataFrame, strict: bool = False, columns: Sequence[str] | None = None, citations: int = 2
+) -> DataFrame:
+    """Tweets: the fields of the schema, ``created_time`` and ``raw``.
+
+    ``columns`` names the ones to return; no other field is decoded but those
+    that a tweet must have. ``citations`` is how deep the tweets that a tweet
+    retweets or quotes are read.
+    """
+    fields = S.tweet(citations)
+    wanted = ["raw", *fields, "created_time"] if columns is None else list(columns)
+    needed = {"id", "text", "created_at", "user"} | set(wanted)
+    if "user" not in wanted and not strict:
+        fields["user"] = "struct<id: bigint>"
+    usable = _both(_usable_tweet, _has("user.screen_name")) if strict else _usable_tweet
+    rows = _decode(lines, S.struct(fields, needed), strict, usable)
+    rows = rows.withColumn("text", unescape_tweet(F.col("text")))
+    return rows.withColumn("created_time", parse_date_text(F.col("created_at"))).select(*wanted)
+
+
+def submissions(lines: DataFrame, strict: bool = False, columns: Sequence[str] | None = None) -> DataFrame:
+    """Submissions, with ``created_time`` and ``text`` (title, and the body of
+    self posts); of ``columns`` alone, if named."""
+    keys = S.SUBMISSION_REQUIRED if strict else ["author", "id", "title", "selftext"]
+    text = submission_text(F.col("title"), F.col("is_self"), F.col("selftext"))
+    return _reddit(lines, S.SUBMISSION, keys, _both(_usable_submission, _has(*keys)), strict, columns, text, ["is_self"])
 
-    def usable(record: Column) -> Column:
-        return record["posts"].isNotNull() & F.forall(record["posts"], _has(*fields))
 
-    rows = _decode(lines, S.THREAD_DDL, strict, usable)
+def comments(lines: DataFrame, strict: bool = False, columns: Sequence[str] | None = None) -> DataFrame:
+    """Comments, with ``created_time`` and ``text`` (the body); of ``columns``
+    alone, if named."""
+    keys = S.COMMENT_REQUIRED if strict else ["author", "id", "body", "parent_id"]
+    return _reddit(lines, S.COMMENT, keys, _both(_usable_comment, _has(*keys)), strict, columns, F.col("body"), [])
+
+
+def _reddit(
+    lines: DataFrame,
+    fields: dict[str, str],
+    keys: list[str],
+    usable: Callable[[Column], Column],
+    strict: bool,
+    columns: Sequence[str] | None,
+    text: Column,
+    text_needs: list[str],
+) -> DataFrame:
+    wanted = ["raw", *fields, "created_time", "text"] if columns is None else list(columns)
+    needed = {*keys, *wanted}
+    if "created_time" in wanted:
+        needed |= {"created", "created_utc"}
+    if "text" in wanted:
+        needed |= {*text_needs}
+    rows = _decode(lines, S.struct(fields, needed), strict, usable)
+    if "created_time" in wanted:
+        rows = rows.withColumn("created_time", first_time(F.col("created_utc"), F.col("created")))
+    if "text" in wanted:
+        rows = rows.withColumn("text", text)
+    return rows.select(*wanted)
+
+
+def threads(lines: DataFrame, strict: bool = False, columns: Sequence[str] | None = None) -> DataFrame:
+    """Threads of one post or more: ``raw``, ``posts`` and ``opening``, the
+    first of them. ``columns`` names the fields of a post to decode."""
+    fields = S.POST_REQUIRED if strict else ["no", "time"]
+    needed = None if columns is None else {*fields, *columns}
+    usable = _both(_usable_thread, lambda record: F.forall(record["posts"], _has(*fields)))
+    rows = _decode(lines, f"struct<posts: array<{S.struct(S.POST, needed)}>>", strict, usable)
     return rows.select("raw", "posts", F.get("posts", F.lit(0)).alias("opening"))
 
 
@@ -124,23 +163,29 @@ def thread_posts(thread_rows: DataFrame) -> DataFrame:
 
 
 def reddit_posts(lines: DataFrame, strict: bool = False) -> DataFrame:
-    """Submissions and comments under the view they share."""
-    shared = [
-        "raw", "kind", "id", "created", "created_utc", "created_time", "author",
-        "score", "subreddit", "subreddit_id", "text",
-    ]
-    both = [
-        submissions(lines, strict).withColumn("kind", F.lit("submission")).select(shared),
-        comments(lines, strict).withColumn("kind", F.lit("comment")).select(shared),
-    ]
-    return both[0].unionByName(both[1])
+    """Submissions and comments under the view they share, decoded once."""
+    shared = ["id", "created", "created_utc", "author", "score", "subreddit", "subreddit_id"]
+    keys = S.SUBMISSION_REQUIRED if strict else ["title", "selftext"]
+    more = S.COMMENT_REQUIRED if strict else ["body", "parent_id"]
+    submission = _both(_usable_submission, _has(*keys))
+    comment = _both(_usable_comment, _has(*more))
+    needed = {*shared, *keys, *more, "title", "selftext", "is_self", "body", "parent_id"}
+    ddl = S.struct({**S.SUBMISSION, **S.COMMENT}, needed)
+    rows = _decode(lines, ddl, strict, lambda record: comment(record) | submission(record))
+    is_comment = F.col("body").isNotNull() & F.col("parent_id").isNotNull()
+    text = submission_text(F.col("title"), F.col("is_self"), F.col("selftext"))
+    return rows.select(
+        "raw", F.when(is_comment, "comment").otherwise("submission").alias("kind"), "id", "created", "created_utc",
+        first_time(F.col("created_utc"), F.col("created")).alias("created_time"), "author", "score", "subreddit",
+        "subreddit_id", F.when(is_comment, F.col("body")).otherwise(text).alias("text"),
+    )
 
 
 # One schema that holds what tells the platforms apart and what the common
 # table needs, so that a mixed corpus is decoded once. Ids are text here: a
 # number for tweets, letters and digits for Reddit.
 _ANY_DDL = """struct<
-  id: string, text: string, created_at: string, user: struct<screen_name: string>,
+  id: string, text: string, created_at: string, user: struct<id: bigint, screen_name: string>,
   author: string, title: string, is_self: boolean, selftext: string, body: string,
   parent_id: string, created: bigint, created_utc: bigint,
   posts: array<struct<no: bigint, com: string, name: string, time: bigint>>>"""
@@ -158,10 +203,10 @@ def unified_posts(lines: DataFrame, keep_corrupt: bool = False) -> DataFrame:
     p, opening = F.col("p"), F.get(F.col("p.posts"), F.lit(0))
 
     kind = (
-        F.when(opening["no"].isNotNull() & opening["time"].isNotNull(), "thread")
-        .when(_has("parent_id", "author", "id", "body")(p), "comment")
-        .when(_has("selftext", "author", "id", "title")(p), "submission")
-        .when(_has("user", "text", "id", "created_at")(p), "tweet")
+        F.when(_usable_thread(p), "thread")
+        .when(_usable_comment(p), "comment")
+        .when(_usable_submission(p), "submission")
+        .when(_usable_tweet(p), "tweet")
     )
     rows = rows.withColumn("kind", kind)
     reddit_time = first_time(p["created_utc"], p["created"])
