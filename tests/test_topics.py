@@ -176,7 +176,7 @@ def test_gaps_thin_groups_and_single_periods(spark, corpus):
 def test_next_period():
     import datetime
 
-    pairs = [("2016", "2017"), ("2016-12", "2017-01"), ("2016-07", "2016-08"), ("2016-12-31", "2017-01-01")]
+    pairs = [("2016", "2017"), ("2016-12", "2017-01"), ("2016-07", "2016-08"), ("2016-12-31", "2017-01-01"), ("2020-W53", "2021-W01")]
     assert all(topics.next_period(a) == b for a, b in pairs)
     assert topics.next_period(datetime.date(2024, 2, 28)) == datetime.date(2024, 2, 29)
 

@@ -362,7 +362,7 @@ def month_ahead(
     and period scored on the next period, within and across platforms.
 
     ``posts`` has platform, ``period`` (a date, or text such as ``2016``,
-    ``2016-07`` or ``2016-07-31``), id and text. The next period is that of the
+    ``2016-07``, ``2016-W27`` or ``2016-07-31``), id and text. The next period is that of the
     calendar. A cell is left out if one of its corpora is missing or too thin
     for a model. Platforms and periods are few; each model is one distributed
     training run.
@@ -421,11 +421,14 @@ def purity_ahead(
 
 
 def next_period(value: str | datetime.date) -> str | datetime.date:
-    """The calendar's next year, month or day."""
+    """The calendar's next year, month, week or day."""
     if isinstance(value, datetime.date):
         return value + datetime.timedelta(days=1)
     if len(value) == 10:
         return str(next_period(datetime.date.fromisoformat(value)))
+    if "W" in value:
+        monday = datetime.date.fromisocalendar(int(value[:4]), int(value[-2:]), 1) + datetime.timedelta(days=7)
+        return f"{monday.isocalendar().year:04d}-W{monday.isocalendar().week:02d}"
     if len(value) == 7:
         year, month = map(int, value.split("-"))
         return f"{year + month // 12:04d}-{month % 12 + 1:02d}"

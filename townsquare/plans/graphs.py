@@ -101,6 +101,26 @@ def compressed_edges(spark, d):
     return louvain.compress(*_by_nation(spark, d))[1]
 
 
+def modularity_closed(spark, d):
+    """Textbook modularity of a compressed graph: the one of the nations, with
+    every nation closed, as no edge between two of them is left."""
+    state, edges = _by_nation(spark, d)
+    there = state.select("vid", F.col("community"))
+    ends = edges.join(there.toDF("src", "a"), "src").join(there.toDF("dst", "b"), "dst")
+    inner, between = louvain.compress(state, ends.where("a = b").select("src", "dst", "w"))
+    rows = louvain.modularity(inner, louvain.adjacency(between), floor_at_zero=False)
+    return rows.select(F.round("modularity", 9).alias("modularity"))
+
+
+def louvain_two_cycles(spark, d):
+    """The state after two whole cycles."""
+    state, edges = _start(spark, d)
+    adjacent, total = louvain.adjacency(edges), louvain.total_weight(state)
+    for half in range(4):
+        state = louvain.half_cycle(state, adjacent, total, even=half % 2 == 0)
+    return state.drop("changed")
+
+
 def louvain_level(spark, d):
     level = louvain.one_level(*_start(spark, d))
     return level.state.drop("changed")
@@ -136,18 +156,28 @@ state AS (SELECT vid, vid AS community, CAST(sum(w) AS BIGINT) AS sigma_tot, CAS
   CAST(sum(w) AS BIGINT) AS node_weight FROM adj GROUP BY vid)"""
 _WEIGHTS = """weights AS (SELECT adj.vid, s.community, s.sigma_tot, CAST(sum(adj.w) AS BIGINT) AS w
   FROM adj JOIN state s ON s.vid = adj.neighbour GROUP BY ALL)"""
-_MOVES = _WEIGHTS + """,
-m AS (SELECT sum(internal + node_weight) AS m FROM state),
-gains AS (SELECT c.vid, c.community,
+
+
+def _half(n: int, down: bool) -> str:
+    """A half cycle in SQL, from ``state`` or ``state<n>`` to ``state<n + 1>``."""
+    old, new, sign = f"state{n or ''}", f"state{n + 1}", ">" if down else "<"
+    return f"""weights{n} AS (SELECT adj.vid, s.community, s.sigma_tot, CAST(sum(adj.w) AS BIGINT) AS w
+  FROM adj JOIN {old} s ON s.vid = adj.neighbour GROUP BY ALL),
+gains{n} AS (SELECT c.vid, c.community,
   CASE WHEN c.community = s.community AND c.sigma_tot = s.node_weight + s.internal THEN 0
     ELSE (c.w + CASE WHEN c.community = s.community THEN s.internal ELSE 0 END)::HUGEINT * m
       - (s.node_weight + s.internal)::HUGEINT
         * (c.sigma_tot - CASE WHEN c.community = s.community THEN s.node_weight + s.internal ELSE 0 END) END AS gain
-  FROM weights c JOIN state s ON s.vid = c.vid, m),
-best AS (SELECT vid, community FROM gains WHERE gain > 0
+  FROM weights{n} c JOIN {old} s ON s.vid = c.vid, (SELECT sum(internal + node_weight) AS m FROM state)),
+best{n} AS (SELECT vid, community FROM gains{n} WHERE gain > 0
   QUALIFY row_number() OVER (PARTITION BY vid ORDER BY gain DESC, community DESC) = 1),
-moves AS (SELECT s.vid, CASE WHEN s.community > b.community THEN b.community ELSE s.community END AS community,
-  coalesce(s.community > b.community, false) AS changed FROM state s LEFT JOIN best b ON b.vid = s.vid)"""
+moves{n} AS (SELECT s.vid, CASE WHEN s.community {sign} b.community THEN b.community ELSE s.community END AS community,
+  coalesce(s.community {sign} b.community, false) AS changed, s.internal, s.node_weight
+  FROM {old} s LEFT JOIN best{n} b ON b.vid = s.vid),
+{new} AS (SELECT vid, community, CAST(sum(internal + node_weight) OVER (PARTITION BY community) AS BIGINT) AS sigma_tot,
+  internal, node_weight FROM moves{n})"""
+
+
 _NATIONS = f"""labels AS (SELECT c_custkey AS vid, CAST(c_nationkey AS BIGINT) AS community FROM customer
   UNION ALL SELECT s_suppkey + {SUPPLIER_OFFSET}, CAST(s_nationkey AS BIGINT) FROM supplier),
 lab AS (SELECT s.vid, l.community, s.node_weight, sum(s.node_weight) OVER (PARTITION BY l.community) AS sigma
@@ -186,12 +216,17 @@ WHERE src IN (SELECT id FROM keep) AND dst IN (SELECT id FROM keep)""",
     ),
     "louvain_initial_state": Plan(initial_state, f"WITH {_STATE} SELECT * FROM state"),
     "louvain_neighbour_weights": Plan(neighbour_weights, f"WITH {_STATE}, {_WEIGHTS} SELECT * FROM weights"),
-    "louvain_best_moves": Plan(best_moves, f"WITH {_STATE}, {_MOVES} SELECT * FROM moves"),
-    "louvain_half_cycle": Plan(
-        half_cycle,
-        f"""WITH {_STATE}, {_MOVES} SELECT m.vid, m.community,
-  CAST(sum(s.node_weight) OVER (PARTITION BY m.community) AS BIGINT) AS sigma_tot, s.internal, s.node_weight
-FROM moves m JOIN state s ON s.vid = m.vid""",
+    "louvain_best_moves": Plan(best_moves, f"WITH {_STATE}, {_half(0, True)} SELECT vid, community, changed FROM moves0"),
+    "louvain_half_cycle": Plan(half_cycle, f"WITH {_STATE}, {_half(0, True)} SELECT * FROM state1"),
+    "louvain_two_cycles": Plan(
+        louvain_two_cycles,
+        f"WITH {_STATE}, " + ",\n".join(_half(n, n % 2 == 0) for n in range(4)) + "\nSELECT * FROM state4",
+    ),
+    "modularity_closed": Plan(
+        modularity_closed,
+        f"""WITH {_STATE}, {_NATIONS}, {_MERGED},
+own AS (SELECT src, 2 * w AS w FROM merged WHERE src = dst)
+SELECT round(sum(w / t - (w / t) * (w / t)), 9) AS modularity FROM own, (SELECT sum(w)::DOUBLE AS t FROM own)""",
     ),
     "modularity": Plan(
         modularity, f"WITH {_STATE}, {_NATIONS} SELECT round(sum(greatest(q, 0)), 9) AS modularity FROM q"

@@ -78,6 +78,26 @@ def fielded_documents(spark, d):
     return job.fielded_search(_documents(spark, d), [query], fields).select("id")
 
 
+NESTED = {
+    "clauses": [
+        {"clauses": [{"value": "the"}, {"value": "que"}], "op": "OR"},
+        {"clauses": [{"value": "with"}, {"value": "las"}], "op": "OR"},
+        {"occur": "must_not", "clauses": [{"value": "was"}, {"value": "on"}]},
+    ]
+}
+
+
+def fielded_nested(spark, d):
+    """(the OR que) AND (with OR las) AND NOT (was AND on)."""
+    return job.fielded_search(_documents(spark, d), [NESTED], {"content": T.words(F.lower("text"))}).select("id")
+
+
+def fielded_punctuation(spark, d):
+    """Values with signs between their words, and around them."""
+    queries = [{"clauses": [{"value": "GNU-General"}]}, {"clauses": [{"value": "(License)..."}]}]
+    return job.fielded_search(_documents(spark, d), queries, {"content": T.words(F.lower("text"))}).select("id")
+
+
 def fielded_submissions(spark, d):
     queries = [{"clauses": [{"value": "the"}, {"value": "src7"}]}, {"clauses": [{"value": "le la", "kind": "phrase"}]}]
     return job.fielded_search(tables.submissions(spark, d), queries, job.submission_fields()).select("id")
@@ -152,12 +172,16 @@ def _expanded(source: str, text: str = "text") -> str:
 _EXPAND = f"""WITH docs AS (SELECT doc_id AS id, text FROM documents), {_expanded('docs')},
 fg AS (SELECT id FROM docs WHERE {SQL_KEYWORDS.format('text')}),
 fore AS (SELECT token, count(*) AS n FROM expanded WHERE id IN (SELECT id FROM fg) GROUP BY 1),
-back AS (SELECT token, count(*) AS n FROM expanded GROUP BY 1),
+back AS (SELECT token, count(*) AS n FROM expanded WHERE id IN (SELECT id FROM BACKGROUND) GROUP BY 1),
 totals AS (SELECT (SELECT sum(n) FROM fore)::DOUBLE AS f, (SELECT sum(n) FROM back)::DOUBLE AS b)
 SELECT token, round(kl, 9) AS kl FROM (
   SELECT fore.token, (fore.n / f) * (ln(fore.n / f) - ln(coalesce(back.n, 1) / b)) AS kl
   FROM fore LEFT JOIN back ON back.token = fore.token, totals) ORDER BY kl DESC, token LIMIT 50"""
 
+# As many posts as match, drawn by the first 60 bits of the md5 of id and seed.
+_DRAWN = """(SELECT id FROM docs WHERE ('0x' || substr(md5(id || ':17'), 1, 15))::BIGINT / 1152921504606846976.0
+  < (SELECT count(*) FROM fg) / (SELECT count(*) FROM docs))"""
+
 PLANS = {
     "keyword_filter": Plan(
         keyword_filter, f"SELECT doc_id AS id, lang FROM documents WHERE {SQL_KEYWORDS.format('text')}"
@@ -210,8 +234,18 @@ WHERE ln(4.0 / 3) * 2.2 * (a / (a + 1.2) + b / (b + 1.2) + c / (c + 1.2)) > 1.0"
         f"""WITH docs AS (SELECT doc_id AS id, text FROM documents WHERE {SQL_KEYWORDS.format('text')}), {_expanded('docs')}
 SELECT token, count(*) AS n FROM expanded GROUP BY 1 ORDER BY n DESC, token LIMIT 50""",
     ),
-    "expand_query_all": Plan(expand_all, _EXPAND),
-    "expand_query_sample": Plan(expand_sample),
+    "expand_query_all": Plan(expand_all, _EXPAND.replace("BACKGROUND", "docs")),
+    "expand_query_sample": Plan(expand_sample, _EXPAND.replace("BACKGROUND", _DRAWN)),
+    "fielded_nested": Plan(
+        fielded_nested,
+        f"""SELECT doc_id AS id FROM (SELECT doc_id, {_words('lower(text)')} AS w FROM documents)
+WHERE list_has_any(w, ['the', 'que']) AND list_has_any(w, ['with', 'las']) AND NOT list_has_all(w, ['was', 'on'])""",
+    ),
+    "fielded_punctuation": Plan(
+        fielded_punctuation,
+        f"""SELECT doc_id AS id FROM (SELECT doc_id, {_PADDED.format(_words('lower(text)'))} AS c FROM documents)
+WHERE contains(c, ' gnu general ') OR contains(c, ' license ')""",
+    ),
     "kl_scores": Plan(
         kl_by_source,
         f"""WITH fore AS (SELECT unnest({_words('lower(text)')}) AS token, count(*) AS n FROM benchmark GROUP BY 1),

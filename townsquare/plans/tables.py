@@ -32,7 +32,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _turn(key: str, rows: DataFrame, id_col: str, times: int = 1) -> Column:
+def turn(key: str, rows: DataFrame, id_col: str, times: int = 1) -> Column:
     """The id that an event's number stands for: all ids from 0 on, in turn.
     With ``times``, only each so many-th round has one."""
     n = rows.select(id_col).distinct().count()
@@ -60,8 +60,8 @@ def tweet_lines(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages").select("page_id", "url")
     written = (
         _events(spark, d)
-        .join(documents, _turn("event_id", documents, "doc_id") == F.col("doc_id"))
-        .join(pages, _turn("event_id", pages, "page_id", 4) == F.col("page_id"), "left")
+        .join(documents, turn("event_id", documents, "doc_id") == F.col("doc_id"))
+        .join(pages, turn("event_id", pages, "page_id", 4) == F.col("page_id"), "left")
     )
     name = F.concat(F.lit("User"), F.col("user_id"), F.lit("_"), F.col("source"))
     user = F.struct(F.col("user_id").alias("id"), name.alias("screen_name"))
@@ -114,8 +114,8 @@ def submission_lines(spark: SparkSession, d: str) -> DataFrame:
     pages, documents = table(spark, d, "pages").select("page_id", "url"), table(spark, d, "documents")
     rows = (
         _events(spark, d)
-        .join(pages, _turn("event_id", pages, "page_id") == F.col("page_id"))
-        .join(documents, _turn("event_id", documents, "doc_id") == F.col("doc_id"))
+        .join(pages, turn("event_id", pages, "page_id") == F.col("page_id"))
+        .join(documents, turn("event_id", documents, "doc_id") == F.col("doc_id"))
     )
     number = F.lit(1).cast("bigint")
     return _lines(
@@ -150,7 +150,7 @@ def comment_lines(spark: SparkSession, d: str) -> DataFrame:
     conversations = table(spark, d, "conversations")
     rows = (
         _events(spark, d)
-        .join(conversations, _turn("event_id", conversations, "conv_id") == F.col("conv_id"))
+        .join(conversations, turn("event_id", conversations, "conv_id") == F.col("conv_id"))
         .join(table(spark, d, "pages").select("page_id", "url"), F.col("conv_id") == F.col("page_id"), "left")
     )
     seen = F.concat(F.lit(" see ("), "url", F.lit("), www.page"), "page_id", F.lit(".co.uk/a."))
@@ -183,7 +183,7 @@ threads AS (SELECT * FROM thread_posts WHERE pos = 0)"""
 
 def thread_lines(spark: SparkSession, d: str) -> DataFrame:
     conversations = table(spark, d, "conversations")
-    rows = _events(spark, d).join(conversations, _turn("event_id", conversations, "conv_id") == F.col("conv_id"))
+    rows = _events(spark, d).join(conversations, turn("event_id", conversations, "conv_id") == F.col("conv_id"))
     markup = F.col("text")
     for sign, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("'", "&#039;"), ("\n", "<br>")):
         markup = F.replace(markup, F.lit(sign), F.lit(reference))

@@ -12,6 +12,7 @@ from townsquare.plans.tables import over, table
 from townsquare.plans.words import STOPWORDS
 
 TOPICS = 5
+SAMPLE = 20
 TRAINING = {"max_iter": 5, "min_tf": 1, "min_df": 3, "partitions": 8}
 
 
@@ -68,29 +69,45 @@ def vectorized(spark, d):
     return slots.join(known, "slot").select("id", "term", F.col("n").cast("bigint").alias("n"))
 
 
+def _report(model, vocabulary):
+    """Per topic how many terms are reported, and whether all are in the vocabulary."""
+    known = job.describe(model).join(vocabulary.select("term", F.lit(True).alias("known")), "term", "left")
+    return known.groupBy("topic").agg(
+        F.count("*").alias("n_terms"), F.every(F.coalesce("known", F.lit(False))).alias("known")
+    )
+
+
+def _topics_of(corpus):
+    model = job.train(corpus, TOPICS, STOPWORDS, **TRAINING)
+    return _report(model, job.vocabulary(corpus, STOPWORDS, min_df=TRAINING["min_df"]))
+
+
 def topics_of_documents(spark, d):
-    rows = job.describe(_model(spark, d))
-    return rows.select("topic", "rank", "term", F.round("weight", 9).alias("weight"))
+    return _topics_of(_documents(spark, d))
 
 
 def topics_of_tweets(spark, d):
-    return job.describe(_model(spark, d, job.tweet_corpus(tables.tweets(spark, d))))
+    return _topics_of(job.tweet_corpus(tables.tweets(spark, d)))
 
 
 def topics_of_mixed(spark, d):
-    return job.describe(_model(spark, d, mixed_corpus(spark, d).select("id", "text")))
+    return _topics_of(mixed_corpus(spark, d).select("id", "text"))
 
 
 def held_out(spark, d):
-    return job.held_out(_model(spark, d), _benchmark(spark, d), STOPWORDS, size=0)
+    """How many texts a model was scored on; the score itself has no SQL."""
+    return job.held_out(_model(spark, d), _benchmark(spark, d), STOPWORDS, size=0).select("docs")
 
 
 def held_out_sample(spark, d):
-    return job.held_out(_model(spark, d), _benchmark(spark, d), STOPWORDS, size=20)
+    return job.held_out(_model(spark, d), _benchmark(spark, d), STOPWORDS, size=SAMPLE).select("docs")
 
 
 def purity(spark, d):
-    return job.purity(_model(spark, d), _corpora(spark, d), STOPWORDS, size=0)
+    """The purity table added up over its topics: each corpus is there whole."""
+    corpora = _corpora(spark, d)
+    table = job.purity(_model(spark, d), corpora, STOPWORDS, size=0)
+    return table.agg(*[F.sum(p).alias(p) for p in corpora])
 
 
 def purity_of_slots(spark, d):
@@ -118,31 +135,38 @@ def similarity(spark, d):
 
 
 def model_similarity(spark, d):
-    left = _model(spark, d)
-    right = _model(spark, d, job.submission_corpus(tables.submissions(spark, d)))
-    return job.similarity(job.topic_terms(left), job.topic_terms(right))
+    """Each topic of a model against itself."""
+    terms = job.topic_terms(_model(spark, d))
+    rows = job.similarity(terms, terms).where("left_topic = right_topic")
+    return rows.select(F.col("left_topic").alias("topic"), F.round("cosine", 9).alias("cosine"))
 
 
 def _dated(spark, d):
-    """Documents under the day of the event with their number; even and odd
-    sources stand for two platforms."""
-    events = table(spark, d, "events").select("event_id", F.col("ts").cast("date").cast("string").alias("day"))
+    """Events with the text of the document whose turn it is, by week of the
+    year; even and odd sources stand for two platforms."""
     documents = table(spark, d, "documents")
+    events = table(spark, d, "events").select("event_id", F.col("ts").cast("date").alias("day"))
+    thursday = F.date_add(F.date_trunc("week", "day").cast("date"), 3)
+    week = F.concat(F.year(thursday), F.lit("-W"), F.lpad(F.weekofyear("day"), 2, "0"))
     odd = F.regexp_extract("source", r"(\d+)", 1).cast("int") % 2
-    return documents.join(events, F.col("doc_id") == F.col("event_id")).select(
-        F.when(odd == 1, "odd").otherwise("even").alias("platform"), "day", F.col("doc_id").alias("id"), "text"
+    rows = events.join(documents, tables.turn("event_id", documents, "doc_id") == F.col("doc_id"))
+    return rows.select(
+        F.when(odd == 1, "odd").otherwise("even").alias("platform"), week.alias("week"), F.col("event_id").alias("id"), "text"
     )
 
 
-_GRID = {"period": "day", "max_iter": 2, "min_tf": 1, "min_df": 3, "partitions": 8}
+_GRID = {"period": "week", "max_iter": 2, "min_tf": 1, "min_df": 3, "partitions": 8}
 
 
 def month_ahead(spark, d):
-    return job.month_ahead(_dated(spark, d), [3], stopwords=STOPWORDS, size=0, **_GRID)
+    """Which models were scored on what, and on how many texts."""
+    return job.month_ahead(_dated(spark, d), [3], stopwords=STOPWORDS, size=0, **_GRID).drop("log_likelihood")
 
 
 def purity_ahead(spark, d):
-    return job.purity_ahead(_dated(spark, d), 3, stopwords=STOPWORDS, size=0, **_GRID)
+    """The purity tables added up over their topics."""
+    rows = job.purity_ahead(_dated(spark, d), 3, stopwords=STOPWORDS, size=0, **_GRID)
+    return rows.groupBy("train", "week").agg(F.sum("even").alias("even"), F.sum("odd").alias("odd"))
 
 
 _STOPS = ", ".join("'" + w.lower() + "'" for w in STOPWORDS)
@@ -155,10 +179,28 @@ UNION ALL SELECT 'reddit', 'reddit:' || id, title FROM submissions
 UNION ALL SELECT 'fourchan', 'fourchan:' || no, text FROM threads"""
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+(?:[''’.][\p{L}\p{M}\p{N}_]+)*')"
 
+_QUALITY = "lang = 'en' AND (event_type <> 'click' OR other_id IS NULL)"
+
+
+def _reported(views: str, corpus: str) -> str:
+    """As many terms per topic as are reported, or as there are."""
+    size = f"""size AS (SELECT count(*) AS n FROM (SELECT term FROM (
+  SELECT DISTINCT id, unnest(regexp_extract_all(lower(text), '#?[\\p{{L}}\\p{{N}}_.''-]+')) AS term FROM ({corpus}))
+  WHERE term NOT IN ({_STOPS}) GROUP BY term HAVING count(*) >= {TRAINING["min_df"]}))"""
+    return over(
+        views, f"SELECT CAST(t AS INT) AS topic, least(n, {job.TERMS_PER_TOPIC})::BIGINT AS n_terms, true AS known FROM range({TOPICS}) r(t), size", size
+    )
+
+
+_WEEKS = """d AS (SELECT CASE WHEN regexp_extract(source, '(\\d+)', 1)::INT % 2 = 1 THEN 'odd' ELSE 'even' END AS platform,
+  date_trunc('week', ts)::DATE AS monday, text
+  FROM events JOIN documents ON doc_id = event_id % (SELECT count(*) FROM documents)),
+n AS (SELECT platform, monday, strftime(monday, '%G-W%V') AS week, count(*) AS docs FROM d WHERE text IS NOT NULL GROUP BY ALL)"""
+
 PLANS = {
     "quality_tweets": Plan(
         quality_tweets,
-        over("tweets", "SELECT id, text FROM tweets WHERE lang = 'en' AND (event_type <> 'click' OR other_id IS NULL)"),
+        over("tweets", f"SELECT id, text FROM tweets WHERE {_QUALITY}"),
     ),
     "submission_corpus": Plan(submission_corpus, over("submissions", "SELECT id, title AS text FROM submissions")),
     "thread_corpus": Plan(thread_corpus, over("threads", "SELECT no AS id, text FROM threads")),
@@ -173,12 +215,26 @@ WHERE n >= 3 AND term IN (SELECT term FROM counts GROUP BY term HAVING count(*)
         vectorized,
         f"WITH {_COUNTS} SELECT id, term, n FROM counts WHERE n >= 2 AND term IN (SELECT term FROM ({_VOCABULARY}))",
     ),
-    "topics_of_documents": Plan(topics_of_documents),
-    "topics_of_tweets": Plan(topics_of_tweets),
-    "topics_of_mixed": Plan(topics_of_mixed),
-    "held_out_likelihood": Plan(held_out),
-    "held_out_likelihood_sample": Plan(held_out_sample),
-    "topic_purity": Plan(purity),
+    "topics_of_documents": Plan(topics_of_documents, _reported("", "SELECT doc_id AS id, text FROM documents")),
+    "topics_of_tweets": Plan(topics_of_tweets, _reported("tweets", f"SELECT id, text FROM tweets WHERE {_QUALITY}")),
+    "topics_of_mixed": Plan(topics_of_mixed, _reported("tweets submissions threads", f"SELECT id, text FROM ({_MIXED})")),
+    "held_out_likelihood": Plan(held_out, "SELECT count(*) AS docs FROM benchmark WHERE text IS NOT NULL"),
+    "held_out_likelihood_sample": Plan(
+        held_out_sample,
+        f"""WITH b AS (SELECT ('0x' || substr(md5(item_id || ':17'), 1, 15))::BIGINT / 1152921504606846976.0 AS u FROM benchmark),
+m AS (SELECT {SAMPLE} / count(*) AS mean FROM benchmark),
+p AS (SELECT j, sum(exp(-mean) * pow(mean, j) / gamma(j + 1)) OVER (ORDER BY j) AS below FROM m, range(60) r(j))
+SELECT CAST(coalesce(sum((below <= u)::INT), 0) AS BIGINT) AS docs FROM b, p""",
+    ),
+    "topic_purity": Plan(
+        purity,
+        over(
+            "tweets submissions threads",
+            f"""SELECT CAST(sum((platform = 'twitter')::INT) AS BIGINT) AS twitter,
+  CAST(sum((platform = 'reddit')::INT) AS BIGINT) AS reddit, CAST(sum((platform = 'fourchan')::INT) AS BIGINT) AS fourchan
+FROM ({_MIXED})""",
+        ),
+    ),
     "purity_table": Plan(
         purity_of_slots,
         """WITH t AS (SELECT label % 3 AS l, CASE WHEN len(list_filter(embedding, lambda x: x <> 0)) = 0 THEN -1
@@ -197,7 +253,20 @@ dots AS (SELECT l.topic AS a, r.topic AS b, sum(l.w * r.w) AS dot FROM l JOIN r
 SELECT ln.topic AS left_topic, rn.topic AS right_topic, round(coalesce(dot, 0) / (ln.norm * rn.norm), 9) AS cosine
 FROM ln CROSS JOIN rn LEFT JOIN dots ON dots.a = ln.topic AND dots.b = rn.topic""",
     ),
-    "model_similarity": Plan(model_similarity),
-    "month_ahead": Plan(month_ahead),
-    "purity_ahead": Plan(purity_ahead),
+    "model_similarity": Plan(
+        model_similarity, f"SELECT CAST(t AS INT) AS topic, 1.0::DOUBLE AS cosine FROM range({TOPICS}) r(t)"
+    ),
+    "month_ahead": Plan(
+        month_ahead,
+        f"""WITH {_WEEKS}
+SELECT DISTINCT a.platform AS train, n.platform AS test, n.week, 3 AS k, n.docs FROM n a JOIN n ON n.monday = a.monday + 7""",
+    ),
+    "purity_ahead": Plan(
+        purity_ahead,
+        f"""WITH {_WEEKS},
+t AS (SELECT DISTINCT platform AS train, monday FROM n UNION SELECT 'all', monday FROM n)
+SELECT train, n.week, CAST(coalesce(sum(docs) FILTER (platform = 'even'), 0) AS BIGINT) AS even,
+  CAST(coalesce(sum(docs) FILTER (platform = 'odd'), 0) AS BIGINT) AS odd
+FROM t JOIN n ON n.monday = t.monday + 7 GROUP BY ALL""",
+    ),
 }
