@@ -28,7 +28,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def cut(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` as a table and read it back, so that what follows never runs ``df`` again."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -67,7 +67,15 @@ def utf8(column: str | Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit("")).cast("binary")
 
 
-def pieces(batch: pd.DataFrame, column: str = "text", most: int = 1 << 23) -> Iterator[pd.DataFrame]:
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets Arrow batches hold so many rows at most, from now on in this session: texts are long rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, rows)
+
+
+def pieces(batch: pd.DataFrame, column: str = "text", most: int = 1 << 21) -> Iterator[pd.DataFrame]:
     """The batch, cut so that the texts of a piece hold ``most`` bytes, or are a single longer text."""
     start = held = 0
     for i, size in enumerate(map(len, batch[column])):
@@ -96,6 +104,35 @@ class Numbers(dict):
         return fresh
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order. Sorts, which is faster here than numpy's hashing."""
+    ordered = np.sort(values)
+    return ordered[_first(ordered)]
+
+
+def _first(ordered: np.ndarray) -> np.ndarray:
+    first = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
+    return first
+
+
+def distinct_counts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and how often each occurs."""
+    ordered = np.sort(values)
+    places = np.flatnonzero(_first(ordered))
+    return ordered[places], np.diff(np.append(places, len(ordered)))
+
+
+def distinct_places(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the place of each value among them."""
+    order = np.argsort(values)
+    ordered = values[order]
+    first = _first(ordered)
+    places = np.empty(len(values), np.int64)
+    places[order] = np.cumsum(first) - 1
+    return ordered[first], places
+
+
 def ragged(parts: list[list[int]], dtype=np.int32) -> tuple[np.ndarray, np.ndarray]:
     """The lists as one array, and their lengths."""
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))

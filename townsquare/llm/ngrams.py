@@ -23,7 +23,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from townsquare.llm.common import Numbers, cut, fold, pieces, ragged, scratch, sums, utf8, words_of
+from townsquare.llm.common import (
+    Numbers, cut, distinct, distinct_counts, distinct_places, fold, pieces, ragged, scratch, small_batches, sums, utf8, words_of,
+)
 
 ADD = 0.1  # added to each count by the base score
 DELETED = 8  # each eighth chunk is deleted to learn the weights
@@ -82,8 +84,10 @@ class Chunk:
 
 def _counted(hashes: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes and how often each occurs where ``train`` holds."""
-    seen, counts = np.unique(hashes[train], return_counts=True)
-    other = np.setdiff1d(hashes[~train], seen)
+    seen, counts = distinct_counts(hashes[train])
+    other = distinct(hashes[~train])
+    if len(seen):
+        other = other[seen[np.minimum(np.searchsorted(seen, other), len(seen) - 1)] != other]
     place = np.searchsorted(seen, other)
     return np.insert(seen, place, other), np.insert(counts, place, 0)
 
@@ -124,7 +128,7 @@ def _add(order: int):
         for k in range(order):
             cuts = [slice(e[k] - s[k], e[k]) for e, s in zip(ends, sizes, strict=True)]
             hashes = np.concatenate([np.cumsum(key[c], dtype=np.uint64) for key, c in zip(keys, cuts, strict=True)])
-            seen, place = np.unique(hashes, return_inverse=True)
+            seen, place = distinct_places(hashes)
             own = np.concatenate([n[c] for n, c in zip(counts, cuts, strict=True)])
             left_out = np.repeat(deleted, sizes[:, k])
             total = np.bincount(place, own, len(seen)).astype(np.int64)
@@ -165,7 +169,7 @@ def _looked_up(chunk: Chunk, rows: pd.Series) -> list[np.ndarray]:
     laid = [unpack(row) for row in rows]
     out = []
     for k, hashes in enumerate(chunk.grams):
-        seen = np.unique(hashes)
+        seen, place = distinct_places(hashes)
         counts = []
         for row in laid:
             begin = order + int(row[:k].sum())
@@ -173,7 +177,7 @@ def _looked_up(chunk: Chunk, rows: pd.Series) -> list[np.ndarray]:
         values = np.concatenate(counts).astype(np.int64)
         if len(values) != len(seen):
             raise RuntimeError("a chunk and its totals differ; the documents changed while they were read")
-        out.append(values[np.searchsorted(seen, hashes)])
+        out.append(values[place])
     return out
 
 
@@ -284,6 +288,7 @@ def ngram_scores(docs: DataFrame, text: str = "text", order: int = 2, chunk_byte
     the blocks between them from getting small.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = scratch(spark, "ngrams")
     held_out = fold("doc_id", 10) == 0
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
