@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from townsquare.llm.common import packed, pieces, ragged, unpacked
+from townsquare.llm.common import packed, pieces, ragged, small_batches, unpacked
 
 K1, B = 1.2, 0.75
 MIN_SHARE = 0.5  # of an item's own score
@@ -261,6 +261,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFra
     """
     kind = "array<struct<item_id:string,start:bigint,score:double,question:double,answer:double>>"
     names = ["item_id", "start", "score", "question", "answer"]
+    small_batches(docs.sparkSession)
     rows = packed(docs)
     found = F.array().cast(kind)
     for number, index in enumerate(indexes(items)):

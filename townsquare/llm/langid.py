@@ -25,12 +25,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from townsquare.llm.common import Numbers, fold, packed, pieces, ragged, sums, unpacked
+from townsquare.llm.common import Numbers, fold, packed, pieces, ragged, small_batches, sums, unpacked
 
 UNDETERMINED = "und"
 CHAIN = 64  # words of a chain; a longer text is several chains
 HALF = 32  # words of a training window; a training chain is two of them
-NUMBERED_AT_MOST = 400_000  # distinct words that a task remembers
+NUMBERED_AT_MOST = 150_000  # distinct words that a task remembers
 LABELS_AT_MOST = 1000
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -124,6 +124,7 @@ def train(
     no more. A training chain is two windows in random order, so that some
     switch language in the middle, which is how transitions are learned.
     """
+    small_batches(docs.sparkSession)
     known = docs.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("label"), "doc_id", F.col(text).alias("text"))
     totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     labels = sorted(totals)
@@ -251,6 +252,7 @@ def languages(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     is bounded by its parameters; it goes to the tasks with the function.
     """
     labels = model.labels
+    small_batches(docs.sparkSession)
 
     def tag(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tagger = Tagger(model)

@@ -26,13 +26,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from townsquare.llm.common import Numbers, packed, pieces, ragged, unpacked
+from townsquare.llm.common import Numbers, packed, pieces, ragged, small_batches, unpacked
 
 SHINGLE = 5  # words
 MIN_CONTAINMENT = 0.8  # of a template's shingles
 HASHES, ROWS = 8, 2  # minima of a signature, and of a band
 SIEVE_BITS = 20
-NUMBERED_AT_MOST = 400_000  # distinct words that a task remembers
+NUMBERED_AT_MOST = 150_000  # distinct words that a task remembers
 
 WORDS = re.compile(r"\w+")
 
@@ -236,6 +236,7 @@ def scan_licenses(
     go to the tasks with the function: keep them to some thousands.
     """
     names = ["license", "start", "end", "containment"]
+    small_batches(docs.sparkSession)
 
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         matcher = Matcher(templates)

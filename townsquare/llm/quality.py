@@ -22,11 +22,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from townsquare.llm.common import Numbers, fold, packed, pieces, ragged, sums, unpacked, utf8
+from townsquare.llm.common import Numbers, fold, packed, pieces, ragged, small_batches, sums, unpacked, utf8
 
 GRAMS = (3, 4)  # lengths of character n-grams, in bytes of the word between < and >
 AGAIN = 4  # a word is repeated if it ends a run of so many words seen before in the text
-NUMBERED_AT_MOST = 400_000  # distinct words that a task remembers
+NUMBERED_AT_MOST = 150_000  # distinct words that a task remembers
 
 
 class Model(NamedTuple):
@@ -134,6 +134,7 @@ def train(
                 made = [maker.bag(bytes(t)) for t in part["text"]]
                 yield pd.DataFrame({"y": part["y"].to_numpy(), "ids": [m[0] for m in made], "n": [m[1] for m in made]})
 
+    small_batches(labelled.sparkSession)
     chosen = sample(labelled.where(F.col(label).isin(0, 1)), rows, seed)
     rows_ = (
         chosen.select(F.col(label).cast("int").alias("y"), utf8("text").alias("text"), "doc_id")
@@ -184,6 +185,7 @@ def scores(docs: DataFrame, model: Model, text: str | Column = "text", name: str
                 found.append(1 / (1 + np.exp(np.clip(out[:, 0] - out[:, 1], -50, 50))))
             yield pd.Series(np.concatenate(found) if found else np.zeros(0))
 
+    small_batches(docs.sparkSession)
     scored = F.pandas_udf(score, "double").asNondeterministic()
     body = F.col(f"row.`{text}`") if isinstance(text, str) else text
     return unpacked(packed(docs).withColumn("scored", scored(utf8(body))), **{name: F.col("scored")})

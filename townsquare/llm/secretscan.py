@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from townsquare.llm.common import packed, unpacked, utf8
+from townsquare.llm.common import packed, small_batches, unpacked, utf8
 
 
 class Rule(NamedTuple):
@@ -383,6 +383,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
                 [[{"kind": k, "start": s, "end": e} for k, s, e in find(bytes(t), rules)] for t in texts], dtype=object
             )
 
+    small_batches(docs.sparkSession)
     # Without a non-deterministic mark the optimizer would run the scan once per use.
     scanned = F.pandas_udf(scan, "array<struct<kind:string,start:bigint,end:bigint>>").asNondeterministic()
     rows = packed(docs).withColumn("found", scanned(utf8(F.col(f"row.`{text}`"))))
