@@ -151,3 +151,19 @@ def test_scale_names():
     assert [time.scale_name(s) for s in ("-m", "hourly", "Day")] == ["minute", "hour", "day"]
     with pytest.raises(ValueError):
         time.scale_name("week")
+
+
+def test_references_like_the_standard(spark):
+    import html
+    import random
+
+    rng = random.Random(7)
+    bits = ["&", "&amp;", "&lt", "&gt;", "&notit;", "&not", "&copy", "&copyx", "&eacute;", "&NotEqualTilde;", "&#", "&#x", "&#39;", "&#039;"]
+    bits += ["&#x27", "&#128;", "&#150", "&#0;", "&#13;", "&#1;", "&#xD800;", "&#x110000;", "&#99999999999999999999;", "&#x1F600;", "&#xFDD0;"]
+    bits += ["&unknown;", "&#xZ;", "&ampamp;", " ", "x", "\n", ";", "é", "&#65533;", "&#x1FFFE;", "&fjlig;", "&hellip"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(8))) for _ in range(3000)] + [f"{b}." for b in bits]
+    table = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    got = table.select("t", text.decode_entities(F.col("t")).alias("d"))
+    for r in got.collect():
+        assert r.d == (html.unescape(r.t) if r.t is not None else None), r.t
+    assert "Python" not in got._jdf.queryExecution().toString()

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import html
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from townsquare.functions.links import LINK_IN_TEXT, TRAILING_PUNCTUATION
+from townsquare.functions.links import LINK_IN_TEXT, TRAILING_PUNCTUATION, let
 
 # A word: letters, digits, marks and underscores, joined by an inner
 # apostrophe or period.
 WORD = r"[\p{L}\p{M}\p{N}_]+(?:['’.][\p{L}\p{M}\p{N}_]+)*"
 # Words for topic models: an optional hash sign, then letters, digits, _ . ' -
+# The hyphen stands last: before the apostrophe it would be an invalid range.
 TOPIC_WORD = r"#?[\p{L}\p{N}_.'-]+"
 # Plain text whose entities are unknown: links, tags and names are whole words.
 ENTITY_OR_WORD = r"https?://\S+|[#@]\w+|" + WORD
@@ -121,14 +120,60 @@ def topic_tokens(text: Column, stopwords: list[str] | None = None) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(drop))
 
 
+# A character reference, the text between two of them, or a lone ampersand.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_PARTS = REFERENCE + r"|[^&]+|&"
+_NAMES, _VALUES = map(list, zip(*sorted(html5.items()), strict=True))
+_SHORT = max(len(name) for name in _NAMES if not name.endswith(";"))  # names that need no semicolon
+# What the numbers 128 to 159 stand for on the web.
+_WINDOWS = "".join(bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160))
+
+
 def decode_entities(text: Column) -> Column:
-    """HTML character references decoded, in Arrow batches."""
+    """HTML character references decoded, by the rules of the HTML standard."""
+    parts = F.regexp_extract_all(text, F.lit(_PARTS), F.lit(0))
+
+    def decoded(part: Column) -> Column:
+        number = part.startswith("&#") & (F.length(part) > 2)
+        known = F.when(part == "&amp;", "&").when(part == "&lt;", "<").when(part == "&gt;", ">")
+        known = known.when(part == "&quot;", '"').when(part == "&#039;", "'")
+        return F.when(~part.startswith("&") | (part == "&"), part).otherwise(
+            F.coalesce(known, F.when(number, let(_code(part), _character)).otherwise(_named(part)))
+        )
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(parts, decoded), "")).otherwise(text)
+
+
+def _code(reference: Column) -> Column:
+    """The number of a reference; one beyond all characters if it is too large."""
+    digits = F.concat(F.lit("0"), F.regexp_extract(reference, "^&#[xX]?0*([0-9a-fA-F]*)", 1))
+    base = F.when(reference.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10))
+    return F.when(F.length(digits) > 9, F.lit(0x110000).cast("bigint")).otherwise(base.cast("bigint"))
+
+
+def _character(code: Column) -> Column:
+    low = F.pmod(code, F.lit(0x10000))
+    silent = (
+        code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (low >= 0xFFFE)
+    )
+    utf32 = F.unhex(F.lpad(F.hex(F.when(code.between(0, 0x10FFFF), code).otherwise(F.lit(0xFFFD))), 8, "0"))
+    return (
+        F.when((code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), "\ufffd")
+        .when(code.between(128, 159), F.substring(F.lit(_WINDOWS), (code - 127).cast("int"), F.lit(1)))
+        .when(silent, "")
+        .otherwise(F.decode(utf32, "UTF-32"))
+    )
 
-    # Nested, so that it travels to the workers by value.
-    def unescape(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda s: html.unescape(s) if "&" in s else s, na_action="ignore")
 
-    return F.pandas_udf(unescape, StringType())(text)
+def _named(reference: Column) -> Column:
+    """A named reference, or the longest beginning that is one without a semicolon."""
+    names = F.map_from_arrays(F.lit(_NAMES), F.lit(_VALUES))
+    name = F.substring(reference, 2, 40)
+    found = [F.try_element_at(names, name)]
+    for n in range(_SHORT, 1, -1):
+        rest = F.substring(name, n + 1, 40)
+        found.append(F.when(F.length(name) > n, F.concat(F.try_element_at(names, F.substring(name, 1, n)), rest)))
+    return F.coalesce(*found, reference)
 
 
 # Comments vanish; script, style and block tags part words; other tags do not.
