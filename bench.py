@@ -28,19 +28,24 @@ HEADLINE = [
     # networks
     "mention_edges", "trimmed_edges", "louvain_half_cycle", "modularity", "louvain_level",
     # topics
-    "term_counts", "topic_similarity", "topics_of_documents", "held_out_likelihood",
+    "term_counts", "topic_similarity", "topics_of_documents", "held_out_likelihood", "topics_of_tweets", "topic_purity",
+    "model_similarity", "month_ahead",
 ]
 
 
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
+    here = os.path.dirname(os.path.abspath(__file__))
     names = os.environ.get("BENCH_QUERIES", "").split() or HEADLINE
     spark = build_session(
         "bench",
         spark__master=f"local[{cpus}]",
         spark__sql__shuffle__partitions=cpus,
         spark__driver__memory="12g",
+        spark__sql__files__maxPartitionBytes="8m",
+        spark__sql__warehouse__dir=f"{here}/spark-warehouse",
+        spark__checkpoint__dir=os.environ.get("TOWNSQUARE_SCRATCH", f"{here}/spark-warehouse/scratch"),
         spark__ui__enabled="false",
     )
     spark.sparkContext.setLogLevel("ERROR")

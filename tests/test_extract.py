@@ -99,3 +99,12 @@ def test_lists_from_files(spark, tmp_path):
     (tmp_path / "names").write_text("Ann\n\n BOB \n")
     assert sorted(r.id for r in read_ids(spark, str(tmp_path / "ids")).collect()) == [1, 22]
     assert sorted(r.name for r in read_names(spark, str(tmp_path / "names")).collect()) == ["ann", "bob"]
+
+
+def test_many_copies_of_one_id_are_one_row_per_task(spark):
+    copies = spark.range(0, 1_000_000, 1, 8).selectExpr("id % 2 AS id", "'the same line' AS raw")
+    found = extract.tweets_by_id_once(copies, spark.createDataFrame([(1,)], "id bigint"))
+    assert [tuple(r) for r in found.collect()] == [(1, "the same line")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    join, partial = plan.index("LeftSemi"), plan.index("partial_min")
+    assert partial < join and "Exchange" not in plan[partial:join]

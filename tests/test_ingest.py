@@ -1,8 +1,10 @@
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 from records import THREAD, comment, post, submission, tweet, url
 
+from townsquare.operators import extract
 from townsquare.sources import posts
 
 
@@ -103,3 +105,46 @@ def test_reads_gz_and_lists(spark, lines, tmp_path):
     both = posts.tweets(posts.read_lines(spark, f"{a}, {b}", partitions=3))
     assert sorted(r.id for r in both.select("id").collect()) == [1, 2]
     assert both.where(F.col("created_time") == dt.datetime(2024, 1, 3, 10, 20, 30)).count() == 2
+
+
+def decoded_fields(df):
+    """The struct types that the optimized plan decodes lines into."""
+    return re.findall(r"from_json\(StructField\(.*?\), value", df._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_only_named_fields_are_decoded(lines):
+    table = lines(tweet(1, urls=[url("http://e.org")], retweeted_status=tweet(2)))
+    (plan,) = decoded_fields(posts.tweets(table, columns=["created_time"]))
+    for name in ("entities", "retweeted_status", "quoted_status", "lang", "screen_name"):
+        assert name not in plan
+    assert posts.tweets(table, columns=["created_time"]).columns == ["created_time"]
+    assert posts.submissions(lines(submission("s")), columns=["title"]).first() == ("A title",)
+    assert posts.comments(lines(comment("c")), columns=["text", "created_time"]).columns == ["text", "created_time"]
+    (plan,) = decoded_fields(posts.reddit_posts(lines(submission("s"), comment("c"))))
+    assert "thumbnail" not in plan
+
+
+def test_citations_are_read_as_deep_as_asked(lines):
+    deep = tweet(4, urls=[url("http://d.org")])
+    for i in (3, 2, 1):
+        deep = tweet(i, urls=[url(f"http://{i}.org")], quoted_status=deep)
+    for citations, n in ((1, 2), (2, 3), (3, 4)):
+        table = posts.tweets(lines(deep), citations=citations)
+        assert extract.link_counts(table, citations=citations).count() == n
+
+
+def test_report_and_readers_agree_on_bad_lines(lines):
+    no_user_id = tweet(2)
+    del no_user_id["user"]["id"]
+    bad_reply = {"posts": [post(1), {k: v for k, v in post(2).items() if k != "time"}]}
+    table = lines(
+        tweet(1), no_user_id, tweet(3, at="yesterday"), {**tweet(4), "id": "x"}, THREAD, bad_reply, {"posts": []},
+        submission("s"), comment("c"), "junk", '{"id": 5, "text": "cut',
+    )
+    got = {(r.platform, r.kind): r.n for r in posts.ingest_report(table).collect()}
+    assert got == {
+        ("twitter", "tweet"): posts.tweets(table).count(), ("fourchan", "thread"): posts.threads(table).count(),
+        ("reddit", "submission"): posts.submissions(table).count(), ("reddit", "comment"): posts.comments(table).count(),
+        (None, None): 7,
+    }
+    assert got["twitter", "tweet"] == 1 and posts.reddit_posts(table).count() == 2

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from townsquare.functions import links
 from townsquare.operators import extract as job
 from townsquare.plans import Plan, tables
 from townsquare.plans.tables import over, sql_domain, table
@@ -47,34 +48,40 @@ def posts_by_author(spark, d):
 
 
 def _domains(spark, d):
-    return table(spark, d, "region").where("r_regionkey < 2").select(
-        F.when(F.col("r_regionkey") == 0, "example.com").otherwise("Example.ORG").alias("domain")
-    )
+    """The sites of the pages but one, in capitals."""
+    sites = table(spark, d, "pages").select(links.registered_domain(F.col("url")).alias("site")).distinct()
+    return sites.where("site <> 'example.net'").select(F.upper("site").alias("domain"))
 
 
 def users_by_domain(spark, d):
-    return job.users_by_domain(tables.tweets(spark, d), _domains(spark, d))
+    return job.users_by_domain(tables.tweets(spark, d, "user", "entities"), _domains(spark, d))
 
 
 def users_by_domain_distinct(spark, d):
-    return job.users_by_domain(tables.tweets(spark, d), _domains(spark, d), distinct=True)
+    return job.users_by_domain(tables.tweets(spark, d, "user", "entities"), _domains(spark, d), distinct=True)
+
+
+def _cited(spark, d):
+    return tables.tweets(spark, d, "user", "entities", "retweeted_status", "quoted_status")
 
 
 def link_counts(spark, d):
-    return job.link_counts(tables.tweets(spark, d))
+    return job.link_counts(_cited(spark, d))
 
 
 def link_counts_top(spark, d):
-    return job.link_counts(tables.tweets(spark, d), k=25)
+    return job.link_counts(_cited(spark, d), k=25)
 
 
 def tweet_domain_edges(spark, d):
-    rows = job.tweet_domain_edges(tables.tweets(spark, d))
+    rows = job.tweet_domain_edges(tables.tweets(spark, d, "user", "entities", "created_time"))
     return rows.withColumn("time", F.col("time").cast("timestamp_ntz"))
 
 
 def reddit_domain_edges(spark, d):
-    rows = job.reddit_domain_edges(tables.submissions(spark, d), tables.comments(spark, d))
+    rows = job.reddit_domain_edges(
+        tables.submissions(spark, d, "author", "created_time", "url"), tables.comments(spark, d, "author", "created_time", "body")
+    )
     return rows.withColumn("time", F.col("time").cast("timestamp_ntz"))
 
 

@@ -24,12 +24,16 @@ def mention_vertices(spark, d):
     return _graph(spark, d).vertices
 
 
+def _retweets(spark, d):
+    return tables.tweets(spark, d, "user", "retweeted_status", "created_time")
+
+
 def retweet_edges(spark, d):
-    return job.retweet_graph(tables.tweets(spark, d)).edges
+    return job.retweet_graph(_retweets(spark, d)).edges
 
 
 def retweet_vertices(spark, d):
-    return job.retweet_graph(tables.tweets(spark, d)).vertices
+    return job.retweet_graph(_retweets(spark, d)).vertices
 
 
 def trimmed_edges(spark, d):

@@ -25,7 +25,7 @@ def keyword_filter(spark, d):
 
 
 def keyword_filter_tweets(spark, d):
-    tweets = tables.tweets(spark, d)
+    tweets = tables.tweets(spark, d, "id", "text", "retweeted_status", "raw")
     return job.keyword_filter(tweets, KEYWORDS, job.tweet_search_text()).select("id", "raw").select("id")
 
 

@@ -29,11 +29,11 @@ def _model(spark, d, corpus=None):
 
 
 def quality_tweets(spark, d):
-    return job.tweet_corpus(tables.tweets(spark, d))
+    return job.tweet_corpus(tables.tweets(spark, d, "id", "text", "lang", "entities", "retweeted_status"))
 
 
 def submission_corpus(spark, d):
-    return job.submission_corpus(tables.submissions(spark, d))
+    return job.submission_corpus(tables.submissions(spark, d, "id", "title"))
 
 
 def thread_corpus(spark, d):
@@ -42,8 +42,8 @@ def thread_corpus(spark, d):
 
 def _corpora(spark, d):
     return {
-        "twitter": job.tweet_corpus(tables.tweets(spark, d), quality=False),
-        "reddit": job.submission_corpus(tables.submissions(spark, d)),
+        "twitter": job.tweet_corpus(tables.tweets(spark, d, "id", "text"), quality=False),
+        "reddit": job.submission_corpus(tables.submissions(spark, d, "id", "title")),
         "fourchan": job.thread_corpus(tables.threads(spark, d)),
     }
 
@@ -87,7 +87,7 @@ def topics_of_documents(spark, d):
 
 
 def topics_of_tweets(spark, d):
-    return _topics_of(job.tweet_corpus(tables.tweets(spark, d)))
+    return _topics_of(job.tweet_corpus(tables.tweets(spark, d, "id", "text", "lang", "entities", "retweeted_status")))
 
 
 def topics_of_mixed(spark, d):
