@@ -18,12 +18,20 @@ def _long(tokens):
     return tokens.withColumn("pos", F.col("pos").cast("bigint"))
 
 
+def _digest(tokens):
+    """A row per post: how many tokens it has, and a checksum of all of them in order."""
+    listed = F.sort_array(F.collect_list(F.struct("pos", "token")))
+    rows = tokens.groupBy("doc_id").agg(listed.alias("t"))
+    return rows.select("doc_id", F.size("t").cast("bigint").alias("n"), F.md5(F.array_join("t.token", " ")).alias("tokens"))
+
+
 def tweet_tokens(spark, d):
-    return _long(job.tweet_tokens(tables.tweets(spark, d)))
+    return _digest(job.tweet_tokens(tables.tweets(spark, d, "id", "text", "entities")))
 
 
 def tweet_tokens_bigrams(spark, d):
-    return _long(job.tweet_tokens(tables.tweets(spark, d), make_bigrams=True, preserve_case=False))
+    tweets = tables.tweets(spark, d, "id", "text", "entities")
+    return _digest(job.tweet_tokens(tweets, make_bigrams=True, preserve_case=False))
 
 
 def text_tokens(spark, d):
@@ -33,7 +41,7 @@ def text_tokens(spark, d):
 
 
 def reddit_tokens(spark, d):
-    return _long(job.reddit_tokens(tables.comments(spark, d)))
+    return _digest(job.reddit_tokens(tables.comments(spark, d, "id", "text")))
 
 
 def topic_tokens(spark, d):
@@ -50,6 +58,12 @@ def _numbered(source: str, id_col: str, tokens: str) -> str:
   SELECT {id_col} AS doc_id, unnest(list_zip({tokens}, range(len({tokens})))) AS z FROM {source})"""
 
 
+def _digested(source: str, id_col: str, tokens: str) -> str:
+    """The rows of ``_digest`` in SQL."""
+    return f"""SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS tokens
+FROM (SELECT {id_col} AS doc_id, {tokens} AS t FROM {source}) WHERE len(t) > 0"""
+
+
 def _words(text: str) -> str:
     return f"regexp_extract_all({text}, '{SQL_WORD}')"
 
@@ -88,12 +102,12 @@ PLANS = {
 GROUP BY 1 ORDER BY n DESC, token LIMIT 50""",
         ),
     ),
-    "tweet_tokens": Plan(tweet_tokens, over("tweets", _numbered("tweets", "id", f"({_TWEET})"))),
+    "tweet_tokens": Plan(tweet_tokens, over("tweets", _digested("tweets", "id", f"({_TWEET})"))),
     "tweet_tokens_bigrams": Plan(
         tweet_tokens_bigrams,
         over(
             "tweets",
-            _numbered(f"(SELECT id, {_FOLDED.format('(' + _TWEET + ')')} AS t FROM tweets)", "id", _PAIRED.format("t")),
+            _digested(f"(SELECT id, {_FOLDED.format('(' + _TWEET + ')')} AS t FROM tweets)", "id", _PAIRED.format("t")),
         ),
     ),
     "text_tokens": Plan(
@@ -106,7 +120,7 @@ GROUP BY 1 ORDER BY n DESC, token LIMIT 50""",
         ) + ")",
     ),
     "reddit_tokens": Plan(
-        reddit_tokens, over("comments", _numbered("comments", "id", f"({_words(_SAID)} || {_SEEN})"))
+        reddit_tokens, over("comments", _digested("comments", "id", f"({_words(_SAID)} || {_SEEN})"))
     ),
     "topic_tokens": Plan(
         topic_tokens,
