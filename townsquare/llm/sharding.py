@@ -74,7 +74,8 @@ def uniform_shards(df: DataFrame, n_shards: int = 24, seed: int = 7, rows_per_bl
     spark = df.sparkSession
     drawn = cut(
         packed(df).select(
-            "row", F.spark_partition_id().alias("part"), F.rand(seed).alias("first"), F.rand(seed + 1).alias("second")
+            "row", F.monotonically_increasing_id().alias("id"), F.spark_partition_id().alias("part"),
+            F.rand(seed).alias("first"), F.rand(seed + 1).alias("second"),
         ),
         scratch(spark, "shards"),
     )
@@ -87,13 +88,15 @@ def uniform_shards(df: DataFrame, n_shards: int = 24, seed: int = 7, rows_per_bl
         [(part, np.cumsum(line).tolist()) for (part, _), line in zip(counts, matrix, strict=True)],
         "part int, bounds array<bigint>",
     )
+    # Both permutations move ids; the rows themselves are moved once, at the end.
     rank = F.row_number().over(Window.partitionBy("part").orderBy("first", "second")) - 1
     blocks = max(1, -(-total // (n_shards * rows_per_block)))
     dealt = (
-        drawn.withColumn("rank", rank)
+        drawn.select("id", "part", "first", "second")
+        .withColumn("rank", rank)
         .join(bounds, "part")
         .select(
-            "row",
+            "id",
             "second",
             F.size(F.filter("bounds", lambda b: b <= F.col("rank"))).alias("shard"),
             F.floor(F.col("second") * blocks).cast("int").alias("block"),
@@ -105,8 +108,9 @@ def uniform_shards(df: DataFrame, n_shards: int = 24, seed: int = 7, rows_per_bl
         .select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     )
     inside = F.row_number().over(Window.partitionBy("shard", "block").orderBy("second")) - 1
-    placed = dealt.withColumn("inside", inside).join(offsets, ["shard", "block"])
-    return unpacked(placed, shard=F.col("shard"), slot=(F.col("offset") + F.col("inside")).cast("bigint"))
+    slot = (F.col("offset") + F.col("inside")).cast("bigint").alias("slot")
+    placed = dealt.withColumn("inside", inside).join(offsets, ["shard", "block"]).select("id", "shard", slot)
+    return unpacked(drawn.select("id", "row").join(placed, "id"), shard=F.col("shard"), slot=F.col("slot"))
 
 
 def shard_digest(docs: DataFrame, n_shards: int = 24, seed: int = 7) -> DataFrame:
