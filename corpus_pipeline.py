@@ -26,7 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group, at 80 % of common five-word shingles."""
-    return neardup.without_near_duplicates(docs, shingle=5, threshold=0.8, rows=5)
+    return neardup.without_near_duplicates(docs, shingle=5, threshold=0.8)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,9 +7,10 @@ parts, and two sets agree in a register with about their Jaccard similarity.
 
 1. Texts with equal sets are one class, found by a fingerprint of the set.
 2. Bands of registers put classes that may be similar into a bucket.
-3. In each bucket all are compared with the smallest id. That settles groups of
-   copies of any size. Only in buckets that still hold different components,
-   what is outside of the largest one is compared with the rest, tile by tile.
+3. In each bucket all are compared with the member that shares most buckets with
+   others. That settles groups of copies of any size. Only in buckets that still
+   hold different components, what is outside of the largest one is compared
+   with the rest, tile by tile.
 4. A candidate's similarity is estimated jointly with both sizes, by likelihood.
    It goes on unless the likelihood speaks strongly against the threshold.
 5. Links are confirmed on the full sets.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -27,14 +29,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from townsquare.llm.common import Numbers, cut, pieces, ragged, scratch, utf8, words_of
+from townsquare.llm.common import (
+    Numbers, cut, distinct, distinct_places, empty, pieces, ragged, scratch, small_batches, utf8, words_of,
+)
 
 BASE, RATE = 1.02, 20.0  # of the registers' scale, and of the variates
 TOP = (1 << 16) - 1  # of a register
 MISSED = 1e-6  # chance that a pair at the threshold shares no band
 AGAINST = 12.0  # difference of log likelihoods that speaks strongly against a link
 TILE = 256  # members of a bucket in a tile
-NUMBERED_AT_MOST = 400_000  # distinct words that a task remembers
+NUMBERED_AT_MOST = 200_000  # distinct words that a task remembers
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,7 +70,7 @@ class Shingler:
         out, at = [], 0
         for n in sizes.tolist():
             if n >= self.size:
-                out.append(np.unique(runs[at : at + n - self.size + 1]))
+                out.append(distinct(runs[at : at + n - self.size + 1]))
             elif n:
                 out.append(self._runs(words[at : at + n], n))
             else:
@@ -198,59 +202,8 @@ def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(sized).where(may("n_a", "n_b", "r_a", "r_b")).select("a", "b")
 
 
-def _tiles(members: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs of different components in buckets that hold several.
-
-    ``members``: ``key``, ``id``, ``component``. Members of the component with
-    most members in a bucket need no comparison among each other; the others
-    are compared with all. Tiles of 256 members are compared two at a time, and
-    only likely pairs come out.
-    """
-    counted = members.groupBy("key", "component").agg(F.count("*").alias("n"))
-    largest = counted.groupBy("key").agg(
-        F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("all"),
-        F.max("n").alias("in_main"),
-    ).where((F.col("parts") > 1) & (F.col("all") > 2))
-    tile_of = F.floor((F.row_number().over(Window.partitionBy("key", "outside").orderBy("id")) - 1) / TILE).cast("int")
-    placed = members.join(largest, "key").withColumn("outside", F.col("component") != F.col("main")).withColumn("tile", tile_of)
-    tiles_out = F.ceil((F.col("all") - F.col("in_main")) / TILE).cast("int")
-    tiles_in = F.ceil(F.col("in_main") / TILE).cast("int")
-    against = F.array_union(
-        F.transform(F.sequence(F.lit(0), tiles_out - 1), lambda t: F.struct(F.lit(True).alias("outside"), t.alias("tile"))),
-        F.transform(F.sequence(F.lit(0), tiles_in - 1), lambda t: F.struct(F.lit(False).alias("outside"), t.alias("tile"))),
-    )
-    own = F.struct("outside", "tile")
-    # A member of an outside tile meets every tile; one of an inside tile only outside ones.
-    meets = F.filter(against, lambda other: F.col("outside") | other["outside"])
-    pairs = placed.select("key", "id", "component", own.alias("own"), F.explode(meets).alias("other"))
-    grouped = pairs.select(
-        "key", "id", "component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-        (F.col("own") <= F.col("other")).alias("first"), (F.col("own") == F.col("other")).alias("same"),
-    ).join(nodes.select("id", "n", "registers"), "id")
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        same = bool(frame["same"].iloc[0])
-        left, right = (frame, frame) if same else (frame[frame["first"]], frame[~frame["first"]])
-        found = []
-        if len(left) and len(right):
-            registers = np.frombuffer(b"".join(map(bytes, right["registers"])), np.uint16).reshape(len(right), -1)
-            n, ids, parts = (right[c].to_numpy() for c in ("n", "id", "component"))
-            for row in left.itertuples():
-                some = (parts != row.component) & ((ids > row.id) if same else True)
-                some &= np.minimum(n, row.n) >= threshold * np.maximum(n, row.n) - 1e-6
-                at = np.flatnonzero(some)
-                if len(at):
-                    one = np.broadcast_to(np.frombuffer(row.registers, np.uint16), (len(at), registers.shape[1]))
-                    good = at[plausible(one, registers[at], np.full(len(at), row.n), n[at], threshold)]
-                    found += [(min(row.id, i), max(row.id, i)) for i in ids[good].tolist()]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return grouped.groupBy("key", "low", "high").applyInPandas(compare, "a bigint, b bigint").distinct()
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, text: str, shingle: int, threshold: float, folder: str) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _sets(docs: DataFrame, text: str, shingle: int, ids: DataFrame) -> DataFrame:
+    """``id`` and its sorted shingles, for these ids."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(shingle)
@@ -259,28 +212,153 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, text: str, shingle: int, thres
                 sets = shingler.sets([bytes(t) for t in part["text"]])
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "shingles": [s.tobytes() for s in sets]})
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), utf8(text).alias("text")).join(ids, "id", "left_semi")
-    sets = cut(texts.mapInPandas(make, "id bigint, shingles binary"), folder)
-    one = sets.groupBy("id").agg(F.min("shingles").alias("shingles"))  # ids may be repeated
-    percent = round(threshold * 100)
+    # Merged at any size: the ids grow with the documents, and so the plan is the same for few and many.
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), utf8(text).alias("text"))
+    texts = texts.join(ids.hint("merge"), "id", "left_semi")
+    sets = texts.mapInPandas(make, "id bigint, shingles binary")
+    return sets.groupBy("id").agg(F.min("shingles").alias("shingles"))  # ids may be repeated
+
+
+def linked(left: np.ndarray, right: np.ndarray, threshold: float) -> bool:
+    """Whether two sorted sets reach the threshold, in whole percents."""
+    small, large = (left, right) if len(left) <= len(right) else (right, left)
+    if not len(small):
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return both > 0 and 100 * both >= round(threshold * 100) * (len(left) + len(right) - both)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose full sets reach the threshold."""
 
     @F.pandas_udf("boolean")
     def similar(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(left, right, strict=True):
-            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            small, large = (x, y) if len(x) <= len(y) else (y, x)
-            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            both = int((large[at] == small).sum()) if len(large) else 0
-            out.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
-        return pd.Series(out, dtype=bool)
+        found = [
+            linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), threshold) for a, b in zip(left, right, strict=True)
+        ]
+        return pd.Series(found, dtype=bool)
 
     def side(name: str) -> DataFrame:
-        return one.select(F.col("id").alias(name), F.col("shingles").alias(f"s_{name}"))
+        return sets.select(F.col("id").alias(name), F.col("shingles").alias(f"s_{name}"))
 
     return pairs.join(side("a"), "a").join(side("b"), "b").where(similar("s_a", "s_b")).select("a", "b")
 
 
+class Tile(NamedTuple):
+    """Members of a bucket; registers and sets as bytes."""
+
+    ids: np.ndarray
+    components: np.ndarray
+    n: np.ndarray
+    registers: list[bytes]
+    sets: list[bytes]
+
+
+def compare_tiles(left: Tile, right: Tile, same: bool, threshold: float) -> list[tuple[int, int]]:
+    """Links between members of two tiles that join different components.
+
+    Whatever is in one component, by its label or by a link found here, is not
+    compared; so there are fewer links than components. Of the others, each
+    likely pair is confirmed on the full sets, the most similar ones first.
+    """
+    if not len(left.ids) or not len(right.ids):
+        return []
+    _, places = distinct_places(np.concatenate([left.components, right.components]))
+    label, own, other = np.arange(len(places)), places[: len(left.ids)], places[len(left.ids) :]
+    registers = np.frombuffer(b"".join(right.registers), np.uint16).reshape(len(right.ids), -1)
+    found = []
+    for i, (doc, n) in enumerate(zip(left.ids.tolist(), left.n.tolist(), strict=True)):
+        some = label[other] != label[own[i]]
+        some &= np.minimum(right.n, n) >= threshold * np.maximum(right.n, n) - 1e-6
+        at = np.flatnonzero(some & (right.ids > doc) if same else some)
+        if not len(at):
+            continue
+        one = np.frombuffer(left.registers[i], np.uint16)
+        agree = (registers[at] == one).mean(axis=1)
+        near = agree >= threshold - 0.25  # far below what the likelihood lets pass
+        at, agree = at[near], agree[near]
+        if not len(at):
+            continue
+        many = np.broadcast_to(one, (len(at), len(one)))
+        good = plausible(many, registers[at], np.full(len(at), n), right.n[at], threshold)
+        mine = np.frombuffer(left.sets[i], np.uint64)
+        for j in at[good][np.argsort(-agree[good], kind="stable")].tolist():
+            if label[other[j]] != label[own[i]] and linked(mine, np.frombuffer(right.sets[j], np.uint64), threshold):
+                found.append((min(doc, int(right.ids[j])), max(doc, int(right.ids[j]))))
+                label[label == label[other[j]]] = label[own[i]]
+    return found
+
+
+def _compared(threshold: float):
+    """Over rows sorted by pair of tiles, a pair at a time; a pair is a few hundred rows at most."""
+
+    def links(frame: pd.DataFrame, first: np.ndarray) -> list[tuple[int, int]]:
+        ids, components, n, low, high, leads = (
+            frame[c].to_numpy() for c in ("id", "component", "n", "low", "high", "first")
+        )
+        registers, sets = list(map(bytes, frame["registers"])), list(map(bytes, frame["shingles"]))
+
+        def tile(at: np.ndarray) -> Tile:
+            return Tile(ids[at], components[at], n[at], [registers[i] for i in at], [sets[i] for i in at])
+
+        found = []
+        for begin, end in zip(first, np.append(first[1:], len(frame)), strict=True):
+            rows = np.arange(begin, end)
+            same = low[begin] == high[begin]
+            left, right = (rows, rows) if same else (rows[leads[begin:end]], rows[~leads[begin:end]])
+            found += compare_tiles(tile(left), tile(right), same, threshold)
+        return found
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            frame = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            names = frame[["key", "low", "high"]].to_numpy()
+            first = np.flatnonzero(np.append(True, (names[1:] != names[:-1]).any(axis=1))) if len(frame) else []
+            if len(first) > 1:
+                found = links(frame.iloc[: first[-1]], first[:-1])
+                yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                frame = frame.iloc[first[-1] :]
+            held = frame
+        if held is not None and len(held):
+            yield pd.DataFrame(links(held, np.array([0])), columns=["a", "b"], dtype="int64")
+
+    return compare
+
+
+def _between(members: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links between different components in the buckets that hold several.
+
+    ``members``: ``key``, ``id``, ``component``. Members of the component with
+    most members in a bucket need no comparison among each other; the others
+    are compared with all. Tiles of members are compared two at a time, and only
+    confirmed links that join components come out.
+    """
+    counted = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = counted.groupBy("key").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("all"),
+        F.max("n").alias("in_main"),
+    ).where((F.col("parts") > 1) & (F.col("all") > 2))
+    tile_of = F.floor((F.row_number().over(Window.partitionBy("key", "outside").orderBy("id")) - 1) / TILE).cast("int")
+    placed = members.join(mixed, "key").withColumn("outside", F.col("component") != F.col("main")).withColumn("tile", tile_of)
+    tiles_out = F.ceil((F.col("all") - F.col("in_main")) / TILE).cast("int")
+    tiles_in = F.ceil(F.col("in_main") / TILE).cast("int")
+    # Tiles are numbered so that odd ones are outside of the largest component.
+    outer = F.transform(F.sequence(F.lit(0), tiles_out - 1), lambda t: t * 2 + 1)
+    inner = F.transform(F.sequence(F.lit(0), tiles_in - 1), lambda t: t * 2)
+    # A member of an outside tile meets every tile; one of an inside tile only outside ones.
+    meets = F.when(F.col("outside"), F.concat(outer, inner)).otherwise(outer)
+    own = F.col("tile") * 2 + F.col("outside").cast("int")
+    pairs = placed.select("key", "id", "component", own.alias("own"), F.explode(meets).alias("other"))
+    rows = pairs.select(
+        "key", "id", "component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+        (F.col("own") <= F.col("other")).alias("first"),
+    ).join(nodes.select("id", "n", "registers"), "id").join(sets, "id")
+    sorted_ = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return sorted_.mapInPandas(_compared(threshold), "a bigint, b bigint").distinct()
+
+
 def components(links: DataFrame, folder: str) -> DataFrame:
     """``id`` and ``component``, the smallest id it reaches, of all ids in ``links`` but the smallest ones.
 
@@ -307,7 +385,7 @@ def components(links: DataFrame, folder: str) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, text: str = "text", shingle: int = 3, threshold: float = 0.85, rows: int = 6
+    docs: DataFrame, text: str = "text", shingle: int = 3, threshold: float = 0.85, rows: int = 4
 ) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of each row.
 
@@ -323,6 +401,7 @@ def near_duplicates(
     A pair at the threshold goes unseen with a chance of 1e-6, a more similar
     one with less. All tables between the steps are in the shared folder.
     """
+    small_batches(docs.sparkSession)
     folder = scratch(docs.sparkSession, "neardup")
     bands = bands_for(threshold, rows)
     sketched = cut(sketches(docs, text, shingle, rows, bands), f"{folder}/sketches")
@@ -333,24 +412,28 @@ def near_duplicates(
     )
     nodes = cut(picked.select("id", *same, "s.registers", "s.keys"), f"{folder}/classes")
     buckets = nodes.select("id", F.explode("keys").alias("key"))
-    shared = cut(
-        buckets.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1"), f"{folder}/buckets"
-    )
-    members = cut(buckets.join(shared, "key").select("key", "id", "a", "size"), f"{folder}/members")
-    stars = members.where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    shared = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = cut(buckets.join(shared, "key").select("key", "id", "size"), f"{folder}/members")
+    sets = cut(_sets(docs, text, shingle, members.select("id").distinct()), f"{folder}/sets")
+    # All members of a bucket are compared with the one that shares most buckets
+    # with others: of edited copies that is the text they were made from.
+    shares = members.groupBy("id").agg(F.sum("size").alias("shares"))
+    centres = members.join(shares, "id").groupBy("key").agg(F.max_by("id", F.struct("shares", -F.col("id"))).alias("centre"))
+    stars = members.join(centres, "key").where("id <> centre").select(
+        F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")
+    ).distinct()
     likely = cut(_likely(stars, nodes, threshold), f"{folder}/likely")
-    links = cut(_confirmed(likely, docs, text, shingle, threshold, f"{folder}/sets"), f"{folder}/links")
+    links = cut(_confirmed(likely, sets, threshold), f"{folder}/links")
     first = components(links, f"{folder}/first")
     labelled = members.where("size > 2").select("key", "id").join(first, "id", "left").select(
         "key", "id", F.coalesce("component", "id").alias("component")
     )
-    rest = cut(_tiles(labelled, nodes, threshold), f"{folder}/rest")
-    more = _confirmed(rest, docs, text, shingle, threshold, f"{folder}/more-sets")
-    linked = components(links.unionByName(more), f"{folder}/all")
-    found = nodes.select(*same, "id").join(linked, "id", "left").select(
+    more = _between(cut(labelled, f"{folder}/labelled"), nodes, sets, threshold)
+    linked_ = components(links.unionByName(more), f"{folder}/all")
+    found = nodes.select(*same, "id").join(linked_, "id", "left").select(
         *same, F.coalesce("component", "id").alias("component_id")
     )
-    return (
+    named = (
         sketched.select("doc_id", *same).join(found, same, "left")
         .select(
             "doc_id", F.col("n").alias("n_shingles"),
@@ -358,6 +441,9 @@ def near_duplicates(
         )
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
+    result = cut(named, f"{folder}/result")
+    empty(docs.sparkSession, *[f"{folder}/{name}" for name in ("sketches", "classes", "members", "sets", "likely", "labelled")])
+    return result
 
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -365,4 +451,5 @@ def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     found = near_duplicates(docs.select("doc_id", "text"), **options)
     dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("dropped_id")).distinct()
     key: Column = docs["doc_id"].cast("bigint")
-    return docs.join(dropped, key == dropped["dropped_id"], "left_anti")
+    # As above, the same plan for few and many.
+    return docs.join(dropped.hint("merge"), key == dropped["dropped_id"], "left_anti")
