@@ -173,6 +173,8 @@ def mix(
         F.col("source").alias("s"), F.col("epoch").alias("e"), F.col("bucket").alias("b"),
         F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("offset"),
     )
+    # A table, so that its size is known and the documents are not dealt out once more for this join.
+    offsets = cut(offsets, f"{folder}/offsets")
     same = F.col("source").eqNullSafe(F.col("s")) & (F.col("epoch") == F.col("e")) & (F.col("bucket") == F.col("b"))
     at = F.col("epoch") * F.col("tokens") + F.col("offset") + F.col("before")
     placed = (
