@@ -324,6 +324,27 @@ def test_question_and_answer():
     assert decontamination.leaked(0.8, 0) and decontamination.leaked(0.5, 0.5) and not decontamination.leaked(0.7, 0.4)
 
 
+def built(tests):
+    """An index of all items."""
+    df = Counter(w for _, t in tests for w in set(decontamination.words(t)))
+    mean = sum(len(decontamination.words(t)) for _, t in tests) / len(tests)
+    return decontamination.Index([(str(i), t) for i, t in tests], df, len(tests), mean)
+
+
+def test_items_with_one_changed_word_or_a_cut_end_are_leaks():
+    rng = random.Random(13)
+    own = [f"w{i}" for i in range(400)]
+    tests = [(i, f"{' '.join(rng.sample(own, 9))}? {' '.join(rng.sample(own, 25))}") for i in range(20)]
+    index = built(tests)
+    for i, text in tests:
+        words = decontamination.words(text)
+        copies = [[*words[:at], "changed", *words[at + 1 :]] for at in range(len(words))]
+        copies += [words[len(words) // 10 :], words[: -(len(words) // 10)]]
+        found = index.search([["before"] * 30 + copy + ["behind"] * 30 for copy in copies])
+        assert all(str(i) in {hit[0] for hit in hits} for hits in found)
+    assert index.search([rng.sample(own, 60)]) == [[]]
+
+
 def test_leaks_with_several_indexes_and_without_items(spark, monkeypatch):
     rng = random.Random(12)
     tests = items(rng, 9)

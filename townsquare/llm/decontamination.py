@@ -3,8 +3,8 @@
 The index holds the items, not the corpus: a benchmark is small, and every
 passage of the corpus is a query against it. An item's score is divided by the
 score it would give itself, so one threshold holds for items of any length.
-What passes the threshold is verified: how much of the item's question and of
-its answer, in runs of five words, the passage really has.
+What passes the threshold is verified: how much of the item's question, of its
+answer and of both as one text, in runs of five words, the passage really has.
 
 Passages overlap by half and are twice as long as the longest item, so every
 item-long run of words lies inside one whole passage.
@@ -81,7 +81,7 @@ class Index:
     def __init__(self, items: list[tuple[str, str]], frequencies: dict[str, int], n_items: int, mean: float) -> None:
         self.ids = [item for item, _ in items]
         split = [question_and_answer(text) for _, text in items]
-        self.parts = [(grams(q), grams(a)) for q, a in split]
+        self.parts = [(grams(q), grams(a), grams(q + a)) for q, a in split]
         self.terms: dict[str, int] = {}
         found: list[list[tuple[int, float]]] = [[]]  # term 0 is every word that no item has
         for number, (question, answer) in enumerate(split):
@@ -156,14 +156,14 @@ class Index:
             lists = [(p, at) for p, at in lists if at[0] < len(p.items) and p.items[at[0]] < high]
         return found
 
-    def verify(self, item: int, passage: set[tuple[str, ...]], tokens: list[str]) -> tuple[float, float]:
-        """Shares of the runs of the item's question and answer that the passage has."""
+    def verify(self, item: int, passage: set[tuple[str, ...]], tokens: list[str]) -> tuple[float, float, float]:
+        """Shares of the runs of the item's question, of its answer and of the whole item that the passage has."""
         shares = []
         for part in self.parts[item]:
             n = len(next(iter(part), ()))
             have = passage if n == GRAM else {tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1)}
             shares.append(len(part & have) / len(part) if part else 0.0)
-        return shares[0], shares[1]
+        return shares[0], shares[1], shares[2]
 
     def search(self, texts: list[list[str]]) -> list[list[tuple[str, int, float, float, float]]]:
         """Per text, its leaked items: id, first word of the best passage, score, question and answer overlap."""
@@ -208,15 +208,19 @@ class Index:
             return
         runs = grams(tokens)
         for item, score in found.items():
-            question, answer = self.verify(item, runs, tokens)
-            if leaked(question, answer):
+            question, answer, whole = self.verify(item, runs, tokens)
+            if leaked(question, answer, whole):
                 hit = (start, score, question, answer)
                 hits[item] = max(hits.get(item, hit), hit, key=lambda h: (h[2], h[3], h[1], -h[0]))
 
 
-def leaked(question: float, answer: float) -> bool:
-    """A question is there almost whole, or half of it together with half of the answer."""
-    return question >= SURE or question >= LIKELY and answer >= LIKELY
+def leaked(question: float, answer: float, whole: float = 0.0) -> bool:
+    """A question is there almost whole, or half of it together with half of the answer, or half of the whole item.
+
+    A question is often short, and one changed word takes up to five of its
+    runs; the runs of the whole item outlast that.
+    """
+    return question >= SURE or question >= LIKELY and answer >= LIKELY or whole >= LIKELY
 
 
 def indexes(items: DataFrame, text: str = "text", key: str = "item_id") -> list[Index]:
