@@ -345,6 +345,54 @@ def test_items_with_one_changed_word_or_a_cut_end_are_leaks():
     assert index.search([rng.sample(own, 60)]) == [[]]
 
 
+def test_questions_without_their_long_answers_are_retrieved():
+    rng = random.Random(14)
+    own = [f"w{i}" for i in range(300)]
+    tests = [(i, f"{' '.join(rng.sample(own, 10))}? {' '.join(rng.sample(own, 40))}") for i in range(20)]
+    index = built(tests)
+    for i, text in tests:
+        question = decontamination.words(text[: text.index("?")])
+        (hits,) = index.search([["before"] * 30 + question + ["behind"] * 30])
+        assert [(hit[0], hit[3], hit[4]) for hit in hits] == [(str(i), 1, 0)] and hits[0][2] < 0.5
+
+
+def test_a_word_or_two_are_no_leak():
+    tests = [(0, "Oninhe. " + " ".join(f"w{i}" for i in range(30))), (1, " ".join(f"v{i}" for i in range(30)))]
+    index = built(tests)
+    assert index.search([["a"] * 20 + ["oninhe"] + ["b"] * 20]) == [[]]
+    assert [hit[0] for hit in index.search([decontamination.words(tests[0][1])])[0]] == ["0"]
+
+
+def test_all_that_counts_as_a_leak_is_retrieved():
+    rng = random.Random(15)
+    common = [f"c{i}" for i in range(12)]
+    tests = []
+    for i in range(60):
+        text = [rng.choice(common) if rng.random() < 0.6 else f"r{rng.randrange(500)}" for _ in range(rng.randrange(3, 50))]
+        at = rng.randrange(1, len(text))
+        tests.append((i, f"{' '.join(text[:at])}? {' '.join(text[at:])}"))
+    index = built(tests)
+    seen = 0
+    for _ in range(1500):
+        words = decontamination.words(rng.choice(tests)[1])
+        a, b = sorted(rng.sample(range(len(words) + 1), 2))
+        passage = words[a:b]
+        if rng.random() < 0.5:
+            passage[rng.randrange(len(passage))] = "changed"
+        runs = decontamination.grams(passage)
+        shares = brute_scores(tests, passage)
+        long = [len(decontamination.question_and_answer(t)[0]) >= 5 for _, t in tests]
+        want = {
+            str(i) for i, _ in tests
+            if decontamination.leaked(*index.verify(i, runs, passage), long[i] or shares[i] >= 0.5 - 1e-9)
+        }
+        (hits,) = index.search([passage])
+        assert [hit[2] for hit in hits] == pytest.approx([shares[int(hit[0])] for hit in hits])
+        assert {hit[0] for hit in hits} == want
+        seen += sum(hit[2] < 0.5 for hit in hits)
+    assert seen > 5  # leaks with less than half of the item's own score
+
+
 def test_leaks_with_several_indexes_and_without_items(spark, monkeypatch):
     rng = random.Random(12)
     tests = items(rng, 9)

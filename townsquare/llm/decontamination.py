@@ -1,10 +1,11 @@
 """Benchmark decontamination: BM25 with block-max WAND over an inverted index of the test items.
 
 The index holds the items, not the corpus: a benchmark is small, and every
-passage of the corpus is a query against it. An item's score is divided by the
-score it would give itself, so one threshold holds for items of any length.
-What passes the threshold is verified: how much of the item's question, of its
-answer and of both as one text, in runs of five words, the passage really has.
+passage of the corpus is a query against it. An item has two entries, the whole
+item and its question alone. An entry's score is divided by the score it would
+give itself, and its threshold is a bound: no passage with the runs of five words
+that make a leak can score less. What passes is verified: how much of the item's
+question, of its answer and of both as one text, in such runs, the passage has.
 
 Passages overlap by half and are twice as long as the longest item, so every
 item-long run of words lies inside one whole passage.
@@ -27,12 +28,12 @@ from pyspark.sql import functions as F
 from townsquare.llm.common import packed, pieces, ragged, small_batches, unpacked
 
 K1, B = 1.2, 0.75
-MIN_SHARE = 0.5  # of an item's own score
+MIN_SHARE = 0.5  # of an item's own score; a leak that its runs prove may have less
 GRAM = 5  # words of a verified run
 SURE, LIKELY = 0.8, 0.5  # overlaps, see ``leaked``
 BLOCK = 64  # postings under one bound
-RANGES = 64  # of items; each has its own bounds
-ITEMS_AT_MOST = 20_000  # items of one index; more items are more indexes
+RANGES = 256  # of entries; each has its own bounds
+ITEMS_AT_MOST = 10_000  # items of one index; more items are more indexes
 WORDS_AT_MOST = 2_000  # words of an item that passages are fitted to
 
 WORDS = re.compile(r"\w+")
@@ -66,8 +67,25 @@ def grams(tokens: list[str]) -> set[tuple[str, ...]]:
     return {tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1)} if n else set()
 
 
+def enough(share: float, runs: int) -> int:
+    """How many of an entry's runs reach the share."""
+    return math.ceil(share * runs - 1e-9)
+
+
+def least(weights: dict[str, float], parts: list[tuple[set[tuple[str, ...]], int]]) -> float:
+    """No passage with so many runs of each part has words of less weight in all.
+
+    A word's weight is dealt out evenly to the runs that it is in. The runs that
+    a passage has are then worth at most what their words weigh together, and
+    at least as much as the cheapest ones.
+    """
+    shared = Counter(term for runs, _ in parts for run in runs for term in set(run))
+    costs = [sorted(sum(weights[t] / shared[t] for t in set(run)) for run in runs)[:n] for runs, n in parts]
+    return sum(map(sum, costs))
+
+
 class Posting(NamedTuple):
-    """A term's items in rising order with its share of each one's own score, and bounds of these shares."""
+    """A term's entries in rising order with its share of each one's own score, and bounds of these shares."""
 
     items: list[int]
     shares: list[float]
@@ -76,14 +94,23 @@ class Posting(NamedTuple):
 
 
 class Index:
-    """Inverted index of one part of the items. ``frequencies``: in how many of ``n_items`` a term occurs."""
+    """Inverted index of one part of the items. ``frequencies``: in how many of ``n_items`` a term occurs.
+
+    Of n items, entry i is the whole of item i and entry n + i its question, if
+    that has five words. ``needed`` is the least share of an entry's own score
+    that a leak can have.
+    """
 
     def __init__(self, items: list[tuple[str, str]], frequencies: dict[str, int], n_items: int, mean: float) -> None:
         self.ids = [item for item, _ in items]
         split = [question_and_answer(text) for _, text in items]
+        self.long = [len(q) >= GRAM for q, _ in split]
         self.parts = [(grams(q), grams(a), grams(q + a)) for q, a in split]
         self.terms: dict[str, int] = {}
         found: list[list[tuple[int, float]]] = [[]]  # term 0 is every word that no item has
+        self.whole: list[dict[int, float]] = []  # an item's terms with their shares
+        self.needed = np.ones(2 * len(items))
+        questions = []
         for number, (question, answer) in enumerate(split):
             counts = Counter(question + answer)
             norm = K1 * (1 - B + B * counts.total() / max(mean, 1.0))
@@ -92,20 +119,35 @@ class Index:
                 for term, tf in counts.items()
             }
             own = sum(weights.values())
+            self.whole.append({})
             for term, weight in weights.items():
                 at = self.terms.setdefault(term, len(found))
                 if at == len(found):
                     found.append([])
                 found[at].append((number, weight / own))
+                self.whole[-1][at] = weight / own
+            q, a, both = self.parts[number]
+            rules = [[(both, enough(LIKELY, len(both)))]]
+            if a:
+                rules.append([(q, enough(LIKELY, len(q))), (a, enough(LIKELY, len(a)))])
+            self.needed[number] = min(MIN_SHARE, *(least(weights, rule) / (own or 1) for rule in rules))
+            part = {term: weights[term] for term in dict.fromkeys(question)} if len(question) >= GRAM else {}
+            questions.append({self.terms[term]: weight / sum(part.values()) for term, weight in part.items()})
+            if part:
+                self.needed[len(items) + number] = least(weights, [(q, enough(SURE, len(q)))]) / sum(part.values())
+        for number, part in enumerate(questions, len(items)):
+            for term, share in part.items():
+                found[term].append((number, share))
         self.postings = [self._posting(rows) for rows in found]
         longest = max((len(q) + len(a) for q, a in split), default=1)
         self.step = min(WORDS_AT_MOST, max(longest, 16))
-        # Bounds by ranges of items: what a term can give to any item of the range.
-        self.width = max(1, -(-len(items) // RANGES))
-        self.bounds = np.zeros((len(found), max(1, -(-len(items) // self.width))), np.float32)
+        # Bounds by ranges of entries: what a term can give to any entry of the range, of what that one needs.
+        self.width = max(1, -(-len(self.needed) // RANGES))
+        self.bounds = np.zeros((len(found), max(1, -(-len(self.needed) // self.width))), np.float32)
         for term, rows in enumerate(found):
-            for item, share in rows:
-                self.bounds[term, item // self.width] = max(self.bounds[term, item // self.width], share)
+            for entry, share in rows:
+                most = share / self.needed[entry]
+                self.bounds[term, entry // self.width] = max(self.bounds[term, entry // self.width], most)
         self.most = self.bounds.max(axis=1)
 
     @staticmethod
@@ -115,10 +157,10 @@ class Index:
         return Posting([item for item, _ in rows], shares, max(shares, default=0.0), blocks)
 
     def above(self, terms: list[int], low: int, high: int, threshold: float = MIN_SHARE) -> dict[int, float]:
-        """All items from ``low`` to below ``high`` whose share reaches the threshold, by block-max WAND.
+        """All entries from ``low`` to below ``high`` whose share reaches the threshold, by block-max WAND.
 
-        The lists are kept by their current item. The pivot is the first list at
-        which the bounds of the lists so far can reach the threshold; no item
+        The lists are kept by their current entry. The pivot is the first list at
+        which the bounds of the lists so far can reach the threshold; no entry
         before it can. At the pivot the bounds of the blocks are summed: if they
         fall short, all these lists move past the end of the nearest block.
         """
@@ -182,7 +224,7 @@ class Index:
             inside = places < sizes[some][:, None]
             grid = np.sort(np.where(inside, ids[np.where(inside, first[some][:, None] + places, len(ids) - 1)], 0), axis=1)
             grid[:, 1:][grid[:, 1:] == grid[:, :-1]] = 0  # a word counts once
-            rows = np.flatnonzero(self.most[grid].sum(axis=1) >= MIN_SHARE - 1e-4)
+            rows = np.flatnonzero(self.most[grid].sum(axis=1) >= 1 - 1e-4)
             for block in range(0, len(rows), 1024):
                 part = rows[block : block + 1024]
                 known, ranges = self._ranges(grid[part])
@@ -193,38 +235,43 @@ class Index:
         return [[(self.ids[item], *hit) for item, hit in sorted(hits.items())] for hits in out]
 
     def _ranges(self, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs of passages and ranges of items whose summed bounds reach the threshold."""
+        """The pairs of passages and ranges of entries whose summed bounds reach what an entry needs."""
         which, place = np.nonzero(grid)
         sizes = np.bincount(which, minlength=len(grid))
         begins = np.minimum(np.cumsum(sizes) - sizes, max(0, len(which) - 1))
         if not len(which):
             return np.zeros(0, int), np.zeros(0, int)
         total = np.add.reduceat(self.bounds[grid[which, place]], begins, axis=0)
-        return np.nonzero((total >= MIN_SHARE - 1e-4) & (sizes > 0)[:, None])
+        return np.nonzero((total >= 1 - 1e-4) & (sizes > 0)[:, None])
 
     def _passage(self, terms: list[int], low: int, tokens: list[str], start: int, hits: dict[int, tuple]) -> None:
-        found = self.above(terms, low, low + self.width)
-        if not found:
+        needed = self.needed[low : low + self.width]
+        found = self.above(terms, low, low + self.width, float(needed.min()))
+        likely = {entry % len(self.ids) for entry, share in found.items() if share >= needed[entry - low] - 1e-9}
+        if not likely:
             return
         runs = grams(tokens)
-        for item, score in found.items():
+        for item in sorted(likely):
             question, answer, whole = self.verify(item, runs, tokens)
-            if leaked(question, answer, whole):
+            score = sum(self.whole[item].get(t, 0.0) for t in terms)
+            if leaked(question, answer, whole, self.long[item] or score >= MIN_SHARE - 1e-9):
                 hit = (start, score, question, answer)
                 hits[item] = max(hits.get(item, hit), hit, key=lambda h: (h[2], h[3], h[1], -h[0]))
 
 
-def leaked(question: float, answer: float, whole: float = 0.0) -> bool:
+def leaked(question: float, answer: float, whole: float = 0.0, alone: bool = True) -> bool:
     """A question is there almost whole, or half of it together with half of the answer, or half of the whole item.
 
     A question is often short, and one changed word takes up to five of its
-    runs; the runs of the whole item outlast that.
+    runs; the runs of the whole item outlast that. ``alone``: whether the
+    question by itself says enough. One of fewer than five words may stand in
+    any text, and does so only with half of the item's own score.
     """
-    return question >= SURE or question >= LIKELY and answer >= LIKELY or whole >= LIKELY
+    return alone and question >= SURE or question >= LIKELY and answer >= LIKELY or whole >= LIKELY
 
 
 def indexes(items: DataFrame, text: str = "text", key: str = "item_id") -> list[Index]:
-    """The items as indexes of at most 20,000 items each, with frequencies over all of them.
+    """The items as indexes of at most 10,000 items each, with frequencies over all of them.
 
     Items without a word and null ones are left out; repeated items stay. An
     index is collected and goes to every task, which is why its size is bounded;
@@ -258,7 +305,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFra
     """``docs`` with ``leaks``: an array of (item_id, start, score, question, answer), by item.
 
     Whole texts, in overlapping passages. ``start`` is the passage's first word,
-    ``score`` the share of the item's own BM25 score, the others overlaps. Per
+    ``score`` the share of the whole item's own BM25 score, the others overlaps. Per
     item only the best passage is named. Null and empty texts, and an empty
     benchmark, have no leaks; equal texts have equal ones. A column ``leaks`` is
     replaced. Item ids are text here.
