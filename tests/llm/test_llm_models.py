@@ -393,6 +393,21 @@ def test_all_that_counts_as_a_leak_is_retrieved():
     assert seen > 5  # leaks with less than half of the item's own score
 
 
+def test_items_longer_than_any_passage_were(spark):
+    rng = random.Random(16)
+
+    def long(n):
+        return " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+
+    tests = [(i, f"{long(n)}? {long(m)}") for i, (n, m) in enumerate([(30, 10), (4000, 1000), (3900, 4100), (20, 8100), (2000, 1)])]
+    rows = [(i, f"{prose(rng, 'en', 2500)} {text} {prose(rng, 'de', 1500)}", "en", "s", 0) for i, text in tests]
+    table = spark.createDataFrame(tests, "item_id bigint, text string")
+    assert [index.step for index in decontamination.indexes(table)] == [40, 2001, 8000, 8120]
+    got = decontamination.leak_pairs(frame(spark, rows), table).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i, _ in tests}
+    assert all(r["question_overlap"] == 1 and r["answer_overlap"] == 1 for r in got)
+
+
 def test_leaks_with_several_indexes_and_without_items(spark, monkeypatch):
     rng = random.Random(12)
     tests = items(rng, 9)

@@ -7,8 +7,9 @@ give itself, and its threshold is a bound: no passage with the runs of five word
 that make a leak can score less. What passes is verified: how much of the item's
 question, of its answer and of both as one text, in such runs, the passage has.
 
-Passages overlap by half and are twice as long as the longest item, so every
-item-long run of words lies inside one whole passage.
+Passages overlap by half and are twice as long as the longest item of the index,
+so every item-long run of words lies inside one whole passage. Long items have
+indexes of their own, by length, so that they don't make all passages long.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ SURE, LIKELY = 0.8, 0.5  # overlaps, see ``leaked``
 BLOCK = 64  # postings under one bound
 RANGES = 256  # of entries; each has its own bounds
 ITEMS_AT_MOST = 10_000  # items of one index; more items are more indexes
-WORDS_AT_MOST = 2_000  # words of an item that passages are fitted to
+WORDS_AT_MOST = 2_000  # words of an item of the first indexes; twice as many in each next kind
+CELLS = 1 << 21  # words of the passages that are looked at together
 
 WORDS = re.compile(r"\w+")
 ANSWER = re.compile(r"(?:\banswer\s*:|\n\s*a\s*:|\?)", re.IGNORECASE)
@@ -140,7 +142,7 @@ class Index:
                 found[term].append((number, share))
         self.postings = [self._posting(rows) for rows in found]
         longest = max((len(q) + len(a) for q, a in split), default=1)
-        self.step = min(WORDS_AT_MOST, max(longest, 16))
+        self.step = max(longest, 16)
         # Bounds by ranges of entries: what a term can give to any entry of the range, of what that one needs.
         self.width = max(1, -(-len(self.needed) // RANGES))
         self.bounds = np.zeros((len(found), max(1, -(-len(self.needed) // self.width))), np.float32)
@@ -212,21 +214,24 @@ class Index:
         out: list[dict[int, tuple]] = [{} for _ in texts]
         term = self.terms
         ids, sizes = ragged([[term.get(w, 0) for w in text] for text in texts])
-        step, width = self.step, 2 * self.step
-        counts = np.maximum(1, -(-(sizes - width) // step) + 1)
+        step = self.step
+        width = max(1, min(2 * step, int(sizes.max(initial=1))))
+        counts = np.maximum(1, -(-(sizes - 2 * step) // step) + 1)
         owner = np.repeat(np.arange(len(texts)), counts)
         starts = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * step
         first = np.cumsum(sizes) - sizes
         ids = np.append(ids, 0)
-        for at in range(0, len(owner), 8192):
-            some, begin = owner[at : at + 8192], starts[at : at + 8192]
+        rows_at_once = max(1, min(8192, CELLS // width))
+        for at in range(0, len(owner), rows_at_once):
+            some, begin = owner[at : at + rows_at_once], starts[at : at + rows_at_once]
             places = begin[:, None] + np.arange(width)
             inside = places < sizes[some][:, None]
             grid = np.sort(np.where(inside, ids[np.where(inside, first[some][:, None] + places, len(ids) - 1)], 0), axis=1)
             grid[:, 1:][grid[:, 1:] == grid[:, :-1]] = 0  # a word counts once
-            rows = np.flatnonzero(self.most[grid].sum(axis=1) >= 1 - 1e-4)
-            for block in range(0, len(rows), 1024):
-                part = rows[block : block + 1024]
+            rows = np.flatnonzero(self.most[grid].sum(axis=1, dtype=np.float64) >= 1 - 1e-4)
+            block_rows = max(1, min(1024, 16 * CELLS // (width * self.bounds.shape[1])))
+            for block in range(0, len(rows), block_rows):
+                part = rows[block : block + block_rows]
                 known, ranges = self._ranges(grid[part])
                 for row, span in zip(part[known], ranges, strict=True):
                     text = texts[some[row]]
@@ -241,7 +246,7 @@ class Index:
         begins = np.minimum(np.cumsum(sizes) - sizes, max(0, len(which) - 1))
         if not len(which):
             return np.zeros(0, int), np.zeros(0, int)
-        total = np.add.reduceat(self.bounds[grid[which, place]], begins, axis=0)
+        total = np.add.reduceat(self.bounds[grid[which, place]], begins, axis=0, dtype=np.float64)
         return np.nonzero((total >= 1 - 1e-4) & (sizes > 0)[:, None])
 
     def _passage(self, terms: list[int], low: int, tokens: list[str], start: int, hits: dict[int, tuple]) -> None:
@@ -275,7 +280,9 @@ def indexes(items: DataFrame, text: str = "text", key: str = "item_id") -> list[
 
     Items without a word and null ones are left out; repeated items stay. An
     index is collected and goes to every task, which is why its size is bounded;
-    a larger benchmark is several indexes, each a pass over the corpus.
+    a larger benchmark is several indexes, each a pass over the corpus. Items of
+    more than 2,000 words are of the next kind, more than 4,000 of the one after,
+    and so on; each kind has indexes of its own, of half as many items.
     """
     rows = items.select(F.col(key).cast("string").alias("item"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.where(F.col("text").rlike(r"(?U)\w"))
@@ -284,20 +291,24 @@ def indexes(items: DataFrame, text: str = "text", key: str = "item_id") -> list[
     def tokenised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = [words(t) for t in batch["text"]]
-            yield pd.DataFrame({"n": [len(m) for m in made], "terms": [sorted(set(m)) for m in made]})
+            sizes = [len(m) for m in made]
+            kinds = [max(0, (-(-n // WORDS_AT_MOST) - 1).bit_length()) for n in sizes]
+            yield batch.assign(n=sizes, kind=kinds, terms=[sorted(set(m)) for m in made])
 
-    terms = rows.mapInPandas(tokenised, "n int, terms array<string>")
+    terms = rows.mapInPandas(tokenised, "item string, text string, n int, kind int, terms array<string>")
     mean = terms.agg(F.avg("n")).first()[0] or 1.0
     counted = terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    parts = max(1, -(-n // ITEMS_AT_MOST))
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(parts))
+    kinds = {r["kind"]: r["count"] for r in terms.groupBy("kind").count().collect()}
     built = []
-    for i in range(parts):
-        own = rows.where(part == i)
-        texts = sorted((r["item"] or "", r["text"]) for r in own.collect())
-        used = own.mapInPandas(tokenised, "n int, terms array<string>").select(F.explode("terms").alias("term")).distinct()
-        frequencies = {r["term"]: r["df"] for r in counted.join(used, "term").collect()}
-        built.append(Index(texts, frequencies, n, mean))
+    for kind in sorted(kinds):
+        parts = -(-kinds[kind] // max(1, ITEMS_AT_MOST >> kind))
+        part = F.pmod(F.xxhash64("item", "text"), F.lit(parts))
+        for i in range(parts):
+            own = terms.where((F.col("kind") == kind) & (part == i))
+            texts = sorted((r["item"] or "", r["text"]) for r in own.select("item", "text").collect())
+            used = own.select(F.explode("terms").alias("term")).distinct()
+            frequencies = {r["term"]: r["df"] for r in counted.join(used, "term").collect()}
+            built.append(Index(texts, frequencies, n, mean))
     return built
 
 
