@@ -98,6 +98,22 @@ def test_scores_equal_the_average_of_the_bag(spark):
         assert r["row"] == "mine"
 
 
+def test_long_words_count_whole():
+    rng = random.Random(17)
+    for size in [*range(1, 140), 191, 192, 193, 5000]:
+        word = bytes(rng.choice(b"abcdefgh") for _ in range(size))
+        marked = b"<" + word + b">"
+        want = Counter(zlib.crc32(marked[i : i + n], n) % 997 for n in (3, 4) for i in range(len(marked) - n + 1))
+        made = [t for t in quality.tokens(word) if not t.startswith(b"size")]
+        whole = zlib.crc32(word if size <= 64 else b"long %d" % zlib.crc32(word)) % 997
+        assert Counter(b for t in made for b in quality.word_buckets(t, 997)) == want + Counter([whole])
+        assert all(len(t) <= 80 for t in made)
+    bags = quality._Bags(64, np.random.default_rng(3).normal(size=(64, 2)))
+    line = b"x" * 200 + b"good" * 50
+    assert not np.allclose(*bags.averages([line, b"x" * 200 + b"evil" * 50]))
+    assert quality._Bags(64).bag(line)[1].sum() == 2 * len(line) + 1 + 1 + 1 - 2
+
+
 # --- languages ----------------------------------------------------------------
 
 
@@ -147,6 +163,31 @@ def test_switched_words_are_labelled_by_language(spark):
     assert Counter(best[: cut - 2]) == {"en": cut - 2} and Counter(best[cut + 2 :]) == {"de": len(words) - cut - 2}
 
 
+def test_long_runs_of_letters_count_whole():
+    rng = random.Random(18)
+    for size in [*range(1, 200), 2000]:
+        run = "".join(rng.choice("abcdefgh") for _ in range(size))
+        pieces_ = langid.words_of(run)
+        assert all(len(p) <= 50 for p in pieces_) and (size > 48 or pieces_ == [run])
+        got = Counter(f for p in pieces_ for f in langid.features(p, 1 << 30, {}))
+        assert got == Counter(langid.features(run, 1 << 30, {}))
+
+
+def test_languages_without_blanks():
+    rng = random.Random(19)
+    shared, own = "一二三四五六七八", {"ja": "のはをにが", "zh": "的是了在不"}
+
+    def line(lang, n=150):
+        return "".join(rng.choice(shared + own[lang]) for _ in range(n))
+
+    taught = [(y, langid.words_of(line(lang))) for y, lang in enumerate(sorted(own)) for _ in range(40)]
+    tagger = langid.Tagger(langid._descend(sorted(own), taught, 1 << 12, 100, 3, 0.5, 7))
+    common = "".join(rng.choice(shared) for _ in range(60))
+    for y, lang in enumerate(sorted(own)):
+        shares, sizes = tagger.shares([common + line(lang, 2000)])
+        assert shares[0].argmax() == y and shares[0][y] > 0.9 and sizes[0] > 40
+
+
 def test_languages_without_training_rows(spark):
     model = langid.train(frame(spark, []))
     got = langid.languages(clashing(frame(spark, documents()), "row", "tagged", "score"), model)

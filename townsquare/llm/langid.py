@@ -32,6 +32,7 @@ CHAIN = 64  # words of a chain; a longer text is several chains
 HALF = 32  # words of a training window; a training chain is two of them
 NUMBERED_AT_MOST = 150_000  # distinct words that a task remembers
 LABELS_AT_MOST = 1000
+PIECE = 48  # letters of a word; a longer run is several words
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -45,12 +46,35 @@ class Model(NamedTuple):
     lexicon: dict[str, int]
 
 
+def words_of(text: str | None) -> list[str]:
+    """The runs of letters of a text, lower-cased.
+
+    A run of more than 48 letters, in scripts without blanks a whole sentence,
+    is given as pieces that overlap by two letters, each a word of the chain. A
+    hyphen at an end of a piece says that the run goes on there.
+    """
+    words = LETTERS.findall((text or "").lower())
+    return [p for w in words for p in _pieces_of(w)] if any(len(w) > PIECE for w in words) else words
+
+
+def _pieces_of(word: str) -> list[str]:
+    if len(word) <= PIECE:
+        return [word]
+    starts = range(0, len(word) - 2, PIECE - 2)
+    return [f"{'-' if i else ''}{word[i : i + PIECE]}{'-' if i + PIECE < len(word) else ''}" for i in starts]
+
+
 def features(word: str, buckets: int, lexicon: dict[str, int]) -> list[int]:
-    """Hashed features of a lower-case word; the lexicon's own ones lie above the buckets."""
-    word = word[:48]
-    marked = f"^{word}$"
-    names = [f"p{word[:n]}" for n in (1, 2, 3)] + [f"s{word[-n:]}" for n in (1, 2, 3)]
-    names += [marked[i : i + n] for n in (2, 3) for i in range(len(marked) - n + 1)]
+    """Hashed features of a lower-case word; the lexicon's own ones lie above the buckets.
+
+    The pieces of a run have its affixes at its ends only, and each of its
+    n-grams once.
+    """
+    begins, ends = not word.startswith("-"), not word.endswith("-")
+    core = word.strip("-")
+    marked = f"{'^' if begins else ''}{core}{'$' if ends else ''}"
+    names = [f"p{core[:n]}" for n in (1, 2, 3) if begins] + [f"s{core[-n:]}" for n in (1, 2, 3) if ends]
+    names += [marked[i : i + n] for n in (2, 3) for i in range(len(marked) - (n if ends else 3) + 1)]
     found = [crc32(name.encode("utf-8", "replace")) % buckets for name in names]
     known = lexicon.get(word)
     return found if known is None else [*found, buckets + known]
@@ -61,7 +85,7 @@ def learn_lexicon(windows: list[tuple[int, list[str]]], size: int) -> dict[str,
     seen: dict[str, Counter] = defaultdict(Counter)
     for label, words in windows:
         for word in set(words):
-            seen[word[:48]][label] += 1
+            seen[word][label] += 1
     lexicon = {}
     for word, counts in sorted(seen.items(), key=lambda item: (-item[1].total(), item[0]))[:size]:
         if counts.total() > 1:
@@ -137,7 +161,7 @@ def train(
         for batch in batches:
             rows = []
             for name, body in zip(batch["label"], batch["text"], strict=True):
-                words = LETTERS.findall((body or "").lower())
+                words = words_of(body)
                 starts = range(0, max(1, len(words) - HALF // 2), HALF)
                 step = max(1, -(-len(starts) // windows_per_row))
                 rows += [(name, " ".join(words[s : s + HALF])) for s in starts[::step] if words]
@@ -239,7 +263,7 @@ class Tagger:
 
     def shares(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Mean distribution over a text's words, and the number of its words."""
-        out, sizes = self.marginals([LETTERS.findall((t or "").lower()) for t in texts])
+        out, sizes = self.marginals([words_of(t) for t in texts])
         return sums(out, sizes) / np.maximum(sizes, 1)[:, None], sizes
 
 

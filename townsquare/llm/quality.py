@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from townsquare.llm.common import Numbers, fold, packed, pieces, ragged, small_batches, sums, unpacked, utf8
 
 GRAMS = (3, 4)  # lengths of character n-grams, in bytes of the word between < and >
+PIECE = 64  # bytes; a longer word is looked up in pieces
+FRESH = 10_000  # words whose n-grams are hashed together
 AGAIN = 4  # a word is repeated if it ends a run of so many words seen before in the text
 NUMBERED_AT_MOST = 150_000  # distinct words that a task remembers
 
@@ -37,29 +39,46 @@ class Model(NamedTuple):
 
 
 def word_buckets(word: bytes, buckets: int) -> list[int]:
-    """Hashes of a word and of its character n-grams; a pseudo-word, which has a blank, has no n-grams."""
+    """Hashes of a word and of its character n-grams.
+
+    A piece of a long word, which begins with a blank, has the n-grams that
+    begin in its first 64 bytes and no hash of its own; another pseudo-word,
+    which has a blank elsewhere, has no n-grams.
+    """
+    if word[:1] == b" ":
+        return [crc32(word[i : i + n], n) % buckets for n in GRAMS for i in range(1, min(PIECE, len(word) - n) + 1)]
     found = [crc32(word) % buckets]
     if b" " not in word:
-        marked = b"<" + word[:64] + b">"
+        marked = b"<" + word + b">"
         for n in GRAMS:
             found += [crc32(marked[i : i + n], n) % buckets for i in range(len(marked) - n + 1)]
     return found
 
 
+def in_pieces(word: bytes) -> list[bytes]:
+    """A long word as a pseudo-word for the whole and pieces, which share out its n-grams without repeating any."""
+    marked = b"<" + word + b">"
+    starts = range(0, len(marked) - min(GRAMS) + 1, PIECE)
+    return [b"long %d" % crc32(word), *[b" " + marked[i : i + PIECE + max(GRAMS) - 1] for i in starts]]
+
+
 def tokens(text: bytes) -> list[bytes]:
     """Words of a text, and pseudo-words on its form.
 
     One pseudo-word tells the order of magnitude of the text's length, given
     once per 16 words so as to keep its weight in the average. Others stand for
     each word that equals the one before, and for each that ends a run of words
-    seen before.
+    seen before. Words of more than 64 bytes, which in scripts without
+    blanks are whole lines, are given in pieces.
     """
     words = text.split()
-    size = b"size %d" % len(words).bit_length()
+    size, sizes = b"size %d" % len(words).bit_length(), 1 + len(words) // 16
     twice = sum(map(eq, words, words[1:]))
     runs = list(zip(*[words[i:] for i in range(AGAIN)], strict=False))
     again = len(runs) - len(set(runs))
-    return words + [size] * (1 + len(words) // 16) + [b"twice "] * twice + [b"again "] * again
+    if any(len(w) > PIECE for w in words):
+        words = [p for w in words for p in (in_pieces(w) if len(w) > PIECE else [w])]
+    return words + [size] * sizes + [b"twice "] * twice + [b"again "] * again
 
 
 class _Bags:
@@ -71,17 +90,19 @@ class _Bags:
 
     def _forget(self) -> None:
         self.numbers, self.shares, self.counts = Numbers(), np.zeros((0, 0)), np.zeros(0)
-        self.lists: list[list[int]] = []
+        self.lists: list[np.ndarray] = []
 
     def _learn(self) -> None:
-        fresh = [word_buckets(w, self.buckets) for w in self.numbers.take()]
-        if self.logits is None:
-            self.lists += fresh
-        elif fresh:
-            ids, sizes = ragged(fresh)
-            shares = sums(self.logits[ids], sizes)
-            self.shares = np.concatenate([self.shares, shares]) if len(self.shares) else shares
-            self.counts = np.concatenate([self.counts, sizes])
+        words = self.numbers.take()
+        for at in range(0, len(words), FRESH):
+            fresh = [word_buckets(w, self.buckets) for w in words[at : at + FRESH]]
+            if self.logits is None:
+                self.lists += [np.array(f, np.int32) for f in fresh]
+            else:
+                ids, sizes = ragged(fresh)
+                shares = sums(self.logits[ids], sizes)
+                self.shares = np.concatenate([self.shares, shares]) if len(self.shares) else shares
+                self.counts = np.concatenate([self.counts, sizes])
 
     def averages(self, texts: list[bytes]) -> np.ndarray:
         """The averaged logits of each text."""
@@ -97,7 +118,7 @@ class _Bags:
             self._forget()
         ids = list(map(self.numbers.__getitem__, tokens(text)))
         self._learn()
-        counts = np.bincount(np.concatenate([np.array(self.lists[i]) for i in ids]), minlength=self.buckets)
+        counts = np.bincount(np.concatenate([self.lists[i] for i in ids]), minlength=self.buckets)
         found = np.flatnonzero(counts)
         return found.astype(np.int32), counts[found].astype(np.int32)
 
