@@ -297,6 +297,26 @@ def test_license_containment_is_exact():
     assert matcher.search([[], ["a"], words * 2])[2] == [("U", 0, 11, 1.0), ("U", 11, 22, 1.0)]
 
 
+def test_repeated_long_notices_are_all_found():
+    rng = random.Random(21)
+    words = [f"t{i}" for i in range(60)]
+    matcher = licenses.Matcher((("N", " ".join(words)),))
+    for gap in (0, 1, 5, 9, 13, 40):
+        text, want = ["x"] * 7, []
+        for _ in range(4):
+            want.append(("N", len(text), len(text) + 60, 1.0))
+            text += words + ["y"] * gap
+        assert matcher.search([text]) == [want]
+    for _ in range(50):  # edited copies, one directly behind the other
+        text = []
+        for _ in range(3):
+            copy = words.copy()
+            copy[rng.randrange(5, 55)] = "edited"
+            text += copy
+        found = matcher.search([text])[0]
+        assert [hit[1:3] for hit in found] == [(0, 60), (60, 120), (120, 180)] and all(hit[3] >= 0.9 for hit in found)
+
+
 def test_licenses_of_odd_rows(spark):
     docs = clashing(frame(spark, documents()), "row", "found", "licenses")
     got = licenses.scan_licenses(docs).collect()

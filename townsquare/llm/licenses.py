@@ -100,6 +100,7 @@ class Template(NamedTuple):
     license: str
     shingles: frozenset[int]
     window: int  #: shingles of its windows
+    offsets: dict[int, list[int]]  #: where each shingle stands in it
 
 
 def window_of(n: int) -> int:
@@ -142,7 +143,10 @@ class Matcher:
             for band, keys in enumerate(self._bands(shingles)[window]):
                 for offset, key in enumerate(keys.tolist()):
                     self.files[window, band][key].append((len(self.templates), offset))
-            self.templates.append(Template(name, frozenset(shingles.tolist()), window))
+            offsets: dict[int, list[int]] = defaultdict(list)
+            for offset, shingle in enumerate(shingles.tolist()):
+                offsets[shingle].append(offset)
+            self.templates.append(Template(name, frozenset(offsets), window, dict(offsets)))
         self.longest = max((len(t.shingles) for t in self.templates), default=0)
         self.sieves = {}
         for place, keys in self.files.items():
@@ -199,16 +203,27 @@ class Matcher:
         return [_longest(rows) for rows in out]
 
     def _verify(self, template: Template, own: np.ndarray, starts: list[int]) -> list[tuple[str, int, int, float]]:
-        """Matches around supposed starts of the template in a text's shingles."""
+        """Matches around supposed starts of the template in a text's shingles.
+
+        A window begins after the match before it. A match ends with the
+        shingles that stand about where this start puts them: what is beyond
+        belongs to another copy.
+        """
         n = len(template.shingles)
-        slack, done, out = n // 4, -1, []
+        slack, done, out = n // 4, 0, []
         for start in starts:
-            low, high = max(0, start - slack), min(len(own), start + n + slack)
-            if low < done:
+            low, high = max(done, start - slack), min(len(own), start + n + slack)
+            if high - low < MIN_CONTAINMENT * n:
                 continue
             places = [i for i, s in enumerate(own[low:high].tolist(), low) if s in template.shingles]
             share = len({int(own[i]) for i in places}) / n
             if share >= MIN_CONTAINMENT:
+                here = [i for i in places if any(abs(i - at - start) <= slack for at in template.offsets[int(own[i])])]
+                if here:
+                    one = places[places.index(here[0]) : places.index(here[-1]) + 1]
+                    part = len({int(own[i]) for i in one}) / n
+                    if part >= MIN_CONTAINMENT:
+                        places, share = one, part
                 out.append((template.license, places[0], places[-1] + SHINGLE, share))
                 done = places[-1] + 1
         return out
