@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from townsquare.llm import mixing, rules
+from townsquare.llm import lexical, mixing, rules
 from townsquare.llm.common import WORD
 
 
@@ -124,4 +124,38 @@ reached AS (
 SELECT sizes.doc_id, n::BIGINT AS n_shingles, min(y) AS component_id, sizes.doc_id = min(y) AS kept
 FROM sizes JOIN reached ON reached.x = sizes.doc_id GROUP BY sizes.doc_id, n"""
 
-ORACLES = {"op2_mixture": mixture(), "op8_near_duplicates": NEAR_DUPLICATES, "op10_rules": RULES}
+# On the sample tables, an article is what the element of that name holds.
+MAIN_TEXT = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS body FROM pages),
+s AS (SELECT page_id, url, regexp_replace(regexp_replace(body, '</?(?:p|h1|br)>', ' ', 'g'), '</?b>', '', 'g') AS body FROM a),
+d AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(
+  replace(replace(replace(body, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM s)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d"""
+
+SEARCH = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), '{lexical.UPPER}', '{lexical.LOWER}'), {_text(lexical.TERM)}) AS w FROM documents),
+whole AS (
+  SELECT count(*) AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), '{lexical.UPPER}', '{lexical.LOWER}'), {_text(lexical.TERM)})) AS t FROM benchmark),
+tfs AS (
+  SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY r, t),
+weights AS (
+  SELECT t, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tfs, whole GROUP BY t),
+figures AS (
+  SELECT r, doc_id, 100 - 90 + (90 * len(d.w) * docs) // terms AS m FROM d, whole WHERE len(d.w) > 0),
+scores AS (
+  SELECT item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN tfs USING (t) JOIN weights USING (t) JOIN figures USING (r) GROUP BY item_id, r),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+  FROM scores JOIN figures USING (r) WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+ORACLES = {
+    "op2_mixture": mixture(), "op8_near_duplicates": NEAR_DUPLICATES, "op10_rules": RULES,
+    "op11_main_text": MAIN_TEXT, "op13_search": SEARCH,
+}

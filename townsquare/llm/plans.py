@@ -7,7 +7,10 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from townsquare.llm import decontamination, langid, licenses, mixing, neardup, ngrams, oracles, quality, rules, secretscan, sharding
+from townsquare.llm import (
+    decontamination, extraction, langid, lexical, licenses, mixing, neardup, ngrams, oracles, quality, rules, secretscan,
+    sharding, whitening,
+)
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -54,6 +57,18 @@ def quality_rules(spark, d):
     return rules.rules_digest(documents(spark, d))
 
 
+def page_texts(spark, d):
+    return extraction.extraction_digest(spark.read.parquet(f"{d}/pages.parquet"))
+
+
+def whitened(spark, d):
+    return whitening.whitening_digest(spark.read.parquet(f"{d}/embeddings.parquet"))
+
+
+def ranked_documents(spark, d):
+    return lexical.rank_documents(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality_scores,
     "op2_mixture": mixture,
@@ -65,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": near_duplicates,
     "op9_secrets": secret_spans,
     "op10_rules": quality_rules,
+    "op11_main_text": page_texts,
+    "op12_whitening": whitened,
+    "op13_search": ranked_documents,
     "pipeline": corpus_pipeline.run,
 }
 
