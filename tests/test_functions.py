@@ -2,8 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 from records import mention, tweet, url
 
-from townsquare.functions import links, text, time
-from townsquare.operators import tokens
+from townsquare.functions import links, segmentation, text, time
+from townsquare.operators import search, tokens
 from townsquare.sources import posts
 
 
@@ -53,6 +53,61 @@ def test_links_in_text(spark):
     ]
 
 
+@pytest.mark.parametrize(
+    "body, found",
+    [
+        ("https://en.wikipedia.org/wiki/Foo_(bar)", ["https://en.wikipedia.org/wiki/Foo_(bar)"]),
+        ("(https://en.wikipedia.org/wiki/Foo_(bar))", ["https://en.wikipedia.org/wiki/Foo_(bar)"]),
+        ("(see http://a.org/x).", ["http://a.org/x"]),
+        ("[a](http://a.org/x)and[b](www.b.org/y_[1]).", ["http://a.org/x", "http://www.b.org/y_[1]"]),
+        ("http://a.org/((x)(y))z)", ["http://a.org/((x)(y))z"]),
+        ("{http://a.org/x}y", ["http://a.org/x"]),
+        ("http://a.org/(x].", ["http://a.org/(x"]),
+        ("http://a.org/(", ["http://a.org/"]),
+        ("http://a.org/(x)'!", ["http://a.org/(x)"]),
+        ("http://x.org/http://y.org/(z)", ["http://x.org/http://y.org/(z)"]),
+        ("http://) www.] https://(", []),
+        ("http://a.org/" + "(" * 3000 + "x" + ")" * 3001, ["http://a.org/" + "(" * 3000 + "x" + ")" * 3000]),
+        (None, None),
+    ],
+)
+def test_brackets_in_links(spark, body, found):
+    assert one(spark, links.links_in_text, body) == found
+
+
+def balanced(run):
+    """Links of a run without blanks, a character at a time."""
+    out, start, depth, i = [], None, {}, 0
+    while i <= len(run):
+        ch = run[i] if i < len(run) else ")"
+        if start is None:
+            if any(run.startswith(s, i) for s in ("http://", "www.")) and (i == 0 or not run[i - 1].isalnum()):
+                start, depth = i, {}
+        if start is not None:
+            if ch in "([{":
+                depth[ch] = depth.get(ch, 0) + 1
+            elif ch in ")]}":
+                opening = "([{"[")]}".index(ch)]
+                if i == len(run) or not depth.get(opening):
+                    out.append(run[start:i].rstrip(".,;:!?'([{"))
+                    start = None
+                else:
+                    depth[opening] -= 1
+        i += 1
+    return [u if u.startswith("http") else f"http://{u}" for u in out if u not in ("http:/", "http://", "www", "www.")]
+
+
+def test_links_like_a_scan_of_characters(spark):
+    import random
+
+    rng = random.Random(11)
+    bits = ["http://", "www.", "a", "/x", "(", ")", "[", "]", "{", "}", ".", ",", "-", "!"]
+    runs = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 25))) for _ in range(3000)]
+    table = spark.createDataFrame([(r,) for r in runs], "t string")
+    for r in table.select("t", links.links_in_text(F.col("t")).alias("u")).collect():
+        assert [u for u in r.u if u != "http:/"] == balanced(r.t), r.t
+
+
 def test_clean_url_takes_one_slash(spark):
     assert one(spark, links.clean_url, "http://a.org//") == "http://a.org/"
 
@@ -116,6 +171,12 @@ def test_reddit_tokens(spark):
     assert got == ["It's", "here", "https://x.org/a_b?c=1", "www.y.com", "Bye"]
 
 
+def test_words_between_links_are_tokens(spark):
+    text_ = "[a](http://x.org/y_(z))und so,(www.q.org) w"
+    got = tokens.reddit_tokens(spark.createDataFrame([("a", text_)], "id string, text string"))
+    assert [r.token for r in got.orderBy("pos").collect()] == ["a", "http://x.org/y_(z)", "und", "so", "www.q.org", "w"]
+
+
 def test_topic_tokens_drop_stopwords_in_any_case(spark):
     rows = spark.createDataFrame([(1, "The #World it's a.b re-do THE end")], "id long, text string")
     got = [r.token for r in tokens.topic_tokens(rows, ["the", "END"]).orderBy("pos").collect()]
@@ -132,6 +193,15 @@ def test_topic_tokens_drop_stopwords_in_any_case(spark):
         ('x<script>var a = "<p>";</script>y<style>p{}</style>', "x y"),
         ("<a href='#1'>&gt;&gt;1</a>  &lt;i&gt; &amp;amp; &eacute;", ">>1 <i> &amp; é"),
         ("2 < 3 and 4 > 1", "2 < 3 and 4 > 1"),
+        ("<a title=\"a>b\" href='x'>hi</a>", "hi"),
+        ("<a title='<p>' x=\"<!--\">h</a>i<!-- <p> -->!", "hi!"),
+        ("a<b x=y'>b<i title=\"a'b\">c", "abc"),
+        ('a<script>if (a < b) "</p>"</script >b<STYLE>x</STYLE\n>c', "a b c"),
+        ("a<!-- open <p> b", "a"),
+        ("a<p>b<script>c</p>", "a b"),
+        ("a <b", "a"),
+        ("<!DOCTYPE html><p>a<?php x ?>b</p>", "ab"),
+        ("</ x>a</>b", "ab"),
         ("", ""),
         (None, None),
     ],
@@ -140,6 +210,106 @@ def test_plain_text(spark, markup, plain):
     assert one(spark, text.plain_text, markup) == plain
 
 
+def test_markup_like_the_standard_library(spark):
+    import random
+    from html.parser import HTMLParser
+
+    class Shown(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.parts, self.hidden = [], False
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden = tag in ("script", "style")
+            self.parts.append(" " if tag in ("p", "br", "div", "script", "style") else "")
+
+        def handle_endtag(self, tag):
+            self.hidden = False
+            self.parts.append(" " if tag in ("p", "br", "div", "script", "style") else "")
+
+        def handle_data(self, data):
+            self.parts.append("" if self.hidden else data)
+
+    rng = random.Random(5)
+    bits = ["<p>", "</p>", "<br/>", "<b>", "</b>", "x", " y ", "<a href='a>b'>", '<i title="<p>">', "</a>", "<!-- <p> -->", "&lt;", "<div class=c>"]
+    bits += ["<script>a<b</script>", "<style>p{}</style>", "<p\n id = 'q' >", "2 < 3", '<a b="c" d=\'e"f\' g>', "<!---->", "&amp;amp;"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 12))) for _ in range(2000)]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.plain_text(F.col("t")).alias("p")).collect():
+        parser = Shown()
+        parser.feed(r.t)
+        parser.close()
+        assert r.p == " ".join("".join(parser.parts).split()), r.t
+
+
+def test_hostile_markup(spark):
+    for part in ("<", "<a ", "<a b='", "<!--", "<script ", "=", "<p x="):
+        assert one(spark, text.plain_text, part * 5000) is not None
+    assert one(spark, text.plain_text, "<p " + "a='b' " * 5000 + ">x") == "x"
+
+
+WORD_LIST = ["東京", "タワー", "に", "行く", "日本", "日本語", "語", "を", "話す", "我", "来到", "北京", "清华大学", "清华", "大学", "ฉัน", "รัก", "ภาษา", "ไทย"]
+
+
+@pytest.mark.parametrize(
+    "given, ruled, listed",
+    [
+        ("東京タワーに行く", ["東", "京", "タワー", "に", "行", "く"], ["東京", "タワー", "に", "行く"]),
+        ("I saw 東京Tower!", ["I", "saw", "東", "京", "Tower"], ["I", "saw", "東京", "Tower"]),
+        ("日本語を話す。我来到北京清华大学", list("日本語を話す我来到北京清华大学"), ["日本語", "を", "話す", "我", "来到", "北京", "清华大学"]),
+        ("ฉันรักภาษาไทย 2 ครั้ง", ["ฉันรักภาษาไทย", "2", "ครั้ง"], ["ฉัน", "รัก", "ภาษา", "ไทย", "2", "ครั้ง"]),
+        ("新東京ポケモンに", ["新", "東", "京", "ポケモン", "に"], ["新", "東京", "ポケモン", "に"]),
+        ("it's 3年 don’t_x", ["it's", "3", "年", "don’t_x"], ["it's", "3", "年", "don’t_x"]),
+        ("が゙𠀋", ["が゙", "𠀋"], ["が゙", "𠀋"]),
+        ("", [], []),
+        (None, None, None),
+    ],
+)
+def test_words_without_blanks(spark, given, ruled, listed):
+    known = segmentation.lexicon(spark.createDataFrame([(w, 1) for w in WORD_LIST], "word string, n int"))
+    assert one(spark, text.words, given) == ruled
+    rows = spark.createDataFrame([(given,)], "v string").select(text.words(F.col("v"), whole_runs=True).alias("t"))
+    assert segmentation.with_words(rows, "t", known).first().t == listed
+
+
+def test_segments_are_the_cheapest():
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    words = {"".join(rng.choice("甲乙丙") for _ in range(rng.randrange(1, 4))): rng.randrange(1, 5000) for _ in range(12)}
+    known = segmentation.Lexicon(words, 3, 9000)
+    for _ in range(300):
+        run = "".join(rng.choice("甲乙丙丁") for _ in range(rng.randrange(1, 9)))
+        ways = []
+        for cuts in itertools.product([0, 1], repeat=len(run) - 1):
+            at = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(run)]
+            parts = [run[a:b] for a, b in itertools.pairwise(at)]
+            if all(p in words or len(p) == 1 for p in parts):
+                ways.append((sum(min(words.get(p, 9000), 9000) for p in parts), len(parts)))
+        got = segmentation.segment(run, known)
+        assert "".join(got) == run and (sum(words.get(p, 9000) for p in got), len(got)) == min(ways)
+
+
+def test_word_list(spark):
+    words = spark.createDataFrame([("一", 2), ("一", 1), ("", 5), (None, 5), ("二二", 1), ("三", 0)], "word string, n int")
+    known = segmentation.lexicon(words)
+    assert set(known.costs) == {"一", "二二"} and known.longest == 2 and known.costs["一"] < known.costs["二二"] < known.unknown
+    assert segmentation.segment("一" * 5000, known) == ["一"] * 5000
+    assert segmentation.lexicon(words.limit(0)).longest == 0
+
+
+def test_tweets_and_comments_take_a_word_list(spark, lines):
+    known = segmentation.lexicon(spark.createDataFrame([(w, 1) for w in WORD_LIST], "word string, n int"))
+    made = posts.tweets(lines(tweet(1, "@Ann 日本語を話す x", user_mentions=[mention(5, "Ann", 0)])))
+    assert [r.token for r in tokens.tweet_tokens(made, lexicon=known).orderBy("pos").collect()] == ["@Ann", "日本語", "を", "話す", "x"]
+    pairs = tokens.tweet_tokens(made, make_bigrams=True, preserve_case=False, lexicon=known).orderBy("pos").collect()
+    assert [r.token for r in pairs[5:]] == ["@ann_日本語", "日本語_を", "を_話す", "話す_x"]
+    near = search.cooccurring_terms(made, ["日本"], 3, tokens.tweet_token_array(whole_runs=True), lexicon=known)
+    assert [r.token for r in near.collect()] == ["@ann", "@ann_日本語", "x"]
+    said = spark.createDataFrame([(1, "北京(http://a.org/x)清华大学")], "id int, text string")
+    assert [r.token for r in tokens.reddit_tokens(said, lexicon=known).orderBy("pos").collect()] == ["北京", "http://a.org/x", "清华大学"]
+
+
 def test_date_text_round_trip(spark):
     given = "Wed Jan 3 10:20:30 +0000 2024"
     assert one(spark, lambda c: time.format_date_text(time.parse_date_text(c)), given) == given

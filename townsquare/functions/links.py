@@ -20,8 +20,12 @@ VALID_HOST = (
     r"^(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,61}[\p{L}\p{N}])?\.)+"
     r"(?:\p{L}{2,63}|xn--[a-z0-9-]{1,59})$"
 )
-LINK_IN_TEXT = r'(?i)\b(?:https?://|www\.)[^\s<>"]+'
-TRAILING_PUNCTUATION = r"[.,;:!?'\)\]\}]+$"
+LINK_START = r"(?i)\b(?:https?://|www\.)"
+LINK_IN_TEXT = LINK_START + r'[^\s<>"]+'
+# Signs that end no link: punctuation, and brackets that are opened but hold nothing.
+TRAILING_PUNCTUATION = r"[.,;:!?'(\[{]+$"
+_BRACKET_OR_REST = r"[()\[\]{}]|[^()\[\]{}]+"
+_PAIRS = {"round": "()", "square": "[]", "curly": "{}"}
 
 
 def registered_domain(url: Column, top_level: Sequence[str] | None = None) -> Column:
@@ -87,9 +91,61 @@ def all_urls(tweet: Column, citations: int = 2) -> Column:
 
 def links_in_text(text: Column) -> Column:
     """Links found in free text, sentence punctuation cut off, ``www.`` links
-    given a scheme."""
-    found = F.regexp_extract_all(text, F.lit(LINK_IN_TEXT), F.lit(0))
-    return F.transform(found, lambda u: _with_scheme(F.regexp_replace(u, TRAILING_PUNCTUATION, "")))
+    given a scheme. A closing bracket belongs to a link that holds its partner
+    and ends any other."""
+    runs = F.regexp_extract_all(text, F.lit(LINK_IN_TEXT), F.lit(0))
+    found = F.flatten(F.transform(runs, lambda run: F.transform(link_spans(run), lambda span: link_at(run, span))))
+    return F.transform(F.filter(found, _holds_more), _with_scheme)
+
+
+def link_spans(run: Column) -> Column:
+    """The links in a run of signs without blanks that begins with one, as
+    (start, stop) from 0 on.
+
+    The run is read from left to right, a bracket or what lies between two of
+    them at a time, with the number of open brackets of each kind. The bracket
+    that closes none ends the link; behind it another one may begin.
+    """
+    spans = "array<struct<start:int,stop:int>>"
+    state = F.struct(
+        F.lit(0).alias("at"), F.lit(-1).alias("start"), *[F.lit(0).alias(kind) for kind in _PAIRS],
+        F.array().cast(spans).alias("spans"),
+    )
+
+    def read(now: Column, piece: Column) -> Column:
+        within = now["start"] >= 0
+        ends = F.lit(False)
+        for kind, (_, closing) in _PAIRS.items():
+            ends = ends | (within & (piece == closing) & (now[kind] == 0))
+        first = F.regexp_instr(piece, F.lit(LINK_START))
+        start = F.when(ends, -1).when(within, now["start"]).when(first > 0, now["at"] + first - 1).otherwise(-1)
+        depths = [
+            F.when(ends | ~within, 0)
+            .otherwise(now[kind] + (piece == opening).cast("int") - (piece == closing).cast("int")).alias(kind)
+            for kind, (opening, closing) in _PAIRS.items()
+        ]
+        done = F.array(F.struct(now["start"].alias("start"), now["at"].alias("stop")))
+        return F.struct(
+            (now["at"] + F.length(piece)).alias("at"), start.cast("int").alias("start"), *depths,
+            F.when(ends, F.concat(now["spans"], done)).otherwise(now["spans"]).alias("spans"),
+        )
+
+    def whole(end: Column) -> Column:
+        last = F.array(F.struct(end["start"].alias("start"), end["at"].alias("stop")))
+        return F.when(end["start"] >= 0, F.concat(end["spans"], last)).otherwise(end["spans"])
+
+    pieces = F.regexp_extract_all(run, F.lit(_BRACKET_OR_REST), F.lit(0))
+    plain = F.array(F.struct(F.lit(0).alias("start"), F.length(run).alias("stop"))).cast(spans)
+    return F.when(run.rlike(r"[)\]}]"), F.aggregate(pieces, state, read, whole)).otherwise(plain)
+
+
+def link_at(run: Column, span: Column) -> Column:
+    """The link in a span, without the punctuation behind it."""
+    return F.regexp_replace(F.substr(run, span["start"] + 1, span["stop"] - span["start"]), TRAILING_PUNCTUATION, "")
+
+
+def _holds_more(link: Column) -> Column:
+    return link.rlike(LINK_START + ".")
 
 
 def _with_scheme(link: Column) -> Column:

@@ -7,11 +7,12 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from townsquare.functions.links import LINK_IN_TEXT, TRAILING_PUNCTUATION, let
+from townsquare.functions.links import LINK_IN_TEXT, LINK_START, let, link_at, link_spans
+from townsquare.functions.segmentation import RUN, SPACED, split_runs
 
-# A word: letters, digits, marks and underscores, joined by an inner
-# apostrophe or period.
-WORD = r"[\p{L}\p{M}\p{N}_]+(?:['’.][\p{L}\p{M}\p{N}_]+)*"
+# A word: a run of letters of a script without blanks; or other letters, digits,
+# marks and underscores, joined by an inner apostrophe or period.
+WORD = rf"{SPACED}+(?:['’.]{SPACED}+)*|{RUN}"
 # Words for topic models: an optional hash sign, then letters, digits, _ . ' -
 # The hyphen stands last: before the apostrophe it would be an invalid range.
 TOPIC_WORD = r"#?[\p{L}\p{N}_.'-]+"
@@ -21,7 +22,13 @@ ENTITY_OR_WORD = r"https?://\S+|[#@]\w+|" + WORD
 _NONE = "array<string>"
 
 
-def words(text: Column, pattern: str = WORD) -> Column:
+def words(text: Column, pattern: str = WORD, whole_runs: bool = False) -> Column:
+    """The words of a text. ``whole_runs`` leaves runs of scripts without blanks for a word list to split."""
+    found = _found(text, pattern)
+    return found if whole_runs else split_runs(found, text)
+
+
+def _found(text: Column, pattern: str = WORD) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
@@ -76,7 +83,7 @@ def entity_spans(entities: Column) -> Column:
     return F.sort_array(F.array_distinct(usable))
 
 
-def entity_tokens(text: Column, entities: Column) -> Column:
+def entity_tokens(text: Column, entities: Column, whole_runs: bool = False) -> Column:
     """Tokens of a tweet: its entities whole, the text between them in words.
 
     Each entity is looked for behind the previous one; one that is not there
@@ -89,31 +96,42 @@ def entity_tokens(text: Column, entities: Column) -> Column:
         before = F.substr(text, done["upto"] + 1, at - 1 - done["upto"])
         found = F.struct(
             (at - 1 + F.length(entity["find"])).alias("upto"),
-            F.concat(done["tokens"], words(before), F.array(entity["emit"])).alias("tokens"),
+            F.concat(done["tokens"], _found(before), F.array(entity["emit"])).alias("tokens"),
         )
         return F.when(at > 0, found).otherwise(done)
 
     def rest(done: Column) -> Column:
-        return F.concat(done["tokens"], words(F.substr(text, done["upto"] + 1)))
+        return F.concat(done["tokens"], _found(F.substr(text, done["upto"] + 1)))
 
-    return F.aggregate(entity_spans(entities), start, take, rest)
+    found = F.aggregate(entity_spans(entities), start, take, rest)
+    return found if whole_runs else split_runs(found, text)
 
 
-def link_and_word_tokens(text: Column) -> Column:
+def link_and_word_tokens(text: Column, whole_runs: bool = False) -> Column:
     """Tokens of forum text: links whole, the rest in words, case kept."""
-    found = F.regexp_extract_all(text, F.lit(f"(?:{LINK_IN_TEXT[4:]})|{WORD}"), F.lit(0))
-    return F.flatten(F.transform(found, _split_link_tail))
+    tokens = _found(text, f"(?:{LINK_IN_TEXT[4:]})|{WORD}")
+    found = F.when(text.rlike(LINK_START), F.flatten(F.transform(tokens, _links_and_words))).otherwise(tokens)
+    return found if whole_runs else split_runs(found, text)
+
+
+def _links_and_words(token: Column) -> Column:
+    """A word as it is; of a run that begins with a link, its links and the words between them."""
 
+    def parts(spans: Column) -> Column:
+        def part(span: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(spans, i - 1)["stop"]).otherwise(0)
+            return F.concat(_found(F.substr(token, before + 1, span["start"] - before)), F.array(link_at(token, span)))
+
+        rest = _found(F.substr(token, F.element_at(spans, -1)["stop"] + 1))
+        return F.concat(F.flatten(F.transform(spans, part)), rest)
 
-def _split_link_tail(token: Column) -> Column:
-    # Punctuation behind a link is no part of it and holds no word.
     link = token.rlike(r"(?i)^(?:https?://|www\.)")
-    return F.array(F.when(link, F.regexp_replace(token, TRAILING_PUNCTUATION, "")).otherwise(token))
+    return F.when(link, let(link_spans(token), parts)).otherwise(F.array(token))
 
 
 def topic_tokens(text: Column, stopwords: list[str] | None = None) -> Column:
     """Lower-cased topic words without stopwords (compared case-blind)."""
-    tokens = words(F.lower(text), TOPIC_WORD)
+    tokens = _found(F.lower(text), TOPIC_WORD)
     if not stopwords:
         return tokens
     drop = sorted({w.lower() for w in stopwords})
@@ -176,22 +194,32 @@ def _named(reference: Column) -> Column:
     return F.coalesce(*found, reference)
 
 
-# Comments vanish; script, style and block tags part words; other tags do not.
-COMMENT = r"(?is)<!--.*?-->"
-UNSHOWN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!doctype[^>]*>"
-BLOCK_TAG = (
-    r"(?i)</?(?:address|article|aside|audio|blockquote|body|br|canvas|caption|center|col|colgroup"
+# Markup is read from left to right, a token at a time: an element whose content
+# is no markup, a comment, a declaration, a tag with its quoted attributes, the
+# text up to the next token. What lacks its end lasts to the end of the text.
+# Comments and tags vanish; script, style and block tags part words.
+_ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
+_HIDDEN = rf"<(script|style)(?=[\s/>]){_ATTRIBUTES}(?:>.*?(?:</\1(?=[\s/>])[^>]*+(?:>|\z)|\z)|\z)"
+_COMMENT = r"<!--(?:-?>|.*?(?:--!?>|\z))"
+_DECLARATION = r"<(?:[!?]|/(?![A-Za-z]))[^>]*+(?:>|\z)"
+_TAG = rf"</?[A-Za-z]{_ATTRIBUTES}(?:>|\z)"
+MARKUP = rf"(?is){_HIDDEN}|{_COMMENT}|{_DECLARATION}|{_TAG}|[^<]++|<"
+PARTS_WORDS = (
+    r"(?i)^(?:<!doctype|</?(?:address|article|aside|audio|blockquote|body|br|canvas|caption|center|col|colgroup"
     r"|dd|del|details|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html"
-    r"|ins|li|link|main|menu|meta|nav|noscript|ol|p|pre|section|table|tbody|td|template|tfoot|th"
-    r"|thead|title|tr|ul|video)\b[^>]*>"
+    r"|ins|li|link|main|menu|meta|nav|noscript|ol|p|pre|script|section|style|table|tbody|td|template|tfoot|th"
+    r"|thead|title|tr|ul|video)(?![^\s/>]))"
 )
-ANY_TAG = r"</?[A-Za-z][^>]*>"
 
 
 def strip_tags(markup: Column) -> Column:
-    for pattern, blank in ((COMMENT, ""), (UNSHOWN, " "), (BLOCK_TAG, " "), (ANY_TAG, "")):
-        markup = F.regexp_replace(markup, pattern, blank)
-    return markup
+    tokens = F.regexp_extract_all(markup, F.lit(MARKUP), F.lit(0))
+
+    def shown(token: Column) -> Column:
+        tag = token.startswith("<") & (F.length(token) > 1)
+        return F.when(~tag, token).when(token.rlike(PARTS_WORDS), " ").otherwise("")
+
+    return F.when(F.contains(markup, F.lit("<")), F.array_join(F.transform(tokens, shown), "")).otherwise(markup)
 
 
 def squeeze(text: Column) -> Column:

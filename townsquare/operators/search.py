@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 
 from townsquare.functions import text as T
 from townsquare.functions.links import let
+from townsquare.functions.segmentation import Lexicon, with_words
 from townsquare.operators.extract import top
 from townsquare.sources.lists import keyword_queries
 
 # Fields whose text is split into words, and the same split for query values.
 ANALYSED = ("content",)
-PLAIN_WORD = regex.compile(T.WORD)
+PLAIN_WORD = regex.compile(re.sub(r"\\x\{(\w+)\}", lambda m: f"\\U{int(m[1], 16):08X}", T.WORD), regex.V1)
 
 
 def _any(conditions: Sequence[Column]) -> Column:
@@ -216,12 +217,16 @@ def _bm25(query: Mapping, fields: Column) -> Column:
 # --- query expansion --------------------------------------------------------
 
 
-def _expansion_tokens(posts: DataFrame, tokens: Column, *keep: Column) -> DataFrame:
+def _expansion_tokens(posts: DataFrame, tokens: Column, lexicon: Lexicon | None, *keep: Column) -> DataFrame:
     """One row per lower-cased token and per bigram of neighbours. The folded
     tokens are a column first, so that they are computed once per post."""
     folded = posts.select(*keep, T.fold_case(tokens).alias("t"))
+    if lexicon is not None:
+        folded = with_words(folded, "t", lexicon)
     pairs = F.concat("t", T.bigrams(F.col("t")))
-    return folded.select(*[c for c in folded.columns if c != "t"], F.explode(pairs).alias("token"))
+    # Outer, since Spark would filter by the size of the tokens first, and so compute them twice.
+    each = folded.select(*[c for c in folded.columns if c != "t"], F.explode_outer(pairs).alias("token"))
+    return each.where(F.col("token").isNotNull())
 
 
 def cooccurring_terms(
@@ -230,11 +235,13 @@ def cooccurring_terms(
     k: int,
     tokens: Column,
     text: str | Column = "text",
+    lexicon: Lexicon | None = None,
 ) -> DataFrame:
     """(token, n): the ``k`` most frequent tokens and bigrams of the posts
-    that match the keywords; ties in order of the token."""
+    that match the keywords; ties in order of the token. ``lexicon`` splits the
+    runs of scripts without blanks among ``tokens``, if these leave them whole."""
     found = keyword_filter(posts, keywords, text)
-    each = _expansion_tokens(found, tokens)
+    each = _expansion_tokens(found, tokens, lexicon)
     return top(each.groupBy("token").agg(F.count("*").alias("n")), k, "n", "token")
 
 
@@ -271,6 +278,7 @@ def expand_query(
     id_col: str = "id",
     background: str = "sample",
     seed: int = 17,
+    lexicon: Lexicon | None = None,
 ) -> DataFrame:
     """(token, kl): the ``k`` tokens and bigrams that set the posts matching
     the keywords apart from the background, the most telling first.
@@ -287,12 +295,12 @@ def expand_query(
     matched = (F.length(column) > 0) & matches_keywords(column, keywords)
     marked = usable.withColumn("fore", matched.cast("int"))
     if background == "all":
-        each = _expansion_tokens(marked, tokens, F.col("fore"), F.lit(1).alias("back"))
+        each = _expansion_tokens(marked, tokens, lexicon, F.col("fore"), F.lit(1).alias("back"))
     else:
         ratio = usable.agg(F.avg(matched.cast("double"))).scalar()
         drawn = uniform_hash(F.col(id_col), seed) < ratio
         marked = marked.withColumn("back", drawn.cast("int")).where("fore + back > 0")
-        each = _expansion_tokens(marked, tokens, F.col("fore"), F.col("back"))
+        each = _expansion_tokens(marked, tokens, lexicon, F.col("fore"), F.col("back"))
     counts = each.groupBy("token").agg(F.sum("fore").alias("fore"), F.sum("back").alias("back"))
     # Both branches use both sums, so the aggregation runs once and its
     # exchange is reused for the totals.

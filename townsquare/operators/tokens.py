@@ -8,10 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from townsquare.functions import text as T
+from townsquare.functions.segmentation import Lexicon, with_words
 
 
-def _table(posts: DataFrame, id_col: str, tokens: Column) -> DataFrame:
-    return posts.select(F.col(id_col).alias("doc_id"), F.posexplode(tokens).alias("pos", "token"))
+def _table(posts: DataFrame, id_col: str, tokens: Column, lexicon: Lexicon | None = None, bigrams: bool = False) -> DataFrame:
+    rows = posts.select(F.col(id_col).alias("doc_id"), tokens.alias("tokens"))
+    if lexicon is not None:
+        rows = with_words(rows, "tokens", lexicon)
+    if bigrams:
+        rows = rows.withColumn("tokens", F.concat("tokens", T.bigrams(F.col("tokens"))))
+    # Outer, since Spark would filter by the size of the tokens first, and so compute them twice.
+    return rows.select("doc_id", F.posexplode_outer("tokens").alias("pos", "token")).where(F.col("pos").isNotNull())
 
 
 def tweet_tokens(
@@ -21,15 +28,18 @@ def tweet_tokens(
     entities: str | None = "entities",
     make_bigrams: bool = False,
     preserve_case: bool = True,
+    lexicon: Lexicon | None = None,
 ) -> DataFrame:
     """(doc_id, pos, token) of tweets: hashtags, mentions, links, media and
     cash symbols are whole tokens, a link in its expanded form; the rest is
     split into words. Bigrams follow the tokens they are made of.
 
     Without entity arrays (``entities=None``) links, tags and names are told
-    by their form.
+    by their form. ``lexicon``, a word list, splits scripts without blanks into
+    words; without one they are split by the rules of Unicode.
     """
-    return _table(tweets, id_col, tweet_token_array(text, entities, make_bigrams, preserve_case))
+    tokens = tweet_token_array(text, entities, False, preserve_case, lexicon is not None)
+    return _table(tweets, id_col, tokens, lexicon, make_bigrams)
 
 
 def tweet_token_array(
@@ -37,21 +47,24 @@ def tweet_token_array(
     entities: str | None = "entities",
     make_bigrams: bool = False,
     preserve_case: bool = True,
+    whole_runs: bool = False,
 ) -> Column:
     if entities is None:
-        tokens = T.words(F.col(text), T.ENTITY_OR_WORD)
+        tokens = T.words(F.col(text), T.ENTITY_OR_WORD, whole_runs)
     else:
-        tokens = T.entity_tokens(F.col(text), F.col(entities))
+        tokens = T.entity_tokens(F.col(text), F.col(entities), whole_runs)
     if not preserve_case:
         tokens = T.fold_case(tokens)
     return F.concat(tokens, T.bigrams(tokens)) if make_bigrams else tokens
 
 
-def reddit_tokens(posts: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
+def reddit_tokens(
+    posts: DataFrame, id_col: str = "id", text: str = "text", lexicon: Lexicon | None = None
+) -> DataFrame:
     """(doc_id, pos, token) of forum posts: character references decoded,
-    links whole, the rest in words, case kept."""
+    links whole, the rest in words, case kept; ``lexicon`` as for tweets."""
     decoded = posts.withColumn("_text", T.decode_entities(F.col(text)))
-    return _table(decoded, id_col, T.link_and_word_tokens(F.col("_text")))
+    return _table(decoded, id_col, T.link_and_word_tokens(F.col("_text"), lexicon is not None), lexicon)
 
 
 def topic_tokens(

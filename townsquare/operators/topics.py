@@ -1,29 +1,33 @@
 """Topic models: train, describe, score elsewhere, compare.
 
-The model itself is Spark ML's online LDA. It keeps topics x vocabulary
+The model itself is Spark ML's LDA. Online training keeps topics x vocabulary
 numbers on the driver; ``min_df``, the least number of documents a term must be
 in, decides how many those are, and training refuses a vocabulary that would
-not fit. Corpora are tables with an id and a text column.
+not fit. Training by expectation-maximisation keeps documents and terms as a
+distributed graph. Corpora are tables with an id and a text column.
 """
 
 from __future__ import annotations
 
 import datetime
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import SparkContext
-from pyspark.ml.clustering import LDA, LDAModel
+from pyspark import SparkContext, inheritable_thread_target
+from pyspark.ml.clustering import LDA, DistributedLDAModel, LDAModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from townsquare.functions import text as T
 from townsquare.operators.search import uniform_hash
-from townsquare.session import kept, scratch
+from townsquare.session import scratch, scratch_folder
 
 # The least counts of a term, and the length of a topic's report.
 MIN_TF = 10
@@ -32,6 +36,9 @@ TERMS_PER_TOPIC = 20
 
 MODEL_AT_MOST = 1 << 28  # topics x terms of a model, eight bytes each
 NO_TOPIC = -1  # row of documents that hold no known term
+AT_ONCE = 4  # cells of an evaluation grid that are worked on at the same time
+SETTLED = 1e-9  # mean change of a document's weights at which they count as settled
+TURNS_AT_MOST = 500  # of a document's fixed point
 
 
 class NoTerms(ValueError):
@@ -84,7 +91,7 @@ def mixed_corpus(**corpora: DataFrame) -> DataFrame:
         rows = corpus.select(
             F.lit(platform).alias("platform"),
             F.concat_ws(":", F.lit(platform), F.col("id").cast("string")).alias("id"),
-            "text",
+            "filtered" if "filtered" in corpus.columns else "text",
         )
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -180,36 +187,60 @@ def train(
     vocab_size: int | None = None,
     seed: int = 17,
     partitions: int | None = None,
+    optimizer: str = "online",
+    checkpoint_interval: int = 10,
 ) -> TopicModel:
     """Fit ``k`` topics. ``partitions`` fixes how documents are laid out, by
     id, so that a run can be repeated exactly. Texts are split into words once,
-    for the vocabulary and the vectors."""
-    tokens = _filtered(corpus, stopwords).persist()
+    for the vocabulary and the vectors; a corpus of words, in ``filtered``, is
+    read as it is.
+
+    ``optimizer="em"`` fits by expectation-maximisation over a graph of
+    documents and terms; the model stays distributed, and the graph is written
+    to the shared folder every ``checkpoint_interval`` iterations, so that a
+    lost executor costs no more than those.
+    """
+    if optimizer not in ("online", "em"):
+        raise ValueError(f"no such optimizer: {optimizer}")
+    split = "filtered" not in corpus.columns
+    tokens = _filtered(corpus, stopwords)
+    if split:
+        tokens = tokens.persist()
     try:
+        most = MODEL_AT_MOST // k
         counted = vocabulary(tokens, stopwords, min_df, vocab_size).select("term")
-        n = counted.count()
-        if not n:
+        terms = [r.term for r in counted.limit(most + 1).collect()]
+        if not terms:
             raise NoTerms("no term is in enough documents")
-        if n * k > MODEL_AT_MOST:
-            raise ValueError(f"{n} terms are too many for {k} topics; raise min_df")
-        vectorizer = vectorizer_of([r.term for r in counted.collect()], min_tf)
-        documents = vectorize(tokens, vectorizer, stopwords)
+        if len(terms) > most:
+            raise ValueError(f"there are too many terms for {k} topics; raise min_df")
+        documents = vectorize(tokens, vectorizer := vectorizer_of(terms, min_tf), stopwords)
         if partitions:
             documents = documents.repartition(partitions, "id").sortWithinPartitions("id")
         documents = documents.select("id", "features").persist()
         documents.count()
     finally:
-        tokens.unpersist()
+        if split:
+            tokens.unpersist()
     try:
-        lda = LDA(
-            k=k, maxIter=max_iter, seed=seed, optimizer="online", optimizeDocConcentration=False,
-            featuresCol="features",
-        ).fit(documents)
+        settings = {"k": k, "maxIter": max_iter, "seed": seed, "featuresCol": "features", "optimizer": optimizer}
+        if optimizer == "online":
+            lda = LDA(optimizeDocConcentration=False, **settings).fit(documents)
+        else:
+            spark = corpus.sparkSession
+            if not spark.sparkContext.getCheckpointDir():
+                spark.sparkContext.setCheckpointDir(scratch_folder(spark))
+            lda = LDA(checkpointInterval=checkpoint_interval, **settings).fit(documents)
     finally:
         documents.unpersist()
     return TopicModel(lda, vectorizer)
 
 
+def local(model: TopicModel) -> TopicModel:
+    """The model as one that scores new documents: a distributed one gathers its topics x terms on the driver."""
+    return TopicModel(model.lda.toLocal(), model.vectorizer) if isinstance(model.lda, DistributedLDAModel) else model
+
+
 def describe(model: TopicModel, terms: int = TERMS_PER_TOPIC) -> DataFrame:
     """(topic, rank, term, weight): the heaviest terms of each topic."""
     return _weights(model, terms).select("topic", "rank", "term", "weight")
@@ -255,12 +286,95 @@ def held_out(
     """One row (log_likelihood, docs) of a model on another corpus."""
     vectors = vectorize(sample(corpus, size, seed), model.vectorizer, stopwords).persist()
     try:
-        row = (float(model.lda.logLikelihood(vectors)), vectors.count())
+        row = (float(local(model).lda.logLikelihood(vectors)), vectors.count())
     finally:
         vectors.unpersist()
     return corpus.sparkSession.createDataFrame([row], "log_likelihood double, docs bigint")
 
 
+def digamma(x: np.ndarray) -> np.ndarray:
+    """Derivative of the logarithm of the gamma function, for numbers above 0."""
+    x = np.asarray(x, float)
+    out = np.zeros_like(x)
+    for _ in range(6):  # up to where the series holds
+        small = x < 6
+        out -= np.where(small, 1 / x, 0)
+        x = x + small
+    y = 1 / (x * x)
+    return out + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))
+
+
+def expected_logs(weights: np.ndarray) -> np.ndarray:
+    """Mean logarithm of each share of a Dirichlet distribution with these weights in a row."""
+    return digamma(weights) - digamma(weights.sum(axis=-1, keepdims=True))
+
+
+def settled_weights(
+    counts: np.ndarray, beta: np.ndarray, alpha: np.ndarray, settled: float = SETTLED, turns: int = TURNS_AT_MOST
+) -> np.ndarray:
+    """Topic weights of a document: the fixed point of ``alpha`` plus the counts shared out among the topics.
+
+    ``beta`` has a row for each term of the document and a column for each topic.
+    """
+    gamma = np.full(len(alpha), 1.0)
+    for _ in range(turns):
+        theta = np.exp(expected_logs(gamma))
+        new = alpha + theta * ((counts / (beta @ theta + 1e-100)) @ beta)
+        change = np.abs(new - gamma).mean()
+        gamma = new
+        if change < settled:
+            break
+    return gamma
+
+
+def document_bounds(model: TopicModel, corpus: DataFrame, stopwords: Sequence[str] = (), turns: int = TURNS_AT_MOST) -> DataFrame:
+    """(id, tokens, bound, weights): each document's share of the variational bound of
+    its likelihood, and its topic weights, from which a document's topics are read.
+
+    The weights are a fixed point, found for a document at a time in batches of
+    vectors; only the topics, which a model keeps on the driver, go to the tasks.
+    A document without a known term has bound 0 and the weights of the prior.
+    The bounds add up, with :func:`topics_bound`, to the likelihood of the corpus.
+    """
+    lda = local(model).lda
+    k = lda.getK()
+    topics = lda.topicsMatrix().toArray().T  # topics x terms
+    beta = np.exp(expected_logs(topics)).T.copy()
+    alpha = np.asarray(lda.estimatedDocConcentration().toArray(), float)
+    alpha = np.full(k, alpha[0]) if len(alpha) == 1 else alpha
+    gammas = np.vectorize(math.lgamma, otypes=[float])
+
+    @F.pandas_udf("tokens double, bound double, weights array<double>")
+    def score(slots: pd.Series, numbers: pd.Series) -> pd.DataFrame:
+        rows = []
+        for at, n in zip(slots, numbers, strict=True):
+            own, n = beta[np.asarray(at, int)], np.asarray(n, float)
+            weights = settled_weights(n, own, alpha, turns=turns) if len(n) else alpha
+            logs = expected_logs(weights)
+            bound = float(n @ np.log(own @ np.exp(logs))) if len(n) else 0.0
+            bound += float(((alpha - weights) * logs).sum() + (gammas(weights) - gammas(alpha)).sum())
+            rows.append((n.sum(), bound + math.lgamma(alpha.sum()) - math.lgamma(weights.sum()), weights))
+        return pd.DataFrame(rows, columns=["tokens", "bound", "weights"])
+
+    vectors = vectorize(corpus, model.vectorizer, stopwords)
+    dense = vector_to_array("features")
+    # Vectors are sparse: their places and values, from the struct behind the type.
+    place = F.filter(F.transform(dense, lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda e: e["v"] > 0)
+    cells = vectors.select("id", place.alias("c"))
+    return cells.select("id", score("c.i", "c.v").alias("s")).select("id", "s.*")
+
+
+def topics_bound(model: TopicModel) -> float:
+    """The part of the bound that belongs to the topics, whatever the documents."""
+    lda = local(model).lda
+    topics = lda.topicsMatrix().toArray().T
+    eta = float(lda.getTopicConcentration()) if lda.isSet("topicConcentration") else 1 / lda.getK()
+    gammas = np.vectorize(math.lgamma, otypes=[float])
+    parts = (eta - topics) * expected_logs(topics) + gammas(topics) - math.lgamma(eta)
+    size = topics.shape[1]
+    return float(parts.sum() + (math.lgamma(eta * size) - gammas(topics.sum(axis=1))).sum())
+
+
 def top_slot(weights: Column) -> Column:
     """0-based place of the greatest value, the first among equals; -1 where
     all are zero."""
@@ -299,7 +413,7 @@ def purity(
     their top topic."""
     drawn = {p: sample(c, size, seed) for p, c in corpora.items()}
     vectors = vectorize(mixed_corpus(**drawn), model.vectorizer, stopwords, keep=["platform"])
-    topics = model.lda.transform(vectors).select(
+    topics = local(model).lda.transform(vectors).select(
         "platform", top_slot(vector_to_array("topicDistribution")).alias("topic")
     )
     return purity_table(topics, list(corpora), model.lda.getK(), none_row)
@@ -365,27 +479,43 @@ def month_ahead(
     ``2016-07``, ``2016-W27`` or ``2016-07-31``), id and text. The next period is that of the
     calendar. A cell is left out if one of its corpora is missing or too thin
     for a model. Platforms and periods are few; each model is one distributed
-    training run.
+    training run. Texts are split into words once for all of them, and models
+    are trained and scored ``AT_ONCE`` at the same time.
     """
     spark = posts.sparkSession
     kind = dict(posts.dtypes)[period]
-    rows = []
     with scratch(spark) as folder:
-        stored, have = _stored(posts, period, folder)
+        stored, have = _stored(posts, period, stopwords, folder)
         platforms = sorted({p for p, _ in have})
         wanted = [(a, b) for a in platforms for b in platforms] if pairs is None else list(pairs)
-        for before in sorted({t for _, t in have}):
-            now = next_period(before)
-            for k in ks:
-                for trained in sorted({a for a, b in wanted if (a, before) in have and (b, now) in have}):
-                    model = _model_or_none(stored(trained, before), k, stopwords, seed, training)
-                    if model is None:
-                        continue
-                    for tested in [b for a, b in wanted if a == trained and (b, now) in have]:
-                        score = held_out(model, stored(tested, now), stopwords, size, seed).first()
-                        rows.append((trained, tested, now, k, score["log_likelihood"], score["docs"]))
+
+        def cells(trained: str, before: str | datetime.date, k: int) -> list[tuple]:
+            now, rows = next_period(before), []
+            tests = [b for a, b in wanted if a == trained and (b, now) in have]
+            model = _model_or_none(stored(trained, before), k, stopwords, seed, training) if tests else None
+            for tested in tests if model is not None else []:
+                score = held_out(model, stored(tested, now), stopwords, size, seed).first()
+                rows.append((trained, tested, now, k, score["log_likelihood"], score["docs"]))
+            return rows
+
+        models = [(a, t, k) for a, t in sorted(have, key=str) for k in ks]
+        found = _at_once(spark, cells, models)
     schema = f"train string, test string, {period} {kind}, k int, log_likelihood double, docs bigint"
-    return spark.createDataFrame(rows, schema)
+    return spark.createDataFrame([row for rows in found for row in rows], schema)
+
+
+def _at_once(spark: SparkSession, run: Callable, tasks: list[tuple]) -> list:
+    """Results of ``run`` in the order of the tasks, some of which run at the same time, each in
+    a pool of its own where the scheduler is fair."""
+
+    def pooled(numbered: tuple[int, tuple]) -> object:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"cell-{numbered[0] % AT_ONCE}")
+        return run(*numbered[1])
+
+    if not tasks:
+        return []
+    with ThreadPool(min(AT_ONCE, len(tasks))) as pool:
+        return pool.map(inheritable_thread_target(spark)(pooled), list(enumerate(tasks)), chunksize=1)
 
 
 def purity_ahead(
@@ -403,21 +533,22 @@ def purity_ahead(
     spark = posts.sparkSession
     kind = dict(posts.dtypes)[period]
     with scratch(spark) as folder:
-        stored, have = _stored(posts, period, folder)
+        stored, have = _stored(posts, period, stopwords, folder)
         platforms = sorted({p for p, _ in have})
         counts = "".join(f", `{p}` bigint" for p in platforms)
-        out = spark.createDataFrame([], f"train string, {period} {kind}, topic int{counts}")
-        for before in sorted({t for _, t in have}):
+        schema = f"train string, {period} {kind}, topic int{counts}"
+
+        def table(trained: str, before: str | datetime.date) -> list[tuple]:
             now = next_period(before)
-            if not any((p, now) in have for p in platforms):
-                continue
-            corpora = {p: stored(p, now) for p in platforms}
-            for trained in ["all", *platforms]:
-                model = _model_or_none(stored(None if trained == "all" else trained, before), k, stopwords, seed, training)
-                if model is not None:
-                    table = purity(model, corpora, stopwords, size, seed)
-                    out = out.unionByName(table.select(F.lit(trained).alias("train"), F.lit(now).alias(period), "*"))
-        return kept(out)
+            model = _model_or_none(stored(None if trained == "all" else trained, before), k, stopwords, seed, training)
+            if model is None:
+                return []
+            rows = purity(model, {p: stored(p, now) for p in platforms}, stopwords, size, seed)
+            return [(trained, now, *row) for row in rows.collect()]  # a row for each topic
+
+        before = [t for t in sorted({t for _, t in have}) if any((p, next_period(t)) in have for p in platforms)]
+        found = _at_once(spark, table, [(trained, t) for t in before for trained in ("all", *platforms)])
+    return spark.createDataFrame([row for rows in found for row in rows], schema)
 
 
 def next_period(value: str | datetime.date) -> str | datetime.date:
@@ -435,17 +566,18 @@ def next_period(value: str | datetime.date) -> str | datetime.date:
     return f"{int(value) + 1:04d}"
 
 
-def _stored(posts: DataFrame, period: str, folder: str):
-    """The corpus by platform and period, written once as a table of folders,
-    and which of them there are. No platform means all."""
-    rows = posts.select("platform", period, "id", "text").where(F.col("platform").isNotNull() & F.col(period).isNotNull())
+def _stored(posts: DataFrame, period: str, stopwords: Sequence[str], folder: str):
+    """The words of the corpus by platform and period, written once as a table
+    of folders, and which of them there are. No platform means all."""
+    posts = posts.where(F.col("platform").isNotNull() & F.col(period).isNotNull())
+    rows = _filtered(posts.select("platform", period, "id", "text"), stopwords, ["platform", period])
     rows.write.partitionBy("platform", period).parquet(f"{folder}/corpus")
     table = posts.sparkSession.read.schema(rows.schema).parquet(f"{folder}/corpus")
     have = {(r["platform"], r[period]) for r in table.select("platform", period).distinct().collect()}
 
     def stored(platform: str | None, when) -> DataFrame:
         own = table.where(F.col(period) == F.lit(when))
-        return (own if platform is None else own.where(F.col("platform") == platform)).select("id", "text")
+        return (own if platform is None else own.where(F.col("platform") == platform)).select("id", "filtered")
 
     return stored, have
 

@@ -42,7 +42,7 @@ def turn(key: str, rows: DataFrame, id_col: str, times: int = 1) -> Column:
 # Every event is a post. A tweet has the text of the document whose turn it is,
 # and in each fourth round the link of a page. Clicks are retweets of the event
 # before, purchases quote it.
-_TWEETS = """tweets AS (
+_TWEETS = """tweets AS MATERIALIZED (
   SELECT e.event_id AS id, d.lang, e.user_id, e.event_type, d.source AS hashtag, p.page_id, p.url,
     date_trunc('second', e.ts) AS ts, 'User' || e.user_id || '_' || d.source AS screen_name,
     d.text || ' #' || d.source || coalesce(' https://t.co/' || p.page_id, '') AS text,
@@ -103,7 +103,7 @@ def tweets(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 
 # Every event is a submission of the page whose turn it is, titled with the
 # text of the document.
-_SUBMISSIONS = """submissions AS (
+_SUBMISSIONS = """submissions AS MATERIALIZED (
   SELECT 'p' || e.event_id AS id, 'Author_' || e.user_id AS author, p.url, d.text AS title,
     date_trunc('second', e.ts) AS ts, e.event_type = 'click' AS is_self, d.source || ' ' || d.lang AS selftext
   FROM events e JOIN pages p ON p.page_id = e.event_id % (SELECT count(*) FROM pages)
@@ -137,12 +137,13 @@ def submissions(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 
 # Every event is posted as the conversation whose turn it is; each of its turns
 # is a comment. It names the page with the number of the conversation, once as
-# a link and once by its www name. Assistants' turns were removed.
+# a link in brackets and once by its www name, with brackets inside. Assistants'
+# turns were removed.
 _CONVERSATION = "c.conv_id = e.event_id % (SELECT count(DISTINCT conv_id) FROM conversations)"
-_COMMENTS = f"""comments AS (
+_COMMENTS = f"""comments AS MATERIALIZED (
   SELECT 'c' || e.event_id || '_' || c.turn AS id, date_trunc('second', e.ts) AS ts, p.url,
     CASE WHEN c.role = 'assistant' THEN '[Deleted]' ELSE 'Author_' || e.user_id END AS author,
-    c.text || coalesce(' see (' || p.url || '), www.page' || p.page_id || '.co.uk/a.', '') AS body
+    c.text || coalesce(' see (' || p.url || '), www.page' || p.page_id || '.co.uk/a_(b).', '') AS body
   FROM events e JOIN conversations c ON {_CONVERSATION} LEFT JOIN pages p ON p.page_id = c.conv_id)"""
 
 
@@ -153,7 +154,7 @@ def comment_lines(spark: SparkSession, d: str) -> DataFrame:
         .join(conversations, turn("event_id", conversations, "conv_id") == F.col("conv_id"))
         .join(table(spark, d, "pages").select("page_id", "url"), F.col("conv_id") == F.col("page_id"), "left")
     )
-    seen = F.concat(F.lit(" see ("), "url", F.lit("), www.page"), "page_id", F.lit(".co.uk/a."))
+    seen = F.concat(F.lit(" see ("), "url", F.lit("), www.page"), "page_id", F.lit(".co.uk/a_(b)."))
     number = F.lit(1).cast("bigint")
     author = F.when(F.col("role") == "assistant", "[Deleted]").otherwise(F.concat(F.lit("Author_"), "user_id"))
     thread = F.concat(F.lit("t3_"), "event_id")
@@ -173,8 +174,8 @@ def comments(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 
 
 # Every event is a thread too: the turns of its conversation are the posts, in
-# HTML.
-_THREADS = f"""thread_posts AS (
+# HTML with a tag's sign in an attribute and in a comment.
+_THREADS = f"""thread_posts AS MATERIALIZED (
   SELECT e.event_id AS thread_no, c.turn AS pos, e.event_id * 1000 + c.turn AS no, c.role || e.user_id AS name,
     trim(regexp_replace(c.text, '[ \\t\\r\\n\\f]+', ' ', 'g')) AS text, date_trunc('second', e.ts) AS ts
   FROM events e JOIN conversations c ON {_CONVERSATION}),
@@ -190,7 +191,7 @@ def thread_lines(spark: SparkSession, d: str) -> DataFrame:
     post = F.struct(
         "turn",
         (F.col("event_id") * 1000 + F.col("turn")).alias("no"),
-        F.concat(F.lit('<span class="quote">'), markup, F.lit("</span>")).alias("com"),
+        F.concat(F.lit('<span class="quote" title="a>b">'), markup, F.lit("</span><!-- </p> -->")).alias("com"),
         F.concat("role", "user_id").alias("name"),
         F.unix_seconds(F.col("ts").cast("timestamp")).alias("time"),
         F.when(F.col("turn") == 0, 0).otherwise(F.col("event_id") * 1000).alias("resto"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from townsquare.functions import segmentation
 from townsquare.functions import text as T
 from townsquare.operators import tokens as job
 from townsquare.plans import Plan, search, tables
@@ -40,6 +41,22 @@ def text_tokens(spark, d):
     return _long(job.tweet_tokens(rows, entities=None, make_bigrams=True, preserve_case=False))
 
 
+# A letter of a script without blanks for each one from a to z.
+_LATIN, _THAI = "abcdefghijklmnopqrstuvwxyz", "".join(chr(0x0E01 + i) for i in range(26))
+
+
+def segmented_tokens(spark, d):
+    """Benchmark texts in a script without blanks, split by the words of the documents."""
+    words = table(spark, d, "documents").select(
+        F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")
+    )
+    counted = words.groupBy(F.translate("word", _LATIN, _THAI).alias("word")).agg(F.count("*").alias("n"))
+    texts = table(spark, d, "benchmark").select(
+        F.col("item_id").alias("id"), F.replace(F.translate(F.lower("text"), _LATIN, _THAI), F.lit(" "), F.lit("")).alias("text")
+    )
+    return _long(job.tweet_tokens(texts, entities=None, lexicon=segmentation.lexicon(counted)))
+
+
 def reddit_tokens(spark, d):
     return _digest(job.reddit_tokens(tables.comments(spark, d, "id", "text")))
 
@@ -76,9 +93,42 @@ _PAIRED = """list_concat({0}, list_transform(range(1, len({0})), lambda i: {0}[i
 _MARKED = r"https?://\S+|[#@]\w+|" + SQL_WORD
 # What the sample comments hold behind their text.
 _SEEN = """CASE WHEN url IS NULL THEN [] ELSE ['see', url, 'www.page' || regexp_extract(body, 'www\\.page(\\d+)\\.co\\.uk', 1)
-  || '.co.uk/a'] END"""
-_SAID = "CASE WHEN url IS NULL THEN body ELSE left(body, length(body) - length(' see (' || url || '), www.page.co.uk/a.')" \
-        " - length(regexp_extract(body, 'www\\.page(\\d+)\\.co\\.uk/a\\.$', 1))) END"
+  || '.co.uk/a_(b)'] END"""
+_SAID = "CASE WHEN url IS NULL THEN body ELSE left(body, length(body) - length(' see (' || url || '), www.page.co.uk/a_(b).')" \
+        " - length(regexp_extract(body, 'www\\.page(\\d+)\\.co\\.uk/a_\\(b\\)\\.$', 1))) END"
+
+# The cheapest way through each run, place by place, then back from its end.
+_SEGMENTED = rf"""WITH RECURSIVE counted AS (
+  SELECT translate(w, '{_LATIN}', '{_THAI}') AS word, count(*) AS n FROM (
+    SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) GROUP BY 1),
+lex AS (SELECT word, floor(1000 * ln((SELECT sum(n) FROM counted)::DOUBLE / n))::BIGINT AS cost FROM counted),
+u AS (SELECT floor(1000 * ln((SELECT sum(n) FROM counted)::DOUBLE))::BIGINT + {segmentation.SURPRISE} AS unknown),
+t AS (SELECT item_id AS id, regexp_extract_all(replace(translate(lower(text), '{_LATIN}', '{_THAI}'), ' ', ''),
+  '\p{{Thai}}+|[\p{{Latin}}\p{{N}}_]+(?:[''’.][\p{{Latin}}\p{{N}}_]+)*') AS toks FROM benchmark),
+parts AS (SELECT id, unnest(toks) AS tok, unnest(range(len(toks))) AS pos FROM t),
+runs AS (SELECT DISTINCT tok AS run FROM parts WHERE regexp_matches(tok, '^\p{{Thai}}')),
+begins AS (SELECT run, unnest(range(length(run))) AS begins FROM runs),
+ends AS (SELECT run, begins, unnest(range(begins + 1, least(length(run), begins + (SELECT max(length(word)) FROM lex)) + 1)) AS ends
+  FROM begins),
+edges AS (SELECT run, begins, ends, cost FROM ends JOIN lex ON word = substr(run, begins + 1, ends - begins)
+  UNION ALL SELECT run, begins, begins + 1, unknown FROM begins, u),
+best(run, i, b) AS (
+  SELECT run, 0::BIGINT, [{{'cost': 0::BIGINT, 'n': 0::BIGINT, 'begins': 0::BIGINT}}] FROM runs
+  UNION ALL
+  SELECT v.run, v.i + 1, list_append(any_value(v.b),
+    min({{'cost': v.b[e.begins + 1].cost + e.cost, 'n': v.b[e.begins + 1].n + 1, 'begins': e.begins}}))
+  FROM best v JOIN edges e ON e.run = v.run AND e.ends = v.i + 1 GROUP BY v.run, v.i),
+path(run, b, ends) AS (
+  SELECT run, b, i FROM best WHERE i = length(run)
+  UNION ALL SELECT run, b, b[ends + 1].begins FROM path WHERE ends > 0),
+pieces AS (SELECT run, b[ends + 1].begins AS begins, substr(run, b[ends + 1].begins + 1, ends - b[ends + 1].begins) AS piece
+  FROM path WHERE ends > 0),
+known AS (SELECT run, begins, piece, word IS NULL AS strange FROM pieces LEFT JOIN lex ON word = piece),
+grouped AS (SELECT *, CASE WHEN strange THEN begins - row_number() OVER (PARTITION BY run, strange ORDER BY begins) ELSE -1 - begins END AS g
+  FROM known),
+segments AS (SELECT run, min(begins) AS begins, string_agg(piece, '' ORDER BY begins) AS token FROM grouped GROUP BY run, strange, g)
+SELECT id AS doc_id, row_number() OVER (PARTITION BY id ORDER BY pos, begins) - 1 AS pos, coalesce(token, tok) AS token
+FROM parts LEFT JOIN segments ON run = tok"""
 
 _CLEAN = "html"
 for _pattern, _blank in (
@@ -119,6 +169,7 @@ GROUP BY 1 ORDER BY n DESC, token LIMIT 50""",
             _PAIRED.format("t"),
         ) + ")",
     ),
+    "segmented_tokens": Plan(segmented_tokens, _SEGMENTED),
     "reddit_tokens": Plan(
         reddit_tokens, over("comments", _digested("comments", "id", f"({_words(_SAID)} || {_SEEN})"))
     ),
