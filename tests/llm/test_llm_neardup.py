@@ -13,35 +13,34 @@ from townsquare.llm import decontamination, mixing, neardup
 
 
 def brute(rows, shingle=3, percent=85):
-    """Sets, links and components by comparing all pairs."""
-    sets = {}
-    for doc_id, text, *_ in rows:
+    """Per row the size of its set, the smallest id of its component, and the row of it that stays, by comparing all pairs."""
+    sets = []
+    for _, text, *_ in rows:
         words = (text or "").encode().lower().split()
         n = min(shingle, len(words))
-        sets[doc_id] = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
-    top = {i: i for i in sets if i is not None}
+        sets.append({tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set())
+    top = list(range(len(rows)))
 
     def find(i):
         while top[i] != i:
             i = top[i]
         return i
 
-    ids = sorted(top)
-    for i, a in enumerate(ids):
-        for b in ids[i + 1 :]:
-            both = len(sets[a] & sets[b])
-            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
-                x, y = find(a), find(b)
-                top[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), find(i) if i is not None else None) for i in sets}
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both and 100 * both >= percent * (len(a) + len(sets[j]) - both):
+                top[find(i)] = find(j)
+    members = {}
+    for i in range(len(rows)):
+        members.setdefault(find(i), []).append(i)
+    order = {c: min(own, key=lambda i: (rows[i][0] is None, rows[i][0] or 0)) for c, own in members.items()}
+    return [(len(sets[i]), rows[order[find(i)]][0], order[find(i)]) for i in range(len(rows))]
 
 
 def check(got, rows, **options):
-    want = brute(rows, **options)
-    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
-    for r in got:
-        assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]], r
-        assert r["kept"] == (r["doc_id"] == r["component_id"])
+    want = Counter((r[0], n, least, r[0] == least) for r, (n, least, _) in zip(rows, brute(rows, **options), strict=True))
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == want
 
 
 def edited(rng, text, edits):
@@ -101,10 +100,21 @@ def test_whole_rows_are_kept(spark):
     docs = frame(spark, rows).withColumn("id", F.lit(1)).withColumn("kept", F.lit(2)).withColumn("dropped_id", F.lit(3))
     got = neardup.without_near_duplicates(docs).collect()
     want = brute(rows)
-    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows if want[r[0]][1] == r[0])
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for i, r in enumerate(rows) if want[i][2] == i)
     assert {(r["id"], r["kept"], r["dropped_id"]) for r in got} == {(1, 2, 3)}
 
 
+def test_rows_that_share_an_id(spark):
+    """Each row is compared by its own text; clean texts stay, whatever their id, and one copy of each group."""
+    rng = random.Random(8)
+    a, b, c, d = (prose(rng, "en", 80) for _ in range(4))
+    rows = [(100, a, "en", "s", 0), (101, a, "en", "s", 0), (101, b, "en", "s", 0), (None, c, "en", "s", 0), (None, c, "en", "t", 0)]
+    rows += [(None, d, "en", "s", 0), (7, edited(rng, d, 1), "en", "s", 0), (9, b, "en", "s", 0), (9, b, "en", "s", 0)]
+    check(neardup.near_duplicates(frame(spark, rows)).collect(), rows)
+    got = neardup.without_near_duplicates(frame(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([(100, a), (9, b), (None, c), (7, rows[6][1])], key=str)
+
+
 def test_components(spark, tmp_path):
     rng = random.Random(5)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)]
@@ -172,7 +182,7 @@ def test_pipeline_against_brute_force(spark, corpus):
     got = got.collect()
     lettered = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
     groups = brute(lettered, shingle=5, percent=80)
-    single = [r for r in lettered if groups[r[0]][1] == r[0]]
+    single = [r for i, r in enumerate(lettered) if groups[i][2] == i]
     runs = [decontamination.grams(decontamination.words(text)) for _, text in tests]
     clean = [r for r in single if not any(t <= decontamination.grams(decontamination.words(r[1])) for t in runs)]
     assert {r["doc_id"] for r in got} == {r[0] for r in clean}
@@ -193,9 +203,15 @@ def test_each_stage_returns_the_columns_of_documents(spark, corpus):
     assert corpus_pipeline.shard(spark, docs.limit(0), folder).count() == 0
 
 
+CLASHES = ["score", "epoch", "lang_pred", "lang_shares", "leaks", "tokens", "block", "position", "row", "id", "component", "kept", "found0", "text2"]
+
+
 def test_stages_take_extra_columns(spark, corpus):
+    """And leave their values alone."""
     folder, rows, _ = corpus
-    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("score", F.lit("mine")).withColumn("epoch", F.lit(1))
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    own = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = own.withColumns({name: F.lit(f"my {name}") for name in CLASHES})
+    for name, stage in corpus_pipeline.STAGES:
         got = stage(spark, docs, folder)
-        assert got.columns == docs.columns, name
+        assert got.columns[: len(docs.columns)] == docs.columns, name
+        assert {tuple(r) for r in got.select(*CLASHES).distinct().collect()} == {tuple(f"my {c}" for c in CLASHES)}, name

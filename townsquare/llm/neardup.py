@@ -25,12 +25,11 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from townsquare.llm.common import (
-    Numbers, cut, distinct, distinct_places, empty, pieces, ragged, scratch, small_batches, utf8, words_of,
+    Numbers, cut, distinct, distinct_places, empty, packed, pieces, ragged, scratch, small_batches, unpacked, utf8, words_of,
 )
 
 BASE, RATE = 1.02, 20.0  # of the registers' scale, and of the variates
@@ -159,7 +158,7 @@ def plausible(left, right, n_left, n_right, threshold: float) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, text: str, shingle: int, rows: int, bands: int) -> DataFrame:
-    """``doc_id``, size ``n``, fingerprint ``f1`` and ``f2`` of the set, ``registers``, band ``keys``."""
+    """``id`` of the row, ``doc_id``, size ``n``, fingerprint ``f1`` and ``f2`` of the set, ``registers``, band ``keys``."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, sketcher = Shingler(shingle), Sketcher(rows * bands)
@@ -172,7 +171,9 @@ def sketches(docs: DataFrame, text: str, shingle: int, rows: int, bands: int) ->
                 place = np.cumsum([len(s) > 0 for s in sets]) - 1
                 yield pd.DataFrame(
                     {
+                        "id": part["id"].to_numpy(),
                         "doc_id": part["doc_id"].to_numpy(),
+                        "known": part["known"].to_numpy(),
                         "n": [len(s) for s in sets],
                         "f1": np.array([mixed(s).sum() for s in sets], np.uint64).view(np.int64),
                         "f2": np.array([mixed(s * MULTIPLIER).sum() for s in sets], np.uint64).view(np.int64),
@@ -181,8 +182,18 @@ def sketches(docs: DataFrame, text: str, shingle: int, rows: int, bands: int) ->
                     }
                 )
 
-    schema = "doc_id bigint, n bigint, f1 bigint, f2 bigint, registers binary, keys array<bigint>"
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8(text).alias("text")).mapInPandas(sketch, schema)
+    schema = "id bigint, doc_id bigint, known boolean, n bigint, f1 bigint, f2 bigint, registers binary, keys array<bigint>"
+    number = F.col("row.doc_id").cast("bigint")
+    rows = docs.select(
+        "id", F.coalesce(number, F.lit(0)).alias("doc_id"), number.isNotNull().alias("known"), utf8(f"row.`{text}`").alias("text")
+    ).mapInPandas(sketch, schema)
+    # Null ids would turn a batch's ids into doubles.
+    return rows.select("id", F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), *rows.columns[3:])
+
+
+def _numbered(docs: DataFrame, folder: str) -> DataFrame:
+    """All rows, each as one struct ``row`` beside a number ``id`` of its own, written as a table so that it keeps it."""
+    return cut(packed(docs).withColumn("id", F.monotonically_increasing_id()), f"{folder}/numbered")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -213,10 +224,8 @@ def _sets(docs: DataFrame, text: str, shingle: int, ids: DataFrame) -> DataFrame
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "shingles": [s.tobytes() for s in sets]})
 
     # Merged at any size: the ids grow with the documents, and so the plan is the same for few and many.
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), utf8(text).alias("text"))
-    texts = texts.join(ids.hint("merge"), "id", "left_semi")
-    sets = texts.mapInPandas(make, "id bigint, shingles binary")
-    return sets.groupBy("id").agg(F.min("shingles").alias("shingles"))  # ids may be repeated
+    texts = docs.select("id", utf8(f"row.`{text}`").alias("text")).join(ids.hint("merge"), "id", "left_semi")
+    return texts.mapInPandas(make, "id bigint, shingles binary")
 
 
 def linked(left: np.ndarray, right: np.ndarray, threshold: float) -> bool:
@@ -340,10 +349,11 @@ def _between(members: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: f
         F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("all"),
         F.max("n").alias("in_main"),
     ).where((F.col("parts") > 1) & (F.col("all") > 2))
-    tile_of = F.floor((F.row_number().over(Window.partitionBy("key", "outside").orderBy("id")) - 1) / TILE).cast("int")
-    placed = members.join(mixed, "key").withColumn("outside", F.col("component") != F.col("main")).withColumn("tile", tile_of)
     tiles_out = F.ceil((F.col("all") - F.col("in_main")) / TILE).cast("int")
     tiles_in = F.ceil(F.col("in_main") / TILE).cast("int")
+    # Dealt into tiles by a hash, so that no task has to number a bucket.
+    tile_of = F.pmod(F.xxhash64("id"), F.when(F.col("outside"), tiles_out).otherwise(tiles_in)).cast("int")
+    placed = members.join(mixed, "key").withColumn("outside", F.col("component") != F.col("main")).withColumn("tile", tile_of)
     # Tiles are numbered so that odd ones are outside of the largest component.
     outer = F.transform(F.sequence(F.lit(0), tiles_out - 1), lambda t: t * 2 + 1)
     inner = F.transform(F.sequence(F.lit(0), tiles_in - 1), lambda t: t * 2)
@@ -384,31 +394,13 @@ def components(links: DataFrame, folder: str) -> DataFrame:
         edges = cut(small.where("u <> v").distinct(), f"{folder}/edges-{turn}")
 
 
-def near_duplicates(
-    docs: DataFrame, text: str = "text", shingle: int = 3, threshold: float = 0.85, rows: int = 4
-) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of each row.
-
-    Words are set apart by blanks, A-Z lower-cased; a set holds the distinct
-    runs of ``shingle`` words, or the whole sequence of fewer. Two texts are
-    linked if the similarity of their sets reaches ``threshold`` (in whole
-    percents); ``component_id`` is the smallest id that links lead to, and the
-    one document kept has it as its own. Texts that are null or have no words
-    have an empty set, are linked with nothing and are kept. Rows with the same
-    id are one document, and a null id is kept with a null component. No
-    documents, no rows.
-
-    A pair at the threshold goes unseen with a chance of 1e-6, a more similar
-    one with less. All tables between the steps are in the shared folder.
-    """
-    small_batches(docs.sparkSession)
-    folder = scratch(docs.sparkSession, "neardup")
+def _components(docs: DataFrame, text: str, shingle: int, threshold: float, rows: int, folder: str) -> DataFrame:
+    """``id``, ``doc_id``, ``n`` and ``component``, the smallest ``id`` that links lead to, of each numbered row."""
     bands = bands_for(threshold, rows)
     sketched = cut(sketches(docs, text, shingle, rows, bands), f"{folder}/sketches")
     same = ["f1", "f2", "n"]
-    full = sketched.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    picked = full.groupBy(*same).agg(
-        F.min("doc_id").alias("id"), F.min_by(F.struct("registers", "keys"), "doc_id").alias("s")
+    picked = sketched.where("n > 0").groupBy(*same).agg(
+        F.min("id").alias("id"), F.min_by(F.struct("registers", "keys"), "id").alias("s")
     )
     nodes = cut(picked.select("id", *same, "s.registers", "s.keys"), f"{folder}/classes")
     buckets = nodes.select("id", F.explode("keys").alias("key"))
@@ -430,26 +422,57 @@ def near_duplicates(
     )
     more = _between(cut(labelled, f"{folder}/labelled"), nodes, sets, threshold)
     linked_ = components(links.unionByName(more), f"{folder}/all")
-    found = nodes.select(*same, "id").join(linked_, "id", "left").select(
-        *same, F.coalesce("component", "id").alias("component_id")
-    )
-    named = (
-        sketched.select("doc_id", *same).join(found, same, "left")
-        .select(
-            "doc_id", F.col("n").alias("n_shingles"),
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
-        )
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
-    result = cut(named, f"{folder}/result")
+    found = nodes.select(*same, "id").join(linked_, "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
+    placed = sketched.select("id", "doc_id", *same).join(found, same, "left")
+    result = cut(placed.select("id", "doc_id", "n", F.coalesce("component", "id").alias("component")), f"{folder}/placed")
     empty(docs.sparkSession, *[f"{folder}/{name}" for name in ("sketches", "classes", "members", "sets", "likely", "labelled")])
     return result
 
 
-def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows that :func:`near_duplicates` does not keep; all columns, whole rows."""
-    found = near_duplicates(docs.select("doc_id", "text"), **options)
-    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("dropped_id")).distinct()
-    key: Column = docs["doc_id"].cast("bigint")
-    # As above, the same plan for few and many.
-    return docs.join(dropped.hint("merge"), key == dropped["dropped_id"], "left_anti")
+def near_duplicates(
+    docs: DataFrame, text: str = "text", shingle: int = 3, threshold: float = 0.85, rows: int = 4
+) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of each row.
+
+    Words are set apart by blanks, A-Z lower-cased; a set holds the distinct
+    runs of ``shingle`` words, or the whole sequence of fewer. Two texts are
+    linked if the similarity of their sets reaches ``threshold`` (in whole
+    percents); ``component_id`` is the smallest id that links lead to, and the
+    one document kept has it as its own. Texts that are null or have no words
+    have an empty set, are linked with nothing and are kept. Every row is a
+    document of its own, so that two texts may share an id and be linked with
+    different ones; a row without id is linked as others are, and its component
+    is null, and it is kept, if there is none with an id in it. No documents, no rows.
+
+    A pair at the threshold goes unseen with a chance of 1e-6, a more similar
+    one with less. All tables between the steps are in the shared folder.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    folder = scratch(spark, "neardup")
+    numbered = _numbered(docs.select("doc_id", text), folder)
+    placed = _components(numbered, text, shingle, threshold, rows, folder)
+    # A component of many rows is one row for each task.
+    smallest = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    result = placed.join(smallest, "component").select(
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
+    empty(spark, f"{folder}/numbered")
+    return result
+
+
+def without_near_duplicates(
+    docs: DataFrame, text: str = "text", shingle: int = 3, threshold: float = 0.85, rows: int = 4
+) -> DataFrame:
+    """One row of each component of :func:`near_duplicates`, with all its columns: the one with the smallest id, a
+    null id being the largest; of rows with one id, any one. Repeated rows stay once, texts without words all."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    folder = scratch(spark, "neardup")
+    numbered = _numbered(docs, folder)
+    placed = _components(numbered, text, shingle, threshold, rows, folder)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "id")
+    best = placed.groupBy("component").agg(F.min_by("id", order).alias("best"))
+    dropped = placed.join(best, "component").where("id <> best").select("id")
+    # The same plan for few and many.
+    return unpacked(numbered.join(dropped.hint("merge"), "id", "left_anti"))
