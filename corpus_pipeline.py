@@ -2,7 +2,12 @@
 
 Each stage takes the session, what the stage before kept, and the folder of the
 tables; its result is written as Parquet and read again as the next one's
-documents.
+documents. All but the last return the columns of their documents, with the
+values they came with, ``lang`` alone excepted; the last adds ``shard`` and ``slot``.
+
+Null and empty texts have no language and go in the first stage, which later
+stages do not see; very long texts are read whole, repeated rows stay once, ties
+go to the smaller id, a null id counts as the largest, no documents give no rows.
 """
 
 from __future__ import annotations
@@ -16,28 +21,34 @@ SHARDS = 24
 MIN_LANGUAGE_SCORE = 0.3
 
 
+def _packed(docs: DataFrame, *names: str) -> DataFrame:
+    """All columns as one struct ``row``, out of reach of an operator's own columns, and those it works on beside it."""
+    return common.packed(docs).select("row", *[F.col(f"row.`{name}`") for name in names])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sets ``lang`` to the predicted language; texts without a letter, and those of no clear language, go."""
     model = langid.train(docs.where(langid.learned_from(docs)))
-    tagged = langid.languages(docs, model)
+    tagged = langid.languages(_packed(docs, "text"), model)
     kept = tagged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    return common.unpacked(kept, lang=F.col("lang_pred")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group, at 80 % of common five-word shingles."""
+    """Keeps one row of each group, that with the smallest id, at 80 % of common five-word shingles."""
     return neardup.without_near_duplicates(docs, shingle=5, threshold=0.8)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which a benchmark item leaks."""
-    found = decontamination.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("leaks") == 0).select(*docs.columns)
+    found = decontamination.find_leaks(_packed(docs, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return common.unpacked(found.where(F.size("leaks") == 0).select("row"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents of small sources, so that the sources come near equal weights; none goes."""
-    return mixing.mix(docs).select(*docs.columns)
+    mixed = mixing.mix(_packed(docs, "doc_id", "text", "source"), carry=["row"])
+    return common.unpacked(mixed.select("row"))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
