@@ -2,7 +2,10 @@
 
 Each query runs to the end into Spark's no-op sink, so that all of its rows
 and columns are computed. Set BENCH_SF_DIR and BENCH_CPUS to change the tables
-and the number of cores, BENCH_QUERIES to name other queries.
+and the number of cores, BENCH_QUERIES to name other queries. A query that
+takes longer than BENCH_LIMIT seconds is cancelled, and none begins after
+BENCH_SECONDS; what did not end is named beside the times of the others. The line
+comes out whatever happens, also when the run is asked to end.
 """
 
 from __future__ import annotations
@@ -10,8 +13,10 @@ from __future__ import annotations
 import json
 import os
 import re
+import signal
 import sys
 import time
+from threading import Timer
 
 from townsquare.plans import all_plans
 from townsquare.session import build_session
@@ -51,25 +56,42 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     plans = all_plans()
     spark.read.parquet(f"{folder}/events.parquet").groupBy("event_type").count().collect()  # warm up
-    seconds = {}
+    limit, until = float(os.environ.get("BENCH_LIMIT", "240")), float(os.environ.get("BENCH_SECONDS", "1200"))
+    seconds: dict[str, float] = {}
+    missing: dict[str, str] = {}
+    began = time.perf_counter()
+
+    def report() -> None:
+        scale = re.search(r"sf([\d.]+)", folder)
+        line = {
+            "metric": "total time of the headline queries", "value": round(sum(seconds.values()), 3), "unit": "sec",
+            "queries": seconds, "sf": float(scale.group(1)) if scale else folder,
+        }
+        unfinished = missing | {name: "not begun" for name in names if name not in seconds and name not in missing}
+        print(json.dumps(line | ({"unfinished": unfinished} if unfinished else {})), flush=True)
+
+    def asked_to_end(*_: object) -> None:
+        report()
+        os._exit(1)
+
+    signal.signal(signal.SIGTERM, asked_to_end)
     for name in names:
+        left = min(limit, until - (time.perf_counter() - began))
+        if left <= 0:
+            break
         start = time.perf_counter()
-        plans[name].run(spark, folder).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - start, 3)
-        print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
+        timer = Timer(left, spark.sparkContext.cancelAllJobs)
+        timer.start()
+        try:
+            plans[name].run(spark, folder).write.format("noop").mode("overwrite").save()
+            seconds[name] = round(time.perf_counter() - start, 3)
+        except Exception as error:  # the others are still timed
+            missing[name] = f"ended after {time.perf_counter() - start:.0f} s: {str(error)[:200]}"
+        finally:
+            timer.cancel()
+        print(f"{name} {seconds.get(name, missing.get(name))}", file=sys.stderr, flush=True)
+    report()
     spark.stop()
-    scale = re.search(r"sf([\d.]+)", folder)
-    print(
-        json.dumps(
-            {
-                "metric": "total time of the headline queries",
-                "value": round(sum(seconds.values()), 3),
-                "unit": "sec",
-                "queries": seconds,
-                "sf": float(scale.group(1)) if scale else folder,
-            }
-        )
-    )
 
 
 if __name__ == "__main__":
