@@ -8,7 +8,7 @@ the counts, and expectation-maximisation finds the weights under which the rest
 predicts it best.
 
 Counts are exact and belong to the whole corpus, so they are never in one
-place. Documents are dealt into chunks by their id. A chunk's distinct n-grams
+place. Documents are dealt into chunks by id and text. A chunk's distinct n-grams
 are 64-bit hashes, and ranges of hashes are added up by range; each chunk gets
 the totals of its own n-grams back, in order. A frequent n-gram is one entry
 per chunk, so no key is hot.
@@ -201,7 +201,7 @@ def _events(order: int, tokens: int, types: int, documents: int):
     def events(docs: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
         """How often each bucket and rounded ratio of the estimates to the uniform one occurs in deleted documents."""
         if not len(docs):
-            return pd.DataFrame({"bucket": [], "ratios": [], "n": []})
+            return pd.DataFrame({"bucket": [], "ratios": [], "n": []}, dtype=object)
         chunk = Chunk(docs["text"], order)
         values, bucket = estimates(chunk, _looked_up(chunk, totals.sort_values("part")["mains"]), tokens, types, documents)
         learn = np.repeat(~docs["held_out"].to_numpy(bool), chunk.sizes)
@@ -210,7 +210,8 @@ def _events(order: int, tokens: int, types: int, documents: int):
             ratios = np.log2(values[:, 1:] / values[:, :1]) * STEPS
         ratios = np.where(np.isfinite(ratios), np.rint(np.clip(ratios, -400, 400)), -1000).astype(np.int64)
         cells, n = np.unique(np.column_stack([bucket, ratios]), axis=0, return_counts=True)
-        return pd.DataFrame({"bucket": cells[:, 0], "ratios": list(cells[:, 1:]), "n": n})
+        # Objects, since a chunk may hold nothing to learn from.
+        return pd.DataFrame({"bucket": cells[:, 0], "ratios": pd.Series(list(cells[:, 1:]), dtype=object), "n": n})
 
     return events
 
@@ -280,8 +281,9 @@ def ngram_scores(docs: DataFrame, text: str = "text", order: int = 2, chunk_byte
     learns from rows whose fold of 10 is not 0. ``base_score`` sums the log10 of
     the unigram estimate with 0.1 added to each count, ``score`` that of the
     interpolated estimate of order ``order``. Rows are independent, so repeated
-    ones are counted and scored as often as they occur; a null id is an id like
-    any other. Without training rows all types are alike. No rows, no result.
+    ones are counted and scored as often as they occur; rows that share an id,
+    or have none, are dealt out by their texts. Without training rows all types
+    are alike. No rows, no result. Columns beside these two are not read.
 
     A chunk holds about ``chunk_bytes`` of text, and so many chunks there are,
     so many ranges of hashes; for much more than some TB, larger chunks keep
@@ -296,7 +298,7 @@ def ngram_scores(docs: DataFrame, text: str = "text", order: int = 2, chunk_byte
     chunks = max(2 * DELETED, -(-size // chunk_bytes))
     rows = docs.select(
         "doc_id", held_out.alias("held_out"), utf8(text).alias("text"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"),
+        F.pmod(F.xxhash64("doc_id", body), F.lit(chunks)).cast("int").alias("chunk"),
     )
     grams = rows.groupBy("chunk").applyInPandas(_count(order, chunks), GRAMS)
     totals = cut(grams.groupBy("part").applyInPandas(_add(order), TOTALS), f"{folder}/totals")
