@@ -117,6 +117,32 @@ def test_long_words_count_whole():
 # --- languages ----------------------------------------------------------------
 
 
+@pytest.mark.parametrize("chain", [1, 3, 64])
+def test_long_texts_are_one_chain(monkeypatch, chain):
+    """A word's distribution is that of the whole text, wherever the chains are cut."""
+    monkeypatch.setattr(langid, "CHAIN", chain)
+    rng = np.random.default_rng(4)
+    model = langid.Model(["a", "b", "c"], rng.normal(size=((1 << 8) + 9, 3)).astype(np.float32) / 3, rng.normal(size=(3, 3)) + 2 * np.eye(3), {})
+    texts = [[f"w{rng.integers(30)}" for _ in range(n)] for n in (200, 1, 0, 64, 65, 7, 131)]
+    got, sizes = langid.Tagger(model).marginals(texts)
+    at = 0
+    for words, size in zip(texts, sizes, strict=True):
+        if size:
+            ids = [langid.features(w, 1 << 8, {}) for w in words]
+            emitted = np.array([model.weights[i].sum(axis=0) for i in ids], float)[None]
+            want = langid.forward_backward(emitted, np.array([size]), model.moves)[0][0]
+            assert np.allclose(got[at : at + size], want, atol=1e-6)
+        at += size
+
+
+def test_letters_are_letters():
+    import unicodedata
+
+    for c in map(chr, range(0x20000)):
+        assert bool(langid.LETTERS.fullmatch(c)) == unicodedata.category(c).startswith("L"), hex(ord(c))
+    assert langid.words_of("½ ² ① Ⅷ 3 _ one2two") == ["one", "two"]
+
+
 def test_forward_backward_against_enumeration():
     rng = np.random.default_rng(4)
     emitted, moves = rng.normal(size=(2, 4, 3)), rng.normal(size=(3, 3))
@@ -227,6 +253,74 @@ def test_base_scores(spark, order):
         assert -math.inf < r["score"] <= 0
 
 
+def brute_model(rows, chunk_of, order):
+    """Scores of rows (id, text) by dictionaries of n-grams, a token at a time."""
+
+    def grams(words):
+        """Per token its n-grams of rising order; before the first word stands a mark."""
+        out = []
+        for i in range(len(words)):
+            out.append([tuple(words[max(0, i - k) : i + 1]) if k <= i else ("^", *words[: i + 1]) for k in range(order)])
+        return out
+
+    docs = []
+    for (doc_id, text), chunk in zip(rows, chunk_of, strict=True):
+        docs.append((crc(doc_id, 10) == 0, chunk % ngrams.DELETED == 0, grams([*(text or "").lower().split(), "$"])))
+
+    def counted(chosen):
+        counts = Counter(g for tokens in chosen for token in tokens for k, g in enumerate(token) for g in [(k, g)])
+        n = sum(c for (k, _), c in counts.items() if k == 0)
+        return counts, n, sum(k == 0 for k, _ in counts), len(chosen)
+
+    def estimates(token, before, counts, n, n_types, n_docs):
+        values, bucket = [1 / (n_types + 1), counts[0, token[0]] / max(n, 1)], 0
+        for k in range(1, order):
+            context = counts[k - 1, before[k - 1]] if before else n_docs
+            values.append(counts[k, token[k]] / max(context, 1))
+            bucket = bucket * 64 + (int(math.log2(context)) + 1 if context else 0)
+        return values, bucket, [True, n > 0] + [bool(counts[k - 1, before[k - 1]] if before else n_docs) for k in range(1, order)]
+
+    every, n, types, n_docs = counted([t for held, _, t in docs if not held])
+    main, main_n, _, main_docs = counted([t for held, gone, t in docs if not held and not gone])
+    cells = Counter()
+    for tokens in (t for held, gone, t in docs if gone and not held):
+        for i, token in enumerate(tokens):
+            values, bucket, _ = estimates(token, tokens[i - 1] if i else None, main, main_n, types, main_docs)
+            ratios = tuple(
+                round(min(400, max(-400, math.log2(v / values[0]) * ngrams.STEPS))) if v > 0 else -1000 for v in values[1:]
+            )
+            cells[bucket, ratios] += 1
+    weights = ngrams.learn_weights([(b, list(r), c) for (b, r), c in cells.items()], order)
+    out = []
+    for _, _, tokens in docs:
+        score = 0.0
+        for i, token in enumerate(tokens):
+            values, bucket, usable = estimates(token, tokens[i - 1] if i else None, every, n, types, n_docs)
+            average = np.mean(list(weights.values()), axis=0) if weights else np.full(order + 1, 1 / (order + 1))
+            share = weights.get(bucket, average) * np.array(usable)
+            score += math.log10(float(share @ values) / float(share.sum()))
+        out.append(score)
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_scores_equal_dictionaries(spark, order):
+    from pyspark.sql import functions as F
+
+    rows = [(r[0], r[1]) for r in documents(50)] + [(None, f"river {i % 7} stones {i % 3} river") for i in range(60)]
+    docs = frame(spark, rows, "doc_id bigint, text string")
+    size = sum(len((t or "").encode()) for _, t in rows)
+    chunks = max(2 * ngrams.DELETED, -(-size // 4000))
+    placed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(chunks)).alias("c")).collect()
+    assert len({r["c"] for r in placed if r["doc_id"] is None}) > 5
+    got = ngrams.ngram_scores(docs, order=order, chunk_bytes=4000).collect()
+    want = brute_model([(r["doc_id"], r["text"]) for r in placed], [r["c"] for r in placed], order)
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in got)
+    want = sorted((-1 if r["doc_id"] is None else r["doc_id"], w) for r, w in zip(placed, want, strict=True))
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert np.allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-9, atol=1e-6)
+
+
 def test_model_beats_the_base_and_does_not_depend_on_layout(spark):
     rng = random.Random(3)
     rows = [(i, "\n".join(prose(rng, "en", 12) for _ in range(3)), "en", "s", 0) for i in range(200)]

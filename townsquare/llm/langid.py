@@ -4,11 +4,13 @@ The words of a text form chains. A word's features are its affixes, the
 character n-grams inside it and what a learned lexicon says about it; each has a
 weight per language. Further weights belong to pairs of languages of neighbours.
 Forward-backward gives every word its distribution over the languages given the
-whole chain, so a text may switch between languages; the sum over its words
+whole text, so a text may switch between languages; the sum over its words
 decides the language of the text.
 
 A word's features do not depend on its neighbours, so their weights are summed
-once per distinct word. The recursions run over many chains at a time.
+once per distinct word. The recursions run over many chains at a time. A long
+text is several chains; products of matrices carry the messages over the seams,
+so that its words have the distributions of one long chain.
 """
 
 from __future__ import annotations
@@ -34,7 +36,9 @@ NUMBERED_AT_MOST = 150_000  # distinct words that a task remembers
 LABELS_AT_MOST = 1000
 PIECE = 48  # letters of a word; a longer run is several words
 
-LETTERS = re.compile(r"[^\W\d_]+")
+# Signs that count as letters or digits to Python but are numbers, such as a half or a Roman eight.
+_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{re.escape(_NUMBERS)}]+")
 
 
 class Model(NamedTuple):
@@ -95,25 +99,33 @@ def learn_lexicon(windows: list[tuple[int, list[str]]], size: int) -> dict[str,
     return lexicon
 
 
-def forward_backward(emitted: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _steps(emitted: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights of labels at each place and of transitions, and how many chains are longer than each place."""
+    here = np.exp(emitted - emitted.max(axis=2, keepdims=True))
+    running = np.searchsorted(-lengths, -np.arange(emitted.shape[1]), side="left")
+    return here, np.exp(moves - moves.max()), running
+
+
+def forward_backward(
+    emitted: np.ndarray, lengths: np.ndarray, moves: np.ndarray, before=None, after=None, with_pairs: bool = True
+) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of chains and, summed over them, of transitions.
 
     ``emitted`` holds log weights (chain, place, label), chains by falling
     length; ``moves`` the log weights of transitions. Places beyond a chain's
-    length have marginals of 0.
+    length have marginals of 0. ``before`` and ``after`` are the messages that
+    reach the first and the last place of each chain from outside; none by default.
     """
     n, places, k = emitted.shape
-    here = np.exp(emitted - emitted.max(axis=2, keepdims=True))
-    turn = np.exp(moves - moves.max())
+    here, turn, running = _steps(emitted, lengths, moves)
     ahead = np.zeros((n, places, k))
-    running = np.searchsorted(-lengths, -np.arange(places), side="left")  # chains longer than each place
-    ahead[:, 0] = here[:, 0]
+    ahead[:, 0] = here[:, 0] if before is None else here[:, 0] * before
     ahead[:, 0] /= ahead[:, 0].sum(axis=1, keepdims=True)
     for t in range(1, places):
         m = running[t]
         ahead[:m, t] = (ahead[:m, t - 1] @ turn) * here[:m, t]
         ahead[:m, t] /= ahead[:m, t].sum(axis=1, keepdims=True)
-    behind = np.ones((n, k))
+    behind = np.ones((n, k)) if after is None else after.copy()
     marginals, pairs = np.zeros((n, places, k)), np.zeros((k, k))
     for t in range(places - 1, -1, -1):
         m = running[t]
@@ -121,13 +133,44 @@ def forward_backward(emitted: np.ndarray, lengths: np.ndarray, moves: np.ndarray
         marginals[:m, t] = both / both.sum(axis=1, keepdims=True)
         if t:
             message = here[:m, t] * behind[:m]
-            joint = ahead[:m, t - 1, :, None] * turn * message[:, None, :]
-            pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+            if with_pairs:
+                joint = ahead[:m, t - 1, :, None] * turn * message[:, None, :]
+                pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
             back = message @ turn.T
             behind[:m] = back / back.sum(axis=1, keepdims=True)
     return marginals, pairs
 
 
+def passages(emitted: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Per chain the matrix that takes a message at its first place to its last one, up to a factor."""
+    n, places, k = emitted.shape
+    here, turn, running = _steps(emitted, lengths, moves)
+    out = np.eye(k) * here[:, 0, None, :]
+    for t in range(1, places):
+        m = running[t]
+        out[:m] = (out[:m].reshape(-1, k) @ turn).reshape(m, k, k) * here[:m, t, None, :]
+        out[:m] /= out[:m].sum(axis=(1, 2), keepdims=True)
+    return out
+
+
+def carried(through: np.ndarray, nth: np.ndarray, counts: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The messages that reach the chains of texts from the chains around them.
+
+    ``through`` holds the passages of all chains, text by text; ``nth`` is a
+    chain's number in its text, ``counts`` how many chains that text has.
+    """
+    turn = np.exp(moves - moves.max())
+    before, after = np.ones(through.shape[:2]), np.ones(through.shape[:2])
+    for r in range(1, int(counts.max(initial=1))):
+        at = np.flatnonzero(nth == r)
+        message = np.einsum("ni,nij->nj", before[at - 1], through[at - 1]) @ turn
+        before[at] = message / message.sum(axis=1, keepdims=True)
+        at = np.flatnonzero(nth == counts - 1 - r)
+        message = np.einsum("nij,nj->ni", through[at + 1], after[at + 1]) @ turn.T
+        after[at] = message / message.sum(axis=1, keepdims=True)
+    return before, after
+
+
 def train(
     docs: DataFrame,
     text: str = "text",
@@ -169,7 +212,8 @@ def train(
 
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30))
     most = F.create_map(*[F.lit(x) for name in labels for x in (name, math.ceil((1 << 30) * min(1.0, rows_per_label / totals[name])))])
-    chosen = known.where(draw < most[F.col("label")]).limit(2 * rows_per_label * len(labels))
+    # In order of the draw, so that the rows do not depend on the layout if there are too many.
+    chosen = known.where(draw < most[F.col("label")]).orderBy(draw, F.xxhash64("text")).limit(2 * rows_per_label * len(labels))
     place = {name: i for i, name in enumerate(labels)}
     found = chosen.select("label", "text").mapInPandas(windows, "label string, words string").collect()
     taught = sorted((place[r["label"]], r["words"]) for r in found)
@@ -249,16 +293,34 @@ class Tagger:
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
         begins = (np.cumsum(sizes) - sizes)[owner] + nth * CHAIN
         lengths = np.minimum(CHAIN, sizes[owner] - nth * CHAIN)
-        out = np.zeros((len(ids), len(self.model.labels)))
-        order = np.argsort(-lengths, kind="stable") if self.model.labels else []
-        for at in range(0, len(order), 4096):
-            some = order[at : at + 4096]
-            long = lengths[some]
-            filled = np.arange(long[0]) < long[:, None]
-            places = (begins[some][:, None] + np.arange(long[0]))[filled]
-            emitted = np.zeros((*filled.shape, out.shape[1]))
-            emitted[filled] = self.scores[ids[places]]
-            out[places] = forward_backward(emitted, long, self.model.moves)[0][filled]
+        k, moves = len(self.model.labels), self.model.moves
+        out = np.zeros((len(ids), k))
+        if not k:
+            return out, sizes
+
+        def blocks(chains: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+            """Chains by falling length, a few thousand at a time: which, their places, which of these are full, weights."""
+            order = chains[np.argsort(-lengths[chains], kind="stable")]
+            for at in range(0, len(order), 4096):
+                some = order[at : at + 4096]
+                long = lengths[some]
+                filled = np.arange(long[0]) < long[:, None]
+                places = (begins[some][:, None] + np.arange(long[0]))[filled]
+                emitted = np.zeros((*filled.shape, k))
+                emitted[filled] = self.scores[ids[places]]
+                yield some, places, filled, emitted
+
+        of_text = counts[owner]
+        parted = np.flatnonzero(of_text > 1)
+        before, after = np.ones((len(owner), k)), np.ones((len(owner), k))
+        if len(parted):
+            through = np.zeros((len(owner), k, k))
+            for some, _, _, emitted in blocks(parted):
+                through[some] = passages(emitted, lengths[some], moves)
+            before[parted], after[parted] = carried(through[parted], nth[parted], of_text[parted], moves)
+        for some, places, filled, emitted in blocks(np.arange(len(owner))):
+            found, _ = forward_backward(emitted, lengths[some], moves, before[some], after[some], with_pairs=False)
+            out[places] = found[filled]
         return out, sizes
 
     def shares(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -270,10 +332,11 @@ class Tagger:
 def languages(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, its ``score``, and ``lang_shares``, the share of each language in the words.
 
-    Whole texts. A text that is null or without a letter is ``und`` with score
-    0, as is every text if nothing was learned. Among equal shares the language
-    that sorts first wins. Columns of these names are replaced. The model's size
-    is bounded by its parameters; it goes to the tasks with the function.
+    Whole texts, however long. A text that is null, empty or without a letter is
+    ``und`` with score 0, as is every text if nothing was learned. Among equal
+    shares the language that sorts first wins. Repeated rows are rows like any
+    other; no rows, no result. Columns of these names are replaced. The model's
+    size is bounded by its parameters; it goes to the tasks with the function.
     """
     labels = model.labels
     small_batches(docs.sparkSession)
