@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StopWordsRemover
 from pyspark.sql import functions as F
@@ -92,6 +94,65 @@ def test_held_out(spark, corpus, model):
     assert row.log_likelihood / 360 > topics.held_out(model, shuffled, STOPS, size=0).first().log_likelihood / 240
 
 
+def test_bounds_add_up_to_the_likelihood(spark, corpus, model):
+    mixed = corpus.unionByName(spark.createDataFrame([(100, "cat gold dog bank cat"), (101, "nothing known"), (102, ""), (103, None)], corpus.schema))
+    rows = {r.id: r for r in topics.document_bounds(model, mixed, STOPS).collect()}
+    want = topics.held_out(model, mixed, STOPS, size=0).first()
+    assert len(rows) == want.docs == 63
+    total = sum(r.bound for r in rows.values()) + topics.topics_bound(model)
+    assert total == pytest.approx(want.log_likelihood, rel=1e-6)
+    assert all(sum(r.weights) == pytest.approx(1 + r.tokens) for r in rows.values())
+    assert (rows[101].tokens, rows[101].bound, rows[102].bound) == (0, 0, 0) and rows[100].tokens == 5
+    sides = {max((0, 1), key=lambda t: rows[i].weights[t]) for i in range(0, 60, 2)}
+    assert len(sides) == 1 and sides != {max((0, 1), key=lambda t: rows[1].weights[t])}
+
+
+def test_digamma():
+    import numpy as np
+
+    x = np.array([1e-3, 0.1, 1, 2, 5.5, 6, 1e6])
+    steps = np.array([(math.lgamma(v * (1 + 1e-5)) - math.lgamma(v * (1 - 1e-5))) / (2e-5 * v) for v in x])
+    assert np.allclose(topics.digamma(x), steps, rtol=1e-6)
+    assert topics.digamma(np.array([1.0]))[0] == pytest.approx(-0.5772156649015329, abs=1e-12)
+
+
+def test_training_by_expectation_maximisation(corpus, tmp_path):
+    made = topics.train(corpus, 2, STOPS, max_iter=30, min_tf=1, min_df=2, partitions=2, optimizer="em", checkpoint_interval=5)
+    assert made.lda.isDistributed()
+    rows = topics.describe(made, 4).collect()
+    found = {t: {r.term for r in rows if r.topic == t} for t in (0, 1)}
+    assert sorted(map(sorted, found.values())) == [["bank", "coin", "gold", "loan"], ["bird", "cat", "dog", "fish"]]
+    pets, money = corpus.where("id % 2 = 0"), corpus.where("id % 2 = 1")
+    table = topics.purity(made, {"pets": pets, "money": money}, STOPS, size=0).collect()
+    assert sorted((r.pets, r.money) for r in table) == [(0, 0), (0, 30), (30, 0)]
+    paths = str(tmp_path / "em"), str(tmp_path / "cv")
+    sinks.write_topic_model(*made, *paths)
+    loaded = topics.TopicModel(*load_topic_model(*paths))
+    a, b = (topics.held_out(m, corpus, STOPS, size=0).first() for m in (loaded, made))
+    assert a.log_likelihood == pytest.approx(b.log_likelihood) and a.docs == 60
+    with pytest.raises(ValueError):
+        topics.train(corpus, 2, optimizer="gibbs")
+
+
+def test_cells_run_at_the_same_time(spark):
+    import threading
+    import time
+
+    running, most, lock = [0], [0], threading.Lock()
+
+    def cell(i):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        time.sleep(0.2)
+        with lock:
+            running[0] -= 1
+        return i * i, spark.range(i).count()
+
+    assert topics._at_once(spark, cell, [(i,) for i in range(8)]) == [(i * i, i) for i in range(8)]
+    assert 1 < most[0] <= topics.AT_ONCE and topics._at_once(spark, cell, []) == []
+
+
 def test_sample_size(spark):
     rows = spark.range(10_000)
     assert topics.sample(rows, 0).count() == 10_000

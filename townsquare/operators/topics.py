@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import datetime
 import math
+from collections import Counter
 from collections.abc import Callable, Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 from typing import NamedTuple
@@ -114,13 +115,15 @@ def vocabulary(
     """(term, n, df): the terms that are in at least ``min_df`` documents, the
     most frequent first, ties in order of the term; all of them, or the first
     ``vocab_size`` if asked."""
-    counts = _counts(corpus, stopwords)
-    terms = counts.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("df"))
-    frequent = terms.where(F.col("df") >= min_df)
-    ordered = frequent.orderBy(F.desc("n"), F.asc("term"))
+    ordered = _frequent(corpus, stopwords, min_df).orderBy(F.desc("n"), F.asc("term"))
     return ordered if vocab_size is None else ordered.limit(vocab_size)
 
 
+def _frequent(corpus: DataFrame, stopwords: Sequence[str], min_df: int) -> DataFrame:
+    terms = _counts(corpus, stopwords).groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("df"))
+    return terms.where(F.col("df") >= min_df)
+
+
 def _counts(corpus: DataFrame, stopwords: Sequence[str]) -> DataFrame:
     """(id, term, n). A document is one row, so its terms are counted inside
     the row, as runs of its sorted tokens; nothing is shuffled by document."""
@@ -208,12 +211,14 @@ def train(
         tokens = tokens.persist()
     try:
         most = MODEL_AT_MOST // k
-        counted = vocabulary(tokens, stopwords, min_df, vocab_size).select("term")
-        terms = [r.term for r in counted.limit(most + 1).collect()]
+        counted = _frequent(tokens, stopwords, min_df) if vocab_size is None else vocabulary(tokens, stopwords, min_df, vocab_size)
+        # One more than there may be, and put in order here, where they are needed.
+        found = counted.select("term", "n").limit(most + 1).collect()
+        terms = [r.term for r in sorted(found, key=lambda r: (-r.n, r.term))]
         if not terms:
             raise NoTerms("no term is in enough documents")
         if len(terms) > most:
-            raise ValueError(f"there are too many terms for {k} topics; raise min_df")
+            raise ValueError(f"the terms are too many for {k} topics; raise min_df")
         documents = vectorize(tokens, vectorizer := vectorizer_of(terms, min_tf), stopwords)
         if partitions:
             documents = documents.repartition(partitions, "id").sortWithinPartitions("id")
@@ -296,8 +301,8 @@ def digamma(x: np.ndarray) -> np.ndarray:
     """Derivative of the logarithm of the gamma function, for numbers above 0."""
     x = np.asarray(x, float)
     out = np.zeros_like(x)
-    for _ in range(6):  # up to where the series holds
-        small = x < 6
+    for _ in range(10):  # up to where the series holds
+        small = x < 10
         out -= np.where(small, 1 / x, 0)
         x = x + small
     y = 1 / (x * x)
@@ -331,8 +336,8 @@ def document_bounds(model: TopicModel, corpus: DataFrame, stopwords: Sequence[st
     """(id, tokens, bound, weights): each document's share of the variational bound of
     its likelihood, and its topic weights, from which a document's topics are read.
 
-    The weights are a fixed point, found for a document at a time in batches of
-    vectors; only the topics, which a model keeps on the driver, go to the tasks.
+    The weights are a fixed point, found for each document in the tasks; only the
+    topics, which a model keeps on the driver, go to them.
     A document without a known term has bound 0 and the weights of the prior.
     The bounds add up, with :func:`topics_bound`, to the likelihood of the corpus.
     """
@@ -344,24 +349,26 @@ def document_bounds(model: TopicModel, corpus: DataFrame, stopwords: Sequence[st
     alpha = np.full(k, alpha[0]) if len(alpha) == 1 else alpha
     gammas = np.vectorize(math.lgamma, otypes=[float])
 
-    @F.pandas_udf("tokens double, bound double, weights array<double>")
-    def score(slots: pd.Series, numbers: pd.Series) -> pd.DataFrame:
+    place = {term: i for i, term in enumerate(model.vectorizer.vocabulary)}
+    least = model.vectorizer.getMinTF()
+
+    @F.pandas_udf("tokens bigint, bound double, weights array<double>")
+    def score(texts: pd.Series) -> pd.DataFrame:
         rows = []
-        for at, n in zip(slots, numbers, strict=True):
-            own, n = beta[np.asarray(at, int)], np.asarray(n, float)
-            weights = settled_weights(n, own, alpha, turns=turns) if len(n) else alpha
+        for words in texts:
+            seen = Counter(place[w] for w in words if w in place)
+            enough = least if least >= 1 else least * len(words)
+            kept = [(slot, n) for slot, n in seen.items() if n >= enough]
+            at, n = np.array([s for s, _ in kept], int), np.array([n for _, n in kept], float)
+            weights = settled_weights(n, beta[at], alpha, turns=turns) if kept else alpha
             logs = expected_logs(weights)
-            bound = float(n @ np.log(own @ np.exp(logs))) if len(n) else 0.0
+            bound = float(n @ np.log(beta[at] @ np.exp(logs))) if kept else 0.0
             bound += float(((alpha - weights) * logs).sum() + (gammas(weights) - gammas(alpha)).sum())
-            rows.append((n.sum(), bound + math.lgamma(alpha.sum()) - math.lgamma(weights.sum()), weights))
+            rows.append((int(n.sum()), bound + math.lgamma(alpha.sum()) - math.lgamma(weights.sum()), weights))
         return pd.DataFrame(rows, columns=["tokens", "bound", "weights"])
 
-    vectors = vectorize(corpus, model.vectorizer, stopwords)
-    dense = vector_to_array("features")
-    # Vectors are sparse: their places and values, from the struct behind the type.
-    place = F.filter(F.transform(dense, lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda e: e["v"] > 0)
-    cells = vectors.select("id", place.alias("c"))
-    return cells.select("id", score("c.i", "c.v").alias("s")).select("id", "s.*")
+    rows = _filtered(corpus, stopwords).select("id", score("filtered").alias("s"))
+    return rows.select("id", "s.*")
 
 
 def topics_bound(model: TopicModel) -> float:

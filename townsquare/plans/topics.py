@@ -70,11 +70,17 @@ def vectorized(spark, d):
 
 
 def _report(model, vocabulary):
-    """Per topic how many terms are reported, and whether all are in the vocabulary."""
+    """Per topic how many terms are reported, all different, whether all are in the vocabulary and their weights
+    fall, and what the weights over the whole vocabulary add up to."""
     known = job.describe(model).join(vocabulary.select("term", F.lit(True).alias("known")), "term", "left")
-    return known.groupBy("topic").agg(
-        F.count("*").alias("n_terms"), F.every(F.coalesce("known", F.lit(False))).alias("known")
+    listed = F.sort_array(F.collect_list(F.struct("rank", "weight")))
+    reported = known.groupBy("topic").agg(
+        F.countDistinct("term").alias("n_terms"), F.every(F.coalesce("known", F.lit(False))).alias("known"),
+        F.forall(F.transform(listed, lambda x, i: (x["rank"] == i) & (x["weight"] > 0) & (x["weight"] <= 1)), lambda x: x).alias("ranked"),
+        (F.transform(listed, lambda x: x["weight"]) == F.reverse(F.array_sort(F.transform(listed, lambda x: x["weight"])))).alias("falling"),
     )
+    whole = job.topic_terms(model).groupBy("topic").agg(F.round(F.sum("weight"), 6).alias("total"))
+    return reported.join(whole, "topic")
 
 
 def _topics_of(corpus):
@@ -95,19 +101,34 @@ def topics_of_mixed(spark, d):
 
 
 def held_out(spark, d):
-    """How many texts a model was scored on; the score itself has no SQL."""
-    return job.held_out(_model(spark, d), _benchmark(spark, d), STOPWORDS, size=0).select("docs")
+    """How many texts a model was scored on, and whether the bounds of the texts add up to the score."""
+    model, texts = _model(spark, d), _benchmark(spark, d)
+    bounds = job.document_bounds(model, texts, STOPWORDS).agg(F.sum("tokens").alias("tokens"), F.sum("bound").alias("bound"))
+    scored = job.held_out(model, texts, STOPWORDS, size=0).join(bounds)  # one row each
+    total = F.col("bound") + job.topics_bound(model)
+    return scored.select("docs", "tokens", (F.abs(total / F.col("log_likelihood") - 1) < 1e-5).alias("adds_up"))
 
 
 def held_out_sample(spark, d):
     return job.held_out(_model(spark, d), _benchmark(spark, d), STOPWORDS, size=SAMPLE).select("docs")
 
 
+def document_bounds(spark, d):
+    """Each document's known words, whether its bound is one, and its weights added up: the prior's and a unit per word."""
+    rows = job.document_bounds(_model(spark, d), _documents(spark, d), STOPWORDS)
+    weights = F.aggregate("weights", F.lit(0.0), lambda a, b: a + b)
+    return rows.select(
+        "id", "tokens", ((F.col("bound") < 0) | (F.col("tokens") == 0)).alias("bounded"), F.round(weights, 4).alias("weights")
+    )
+
+
 def purity(spark, d):
-    """The purity table added up over its topics: each corpus is there whole."""
+    """The purity table: the texts without a known word, and the others of all topics."""
     corpora = _corpora(spark, d)
     table = job.purity(_model(spark, d), corpora, STOPWORDS, size=0)
-    return table.agg(*[F.sum(p).alias(p) for p in corpora])
+    return table.groupBy((F.col("topic") >= 0).alias("known")).agg(
+        F.count("*").alias("topics"), *[F.sum(p).alias(p) for p in corpora]
+    )
 
 
 def purity_of_slots(spark, d):
@@ -135,10 +156,14 @@ def similarity(spark, d):
 
 
 def model_similarity(spark, d):
-    """Each topic of a model against itself."""
+    """Each topic of a model against each: alike to itself alone, and either way the same."""
     terms = job.topic_terms(_model(spark, d))
-    rows = job.similarity(terms, terms).where("left_topic = right_topic")
-    return rows.select(F.col("left_topic").alias("topic"), F.round("cosine", 9).alias("cosine"))
+    rows = job.similarity(terms, terms).select("left_topic", "right_topic", "cosine")
+    turned = rows.select(F.col("left_topic").alias("right_topic"), F.col("right_topic").alias("left_topic"), F.col("cosine").alias("other"))
+    return rows.join(turned, ["left_topic", "right_topic"]).select(
+        "left_topic", "right_topic", (F.abs(F.col("cosine") - 1) < 1e-9).alias("same"),
+        (F.abs(F.col("cosine") - F.col("other")) < 1e-9).alias("symmetric"), F.col("cosine").between(0, 1 + 1e-9).alias("bounded"),
+    )
 
 
 def _dated(spark, d):
@@ -159,20 +184,25 @@ _GRID = {"period": "week", "max_iter": 2, "min_tf": 1, "min_df": 3, "partitions"
 
 
 def month_ahead(spark, d):
-    """Which models were scored on what, and on how many texts."""
-    return job.month_ahead(_dated(spark, d), [3], stopwords=STOPWORDS, size=0, **_GRID).drop("log_likelihood")
+    """Which models were scored on what, on how many texts, and whether the score is one."""
+    rows = job.month_ahead(_dated(spark, d), [3], stopwords=STOPWORDS, size=0, **_GRID)
+    return rows.withColumn("scored", F.col("log_likelihood") < 0).drop("log_likelihood")
 
 
 def purity_ahead(spark, d):
-    """The purity tables added up over their topics."""
+    """The purity tables added up over their topics, and how many of these there are."""
     rows = job.purity_ahead(_dated(spark, d), 3, stopwords=STOPWORDS, size=0, **_GRID)
-    return rows.groupBy("train", "week").agg(F.sum("even").alias("even"), F.sum("odd").alias("odd"))
+    return rows.groupBy("train", "week").agg(
+        F.countDistinct("topic").alias("topics"), F.sum("even").alias("even"), F.sum("odd").alias("odd")
+    )
 
 
 _STOPS = ", ".join("'" + w.lower() + "'" for w in STOPWORDS)
 _COUNTS = rf"""counts AS (SELECT id, term, count(*) AS n FROM (SELECT doc_id AS id,
     unnest(regexp_extract_all(lower(text), '#?[\p{{L}}\p{{N}}_.''-]+')) AS term FROM documents)
   WHERE term NOT IN ({_STOPS}) GROUP BY ALL)"""
+_TERM = r"'#?[\p{L}\p{N}_.''-]+'"
+_KNOWN = f"known AS (SELECT term FROM counts GROUP BY term HAVING count(*) >= {TRAINING['min_df']})"  # to a model of the documents
 _VOCABULARY = "SELECT term, CAST(sum(n) AS BIGINT) AS n, count(*) AS df FROM counts GROUP BY term HAVING count(*) >= 5"
 _MIXED = """SELECT 'twitter' AS platform, 'twitter:' || id AS id, text FROM tweets
 UNION ALL SELECT 'reddit', 'reddit:' || id, title FROM submissions
@@ -188,7 +218,7 @@ def _reported(views: str, corpus: str) -> str:
   SELECT DISTINCT id, unnest(regexp_extract_all(lower(text), '#?[\\p{{L}}\\p{{N}}_.''-]+')) AS term FROM ({corpus}))
   WHERE term NOT IN ({_STOPS}) GROUP BY term HAVING count(*) >= {TRAINING["min_df"]}))"""
     return over(
-        views, f"SELECT CAST(t AS INT) AS topic, least(n, {job.TERMS_PER_TOPIC})::BIGINT AS n_terms, true AS known FROM range({TOPICS}) r(t), size", size
+        views, f"SELECT CAST(t AS INT) AS topic, least(n, {job.TERMS_PER_TOPIC})::BIGINT AS n_terms, true AS known, true AS ranked, true AS falling, 1.0::DOUBLE AS total FROM range({TOPICS}) r(t), size", size
     )
 
 
@@ -218,7 +248,20 @@ WHERE n >= 3 AND term IN (SELECT term FROM counts GROUP BY term HAVING count(*)
     "topics_of_documents": Plan(topics_of_documents, _reported("", "SELECT doc_id AS id, text FROM documents")),
     "topics_of_tweets": Plan(topics_of_tweets, _reported("tweets", f"SELECT id, text FROM tweets WHERE {_QUALITY}")),
     "topics_of_mixed": Plan(topics_of_mixed, _reported("tweets submissions threads", f"SELECT id, text FROM ({_MIXED})")),
-    "held_out_likelihood": Plan(held_out, "SELECT count(*) AS docs FROM benchmark WHERE text IS NOT NULL"),
+    "held_out_likelihood": Plan(
+        held_out,
+        f"""WITH {_COUNTS}, {_KNOWN},
+w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), {_TERM})) AS term FROM benchmark)
+SELECT (SELECT count(*) FROM benchmark WHERE text IS NOT NULL) AS docs,
+  (SELECT count(*) FROM w WHERE term IN (SELECT term FROM known)) AS tokens, true AS adds_up""",
+    ),
+    "document_bounds": Plan(
+        document_bounds,
+        f"""WITH {_COUNTS}, {_KNOWN},
+t AS (SELECT id, sum(n)::BIGINT AS tokens FROM counts WHERE term IN (SELECT term FROM known) GROUP BY id)
+SELECT doc_id AS id, coalesce(tokens, 0) AS tokens, true AS bounded, 1.0::DOUBLE + coalesce(tokens, 0) AS weights
+FROM documents LEFT JOIN t ON id = doc_id WHERE text IS NOT NULL""",
+    ),
     "held_out_likelihood_sample": Plan(
         held_out_sample,
         f"""WITH b AS (SELECT ('0x' || substr(md5(item_id || ':17'), 1, 15))::BIGINT / 1152921504606846976.0 AS u FROM benchmark),
@@ -230,9 +273,13 @@ SELECT CAST(coalesce(sum((below <= u)::INT), 0) AS BIGINT) AS docs FROM b, p""",
         purity,
         over(
             "tweets submissions threads",
-            f"""SELECT CAST(sum((platform = 'twitter')::INT) AS BIGINT) AS twitter,
-  CAST(sum((platform = 'reddit')::INT) AS BIGINT) AS reddit, CAST(sum((platform = 'fourchan')::INT) AS BIGINT) AS fourchan
-FROM ({_MIXED})""",
+            f"""SELECT known, CASE WHEN known THEN {TOPICS} ELSE 1 END AS topics,
+  count(*) FILTER (platform = 'twitter') AS twitter, count(*) FILTER (platform = 'reddit') AS reddit,
+  count(*) FILTER (platform = 'fourchan') AS fourchan
+FROM (SELECT platform, len(list_intersect(regexp_extract_all(lower(text), {_TERM}), (SELECT list(term) FROM known))) > 0 AS known
+  FROM ({_MIXED}) WHERE text IS NOT NULL)
+RIGHT JOIN (VALUES (true), (false)) v(known) USING (known) GROUP BY known""",
+            _COUNTS, _KNOWN,
         ),
     ),
     "purity_table": Plan(
@@ -254,18 +301,20 @@ SELECT ln.topic AS left_topic, rn.topic AS right_topic, round(coalesce(dot, 0) /
 FROM ln CROSS JOIN rn LEFT JOIN dots ON dots.a = ln.topic AND dots.b = rn.topic""",
     ),
     "model_similarity": Plan(
-        model_similarity, f"SELECT CAST(t AS INT) AS topic, 1.0::DOUBLE AS cosine FROM range({TOPICS}) r(t)"
+        model_similarity,
+        f"""SELECT CAST(a AS INT) AS left_topic, CAST(b AS INT) AS right_topic, a = b AS same, true AS symmetric, true AS bounded
+FROM range({TOPICS}) l(a), range({TOPICS}) r(b) WHERE (SELECT count(*) FROM documents) > 0""",
     ),
     "month_ahead": Plan(
         month_ahead,
         f"""WITH {_WEEKS}
-SELECT DISTINCT a.platform AS train, n.platform AS test, n.week, 3 AS k, n.docs FROM n a JOIN n ON n.monday = a.monday + 7""",
+SELECT DISTINCT a.platform AS train, n.platform AS test, n.week, 3 AS k, n.docs, true AS scored FROM n a JOIN n ON n.monday = a.monday + 7""",
     ),
     "purity_ahead": Plan(
         purity_ahead,
         f"""WITH {_WEEKS},
 t AS (SELECT DISTINCT platform AS train, monday FROM n UNION SELECT 'all', monday FROM n)
-SELECT train, n.week, CAST(coalesce(sum(docs) FILTER (platform = 'even'), 0) AS BIGINT) AS even,
+SELECT train, n.week, 4 AS topics, CAST(coalesce(sum(docs) FILTER (platform = 'even'), 0) AS BIGINT) AS even,
   CAST(coalesce(sum(docs) FILTER (platform = 'odd'), 0) AS BIGINT) AS odd
 FROM t JOIN n ON n.monday = t.monday + 7 GROUP BY ALL""",
     ),
