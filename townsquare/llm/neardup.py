@@ -452,8 +452,8 @@ def near_duplicates(
     folder = scratch(spark, "neardup")
     numbered = _numbered(docs.select("doc_id", text), folder)
     placed = _components(numbered, text, shingle, threshold, rows, folder)
-    # A component of many rows is one row for each task.
-    smallest = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # A component of many rows is one row for each task. A table, so that a join with it can be split.
+    smallest = cut(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")), f"{folder}/smallest")
     result = placed.join(smallest, "component").select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
@@ -472,7 +472,7 @@ def without_near_duplicates(
     numbered = _numbered(docs, folder)
     placed = _components(numbered, text, shingle, threshold, rows, folder)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "id")
-    best = placed.groupBy("component").agg(F.min_by("id", order).alias("best"))
+    best = cut(placed.groupBy("component").agg(F.min_by("id", order).alias("best")), f"{folder}/best")
     dropped = placed.join(best, "component").where("id <> best").select("id")
     # The same plan for few and many.
     return unpacked(numbered.join(dropped.hint("merge"), "id", "left_anti"))
