@@ -108,3 +108,18 @@ def test_many_copies_of_one_id_are_one_row_per_task(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     join, partial = plan.index("LeftSemi"), plan.index("partial_min")
     assert partial < join and "Exchange" not in plan[partial:join]
+
+
+def test_citations_of_any_depth(lines, rows):
+    def chain(n):
+        status = tweet(n, urls=[url(f"http://a.org/{n}/"), url(f"http://a.org/{n}")])
+        return {**status, "quoted_status": chain(n - 1) if n else None}
+
+    cites = tweet(20, text='a \\"quoted_status\\" "retweeted_status"', urls=[url("http://b.org/")], retweeted_status=chain(2))
+    bare = {k: v for k, v in tweet(21).items() if k != "entities"}
+    table = posts.tweets(lines(chain(10), cites, bare, tweet(22, urls=[url(None)])), columns=["user", "raw", "entities", "retweeted_status", "quoted_status"])
+    counts = {r.url: r.n for r in extract.link_counts(table).collect()}
+    assert counts == {"http://b.org": 1} | {f"http://a.org/{n}": 2 if n < 3 else 1 for n in range(11)}
+    two = {r.url for r in extract.link_counts(table, citations=2).collect()}
+    assert two == {"http://b.org", *(f"http://a.org/{n}" for n in (0, 1, 2, 8, 9, 10))}
+    assert [(r.url, r.n) for r in extract.link_counts(table, k=2).collect()] == [("http://a.org/0", 2), ("http://a.org/1", 2)]

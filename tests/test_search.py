@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -196,3 +197,30 @@ def test_expansion_over_tweets(lines):
 def test_keyword_files(spark, tmp_path):
     (tmp_path / "k").write_text("one two\n\nthree\n")
     assert read_keywords(spark, str(tmp_path / "k")) == [["one", "two"], ["three"]]
+
+
+def test_indexed_keywords_find_the_same(spark):
+    rng = random.Random(9)
+    signs = "abÄ c.d"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(0, 40))) for _ in range(200)] + [None, "", "  "]
+    posts_ = spark.createDataFrame([(i % 150, t) for i, t in enumerate(texts)], "id int, text string")
+    for longest in (6, 2):
+        lists = [["".join(rng.choice(signs) for _ in range(rng.randrange(0, longest))) for _ in range(rng.randrange(0, 3))] for _ in range(150)]
+        lists += [["zzz"], ["ab", "zzz"], [" "], []]
+        queries = spark.createDataFrame([(q,) for q in lists] + [(None,), ([None, "AB"],)], "words array<string>")
+        want = search.keyword_filter(posts_, [q for q in lists if all(" " not in w.strip() for w in q)] + [["AB"]])
+        spaced = [q for q in lists if any(" " in w.strip() for w in q)]
+        holds = lambda t: any(any(w.strip() for w in q) and all(w.strip().lower() in t.lower() for w in q) for q in spaced)
+        more = [(i % 150, t) for i, t in enumerate(texts) if t and holds(t)]
+        got = [tuple(r) for r in search.keyword_filter_indexed(posts_, queries).collect()]
+        assert set(got) == {tuple(r) for r in want.collect()} | set(more)
+        assert len(got) >= len(set(got))
+    assert search.keyword_filter_indexed(posts_, queries.limit(0)).count() == 0
+
+
+def test_many_keywords_meet_few_posts(spark):
+    """The posts that are compared grow with the matches, not with the list."""
+    posts_ = spark.range(300).selectExpr("id", "concat('word', id, ' common text ', md5(string(id))) AS text")
+    queries = spark.range(20_000).selectExpr("array(concat('word', id), 'common') AS words")
+    found = search.keyword_filter_indexed(posts_, queries)
+    assert sorted(r.id for r in found.collect()) == list(range(300))

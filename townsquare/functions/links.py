@@ -71,6 +71,43 @@ def expanded_urls(entities_urls: Column) -> Column:
     return F.transform(shown, lambda u: u["expanded_url"])
 
 
+def cited_urls(raw: Column) -> Column:
+    """Distinct cleaned URLs of a tweet's JSON line, of what it retweets or
+    quotes, of what those quote, and so on to the last of them.
+
+    The line is parsed once, without a schema. Level by level the cited tweets
+    take the place of those that cite them; a line has no more levels than
+    names of such fields.
+    """
+    none = F.array().cast("array<string>")
+    name = F.lit('_status"')
+    levels = F.floor((F.length(raw) - F.length(F.replace(raw, name, F.lit("")))) / F.length(name)).cast("int")
+    shown = "array<struct<url:string,expanded_url:string>>"
+
+    def next_level(now: Column, _: Column) -> Column:
+        urls = F.flatten(
+            F.transform(
+                now["statuses"],
+                lambda s: F.coalesce(expanded_urls(F.try_variant_get(s, "$.entities.urls", shown)), none),
+            )
+        )
+        cited = F.flatten(
+            F.transform(
+                now["statuses"],
+                lambda s: F.array(*[F.try_variant_get(s, f"$.{name}", "variant") for name in ("retweeted_status", "quoted_status")]),
+            )
+        )
+        there = F.filter(cited, lambda s: s.isNotNull() & ~F.is_variant_null(s))
+        return F.struct(there.alias("statuses"), F.concat(now["urls"], urls).alias("urls"))
+
+    def cleaned(end: Column) -> Column:
+        present = F.filter(end["urls"], lambda u: u.isNotNull())
+        return F.array_distinct(F.transform(present, clean_url))
+
+    start = F.struct(F.array(F.try_parse_json(raw)).alias("statuses"), none.alias("urls"))
+    return F.aggregate(F.sequence(F.lit(0), levels), start, next_level, cleaned)
+
+
 def all_urls(tweet: Column, citations: int = 2) -> Column:
     """Distinct cleaned URLs of a tweet, of what it retweets and of what it
     quotes, ``citations`` levels deep, as they were read."""

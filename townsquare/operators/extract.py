@@ -101,14 +101,18 @@ def users_by_domain(
     return users.distinct() if distinct else users
 
 
-def link_counts(tweets: DataFrame, k: int | None = None, citations: int = 2) -> DataFrame:
+def link_counts(tweets: DataFrame, k: int | None = None, citations: int | None = None, raw: str = "raw") -> DataFrame:
     """In how many tweets each URL stands, counting what they retweet or
-    quote, as deep as they were read; the ``k`` most frequent if asked, ties in
-    order of the URL."""
-    status = F.struct("entities", "retweeted_status", "quoted_status")
-    urls = tweets.where(F.col("user").isNotNull()).select(
-        F.explode(links.all_urls(status, citations)).alias("url")
-    )
+    quote; the ``k`` most frequent if asked, ties in order of the URL.
+
+    Citations of any depth are read from the tweet's line, ``raw``. With
+    ``citations`` they are taken from the decoded fields, so many levels deep.
+    """
+    if citations is None:
+        found = links.cited_urls(F.col(raw))
+    else:
+        found = links.all_urls(F.struct("entities", "retweeted_status", "quoted_status"), citations)
+    urls = tweets.where(F.col("user").isNotNull()).select(F.explode(found).alias("url"))
     return top(urls.groupBy("url").agg(F.count("*").alias("n")), k, "n", "url")
 
 

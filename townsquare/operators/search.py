@@ -64,6 +64,53 @@ def keyword_filter(
     return posts.where((F.length(column) > 0) & matches_keywords(column, queries))
 
 
+def keyword_filter_indexed(
+    posts: DataFrame, queries: DataFrame, words: str = "words", text: str | Column = "text", key: str = "id"
+) -> DataFrame:
+    """What :func:`keyword_filter` finds, for lists of any length: ``queries`` is a
+    table with a query's words in an array.
+
+    A post that holds all words of a query holds all runs of three signs in them.
+    So each query is filed under that run of its words which the fewest posts
+    hold, and a post meets the queries filed under its own runs alone, by a join;
+    these are tested exactly. A query with a run that no post holds matches
+    nothing and is not filed. ``key`` tells posts apart as well as may be: posts
+    that share one meet each other's queries, and are still tested by their own
+    text. Posts and queries may be null or blank; those match nothing.
+    """
+    column = F.lower(F.col(text) if isinstance(text, str) else text)
+    lowered = F.transform(words, lambda w: F.lower(F.trim(w)))
+    asked = queries.select(F.array_sort(F.array_distinct(F.filter(lowered, lambda w: F.length(w) > 0))).alias("q_words"))
+    asked = asked.where(F.size("q_words") > 0).distinct()
+    of_query = asked.select("q_words", F.explode(F.array_distinct(F.flatten(F.transform("q_words", _grams)))).alias("gram"))
+    short = F.lit(asked.where(F.exists("q_words", lambda w: F.length(w) < GRAM)).limit(1).count() > 0)
+    held = F.when(short, F.concat(*[_runs(column, n) for n in range(1, GRAM + 1)])).otherwise(_runs(column, GRAM))
+    of_post = posts.where(F.length(column) > 0).select(F.col(key).alias("q_key"), F.explode(F.array_distinct(held)).alias("gram"))
+    known = of_post.join(of_query.select("gram").distinct(), "gram").groupBy("gram").agg(F.count("*").alias("posts"))
+    filed = of_query.join(known, "gram", "left").groupBy("q_words").agg(
+        F.min(F.coalesce("posts", F.lit(0))).alias("least"), F.min_by("gram", F.struct("posts", "gram")).alias("gram")
+    )
+    filed = filed.where("least > 0").select("gram", "q_words")
+    met = of_post.join(filed, "gram").select("q_key", "q_words").distinct()
+    # Beside each word stands the text: a join's condition can't look out of a function of array elements.
+    beside = F.arrays_zip("q_words", F.array_repeat(column, F.size("q_words")).alias("q_text"))
+    holds = F.forall(beside, lambda pair: F.contains(pair["q_text"], pair["q_words"]))
+    return posts.join(met, F.col(key).eqNullSafe(F.col("q_key")) & holds, "left_semi")
+
+
+GRAM = 3  # signs in a run
+
+
+def _runs(text: Column, n: int) -> Column:
+    """All runs of so many signs; those of a text in one pass."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=({'.' * n}))"), F.lit(1))
+
+
+def _grams(word: Column) -> Column:
+    """The runs of a word, or a shorter word itself."""
+    return F.when(F.length(word) < GRAM, F.array(word)).otherwise(_runs(word, GRAM))
+
+
 # --- fielded queries --------------------------------------------------------
 
 

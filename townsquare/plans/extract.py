@@ -62,7 +62,17 @@ def users_by_domain_distinct(spark, d):
 
 
 def _cited(spark, d):
-    return tables.tweets(spark, d, "user", "entities", "retweeted_status", "quoted_status")
+    return tables.tweets(spark, d, "user", "raw")
+
+
+def link_counts_decoded(spark, d):
+    """Citations of two levels from decoded fields."""
+    return job.link_counts(tables.tweets(spark, d, "user", "entities", "retweeted_status", "quoted_status"), citations=2)
+
+
+def link_counts_chain(spark, d):
+    """Tweets that quote each other in chains of up to twelve."""
+    return job.link_counts(posts.tweets(tables.chain_lines(spark, d), columns=["user", "raw"]))
 
 
 def link_counts(spark, d):
@@ -145,6 +155,14 @@ WHERE length(text) > 0 AND lower(author) IN (SELECT 'author_' || n_nationkey FRO
         ),
     ),
     "link_counts": Plan(link_counts, over("tweets", _COUNTED, _LINKS)),
+    "link_counts_decoded": Plan(link_counts_decoded, over("tweets", _COUNTED, _LINKS)),
+    "link_counts_chain": Plan(
+        link_counts_chain,
+        f"""WITH e AS MATERIALIZED (SELECT event_id, event_id // {tables.CHAIN} AS chain, url FROM events
+  JOIN pages ON page_id = event_id % (SELECT count(*) FROM pages)),
+links AS (SELECT DISTINCT a.event_id AS id, regexp_replace(b.url, '/$', '') AS url
+  FROM e a JOIN e b ON b.chain = a.chain AND b.event_id <= a.event_id) {_COUNTED}""",
+    ),
     "link_counts_top": Plan(link_counts_top, over("tweets", _COUNTED + " ORDER BY n DESC, url LIMIT 25", _LINKS)),
     "tweet_domain_edges": Plan(
         tweet_domain_edges,

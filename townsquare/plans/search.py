@@ -42,6 +42,13 @@ def keyword_filter_many(spark, d):
     return job.keyword_filter(_documents(spark, d), [[a, b] for a in syllables for b in syllables if a != b]).select("id")
 
 
+def keyword_filter_indexed(spark, d):
+    """A list that grows with the tables: neighbouring words of the benchmark, the last word of an item alone."""
+    words = table(spark, d, "benchmark").select(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)).alias("w"))
+    pairs = words.select(F.explode(F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.array(a, b))).alias("words"))
+    return job.keyword_filter_indexed(_documents(spark, d), pairs).select("id")
+
+
 FIELDED = [
     {
         "clauses": [
@@ -204,6 +211,13 @@ WHERE (contains(t, 'co.uk') AND contains(t, 'la')) OR contains(t, 'src1')
         """SELECT doc_id AS id FROM (SELECT doc_id, len(list_filter(
   ['éreç','schun','ndthe','ciónla','thwh','auxqueé','tionre','ungsch','osent','leéeux'],
   lambda s: contains(lower(text), s))) AS hits FROM documents) WHERE hits >= 2""",
+    ),
+    "keyword_filter_indexed": Plan(
+        keyword_filter_indexed,
+        r"""WITH b AS (SELECT regexp_extract_all(text, '\S+') AS w FROM benchmark),
+q AS (SELECT DISTINCT lower(w[i]) AS a, lower(coalesce(w[i + 1], w[i])) AS b FROM (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM b)),
+d AS (SELECT doc_id AS id, lower(text) AS t FROM documents)
+SELECT DISTINCT id FROM d JOIN q ON contains(t, a) AND contains(t, b)""",
     ),
     "fielded_tweets": Plan(fielded_tweets, over("tweets", "SELECT id FROM scored WHERE a + b + c > 0", _FIELDED)),
     "fielded_tweets_twice": Plan(

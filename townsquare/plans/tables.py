@@ -101,6 +101,31 @@ def tweets(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return posts.tweets(tweet_lines(spark, d), columns=columns or None)
 
 
+CHAIN = 12  # events that quote each other
+
+
+def chain_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Every event as a tweet that links to the page whose turn it is and quotes
+    the event before it, which quotes the one before, back to the first of a
+    dozen. Chains are short, so one is one row on the way."""
+    pages = table(spark, d, "pages").select("page_id", "url")
+    written = _events(spark, d).join(pages, turn("event_id", pages, "page_id") == F.col("page_id"))
+    own = F.struct(
+        F.col("event_id").alias("id"), F.lit("see").alias("text"), format_date_text(F.col("ts")).alias("created_at"),
+        F.struct(F.col("user_id").alias("id"), F.lit("x").alias("screen_name")).alias("user"),
+        F.struct(F.array(F.struct(F.lit("t").alias("url"), F.col("url").alias("expanded_url"))).alias("urls")).alias("entities"),
+    )
+    chains = written.groupBy(F.floor(F.col("event_id") / CHAIN).alias("chain")).agg(
+        F.sort_array(F.collect_list(F.struct("event_id", F.to_json(own).alias("json")))).alias("all")
+    )
+
+    def quoting(earlier: Column, one: Column) -> Column:
+        return F.concat(F.substr(one["json"], F.lit(1), F.length(one["json"]) - 1), F.lit(',"quoted_status":'), earlier, F.lit("}"))
+
+    places = chains.select("all", F.explode(F.sequence(F.lit(1), F.size("all"))).alias("n"))
+    return places.select(F.aggregate(F.slice("all", F.lit(1), F.col("n")), F.lit("null"), quoting).alias("value"))
+
+
 # Every event is a submission of the page whose turn it is, titled with the
 # text of the document.
 _SUBMISSIONS = """submissions AS MATERIALIZED (

@@ -276,10 +276,12 @@ SELECT CAST(coalesce(sum((below <= u)::INT), 0) AS BIGINT) AS docs FROM b, p""",
             f"""SELECT known, CASE WHEN known THEN {TOPICS} ELSE 1 END AS topics,
   count(*) FILTER (platform = 'twitter') AS twitter, count(*) FILTER (platform = 'reddit') AS reddit,
   count(*) FILTER (platform = 'fourchan') AS fourchan
-FROM (SELECT platform, len(list_intersect(regexp_extract_all(lower(text), {_TERM}), (SELECT list(term) FROM known))) > 0 AS known
-  FROM ({_MIXED}) WHERE text IS NOT NULL)
+FROM (SELECT platform, hit IS NOT NULL AS known FROM posts LEFT JOIN hits ON hit = r)
 RIGHT JOIN (VALUES (true), (false)) v(known) USING (known) GROUP BY known""",
             _COUNTS, _KNOWN,
+            f"posts AS MATERIALIZED (SELECT row_number() OVER () AS r, platform, text FROM ({_MIXED}) WHERE text IS NOT NULL)",
+            f"""hits AS (SELECT DISTINCT r AS hit FROM (
+  SELECT r, unnest(regexp_extract_all(lower(text), {_TERM})) AS term FROM posts) WHERE term IN (SELECT term FROM known))""",
         ),
     ),
     "purity_table": Plan(
