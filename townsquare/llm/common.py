@@ -19,10 +19,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder for one run's tables.
 
-    It lies below ``spark.checkpoint.dir``, or below the warehouse where that
-    is unset. Both are shared by all machines of a cluster.
+    It lies below ``spark.checkpoint.dir`` or the folder given to
+    ``SparkContext.setCheckpointDir``; where neither is set, as in tests, below the
+    warehouse, which a cluster has to share as well. Lazy results read these
+    tables, so they stay until the folder is cleared.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -317,9 +317,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFra
 
     Whole texts, in overlapping passages. ``start`` is the passage's first word,
     ``score`` the share of the whole item's own BM25 score, the others overlaps. Per
-    item only the best passage is named. Null and empty texts, and an empty
-    benchmark, have no leaks; equal texts have equal ones. A column ``leaks`` is
-    replaced. Item ids are text here.
+    item only the best passage is named, the first of equal ones. Null and empty
+    texts, and an empty benchmark, have no leaks; equal texts have equal ones; no
+    documents, no rows. Texts of any length are searched whole. A column ``leaks``
+    is replaced. Item ids are text here.
     """
     kind = "array<struct<item_id:string,start:bigint,score:double,question:double,answer:double>>"
     names = ["item_id", "start", "score", "question", "answer"]

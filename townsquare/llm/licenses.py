@@ -247,8 +247,10 @@ def scan_licenses(
     of letters, digits and underscores, compared without case. A match holds at
     least 80 % of a template's five-word shingles; of matches inside each other
     the longest is given. Null and empty texts have none; equal texts have equal
-    ones; nothing is shuffled. A column ``licenses`` is replaced. The templates
-    go to the tasks with the function: keep them to some thousands.
+    ones; nothing is shuffled. Texts of any length are read whole, all copies of
+    a notice in them are given; no rows, no result. Of matches that tie the
+    first template's is given. A column ``licenses`` is replaced. The templates go
+    to the tasks with the function: keep them to some thousands.
     """
     names = ["license", "start", "end", "containment"]
     small_batches(docs.sparkSession)

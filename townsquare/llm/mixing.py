@@ -134,8 +134,8 @@ def mix(
     source as many as its weight says.
 
     Null sources are a source of their own, a null text has one token. Rows
-    that are equal are told apart by nothing, so each counts. No documents, no
-    rows. Columns of ``docs`` with the names of added ones are replaced;
+    that are equal are told apart by nothing, so each counts; they lie side by
+    side. Texts of any length are counted whole. No documents, no rows. Columns of ``docs`` with the names of added ones are replaced;
     ``carry`` names the columns to return (None: all).
 
     A source of any size is dealt into buckets of about ``docs_per_bucket``

@@ -193,8 +193,9 @@ def scores(docs: DataFrame, model: Model, text: str | Column = "text", name: str
     """``docs`` with the probability of label 1 in a column ``name`` (replaced, if there is one).
 
     Whole texts; null ones count as empty, and an empty text has the score of a
-    text without words. Equal texts get equal scores. The model, whose size is
-    fixed by its parameters, goes to the tasks with the function.
+    text without words. Equal texts get equal scores, however often they stand
+    there; texts of any length are read whole. No rows, no result. The model,
+    whose size is fixed by its parameters, goes to the tasks with the function.
     """
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -213,7 +214,8 @@ def scores(docs: DataFrame, model: Model, text: str | Column = "text", name: str
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Score and verdict per document; learns from rows whose fold of 4 is not 2."""
+    """Score and verdict per document; learns from rows whose fold of 4 is not 2. A document with two different
+    labels teaches both, a label without a document or a value none."""
     known = labels.where(F.col("quality").isNotNull()).select("doc_id", F.col("quality").alias("label")).distinct()
     learn = docs.select("doc_id", "text").where(fold("doc_id", 4) != 2).join(known, "doc_id")
     scored = scores(docs.select("doc_id", "text"), train(learn))

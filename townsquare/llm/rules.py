@@ -105,8 +105,9 @@ def line_cleaning(docs: DataFrame, text: str = "text") -> DataFrame:
     most 0.4), ``clean_text`` (the lines that stay).
 
     Null and empty texts have no words, so they fail with zero counts and lose
-    nothing. Equal rows get equal verdicts. Columns of ``docs`` with the names
-    of added ones are replaced.
+    nothing. Texts of any length are read whole. Equal rows get equal verdicts;
+    no rows, no result. Columns of ``docs`` with the names of added ones are
+    replaced.
     """
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
 

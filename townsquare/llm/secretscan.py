@@ -373,8 +373,9 @@ def find(text: bytes, rules: tuple[Rule, ...] = RULES) -> list[tuple[str, int, i
 def scan_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with ``secrets``: an array of (kind, start, end), by start, then in the order of the rules.
 
-    Null and empty texts have none. Rows are independent, so equal rows get
-    equal results and nothing is shuffled. A column ``secrets`` is replaced.
+    Null and empty texts have none; texts of any length are scanned whole, in one
+    pass. Rows are independent, so equal rows get equal results and nothing is
+    shuffled; no rows, no result. A column ``secrets`` is replaced.
     """
 
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -62,7 +62,8 @@ def uniform_shards(df: DataFrame, n_shards: int = 24, seed: int = 7, rows_per_bl
     Shard sizes differ by one at most; every arrangement is equally likely.
     Rows are never compared, so null, equal or repeated rows are rows like any
     other and no key can be hot. An empty input gives no rows. Columns of
-    ``df`` named ``shard`` or ``slot`` are replaced.
+    ``df`` named ``shard`` or ``slot`` are replaced. Texts of any length are
+    moved once, as they are.
 
     The random numbers depend on ``seed`` and on the layout of ``df``. They are
     written to the shared folder before anything is decided by them, so a task
