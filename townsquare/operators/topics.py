@@ -14,6 +14,7 @@ import math
 from collections import Counter
 from collections.abc import Callable, Mapping, Sequence
 from multiprocessing.pool import ThreadPool
+from threading import Event
 from typing import NamedTuple
 
 import numpy as np
@@ -513,11 +514,18 @@ def month_ahead(
 
 def _at_once(spark: SparkSession, run: Callable, tasks: list[tuple]) -> list:
     """Results of ``run`` in the order of the tasks, some of which run at the same time, each in
-    a pool of its own where the scheduler is fair."""
+    a pool of its own where the scheduler is fair. After a failure no further one begins."""
+    failed = Event()
 
     def pooled(numbered: tuple[int, tuple]) -> object:
+        if failed.is_set():
+            return None
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"cell-{numbered[0] % AT_ONCE}")
-        return run(*numbered[1])
+        try:
+            return run(*numbered[1])
+        except BaseException:
+            failed.set()
+            raise
 
     if not tasks:
         return []
