@@ -12,7 +12,7 @@ from townsquare.sources import posts
 
 
 def user_names(spark, d):
-    return job.user_names(posts.unified_posts(tables.mixed_lines(spark, d)))
+    return job.user_names(posts.unified_posts(tables.mixed_lines(spark, d), columns=["author"]))
 
 
 def user_ids(spark, d):

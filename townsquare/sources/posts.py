@@ -10,7 +10,7 @@ front of it and decode again for each of its conditions.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Collection, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -183,22 +183,32 @@ def reddit_posts(lines: DataFrame, strict: bool = False) -> DataFrame:
 
 # One schema that holds what tells the platforms apart and what the common
 # table needs, so that a mixed corpus is decoded once. Ids are text here: a
-# number for tweets, letters and digits for Reddit.
-_ANY_DDL = """struct<
-  id: string, text: string, created_at: string, user: struct<id: bigint, screen_name: string>,
-  author: string, title: string, is_self: boolean, selftext: string, body: string,
-  parent_id: string, created: bigint, created_utc: bigint,
-  posts: array<struct<no: bigint, com: string, name: string, time: bigint>>>"""
+# number for tweets, letters and digits for Reddit. Some fields are for one
+# column of the table alone.
+_COLUMNS = ["platform", "kind", "id", "author", "created_at", "text", "raw"]
 
 
-def unified_posts(lines: DataFrame, keep_corrupt: bool = False) -> DataFrame:
+def _any_ddl(columns: Collection[str]) -> str:
+    def only(name: str, fields: str) -> str:
+        return fields if name in columns else ""
+
+    return f"""struct<
+  id: string, text: string, created_at: string, user: struct<id: bigint{only("author", ", screen_name: string")}>,
+  author: string, title: string, {only("text", "is_self: boolean, ")}selftext: string, body: string, parent_id: string,
+  {only("created_at", "created: bigint, created_utc: bigint, ")}
+  posts: array<struct<no: bigint{only("text", ", com: string")}{only("author", ", name: string")}, time: bigint>>>"""
+
+
+def unified_posts(lines: DataFrame, keep_corrupt: bool = False, columns: Sequence[str] | None = None) -> DataFrame:
     """All platforms in one table: platform, kind, id, author, created_at,
     text, raw. Rows are told apart by their parsed top-level keys.
 
     Of a thread the opening post is taken. ``keep_corrupt`` keeps the lines
-    that are none of the kinds, with a null platform.
+    that are none of the kinds, with a null platform. ``columns`` names the
+    ones to return; what only the others need is not decoded.
     """
-    decoded = F.explode(F.array(F.from_json("value", _ANY_DDL)))
+    wanted = _COLUMNS if columns is None else list(columns)
+    decoded = F.explode(F.array(F.from_json("value", _any_ddl(wanted))))
     rows = lines.select(F.col("value").alias("raw"), decoded.alias("p"))
     p, opening = F.col("p"), F.get(F.col("p.posts"), F.lit(0))
 
@@ -209,7 +219,6 @@ def unified_posts(lines: DataFrame, keep_corrupt: bool = False) -> DataFrame:
         .when(_usable_tweet(p), "tweet")
     )
     rows = rows.withColumn("kind", kind)
-    reddit_time = first_time(p["created_utc"], p["created"])
 
     def by_kind(**columns: Column) -> Column:
         chosen = F.lit(None)
@@ -217,35 +226,33 @@ def unified_posts(lines: DataFrame, keep_corrupt: bool = False) -> DataFrame:
             chosen = F.when(F.col("kind") == name, column).otherwise(chosen)
         return chosen
 
-    out = rows.select(
-        by_kind(
-            thread=F.lit("fourchan"), comment=F.lit("reddit"),
-            submission=F.lit("reddit"), tweet=F.lit("twitter"),
-        ).alias("platform"),
-        "kind",
-        by_kind(
-            thread=opening["no"].cast("string"), comment=p["id"], submission=p["id"], tweet=p["id"]
-        ).alias("id"),
-        by_kind(
-            thread=opening["name"], comment=p["author"], submission=p["author"],
-            tweet=p["user"]["screen_name"],
-        ).alias("author"),
-        by_kind(
-            thread=from_epoch(opening["time"]), comment=reddit_time, submission=reddit_time,
-            tweet=parse_date_text(p["created_at"]),
-        ).alias("created_at"),
-        by_kind(
+    def created_at() -> Column:
+        reddit_time = first_time(p["created_utc"], p["created"])
+        return by_kind(
+            thread=from_epoch(opening["time"]), comment=reddit_time, submission=reddit_time, tweet=parse_date_text(p["created_at"])
+        )
+
+    makers = {
+        "platform": lambda: by_kind(
+            thread=F.lit("fourchan"), comment=F.lit("reddit"), submission=F.lit("reddit"), tweet=F.lit("twitter")
+        ),
+        "kind": lambda: F.col("kind"),
+        "id": lambda: by_kind(thread=opening["no"].cast("string"), comment=p["id"], submission=p["id"], tweet=p["id"]),
+        "author": lambda: by_kind(
+            thread=opening["name"], comment=p["author"], submission=p["author"], tweet=p["user"]["screen_name"]
+        ),
+        "created_at": created_at,
+        "text": lambda: by_kind(
             thread=plain_text(opening["com"]), comment=p["body"],
-            submission=submission_text(p["title"], p["is_self"], p["selftext"]),
-            tweet=unescape_tweet(p["text"]),
-        ).alias("text"),
-        "raw",
-    )
-    return out if keep_corrupt else out.where(F.col("kind").isNotNull())
+            submission=submission_text(p["title"], p["is_self"], p["selftext"]), tweet=unescape_tweet(p["text"]),
+        ),
+        "raw": lambda: F.col("raw"),
+    }
+    out = rows if keep_corrupt else rows.where(F.col("kind").isNotNull())
+    return out.select(*[makers[name]().alias(name) for name in wanted])
 
 
 def ingest_report(lines: DataFrame) -> DataFrame:
     """Lines per platform and kind; nulls count the lines that are neither."""
-    return unified_posts(lines, keep_corrupt=True).groupBy("platform", "kind").agg(
-        F.count("*").alias("n")
-    )
+    kinds = unified_posts(lines, keep_corrupt=True, columns=["platform", "kind"])
+    return kinds.groupBy("platform", "kind").agg(F.count("*").alias("n"))
