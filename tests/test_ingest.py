@@ -87,6 +87,11 @@ def test_mixed_lines_are_told_apart_by_their_keys(lines, rows):
         ("reddit", "submission", "s1", "Bob", '"parent_id"'),
         ("twitter", "tweet", "1", "Ann", 'they said "is_self" and "resto" and parent_id'),
     ]
+    for names in (["author"], ["created_at", "id"], ["text"], ["kind", "raw"]):
+        some = posts.unified_posts(table, columns=names)
+        assert some.columns == names and rows(some) == rows(posts.unified_posts(table).select(*names))
+    pruned = posts.unified_posts(table, columns=["author"])._jdf.queryExecution().executedPlan().toString()
+    assert "StructField(com," not in pruned and "StructField(is_self," not in pruned
     report = {(r.platform, r.kind): r.n for r in posts.ingest_report(table).collect()}
     assert report[None, None] == 3 and sum(report.values()) == 7
 
