@@ -4,8 +4,8 @@ Each query runs to the end into Spark's no-op sink, so that all of its rows
 and columns are computed. Set BENCH_SF_DIR and BENCH_CPUS to change the tables
 and the number of cores, BENCH_QUERIES to name other queries. A query that
 takes longer than BENCH_LIMIT seconds is cancelled, and none begins after
-BENCH_SECONDS; what did not end is named beside the times of the others. The line
-comes out whatever happens, also when the run is asked to end.
+BENCH_SECONDS; what did not end is named beside the times of the others. A run
+that is asked to end tries to write the line first.
 """
 
 from __future__ import annotations
