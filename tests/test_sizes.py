@@ -70,3 +70,22 @@ def test_tweets_of_repeated_rows(spark, folder):
     third = [(3, u, x, ("retweeted_status", o, "a & b")) for u in (1, 7) for x in ("", one) for o in (0, 5)]
     assert [t for t in told if t[0] == 3] == third
     assert {t[0] for t in told} == {0, 1, 2, 3, 5, 6}
+
+
+def test_threads_are_not_dealt_out_with_their_texts(spark, folder, shuffled):
+    dealt = exchanges(tables.thread_lines(spark, folder))
+    by_thread = [columns for columns, how in dealt if "event_id" in how]
+    assert by_thread and not any(re.search("text|com|post|turns", " ".join(columns)) for columns in by_thread)
+
+
+def test_threads_of_repeated_rows(spark, folder):
+    """An id is one thread, with the turns of its conversation for each of its events."""
+    found = {t["posts"][0]["no"]: t["posts"] for t in (json.loads(r.value) for r in tables.thread_lines(spark, folder).collect())}
+    assert sorted(found) == [0, 1000, 2000, 3000, 4000, 5000, 6000]
+    assert [(p["no"], p["name"], p["resto"]) for p in found[2000]] == [
+        (2000, "user0", 0), (2000, "user5", 0), (2001, "assistant0", 2000), (2001, "assistant5", 2000)
+    ]
+    assert [p["com"] for p in found[0]] == [
+        f'<span class="quote" title="a>b">{x}</span><!-- </p> -->' for x in ("x &lt;y&gt;", "it&#039;s")
+    ]
+    assert [(p["name"], "com" in p) for p in found[3000]] == [("user1", False), ("user7", False), ("user1", True), ("user7", True)]
