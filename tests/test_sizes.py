@@ -5,9 +5,12 @@ import io
 import json
 import re
 
+import numpy as np
 import pytest
 
+from townsquare.operators import topics
 from townsquare.plans import tables
+from townsquare.plans import topics as topic_plans
 
 
 def exchanges(df):
@@ -89,3 +92,37 @@ def test_threads_of_repeated_rows(spark, folder):
         f'<span class="quote" title="a>b">{x}</span><!-- </p> -->' for x in ("x &lt;y&gt;", "it&#039;s")
     ]
     assert [(p["name"], "com" in p) for p in found[3000]] == [("user1", False), ("user7", False), ("user1", True), ("user7", True)]
+
+
+def test_weights_of_many_documents_are_those_of_each():
+    draw = np.random.default_rng(3)
+    beta = np.exp(topics.expected_logs(draw.gamma(0.3, 1, (4, 300)) + 0.2)).T.copy()
+    alpha, lengths = np.full(4, 0.25), draw.integers(1, 60, 40)
+    documents = [draw.choice(300, n, replace=False) for n in lengths]
+    counts = [draw.integers(1, 5, n).astype(float) for n in lengths]
+    each = [topics.settled_weights(n, beta[at], alpha) for n, at in zip(counts, documents)]
+    starts = np.cumsum(lengths) - lengths
+    together = topics.settled_weights(np.concatenate(counts), beta[np.concatenate(documents)], alpha, starts=starts)
+    assert np.array_equal(together, each)
+
+
+def test_vectors_are_not_filled_up(spark, tmp_path):
+    """As many slots as a document has terms, not as there are terms."""
+    documents = [(i, f"tree tree house house car own{i}") for i in range(6)]
+    spark.createDataFrame(documents, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows, plan = topic_plans.vectorized(spark, str(tmp_path)), io.StringIO()
+    assert sorted(map(tuple, rows.collect())) == [(i, term, 2) for i in range(6) for term in ("house", "tree")]
+    with contextlib.redirect_stdout(plan):
+        rows.explain("extended")
+    assert "arrays_zip" in plan.getvalue() and "posexplode" not in plan.getvalue()
+
+
+def test_whole_topics_are_put_together_in_the_tasks(spark, monkeypatch):
+    """The report of a topic's first terms is not asked for all of them."""
+    corpus = spark.createDataFrame([(i, "one two two three"[: 3 + 4 * (i % 4)]) for i in range(20)], "id bigint, text string")
+    model = topics.train(corpus, 2, max_iter=2, min_tf=1, min_df=1, partitions=2)
+    told = {(r.topic, r.term): r.weight for r in topics.describe(model, 10).collect()}
+    monkeypatch.setattr(type(model.lda), "describeTopics", lambda *a: pytest.fail("gathers all"))
+    rows = topics.topic_terms(model)
+    assert rows.dtypes == [("topic", "int"), ("term", "string"), ("weight", "double")]
+    assert {(r.topic, r.term): r.weight for r in rows.collect()} == pytest.approx(told)
