@@ -126,3 +126,18 @@ def test_whole_topics_are_put_together_in_the_tasks(spark, monkeypatch):
     rows = topics.topic_terms(model)
     assert rows.dtypes == [("topic", "int"), ("term", "string"), ("weight", "double")]
     assert {(r.topic, r.term): r.weight for r in rows.collect()} == pytest.approx(told)
+
+
+def test_texts_are_split_once_for_both_sides(spark, tmp_path):
+    documents = [(i, f"l{i % 2}", f"s{i % 3}", "one two two") for i in range(6)]
+    spark.createDataFrame(documents, "doc_id bigint, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = io.StringIO()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = topic_plans.similarity(spark, str(tmp_path))
+        assert sorted(map(tuple, rows.collect())) == [(f"l{i}", f"s{j}", 1.0) for i in range(2) for j in range(3)]
+        with contextlib.redirect_stdout(plan):
+            rows.explain("formatted")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(re.findall(r"(?m)^\(\d+\) Scan parquet", plan.getvalue())) == 1
