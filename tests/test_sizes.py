@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from townsquare.operators import topics
+from townsquare.operators import search, topics
 from townsquare.plans import tables
 from townsquare.plans import topics as topic_plans
 
@@ -141,3 +141,22 @@ def test_texts_are_split_once_for_both_sides(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len(re.findall(r"(?m)^\(\d+\) Scan parquet", plan.getvalue())) == 1
+
+
+def test_listed_queries_are_not_dealt_out_with_posts(spark, shuffled):
+    """Only the runs of posts are counted; posts meet the list where they are."""
+    posts = spark.createDataFrame([(i % 7, f"word{i} common text") for i in range(40)] + [(1, None)], "id int, text string")
+    queries = spark.createDataFrame([([f"word{i}", "common"],) for i in range(0, 60, 3)] + [(["x", "common"],)], "words array<string>")
+    found = search.keyword_filter_indexed(posts, queries)
+    assert sorted(r.text for r in found.collect()) == sorted(r.text for r in search.keyword_filter(posts, [r.words for r in queries.collect()]).collect())
+    assert not any({"q_key", "text"} & set(columns) for columns, _ in exchanges(found))
+
+
+def test_lists_in_pieces_find_the_same(spark, monkeypatch):
+    """One id has many texts, and one text many ids."""
+    posts = spark.createDataFrame([(i % 5, f"a{i % 12} b c") for i in range(36)] + [(None, "a1 b"), (None, None)], "id int, text string")
+    queries = spark.createDataFrame([([f"a{i}", w],) for i in range(0, 12, 3) for w in "bcz"] + [(["a1 b"],)], "words array<string>")
+    whole = sorted(map(str, search.keyword_filter_indexed(posts, queries).collect()))
+    monkeypatch.setattr(search, "QUERIES_AT_ONCE", 2)
+    assert sorted(map(str, search.keyword_filter_indexed(posts, queries).collect())) == whole
+    assert len(whole) == sum(i % 12 in (0, 1, 3, 6, 9) for i in range(36)) + 1
