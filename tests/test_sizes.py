@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from townsquare.operators import search, topics
+from townsquare.operators import community, search, topics
 from townsquare.plans import tables
 from townsquare.plans import topics as topic_plans
 
@@ -160,3 +160,11 @@ def test_lists_in_pieces_find_the_same(spark, monkeypatch):
     monkeypatch.setattr(search, "QUERIES_AT_ONCE", 2)
     assert sorted(map(str, search.keyword_filter_indexed(posts, queries).collect())) == whole
     assert len(whole) == sum(i % 12 in (0, 1, 3, 6, 9) for i in range(36)) + 1
+
+
+@pytest.mark.parametrize("total, kind", [(3_000_000_000, "bigint"), (3_000_000_001, "decimal(38,0)")])
+def test_gains_are_whole_numbers_that_hold_the_square(spark, total, kind):
+    row = f"1L AS community, 2L AS current, {total}L AS w, {total}L AS sigma_tot, {total}L AS node_weight, 0L AS internal"
+    gains = spark.sql(f"SELECT {row} UNION ALL SELECT {row.replace(f'{total}L AS w', '0L AS w')}").select(community._gain(total).alias("gain"))
+    assert gains.dtypes == [("gain", kind)]
+    assert sorted(int(r.gain) for r in gains.collect()) == [-total * total, 0]
