@@ -11,6 +11,7 @@ import pytest
 from townsquare.operators import community, search, topics
 from townsquare.plans import tables
 from townsquare.plans import topics as topic_plans
+from townsquare.plans import words as word_plans
 
 
 def exchanges(df):
@@ -168,3 +169,11 @@ def test_gains_are_whole_numbers_that_hold_the_square(spark, total, kind):
     gains = spark.sql(f"SELECT {row} UNION ALL SELECT {row.replace(f'{total}L AS w', '0L AS w')}").select(community._gain(total).alias("gain"))
     assert gains.dtypes == [("gain", kind)]
     assert sorted(int(r.gain) for r in gains.collect()) == [-total * total, 0]
+
+
+@pytest.mark.parametrize("query", ["tweet_tokens", "tweet_tokens_bigrams"])
+def test_tokens_are_not_dealt_out(spark, folder, shuffled, query):
+    rows = word_plans.PLANS[query].run(spark, folder)
+    assert not any({"buf", "token", "pos"} & set(columns) for columns, _ in exchanges(rows))
+    # Both copies of an id are one row, with the tokens of both.
+    assert {r.doc_id: r.n for r in rows.collect()}.keys() == {0, 1, 2, 3, 5, 6}
