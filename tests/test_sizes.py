@@ -7,7 +7,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from townsquare.functions import text as T
 from townsquare.operators import community, search, topics
 from townsquare.plans import tables
 from townsquare.plans import topics as topic_plans
@@ -177,3 +179,49 @@ def test_tokens_are_not_dealt_out(spark, folder, shuffled, query):
     assert not any({"buf", "token", "pos"} & set(columns) for columns, _ in exchanges(rows))
     # Both copies of an id are one row, with the tokens of both.
     assert {r.doc_id: r.n for r in rows.collect()}.keys() == {0, 1, 2, 3, 5, 6}
+
+
+def test_texts_without_the_letters_are_not_split(spark):
+    class Loud(search.Words):
+        def terms(self):
+            return F.transform(super().terms(), lambda t: F.when(t == "other", F.raise_error(F.lit("split"))).otherwise(t))
+
+    rows = spark.createDataFrame([(1, "the src7, le  LA"), (2, "other src"), (3, "other le the la"), (4, None)], "id int, text string")
+    queries = [
+        {"clauses": [{"value": "the"}, {"value": "src7"}]}, {"clauses": [{"value": "le la", "kind": "phrase"}]},
+        {"clauses": [{"value": "zz", "kind": "prefix"}, {"value": "the", "occur": "must_not"}]},
+    ]
+    for threshold in (0, 1):
+        found = search.fielded_search(rows, queries, {"content": Loud(F.lower("text"))}, threshold=threshold)
+        assert [r.id for r in found.collect()] == [1]
+
+
+def test_texts_are_told_apart_as_their_words_are(spark):
+    import random
+
+    rng = random.Random(5)
+    bits = ["le", "la", "the", "src7", "src", "'", ".", " ", "-", "日本", "カタ", "ไทย", "Le", "İ", "\n", "_", "é"]
+    texts = [None, ""] + ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 9))) for _ in range(600)]
+    rows = spark.createDataFrame([(i, t, rng.choice(["en", "de", None])) for i, t in enumerate(texts)], "id int, text string, lang string")
+    text, lang = F.lower("text"), F.array("lang")
+
+    def clause(depth):
+        if depth and rng.random() < 0.3:
+            return query(depth - 1) | rng.choice([{}, {"occur": "must_not"}])
+        if rng.random() < 0.15:
+            return {"field": "lang", "value": "de", "occur": rng.choice(["must", "should", "must_not"])}
+        kind = rng.choice(["term", "phrase", "prefix", "wildcard"])
+        value = rng.choice(["le", "le la", "The", "日", "日 本", "カタ", "l*", "s?c*", "la.the", "le'la", "l", "-", "", "le\nla", "i̇"])
+        return {"kind": kind, "value": value, "occur": rng.choice(["must", "should", "must_not", "default"])}
+
+    def query(depth):
+        return {"op": rng.choice(["AND", "OR"]), "clauses": [clause(depth) for _ in range(rng.randrange(1, 4))]}
+
+    for i in range(40):
+        queries = [query(2) for _ in range(rng.randrange(1, 4))]
+        more = {"threshold": [0, 1, -1, 0.5][i % 4], "score": ["matches", "bm25"][i // 4 % 2]}
+        told, split = (
+            search.fielded_search(rows, queries, {"content": content, "lang": lang}, **more)
+            for content in (search.Words(text), T.words(text))
+        )
+        assert sorted(r.id for r in told.collect()) == sorted(r.id for r in split.collect()), (queries, more)
