@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from townsquare.functions import links
 from townsquare.functions import text as T
 from townsquare.operators import community, search, topics
 from townsquare.plans import tables
@@ -225,3 +226,19 @@ def test_texts_are_told_apart_as_their_words_are(spark):
             for content in (search.Words(text), T.words(text))
         )
         assert sorted(r.id for r in told.collect()) == sorted(r.id for r in split.collect()), (queries, more)
+
+
+def test_plain_runs_are_told_without_reading_piece_by_piece(spark, monkeypatch):
+    import random
+
+    plain = ["https://a.org/x),", "www.page3.co.uk/a_(b).", "http://a.org/(x)[y]{z}", "http://a.org/x]y(z"]
+    other = ["http://a.org/((x))", "http://a.org/(x", "http://a.org/x)http://b.org", "http://a.org/(x]"]
+    told = spark.createDataFrame([(r,) for r in plain + other], "r string").select(F.col("r").rlike(links._PLAIN_RUN).alias("p"))
+    assert [r.p for r in told.collect()] == [True] * len(plain) + [False] * len(other)
+    rng = random.Random(7)
+    bits = ["http://", "www.", "a", "/x", "(", ")", "[", "]", "{", "}", ".", "é"]
+    runs = [rng.choice(["http://", "www."]) + "".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(2000)]
+    table = spark.createDataFrame([(r,) for r in runs], "r string")
+    spans = table.select("r", links.link_spans(F.col("r")).alias("spans")).collect()
+    monkeypatch.setattr(links, "_PLAIN_RUN", "(?!)")
+    assert spans == table.select("r", links.link_spans(F.col("r")).alias("spans")).collect()
