@@ -1,3 +1,4 @@
+import collections
 import math
 import random
 
@@ -150,6 +151,50 @@ def test_cooccurring_terms(spark):
     assert [(r.token, r.n) for r in got] == [("a", 2), ("b", 2), ("a_b", 1)]
 
 
+def _terms_by_hand(texts, k):
+    counts = collections.Counter()
+    for words in (t.lower().split() for t in texts if t):
+        counts.update(words + [f"{a}_{b}" for a, b in zip(words, words[1:])])
+    return sorted(counts.items(), key=lambda c: (-c[1], c[0]))[:k]
+
+
+def test_frequent_terms_equal_all_counted(spark):
+    """Ties, words that are alike to a bigram or to parts of one, fewer words than are asked for."""
+    rng = random.Random(5)
+    for words in (["a", "b", "a_b", "_", "b_a_b", "a_", "c"], list("abcdefgh") + ["a_b", "c_d"], ["x", "x_x", "x_x_x"]):
+        shares = [rng.random() ** 3 for _ in words]
+        texts = [" ".join(rng.choices(words, shares, k=rng.randrange(0, 9))) for _ in range(60)] + [None, "Zz zz"]
+        table = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+        # Blank is in nearly all of them; what is in none is left out by hand, too.
+        there = [t for t in texts if t and any(c in t.lower() for c in "abcxz_defgh")]
+        keywords = list("abcxz_defgh")
+        for k in (0, 1, 2, 5, 40):
+            got = search.cooccurring_terms(table, keywords, k, F.split("text", " +")).collect()
+            assert [(r.token, r.n) for r in got if r.token != ""] == [c for c in _terms_by_hand(there, k)][: len(got)], (words, k)
+            assert len(got) == len(_terms_by_hand(there, k))
+
+
+def test_seldom_bigrams_are_not_counted(spark, monkeypatch):
+    """Bigrams are nearly as many as words; those of seldom words go no further than the text."""
+    table = spark.range(500).selectExpr(
+        "id", "concat_ws(' ', 'the', md5(string(id)), 'of', 'the', md5(string(-id - 1)), 'a_b') AS text"
+    )
+    counted, top = [], search.top
+
+    def spied(counts, *rest):
+        counted.append(counts.count())
+        return top(counts, *rest)
+
+    monkeypatch.setattr(search, "top", spied)
+    tokens = F.split("text", " ")
+    got = [(r.token, r.n) for r in search.cooccurring_terms(table, ["the"], 3, tokens).collect()]
+    assert got == [("the", 1000), ("a_b", 500), ("of", 500)]
+    assert counted == [504]  # three words, of_the, and what stands before a_b
+    monkeypatch.setattr(search, "WORDS_AT_ONCE", 2)  # then all are
+    assert [(r.token, r.n) for r in search.cooccurring_terms(table, ["the"], 3, tokens).collect()] == got
+    assert counted[1] > 3000
+
+
 def test_kl_by_hand(spark):
     fore = spark.createDataFrame([("a", 3), ("b", 1)], "token string, n long")
     back = spark.createDataFrame([("a", 2), ("c", 6)], "token string, n long")
