@@ -182,6 +182,48 @@ def test_tokens_are_not_dealt_out(spark, folder, shuffled, query):
     assert {r.doc_id: r.n for r in rows.collect()}.keys() == {0, 1, 2, 3, 5, 6}
 
 
+@pytest.mark.parametrize("query", ["tweet_tokens", "tweet_tokens_bigrams", "reddit_tokens"])
+def test_posts_of_one_row_are_not_dealt_out_by_id(spark, folder, shuffled, query):
+    once = spark.read.parquet(f"{folder}/events.parquet").dropDuplicates(["event_id"])
+    once.write.parquet(f"{folder}/once/events.parquet")
+    for name in ("documents", "pages", "conversations"):
+        rows = spark.read.parquet(f"{folder}/{name}.parquet")
+        rows.dropDuplicates(rows.columns[: 1 + (name == "conversations")]).write.parquet(f"{folder}/once/{name}.parquet")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    rows = word_plans.PLANS[query].run(spark, f"{folder}/once")
+    assert not exchanges(rows)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
+    assert rows.count() == rows.select("doc_id").distinct().count() > 0
+
+
+def test_tokens_of_a_post_are_told_by_their_places():
+    import hashlib
+
+    import pyarrow as pa
+
+    texts = [(1, ["a", "b"]), (2, ["c"]), (None, ["d", None, "e"]), (2, [str(i) for i in range(7)])]
+    rows = [(i, pos, token) for i, tokens in texts for pos, token in enumerate(tokens)]
+    kind = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("token", pa.string())])
+    whole = pa.RecordBatch.from_pylist([dict(zip(kind.names, r, strict=True)) for r in rows], kind)
+    asked = [(i, len(t), hashlib.md5(" ".join(x for x in t if x is not None).encode()).hexdigest()) for i, t in texts]
+    for size in (1, 2, 3, 5, 100):
+        batches = [whole.slice(i, size) for i in range(0, len(rows), size)]
+        assert [tuple(r.values()) for b in word_plans.by_post(iter(batches)) for r in b.to_pylist()] == asked
+    assert list(word_plans.by_post(iter([]))) == list(word_plans.by_post(iter([whole.slice(0, 0)]))) == []
+    with pytest.raises(ValueError):
+        list(word_plans.by_post(iter([whole.take(pa.array([0, 5]))])))
+
+
+@pytest.mark.parametrize("lines", ["tweet_lines", "submission_lines", "comment_lines", "thread_lines"])
+def test_posts_meet_their_texts_in_all_tasks(spark, folder, lines):
+    """However few bytes they are, and whatever may be sent to all."""
+    tasks = spark.sparkContext.defaultParallelism
+    rows = getattr(tables, lines)(spark, folder)
+    dealt = [how for _, how in exchanges(rows) if "REPARTITION_BY_NUM" in how]
+    assert dealt and all(int(re.search(r"(\d+)\), REPARTITION", how)[1]) >= tasks for how in dealt)
+    assert rows.rdd.getNumPartitions() >= tasks
+
+
 def test_texts_without_the_letters_are_not_split(spark):
     class Loud(search.Words):
         def terms(self):
