@@ -224,6 +224,16 @@ def test_posts_meet_their_texts_in_all_tasks(spark, folder, lines):
     assert rows.rdd.getNumPartitions() >= tasks
 
 
+def test_texts_are_split_once_for_a_model_and_its_vocabulary(spark, monkeypatch):
+    calls, split = [], T.topic_tokens
+    monkeypatch.setattr(topics.T, "topic_tokens", lambda *a: calls.append(a) or split(*a))
+    corpus = spark.createDataFrame([(i, f"a{i % 3} b{i % 4} the c") for i in range(24)], "id int, text string")
+    rows = topic_plans._topics_of(corpus)
+    assert len(calls) == 1 and not exchanges(rows)
+    found = [tuple(r) for r in rows.orderBy("topic").collect()]
+    assert found == [(topic, 8, True, True, True, 1.0) for topic in range(topic_plans.TOPICS)]
+
+
 def test_texts_without_the_letters_are_not_split(spark):
     class Loud(search.Words):
         def terms(self):

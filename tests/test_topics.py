@@ -107,6 +107,62 @@ def test_bounds_add_up_to_the_likelihood(spark, corpus, model):
     assert len(sides) == 1 and sides != {max((0, 1), key=lambda t: rows[1].weights[t])}
 
 
+def test_scores_do_not_take_the_model_anew_for_each_document(spark, corpus, model, monkeypatch):
+    want = model.lda.logLikelihood(topics.vectorize(corpus, model.vectorizer, STOPS))
+    monkeypatch.setattr(type(model.lda), "logLikelihood", lambda *a: pytest.fail("topics x terms for each document"))
+    assert topics.held_out(model, corpus, STOPS, size=0).first().log_likelihood == pytest.approx(want, rel=1e-5)
+    nothing = topics.held_out(model, corpus.limit(0), STOPS, size=0).first()
+    assert nothing.docs == 0 and nothing.log_likelihood == pytest.approx(topics.topics_bound(model))
+
+
+def test_models_are_taken_over_in_pieces(corpus, model, monkeypatch):
+    def read():
+        terms = {(r.topic, r.term): r.weight for r in topics.topic_terms(model).collect()}
+        bounds = {r.id: r.bound for r in topics.document_bounds(model, corpus, STOPS).collect()}
+        return terms, bounds, topics.topics_bound(model), [(r.topic, r["rank"], r.term) for r in topics.describe(model, 5).collect()]
+
+    words = model.vectorizer.vocabulary
+    asked = [(r.topic, i, words[t]) for r in model.lda.describeTopics(5).collect() for i, t in enumerate(r.termIndices)]
+    whole = read()
+    monkeypatch.setattr(topics, "MATRIX_AT_ONCE", 6)  # three terms
+    monkeypatch.setattr(type(model.lda), "topicsMatrix", lambda *a: pytest.fail("all of it"))
+    monkeypatch.setattr(type(model.lda), "describeTopics", lambda *a: pytest.fail("all of it"))
+    parts = read()
+    assert len(list(topics._weights(model.lda))) == -(-len(words) // 3) > 1
+    assert all(a == pytest.approx(b) for a, b in zip(whole[:3], parts[:3], strict=True))
+    assert whole[3] == parts[3] == asked
+
+
+def test_large_models_wait_for_each_other():
+    import threading
+    import time
+
+    room, held, most = topics._Room(10), [], []
+
+    def run(size):
+        with room.held() as ready:
+            ready(size)
+            held.append(size)
+            most.append(sum(min(s, 10) for s in held))
+            time.sleep(0.02)
+            held.remove(size)
+
+    threads = [threading.Thread(target=run, args=(size,)) for size in (4, 4, 7, 30, 3, 10, 1)]
+    for thread in threads:
+        thread.start()
+    for thread in threads:
+        thread.join(10)
+    assert not held and len(most) == 7 and max(most) <= 10 and room.free == 10
+
+
+def test_terms_are_counted_by_document(spark):
+    """Each of a document's terms once, however often it has it; documents without words, and of one id, too."""
+    rows = spark.createDataFrame([(1, "a a b"), (1, "a a b"), (2, "b"), (3, "the"), (4, None), (5, "")], "id int, text string")
+    found = [tuple(r) for r in topics.vocabulary(rows, ["the"], min_df=1).collect()]
+    assert found == [("a", 4, 2), ("b", 3, 3)]
+    assert topics.vocabulary(rows, ["the"], min_df=3).collect() == [("b", 3, 3)]
+
+
 def test_digamma():
     import numpy as np
 
