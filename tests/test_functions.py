@@ -298,6 +298,27 @@ def test_word_list(spark):
     assert segmentation.lexicon(words.limit(0)).longest == 0
 
 
+def test_a_long_word_list_is_a_table(spark, monkeypatch):
+    """It splits as a short one does: runs longer than what is looked up together, of several rows, in rows of one id."""
+    import random
+
+    rng = random.Random(5)
+    letters, words = "甲乙丙丁กขค", {}
+    for _ in range(60):
+        words["".join(rng.choice(letters) for _ in range(rng.randrange(1, 5)))] = rng.randrange(1, 90)
+    table = spark.createDataFrame([*words.items(), (None, 2), ("", 3), ("丙丙丙丙", 0)], "word string, n int")
+    short = segmentation.lexicon(table)
+    monkeypatch.setattr(segmentation, "WORDS_AT_MOST", len(words) - 1)
+    monkeypatch.setattr(segmentation, "LETTERS_AT_ONCE", 4)
+    known = segmentation.lexicon(table)
+    assert {r.word: r.cost for r in known.words.collect()} == short.costs and known[1:] == short[1:]
+    texts = [" ".join("".join(rng.choice(letters + "戊") for _ in range(rng.randrange(1, 30))) for _ in range(4)) + " x" for _ in range(20)]
+    rows = [(i % 7, t) for i, t in enumerate([*texts, *texts[:5], "plain", "", None])]
+    split = spark.createDataFrame(rows, "id int, v string").select("id", text.words(F.col("v"), whole_runs=True).alias("t"))
+    found = [sorted(map(str, segmentation.with_words(split, "t", k).collect())) for k in (short, known)]
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+
+
 def test_tweets_and_comments_take_a_word_list(spark, lines):
     known = segmentation.lexicon(spark.createDataFrame([(w, 1) for w in WORD_LIST], "word string, n int"))
     made = posts.tweets(lines(tweet(1, "@Ann 日本語を話す x", user_mentions=[mention(5, "Ann", 0)])))
