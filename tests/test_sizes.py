@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from townsquare.functions import links
 from townsquare.functions import text as T
 from townsquare.operators import community, search, topics
+from townsquare.plans import search as search_plans
 from townsquare.plans import tables
 from townsquare.plans import topics as topic_plans
 from townsquare.plans import words as word_plans
@@ -234,6 +235,14 @@ def test_texts_are_split_once_for_a_model_and_its_vocabulary(spark, monkeypatch)
     assert found == [(topic, 8, True, True, True, 1.0) for topic in range(topic_plans.TOPICS)]
 
 
+@pytest.mark.parametrize("query", ["fielded_tweets", "fielded_tweets_twice"])
+def test_tweets_are_decoded_as_far_as_they_are_searched(spark, folder, monkeypatch, query):
+    asked, read = [], tables.tweets
+    monkeypatch.setattr(tables, "tweets", lambda *a: asked.append(a[2:]) or read(*a))
+    assert search_plans.PLANS[query].run(spark, folder).columns == ["id"]
+    assert asked and all(columns and not {"raw", "quoted_status"} & set(columns) for columns in asked)
+
+
 def test_texts_without_the_letters_are_not_split(spark):
     class Loud(search.Words):
         def terms(self):
